@@ -1,49 +1,124 @@
 """Encoding with public tokenizer files by a table of distinct chunks that is kept for the life of a Python worker.
 
-A chunk is cut only where no token of the vocabulary can cross, so the ids of a text are the ids of its chunks in
-order: each distinct chunk is encoded by the library once, and the ids are joined back by position.
+A text is cut only where no token of the vocabulary can cross, so its ids are the ids of its chunks in order: the
+library encodes each distinct chunk once, and the ids are joined back by position. Texts with ordinary white space
+(single spaces and line feeds) are cut by plain splitting; others by the vocabulary's own rule for white space.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: White space as Unicode has it, which is what the vocabularies' patterns mean by \s. Fixed values.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD_SPACE = SPACE.replace("\n", "").replace(" ", "")
+#: What Python's split() takes for white space and the patterns do not.
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Chunks for a byte-level vocabulary whose words take one space before them.
 SPACED = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Chunks for a vocabulary that drops white space.
 BARE = re.compile(r"[^ \t\n\r]+")
-#: Distinct chunks kept at a time (about 150 bytes each); beyond it the table starts anew.
-KEPT = 600_000
+#: Marks that end a chunk and never stand in one token with a letter or digit before them.
+MARKS = ".,;:!?"
+#: Distinct chunks in a generation (about 230 bytes each); there are two, and the older one is dropped.
+KEPT = 400_000
 
 
-class ChunkTable(dict):
-    """chunk -> ids as little-endian unsigned 32-bit integers."""
+class Ids(dict):
+    """chunk -> ids as little-endian unsigned 32-bit integers, in two generations."""
+
+    def __init__(self):
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = self.old[chunk]
+        return ids
+
+    def lacks(self, chunks) -> list[str]:
+        return [c for c in chunks if c not in self and c not in self.old]
+
+    def turn(self) -> None:
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+
+
+class ChunkTable:
+    """Exact ids of texts under one tokenizer file."""
 
     def __init__(self, path: str, drops_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib, self.pattern = Tokenizer.from_file(path), BARE if drops_space else SPACED
+        self.lib, self.drops_space = Tokenizer.from_file(path), drops_space
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.bare, self.spaced = Ids(), Ids()  # the spaced ones are encoded with a space before them
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def fill(self, chunks: set[str]) -> None:
-        if new := [c for c in chunks if c not in self]:
-            for c, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
-                self[c] = np.array(e.ids, "<u4").tobytes()
+    def fill(self, table: Ids, chunks) -> None:
+        """Adds the chunks that ``table`` lacks; one that ends in marks is the chunk without them, then the marks."""
+        parts, need, tails = [], {}, {}
+        for c in table.lacks(chunks):
+            base = c.rstrip(MARKS)
+            if base and len(base) < len(c) and base[-1].isalnum() and base[-1] < "\u0250" and base[-1] != "\u0130":
+                parts.append((c, base, c[len(base) :]))
+                need[base] = tails[c[len(base) :]] = None
+            else:
+                need[c] = None
+        if tails:
+            self.fill(self.bare, tails)
+        if new := table.lacks(need):
+            before = " " if table is self.spaced else ""
+            for c, e in zip(new, self.lib.encode_batch_fast([before + c for c in new], add_special_tokens=False)):
+                table[c] = np.array(e.ids, "<u4").tobytes()
+        for c, base, tail in parts:
+            table[c] = table[base] + self.bare[tail]
+
+    def plain(self, text: str) -> bool:
+        """Whether plain splitting cuts the text where the vocabulary's rule does."""
+        if self.drops_space:
+            return not any(c in text for c in NOT_SPACE)
+        return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1] in " \n" or any(c in text for c in ODD_SPACE))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none). A text that holds a special token's string goes to the library whole."""
-        cut = [None if t and any(s in t for s in self.special) else self.pattern.findall(t or "") for t in texts]
-        if len(self) > KEPT:
-            self.clear()
-        self.fill({c for cs in cut if cs for c in cs})
-        get = self.__getitem__
-        return [np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, cut)]
+        cut: list = []
+        for t in texts:
+            if not t:
+                cut.append(())
+            elif any(s in t for s in self.special):
+                cut.append(None)
+            elif self.drops_space:
+                cut.append(t.split() if self.plain(t) else BARE.findall(t))
+            elif self.plain(t):
+                cut.append([line.split(" ") for line in t.split("\n")])
+            else:
+                cut.append(tuple(SPACED.findall(t)))
+        self.bare.turn()
+        self.spaced.turn()
+        lined = [c for c in cut if type(c) is list and not self.drops_space]
+        flat = [c for c in cut if c is not None and (self.drops_space or type(c) is tuple)]
+        bare = set(chain.from_iterable(flat))
+        bare.update(line[0] for lines in lined for line in lines)
+        bare.add("\n")
+        self.fill(self.bare, bare)
+        self.fill(self.spaced, set(chain.from_iterable(line[1:] for lines in lined for line in lines)))
+        get, spaced, feed = self.bare.__getitem__, self.spaced.__getitem__, self.bare["\n"]
+        out = []
+        for t, c in zip(texts, cut):
+            if c is None:
+                out.append(self.whole(t))
+            elif self.drops_space or type(c) is tuple:
+                out.append(b"".join(map(get, c)))
+            else:
+                out.append(feed.join([get(line[0]) + b"".join(map(spaced, line[1:])) for line in c]))
+        return out
 
 
 _TABLES: dict[tuple, ChunkTable] = {}
