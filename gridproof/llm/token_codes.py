@@ -61,12 +61,16 @@ class Codes:
     def rank(self, level: int, at: np.ndarray) -> np.ndarray:
         """Set bits before ``at``."""
         words, word = self.words[level], at >> 6
+        inside = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        if len(at) > len(words):  # for many places at once, the counts before every word
+            before = np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words)
+            return before[word] + np.bitwise_count(words[word] & inside)
         out = self.ranks[level][at // BLOCK].astype(np.int64)
         first = at // BLOCK * (BLOCK // 64)
         for k in range(BLOCK // 64 - 1):
-            inside = first + k < word
-            out[inside] += np.bitwise_count(words[(first + k)[inside]])
-        return out + np.bitwise_count(words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            more = first + k < word
+            out[more] += np.bitwise_count(words[(first + k)[more]])
+        return out + np.bitwise_count(words[word] & inside)
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """The ids at the places ``at``, in any order."""

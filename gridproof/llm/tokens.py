@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
-
-import numpy as np
+from array import array
 
 #: White space as Unicode has it, which is what the vocabularies' patterns mean by \s. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -25,21 +23,52 @@ BARE = re.compile(r"[^ \t\n\r]+")
 #: Marks that end a chunk and never stand in one token with a letter or digit before them.
 MARKS = ".,;:!?"
 #: Distinct chunks in a generation (about 230 bytes each); there are two, and the older one is dropped.
-KEPT = 400_000
+KEPT = 700_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be printed, else the next one from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+
+
+BYTE_LETTERS = byte_letters()
 
 
 class Ids(dict):
-    """chunk -> ids as little-endian unsigned 32-bit integers, in two generations."""
+    """chunk -> ids as little-endian unsigned 32-bit integers, in two generations; a chunk that it lacks is encoded.
+
+    The chunks of ``spaced`` tables are encoded with a space before them. A word of Latin letters only is one token
+    to the vocabulary's pattern and goes to the library's model directly; a chunk that ends in marks is the chunk
+    without them, then the marks; anything else goes through the library whole.
+    """
 
-    def __init__(self):
+    def __init__(self, lib, spaced: bool, marks: "Ids | None" = None):
         self.old: dict[str, bytes] = {}
+        self.lib, self.model, self.space, self.marks = lib, lib.model, " " if spaced else "", self if marks is None else marks
 
     def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = ids = self.old[chunk]
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.made(chunk)
+        self[chunk] = ids
         return ids
 
-    def lacks(self, chunks) -> list[str]:
-        return [c for c in chunks if c not in self and c not in self.old]
+    def made(self, chunk: str) -> bytes:
+        base = chunk.rstrip(MARKS)
+        if base and len(base) < len(chunk) and base[-1].isalnum() and base[-1] < "\u0100":
+            return self[base] + self.marks[chunk[len(base) :]]
+        if chunk.isalpha():
+            try:
+                chunk.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                word = self.space + (chunk.lower() if self.lib.normalizer is not None else chunk)
+                letters = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return array("I", self.lib.encode(self.space + chunk, add_special_tokens=False).ids).tobytes()
 
     def turn(self) -> None:
         if len(self) > KEPT:
@@ -56,29 +85,8 @@ class ChunkTable:
 
         self.lib, self.drops_space = Tokenizer.from_file(path), drops_space
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.bare, self.spaced = Ids(), Ids()  # the spaced ones are encoded with a space before them
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def fill(self, table: Ids, chunks) -> None:
-        """Adds the chunks that ``table`` lacks; one that ends in marks is the chunk without them, then the marks."""
-        parts, need, tails = [], {}, {}
-        for c in table.lacks(chunks):
-            base = c.rstrip(MARKS)
-            if base and len(base) < len(c) and base[-1].isalnum() and base[-1] < "\u0250" and base[-1] != "\u0130":
-                parts.append((c, base, c[len(base) :]))
-                need[base] = tails[c[len(base) :]] = None
-            else:
-                need[c] = None
-        if tails:
-            self.fill(self.bare, tails)
-        if new := table.lacks(need):
-            before = " " if table is self.spaced else ""
-            for c, e in zip(new, self.lib.encode_batch_fast([before + c for c in new], add_special_tokens=False)):
-                table[c] = np.array(e.ids, "<u4").tobytes()
-        for c, base, tail in parts:
-            table[c] = table[base] + self.bare[tail]
+        self.bare = Ids(self.lib, False)
+        self.spaced = Ids(self.lib, True, self.bare)
 
     def plain(self, text: str) -> bool:
         """Whether plain splitting cuts the text where the vocabulary's rule does."""
@@ -86,39 +94,23 @@ class ChunkTable:
             return not any(c in text for c in NOT_SPACE)
         return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1] in " \n" or any(c in text for c in ODD_SPACE))
 
+    def one(self, text: str) -> bytes:
+        get = self.bare.__getitem__
+        if any(s in text for s in self.special):  # special tokens are the library's to find
+            return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+        if not self.plain(text):
+            return b"".join(map(get, (BARE if self.drops_space else SPACED).findall(text)))
+        if self.drops_space:
+            return b"".join(map(get, text.split()))
+        spaced = self.spaced.__getitem__
+        lines = [line.split(" ") for line in text.split("\n")]
+        return self.bare["\n"].join([(get(line[0]) if line[0] else b"") + b"".join(map(spaced, line[1:])) for line in lines])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text (null: none). A text that holds a special token's string goes to the library whole."""
-        cut: list = []
-        for t in texts:
-            if not t:
-                cut.append(())
-            elif any(s in t for s in self.special):
-                cut.append(None)
-            elif self.drops_space:
-                cut.append(t.split() if self.plain(t) else BARE.findall(t))
-            elif self.plain(t):
-                cut.append([line.split(" ") for line in t.split("\n")])
-            else:
-                cut.append(tuple(SPACED.findall(t)))
+        """The ids of each text (null: none)."""
         self.bare.turn()
         self.spaced.turn()
-        lined = [c for c in cut if type(c) is list and not self.drops_space]
-        flat = [c for c in cut if c is not None and (self.drops_space or type(c) is tuple)]
-        bare = set(chain.from_iterable(flat))
-        bare.update(line[0] for lines in lined for line in lines)
-        bare.add("\n")
-        self.fill(self.bare, bare)
-        self.fill(self.spaced, set(chain.from_iterable(line[1:] for lines in lined for line in lines)))
-        get, spaced, feed = self.bare.__getitem__, self.spaced.__getitem__, self.bare["\n"]
-        out = []
-        for t, c in zip(texts, cut):
-            if c is None:
-                out.append(self.whole(t))
-            elif self.drops_space or type(c) is tuple:
-                out.append(b"".join(map(get, c)))
-            else:
-                out.append(feed.join([get(line[0]) + b"".join(map(spaced, line[1:])) for line in c]))
-        return out
+        return [self.one(t) if t else b"" for t in texts]
 
 
 _TABLES: dict[tuple, ChunkTable] = {}
