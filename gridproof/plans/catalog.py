@@ -5,6 +5,439 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores as sc
+from ..functions import tiers
+from ..operators import ocr, pixels, reports, specs, verdicts
+from ..sources.tables import read_table
+from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+KEY = ["doc_id", "filename"]
+
+
+def query(sql: str | None = None):
+    """Registers a query under its own name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- specifications and basic validation -------------------------------------------------------------------------
+
+
+@query(f"""WITH {views.ASSETS_SQL} SELECT doc_id, {views._SPEC_OK} AS matched, CASE WHEN NOT {views._SPEC_OK} THEN NULL
+ WHEN width = 1920 THEN 'website_slider' WHEN width = 800 THEN 'website_gallery' WHEN width = 2480 AND mode = 'CMYK' THEN 'publication_print_a4'
+ WHEN width = 2480 THEN 'publication_digital_a4' WHEN mode = 'CMYK' THEN 'publication_print_b5' ELSE 'publication_digital_b5' END AS spec FROM assets""")
+def spec_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return specs.spec_match(views.assets(spark, sf_dir))
+
+
+@query(f"""WITH {views.ASSETS_SQL}, coded AS (SELECT doc_id, width, height, CASE WHEN format NOT IN ('JPEG', 'PNG', 'TIFF', 'BMP') THEN 'unsupported_format'
+ WHEN file_size // 64 < 100 THEN 'file_too_small' WHEN file_size > 50 * 1024 * 1024 THEN 'file_too_large' WHEN width < 100 THEN 'width_too_small' WHEN height < 100 THEN 'height_too_small' ELSE 'ok' END AS code FROM assets)
+ SELECT doc_id, code, code = 'ok' AS is_valid, width / CAST(height AS DOUBLE) AS aspect_ratio, width * height / 1e6 AS megapixels FROM coded""")
+def basic_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = views.assets(spark, sf_dir)
+    extension = F.concat(F.lit("."), F.lower("format"))
+    size = F.when(F.expr("file_size div 64") < 100, F.lit(0)).otherwise(F.col("file_size"))
+    code = specs.validation(F.lit(True), extension, size, F.col("width"), F.col("height"))
+    return a.select("doc_id", code.alias("code"), (code == "ok").alias("is_valid"), (F.col("width") / F.col("height")).alias("aspect_ratio"), (F.col("width") * F.col("height") / F.lit(1e6)).alias("megapixels"))
+
+
+@query(f"WITH {views.ASSETS_SQL} SELECT doc_id, CASE WHEN least(width, height) < 800 THEN 'too small' WHEN greatest(width, height) > 4000 THEN 'too large' ELSE 'ok' END AS verdict FROM assets")
+def fallback_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.assets(spark, sf_dir).select("doc_id", specs.fallback_spec(F.col("width"), F.col("height")).alias("verdict"))
+
+
+@query(f"WITH {views.ASSETS_SQL} SELECT doc_id, CASE WHEN sqrt(width * height / (1920.0::DOUBLE * 1080)) < 0.5 THEN 17.5::DOUBLE WHEN sqrt(width * height / (1920.0::DOUBLE * 1080)) > 2 THEN 30.0::DOUBLE ELSE 25.0::DOUBLE END AS threshold FROM assets")
+def resolution_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.assets(spark, sf_dir).select("doc_id", tiers.adapted_threshold(F.col("width"), F.col("height")).alias("threshold"))
+
+
+@query(f"""WITH {views.ASSETS_SQL}, named AS (SELECT doc_id, format AS category, 'img' || CAST(doc_id % 50 AS VARCHAR) || '.' || lower(format) AS filename FROM assets),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY category, filename ORDER BY doc_id) - 1 AS n FROM named)
+ SELECT doc_id, category, CASE WHEN n = 0 THEN filename ELSE split_part(filename, '.', 1) || '_' || n || '.' || split_part(filename, '.', 2) END AS target FROM ranked""")
+def suffix_on_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = views.assets(spark, sf_dir).select("doc_id", F.col("format").alias("category"), F.concat(F.lit("img"), (F.col("doc_id") % 50).cast("string"), F.lit("."), F.lower("format")).alias("filename"))
+    return specs.with_clash_names(files, path="doc_id").select("doc_id", "category", "target")
+
+
+# --- tiers -------------------------------------------------------------------------------------------------------
+
+_WM = "CAST(doc_id * 29 % 201 AS DOUBLE) / 2"
+_HAS = "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_WM} AS pct, {_HAS} AS has FROM documents) SELECT doc_id,
+ CASE WHEN has IS NULL THEN 'error' WHEN has AND pct > 96 THEN 'fail' WHEN has AND pct > 91 THEN 'manual' ELSE 'pass' END AS standalone,
+ CASE WHEN has IS NULL THEN 'fail' WHEN has AND pct >= 96 THEN 'fail' WHEN has AND pct >= 91 THEN 'manual' ELSE 'pass' END AS summary,
+ CASE WHEN pct > 96 THEN 'fail' WHEN pct > 91 THEN 'manual' ELSE 'pass' END AS compat, coalesce(has AND pct > 95, false) AS flagged FROM p""")
+def watermark_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_WM} AS pct", f"{_HAS} AS has")
+    has, pct = F.col("has"), F.col("pct")
+    return p.select("doc_id", tiers.watermark_tier(has, pct).alias("standalone"), tiers.watermark_summary_tier(has, pct).alias("summary"), tiers.watermark_compat_tier(pct).alias("compat"), tiers.watermark_flagged(has, pct).alias("flagged"))
+
+
+_ED = "CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST(doc_id * 37 % 201 AS DOUBLE) / 2 END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_ED} AS s FROM documents) SELECT doc_id,
+ CASE WHEN s IS NULL THEN 'error' WHEN s > 30 THEN 'fail' WHEN s >= 25 THEN 'manual' ELSE 'pass' END AS standalone,
+ CASE WHEN s IS NULL THEN 'pass' WHEN s >= 25 THEN 'fail' WHEN s >= 20 THEN 'manual' ELSE 'pass' END AS pipeline,
+ CASE WHEN s IS NULL THEN 'error' WHEN s >= 30 THEN 'fail' WHEN s >= 25 THEN 'manual' ELSE 'pass' END AS in_table,
+ CASE WHEN s > 30 THEN 'heavy' WHEN s >= 25 THEN 'review' WHEN s >= 18 THEN 'possible light' ELSE 'minimal' END AS display,
+ CASE WHEN s >= 75 THEN 'heavy' WHEN s >= 60 THEN 'moderate' WHEN s >= 40 THEN 'light' ELSE 'natural' END AS category FROM p""")
+def editing_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s")
+    p = read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_ED} AS s")
+    return p.select("doc_id", tiers.editing_tier(s).alias("standalone"), tiers.editing_pipeline_tier(s).alias("pipeline"), tiers.editing_table_tier(s).alias("in_table"), tiers.editing_display(s).alias("display"), tiers.editing_category(s).alias("category"))
+
+
+@query(f"""WITH {views.DETECTIONS_SQL}, p AS (SELECT doc_id, s_simple AS conf, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE s_simple > 0.1 END AS simple, s_frame > 0.9 AS frame, s_texture > 0.95 AS textured FROM detections),
+ f AS (SELECT doc_id, conf, conf > 0.15 AND coalesce(simple, true) AS simple, conf > 0.15 AND frame AS frame, conf > 0.15 AND textured AS textured FROM p)
+ SELECT doc_id, CASE WHEN conf >= 0.58 THEN 'fail' WHEN conf >= 0.35 THEN 'manual' ELSE 'pass' END AS tier, simple, CASE WHEN simple OR frame OR textured THEN 'fail' ELSE 'pass' END AS by_flags,
+ CASE WHEN conf >= 0.35 AND conf < 0.58 THEN 'Manual Review' WHEN simple THEN 'Simple Border' WHEN textured THEN 'Textured Border' WHEN frame THEN 'Frame' ELSE 'No Border' END AS label FROM f""")
+def border_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.detections(spark, sf_dir)
+    c = F.col("s_simple")
+    flags = d.select(
+        "doc_id",
+        c.alias("conf"),
+        tiers.border_settled_flag(F.when(F.col("doc_id") % 7 != 0, c > 0.1), c).alias("simple"),
+        tiers.border_settled_flag(F.col("s_frame") > 0.9, c).alias("frame"),
+        tiers.border_settled_flag(F.col("s_texture") > 0.95, c).alias("textured"),
+    )
+    tier = tiers.border_tier(F.col("conf"))
+    shapes = F.col("simple"), F.col("frame"), F.col("textured")
+    return flags.select("doc_id", tier.alias("tier"), "simple", tiers.border_flag_verdict(*shapes).alias("by_flags"), tiers.border_label(tier == "manual", shapes[0], shapes[2], shapes[1]).alias("label"))
+
+
+_MSG = "CASE doc_id % 7 WHEN 0 THEN 'CUDA out of memory' WHEN 1 THEN 'CUDA error' WHEN 2 THEN 'DLL load failed' WHEN 3 THEN 'File not found' WHEN 4 THEN 'Timeout' WHEN 5 THEN NULL ELSE 'odd' END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_MSG} AS m FROM documents) SELECT doc_id, CASE WHEN m IS NULL THEN NULL WHEN lower(m) LIKE '%memory%' THEN 'memory' WHEN lower(m) LIKE '%cuda%' THEN 'device'
+ WHEN lower(m) LIKE '%dll%' THEN 'library' WHEN lower(m) LIKE '%not found%' THEN 'missing' WHEN lower(m) LIKE '%timeout%' THEN 'timeout' WHEN lower(m) LIKE '%corrupt%' THEN 'decode' ELSE 'other' END AS kind FROM p""")
+def error_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_MSG} AS m").select("doc_id", tiers.error_kind(F.col("m")).alias("kind"))
+
+
+# --- text in images ----------------------------------------------------------------------------------------------
+
+_NOISE = r"""(length(lower(trim(text))) <= 3 AND len(list_distinct(string_split(lower(trim(text)), ''))) = 1 AND length(trim(text)) > 0
+ OR length(trim(text)) >= 4 AND len(list_distinct(string_split(lower(trim(text)), ''))) / length(trim(text)) < 0.3 OR regexp_matches(lower(trim(text)), '^[^\p{L}\p{N}_\s]{2,}$'))"""
+_KEEP = rf"(confidence >= 0.6 AND length(text) BETWEEN 1 AND 500 AND w * h >= 50 AND regexp_matches(text, '\S') AND NOT {_NOISE})"
+_METRICS = f"""{views.OCR_SQL}, metrics AS (SELECT image, count(*) AS n_texts, avg(confidence) AS average_confidence, count(*) FILTER (confidence >= 0.8) AS n_high,
+ count(*) FILTER (confidence >= 0.5 AND confidence < 0.8) AS n_medium, count(*) FILTER (confidence < 0.5) AS n_low, sum(length(text)) AS text_length,
+ coalesce(sum(length(text) * confidence * confidence) / nullif(sum(length(text) * confidence), 0) * 100, 0) AS overall_confidence FROM ocr GROUP BY image),
+ tiered AS (SELECT image, n_texts, overall_confidence, CASE WHEN overall_confidence > 80 OR n_texts > 5 THEN 'fail' WHEN overall_confidence > 60 OR n_texts > 2 THEN 'manual' ELSE 'pass' END AS status,
+ NOT (overall_confidence > 60 OR n_texts > 2) AS unified_pass FROM metrics)"""
+
+
+@query(f"WITH {views.OCR_SQL} SELECT image, nth, text, {_NOISE} AS noise, {_KEEP} AS kept FROM ocr")
+def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.ocr(spark, sf_dir)
+    return f.select("image", "nth", "text", ocr.is_noise(F.col("text")).alias("noise"), ocr.keep_text(F.col("text"), F.col("confidence"), F.col("w"), F.col("h")).alias("kept"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.ocr(spark, sf_dir)
+
+
+@query(f"WITH {_METRICS} SELECT image, n_texts, round(average_confidence, 6) AS average_confidence, n_high, n_medium, n_low, text_length, round(overall_confidence, 6) AS overall_confidence FROM metrics")
+def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = ocr.confidence_metrics(_texts(spark, sf_dir))
+    return m.withColumns({c: F.round(c, 6) for c in ("average_confidence", "overall_confidence")})
+
+
+@query(f"WITH {_METRICS} SELECT image, n_texts, status, unified_pass FROM tiered")
+def text_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.text_tiers(_texts(spark, sf_dir)).drop("overall_confidence")
+
+
+@query(f"""WITH {_METRICS} SELECT count(*) AS n_images, count(*) FILTER (status = 'fail') AS n_fail, count(*) FILTER (status = 'manual') AS n_manual, count(*) FILTER (status = 'pass') AS n_pass,
+ round(avg(overall_confidence), 6) AS mean, round(median(overall_confidence), 6) AS median, round(min(overall_confidence), 6) AS least, round(max(overall_confidence), 6) AS most,
+ round(stddev_pop(overall_confidence), 6) AS deviation, sum(n_texts) AS n_texts FROM tiered""")
+def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ocr.batch_stats(ocr.text_tiers(_texts(spark, sf_dir)))
+    return s.withColumns({c: F.round(c, 6) for c in ("mean", "median", "least", "most", "deviation")})
+
+
+# --- verdicts ----------------------------------------------------------------------------------------------------
+
+_V = views.VERDICTS_SQL
+
+
+def _run_all_sql(manual: str) -> str:
+    return f"""WITH {_V}, g AS (SELECT doc_id, filename, count(*) FILTER (status = 'fail') AS n_fail, count(*) FILTER ({manual}) AS n_manual,
+ coalesce(string_agg(test, ';' ORDER BY test_ord) FILTER (status = 'fail'), '') AS failed, coalesce(string_agg(test, ';' ORDER BY test_ord) FILTER ({manual}), '') AS reviewed FROM verdicts GROUP BY doc_id, filename)
+ SELECT doc_id, filename, n_fail, n_manual, CASE WHEN n_fail > 0 THEN 'invalid' WHEN n_manual > 0 THEN 'manual_review' ELSE 'valid' END AS category, CASE WHEN n_fail > 0 THEN failed ELSE reviewed END AS tests FROM g"""
+
+
+@query(_run_all_sql("status = 'manual'"))
+def run_all_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.run_all(views.verdicts(spark, sf_dir), KEY)
+
+
+@query(_run_all_sql("status = 'manual' AND test <> 'quality'"))
+def run_all_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.run_all(views.verdicts(spark, sf_dir), KEY, advisory="quality")
+
+
+_STOPPED = f"""WITH {_V}, f AS (SELECT doc_id, min(test_ord) AS ord FROM verdicts WHERE status <> 'pass' GROUP BY doc_id),
+ s AS (SELECT v.doc_id, v.filename, f.ord, v.test, v.test_ord, v.status FROM verdicts v LEFT JOIN f USING (doc_id))"""
+
+
+@query(f"""{_STOPPED} SELECT doc_id, filename, count(*) FILTER (ord IS NULL OR test_ord <= ord) AS n_run, max(test) FILTER (test_ord = ord) AS stopped_by,
+ CASE WHEN max(ord) IS NULL THEN 'valid' WHEN max(status) FILTER (test_ord = ord) = 'manual' THEN 'manual_review' ELSE 'invalid' END AS category FROM s GROUP BY doc_id, filename""")
+def sequential_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.stop_at_first(views.verdicts(spark, sf_dir), KEY)
+
+
+@query(f"{_STOPPED} SELECT doc_id, test, status FROM s WHERE ord IS NULL OR test_ord <= ord")
+def sequential_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.evaluated(views.verdicts(spark, sf_dir), ["doc_id"]).select("doc_id", "test", "status")
+
+
+@query(f"{_STOPPED} SELECT doc_id, max(ord) IS NULL AS is_valid, coalesce(max(test) FILTER (test_ord = ord), 'valid') AS category FROM s GROUP BY doc_id")
+def drop_in_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.drop_in(views.verdicts(spark, sf_dir), ["doc_id"])
+
+
+_MEMBERS = f"""WITH {_V}, f AS (SELECT doc_id, min(test_ord) AS ord FROM verdicts WHERE status = 'fail' GROUP BY doc_id),
+ filed AS (SELECT v.doc_id, v.filename, CASE WHEN status = 'fail' THEN 'invalid' ELSE 'manual_review' END AS category, test FROM verdicts v LEFT JOIN f USING (doc_id)
+ WHERE status = 'fail' OR status = 'manual' AND (f.ord IS NULL OR test_ord < f.ord)),
+ members AS (SELECT * FROM filed UNION ALL SELECT doc_id, filename, 'valid', NULL FROM assets a WHERE NOT EXISTS (SELECT 1 FROM filed WHERE filed.doc_id = a.doc_id))"""
+
+
+@query(f"{_MEMBERS} SELECT doc_id, filename, category, test FROM members")
+def routine_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.memberships(views.verdicts(spark, sf_dir), KEY)
+
+
+@query(f"{_MEMBERS} SELECT doc_id, CASE WHEN bool_or(category = 'invalid') THEN 'invalid' WHEN bool_or(category = 'manual_review') THEN 'manual_review' ELSE 'valid' END AS category, count(*) AS n_memberships FROM members GROUP BY doc_id")
+def final_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.final_categories(routine_scan(spark, sf_dir), ["doc_id"])
+
+
+@query(f"""{_MEMBERS}, c AS (SELECT 'invalid' AS category, unnest(['specifications', 'border', 'watermark', 'quality']) AS test UNION ALL SELECT 'manual_review', unnest(['specifications', 'border', 'watermark', 'quality']) UNION ALL SELECT 'valid', '')
+ SELECT c.category, c.test, count(m.doc_id) AS n FROM c LEFT JOIN members m ON m.category = c.category AND coalesce(m.test, '') = c.test GROUP BY c.category, c.test""")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(c, t) for c in ("invalid", "manual_review") for t in views.STEPS] + [("valid", "")]
+    return verdicts.category_counts(routine_scan(spark, sf_dir), spark.createDataFrame(rows, "category string, test string"))
+
+
+@query(f"WITH {_V} SELECT doc_id, filename FROM assets a WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.filename = a.filename AND v.status <> 'pass')")
+def valid_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.verdicts(spark, sf_dir)
+    return verdicts.unflagged(views.assets(spark, sf_dir).select("doc_id", "filename"), v.where("status <> 'pass'"))
+
+
+@query(f"""{_run_all_sql("status = 'manual'").replace(" SELECT doc_id, filename, n_fail", ", r AS (SELECT doc_id, filename, n_fail")}) SELECT count(*) AS total, count(*) FILTER (category = 'valid') AS n_valid, count(*) FILTER (category = 'manual_review') AS n_manual,
+ count(*) FILTER (category = 'invalid') AS n_invalid, count(*) FILTER (category = 'valid') * 100.0::DOUBLE / count(*) AS success_rate FROM r""")
+def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.verdict_counts(run_all_verdict(spark, sf_dir))
+
+
+@query(f"""WITH {_V}, r AS (SELECT doc_id, 'Failed checks: ' || string_agg(test || ': ' || status || ' at ' || CAST(test_ord AS VARCHAR), '; ' ORDER BY test_ord) AS reason FROM verdicts WHERE status <> 'pass' GROUP BY doc_id),
+ s AS (SELECT doc_id, string_split(substring(reason, 16), '; ') AS parts FROM r), x AS (SELECT doc_id, unnest(parts) AS one, unnest(range(len(parts))) AS nth FROM s)
+ SELECT doc_id, nth, split_part(one, ': ', 1) AS check, split_part(one, ': ', 2) AS detail FROM x""".replace(" AS check", ' AS "check"'))
+def reason_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.struct("test_ord", F.concat("test", F.lit(": "), "status", F.lit(" at "), F.col("test_ord").cast("string")).alias("part"))
+    flagged = views.verdicts(spark, sf_dir).where("status <> 'pass'").groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    rows = flagged.select("doc_id", F.concat(F.lit("Failed checks: "), F.array_join(F.col("p")["part"], "; ")).alias("reason"))
+    return reports.parsed_reasons(rows).drop("reason")
+
+
+@query(f"WITH {_V} SELECT test, count(*) FILTER (status = 'fail') AS fail, count(*) FILTER (status = 'manual') AS manual, count(*) FILTER (status = 'pass') AS pass FROM verdicts GROUP BY test")
+def confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.confusion(views.verdicts(spark, sf_dir), "test", "status", ["fail", "manual", "pass"])
+
+
+# --- scores ------------------------------------------------------------------------------------------------------
+
+
+def _knots_sql(x: str, a: float, b: float, c: float, tail: float) -> str:
+    return f"CASE WHEN {x} <= {a} THEN 0.0::DOUBLE WHEN {x} <= {b} THEN ({x} - {a}) / ({b} - {a}) * 50 WHEN {x} <= {c} THEN 50 + ({x} - {b}) / ({c} - {b}) * 35 ELSE least(95.0::DOUBLE, 85 + ({x} - {c}) / {tail} * 10) END"
+
+
+_NORM = f"""{views.SCORES_SQL}, norm AS (SELECT *, {_knots_sql("brisque", 31.4, 58.2, 80.5, 20)} AS b, {_knots_sql("niqe", 4.2, 7.8, 12.5, 8)} AS q,
+ CASE WHEN clipiqa > 1 OR clipiqa < 0.1 OR clipiqa > 0.9 THEN NULL WHEN clipiqa >= 0.75 THEN 0.0::DOUBLE WHEN clipiqa >= 0.55 THEN (0.75 - clipiqa) / 0.20 * 40 ELSE 40 + (0.55 - clipiqa) / 0.45 * 50 END AS c FROM scores),
+ avg_ AS (SELECT *, CASE WHEN c IS NULL THEN 2 ELSE 3 END AS n, (b + q + coalesce(c, 0)) / CASE WHEN c IS NULL THEN 2 ELSE 3 END AS quality FROM norm),
+ feat AS (SELECT *, least(100.0::DOUBLE, (
+   CASE WHEN clipping > 5 THEN least(90.0::DOUBLE, 60 + (clipping - 5) / 10 * 30) WHEN clipping > 1 THEN 30 + (clipping - 1) / 4 * 30 WHEN clipping > 0.1 THEN clipping * 30 ELSE 0 END
+   + CASE WHEN entropy < 6.5 THEN (6.5 - entropy) / 6.5 * 70 WHEN entropy > 7.7 THEN (entropy - 7.7) / 0.5 * 40 ELSE 0 END
+   + CASE WHEN ks > 0.15 THEN least(60.0::DOUBLE, (ks - 0.15) / 0.35 * 60) ELSE 0 END) / 3) AS hist,
+  least(100.0::DOUBLE, (
+   CASE WHEN laplacian > 10000 THEN least(85.0::DOUBLE, 60 + (laplacian - 10000) / 20000 * 25) WHEN laplacian > 2000 THEN (laplacian - 2000) / 8000 * 60 WHEN laplacian < 100 THEN (100 - laplacian) / 100 * 50 ELSE 0 END
+   + CASE WHEN density > 0.15 THEN least(70.0::DOUBLE, (density - 0.15) / 0.25 * 70) WHEN density < 0.05 THEN (0.05 - density) / 0.05 * 40 ELSE 0 END
+   + CASE WHEN high > 5000 THEN least(75.0::DOUBLE, (high - 5000) / 15000 * 75) WHEN high < 500 THEN (500 - high) / 500 * 30 ELSE 0 END) / 3) AS edge,
+  least(100.0::DOUBLE, (CASE WHEN ratio > 0.15 OR ratio < 0.03 THEN least(60.0::DOUBLE, abs(ratio - 0.09) / 0.1 * 60) ELSE 0 END
+   + CASE WHEN variance > 2 THEN least(40.0::DOUBLE, (variance - 2) / 8 * 40) WHEN variance < 0.5 THEN (0.5 - variance) / 0.5 * 25 ELSE 0 END) / 2) AS freq FROM avg_),
+ total AS (SELECT *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, CASE WHEN quality < 30 AND (hist + edge + freq) / 3 > 25 THEN least(100.0::DOUBLE, (quality * 0.3 + hist * 0.3 + edge * 0.3 + freq * 0.1) * 1.4)
+   WHEN abs(quality - (hist + edge + freq) / 3) > 30 THEN quality * 0.6 + hist * 0.15 + edge * 0.15 + freq * 0.1 ELSE quality * 0.7 + hist * 0.12 + edge * 0.12 + freq * 0.06 END)) AS overall FROM feat)"""
+
+
+@query(f"WITH {_NORM} SELECT p_partkey, round(b, 6) AS brisque_norm, round(q, 6) AS niqe_norm, round(c, 6) AS clipiqa_norm, n AS n_models, round(quality, 6) AS quality FROM avg_")
+def model_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normed(spark, sf_dir).select("p_partkey", F.round("b", 6).alias("brisque_norm"), F.round("q", 6).alias("niqe_norm"), F.round("c", 6).alias("clipiqa_norm"), F.col("n").alias("n_models"), F.round("quality", 6).alias("quality"))
+
+
+def _normed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.scores(spark, sf_dir).withColumns({"b": sc.brisque_norm(F.col("brisque")), "q": sc.niqe_norm(F.col("niqe")), "c": sc.clipiqa_norm(F.col("clipiqa"))})
+    three = F.col("b"), F.col("q"), F.col("c")
+    return s.withColumns({"n": sc.model_count(*three), "quality": sc.model_average(*three)})
+
+
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _normed(spark, sf_dir).withColumns(
+        {
+            "hist": sc.histogram_score(F.col("clipping"), F.col("entropy"), F.col("ks")),
+            "edge": sc.edge_score(F.col("laplacian"), F.col("density"), F.col("high")),
+            "freq": sc.frequency_score(F.col("ratio"), F.col("variance")),
+        }
+    )
+    return f.withColumn("overall", sc.overall_score(F.col("n"), F.col("quality"), F.col("hist"), F.col("edge"), F.col("freq")))
+
+
+@query(f"WITH {_NORM} SELECT p_partkey, round(hist, 6) AS hist, round(edge, 6) AS edge, round(freq, 6) AS freq, round(overall, 6) AS overall FROM total")
+def overall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _totals(spark, sf_dir).select("p_partkey", *[F.round(c, 6).alias(c) for c in ("hist", "edge", "freq", "overall")])
+
+
+@query(f"""WITH {_NORM}, pts AS (SELECT p_partkey, 3 + CASE WHEN sqrt((pow(hist - (hist + edge + freq) / 3, 2) + pow(edge - (hist + edge + freq) / 3, 2) + pow(freq - (hist + edge + freq) / 3, 2)) / 3) < 10 THEN 2
+ WHEN sqrt((pow(hist - (hist + edge + freq) / 3, 2) + pow(edge - (hist + edge + freq) / 3, 2) + pow(freq - (hist + edge + freq) / 3, 2)) / 3) < 20 THEN 1 ELSE 0 END + CASE WHEN overall > 70 OR overall < 30 THEN 1 ELSE 0 END AS p FROM total)
+ SELECT p_partkey, ['very low', 'low', 'moderate', 'good', 'high', 'very high'][least(p, 5) + 1] AS confidence FROM pts""")
+def confidence_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _totals(spark, sf_dir)
+    return t.select("p_partkey", sc.confidence_label(F.col("n"), F.col("hist"), F.col("edge"), F.col("freq"), F.col("overall")).alias("confidence"))
+
+
+@query(f"""WITH {views.DETECTIONS_SQL}, b AS (SELECT *, greatest(s_obvious, s_simple * 0.8, s_frame * 0.7, s_texture * 0.6) AS base FROM detections),
+ a AS (SELECT doc_id, base * CASE WHEN noise > 25 THEN greatest(0.7::DOUBLE, 1 - (noise - 25) / 50) ELSE 1.0::DOUBLE END * CASE WHEN uniform AND base > 0.58 THEN 1.1::DOUBLE WHEN uniform THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END
+ * CASE WHEN artifacts THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN vignette > 0.5 AND base < 0.58 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS x FROM b)
+ SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN x < 0.2 THEN x * 0.8 WHEN x > 0.8 THEN 0.8 + (x - 0.8) * 0.5 ELSE x END)), 6) AS confidence FROM a""")
+def robust_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"s_{m}").alias("score")) for m in ("obvious", "simple", "frame", "texture")])
+    d = views.detections(spark, sf_dir)
+    return d.select("doc_id", F.round(sc.robust_confidence(methods, F.col("noise"), F.col("uniform"), F.col("artifacts"), F.col("vignette")), 6).alias("confidence"))
+
+
+# --- pictures ----------------------------------------------------------------------------------------------------
+
+_P = views.PIXELS_SQL
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
+
+
+@query(f"""WITH {_P}, h AS (SELECT image, gray, count(*) / 4096.0::DOUBLE AS p FROM pixels GROUP BY image, gray), ids AS (SELECT DISTINCT image FROM pixels),
+ f AS (SELECT i.image, b.range::INT AS bin, coalesce(h.p, 0) AS p FROM ids i CROSS JOIN range(256) b LEFT JOIN h ON h.image = i.image AND h.gray = b.range),
+ w AS (SELECT *, lag(p) OVER o AS before, lead(p) OVER o AS after, sum(p) OVER o AS cum, max(p) OVER (PARTITION BY image) AS top FROM f WINDOW o AS (PARTITION BY image ORDER BY bin))
+ SELECT image, round(sum(p) FILTER (bin = 0) * 100, 6) AS black_clipping, round(sum(p) FILTER (bin = 255) * 100, 6) AS white_clipping, round(sum(p) FILTER (bin IN (0, 255)) * 100, 6) AS total_clipping,
+ round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS entropy, round(1 / (1 + var_pop(p - before)), 6) AS smoothness, count(*) FILTER (p > before AND p > after AND p >= top * 0.1) AS n_peaks,
+ round(max(abs(cum - (bin + 1) / 256.0::DOUBLE)), 6) AS ks FROM w GROUP BY image""")
+def histogram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.histogram_features(views.pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {_P}, c AS (SELECT image, avg(gray) AS centre FROM pixels WHERE x BETWEEN 16 AND 47 AND y BETWEEN 16 AND 47 GROUP BY image),
+ sides AS (SELECT image, w.w, s.s, avg(gray) AS m, stddev_pop(gray) AS d FROM pixels, (SELECT unnest([3, 4, 5, 6]) AS w) w, (SELECT unnest(['top', 'bottom', 'left', 'right']) AS s) s
+  WHERE s.s = 'top' AND y < w.w OR s.s = 'bottom' AND y >= 64 - w.w OR s.s = 'left' AND x < w.w OR s.s = 'right' AND x >= 64 - w.w GROUP BY image, w.w, s.s),
+ good AS (SELECT image, w, list(s) AS ss, count(*) AS n, avg(abs(m - centre)) AS diff, avg(d) AS dev FROM sides JOIN c USING (image) WHERE abs(m - centre) > 25 AND d < 15 GROUP BY image, w HAVING count(*) >= 2),
+ sc AS (SELECT image, w, n, diff / 25 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - dev / 30)) * CASE WHEN n = 4 THEN 1.5::DOUBLE WHEN n = 3 THEN 1.2::DOUBLE WHEN list_has_all(ss, ['top', 'bottom']) OR list_has_all(ss, ['left', 'right']) THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS score FROM good),
+ best AS (SELECT image, max(score) AS score FROM sc GROUP BY image)
+ SELECT c.image, round(least(1.0::DOUBLE, coalesce(b.score, 0) / 3), 6) AS confidence, coalesce(b.score / 3 > 0.6, false) AS detected FROM c LEFT JOIN best b USING (image)""")
+def obvious_border(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.obvious_border(views.pixels(spark, sf_dir))).select("image", "confidence", "detected")
+
+
+@query(f"""WITH {_P}, c AS (SELECT image, x // 8 AS cx, y // 8 AS cy, stddev_pop(gray) AS d FROM pixels GROUP BY image, x // 8, y // 8),
+ s AS (SELECT image, count(*) FILTER (d < 8) / count(*)::DOUBLE * 0.6 + avg(1 - least(1.0::DOUBLE, d / 20)) FILTER (cx IN (0, 7) OR cy IN (0, 7)) * 0.4 AS score FROM c GROUP BY image)
+ SELECT image, round(score, 6) AS score, score > 0.7 AS uniform FROM s""")
+def uniform_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.uniform_background(views.pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {_P}, d AS (SELECT image, x, y, abs(gray - lag(gray) OVER (PARTITION BY image, y ORDER BY x)) AS h, abs(gray - lag(gray) OVER (PARTITION BY image, x ORDER BY y)) AS v FROM pixels),
+ m AS (SELECT image, avg(h) FILTER (x % 8 = 0 AND x > 0) AS horizontal, avg(v) FILTER (y % 8 = 0 AND y > 0) AS vertical FROM d GROUP BY image)
+ SELECT image, round(horizontal, 6) AS horizontal, round(vertical, 6) AS vertical, round(least(1.0::DOUBLE, (horizontal + vertical) / 10), 6) AS score, least(1.0::DOUBLE, (horizontal + vertical) / 10) > 0.3 AND (horizontal + vertical) / 2 > 2 AS blocky FROM m""")
+def block_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.block_artifacts(views.pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {_P}, r AS (SELECT image, avg(gray) FILTER (x BETWEEN 24 AND 39 AND y BETWEEN 24 AND 39) AS centre, avg(gray) FILTER (x < 8 AND y < 8) AS a, avg(gray) FILTER (x >= 56 AND y < 8) AS b,
+ avg(gray) FILTER (x < 8 AND y >= 56) AS c, avg(gray) FILTER (x >= 56 AND y >= 56) AS d FROM pixels GROUP BY image), m AS (SELECT *, (a + b + c + d) / 4 AS mean FROM r),
+ s AS (SELECT image, centre / greatest(mean, 1.0) AS ratio, 1 - least(1.0::DOUBLE, sqrt((pow(a - mean, 2) + pow(b - mean, 2) + pow(c - mean, 2) + pow(d - mean, 2)) / 4) / greatest(mean, 1.0)) AS even FROM m),
+ t AS (SELECT image, ratio, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ratio - 1) * even) AS score FROM s) SELECT image, round(ratio, 6) AS ratio, round(score, 6) AS score, score > 0.3 AND ratio > 1.2 AS vignetted FROM t""")
+def vignette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.vignette(views.pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {_P}, v AS (SELECT image, (var_pop(gray) FILTER (y < 3) + var_pop(gray) FILTER (y >= 61) + var_pop(gray) FILTER (x < 3) + var_pop(gray) FILTER (x >= 61)) / 4 AS variance FROM pixels GROUP BY image)
+ SELECT image, round(variance, 6) AS variance, variance < 200 AS bordered FROM v""")
+def edge_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.edge_strips(views.pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {_P}, s AS (SELECT image, stddev_pop(gray) FILTER (least(x, y, 63 - x, 63 - y) < 5) AS dev, stddev_pop(gray) AS all_dev, [avg(gray) FILTER (y < 5), avg(gray) FILTER (y >= 59), avg(gray) FILTER (x < 5), avg(gray) FILTER (x >= 59)] AS side,
+ [avg(gray) FILTER (x < 10 AND y < 10), avg(gray) FILTER (x >= 54 AND y < 10), avg(gray) FILTER (x < 10 AND y >= 54), avg(gray) FILTER (x >= 54 AND y >= 54)] AS corner FROM pixels GROUP BY image)
+ SELECT image, round(1 - least(1.0::DOUBLE, dev / greatest(5.0, all_dev) / 2), 6) AS uniformity, round(1 - least(1.0::DOUBLE, list_var_pop(side) / 400), 6) AS side_consistency, round(1 - least(1.0::DOUBLE, list_var_pop(corner) / 200), 6) AS corner_consistency FROM s""")
+def border_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.border_statistics(views.pixels(spark, sf_dir)))
+
+
+# --- reports -----------------------------------------------------------------------------------------------------
+
+_O = views.OPS_SQL
+
+
+@query(f"""WITH {_O} SELECT component, count(*) FILTER (is_error) AS n_errors, count(*) FILTER (NOT is_error) AS n_successes, CASE WHEN count(*) FILTER (is_error) > 10 THEN 'error' WHEN count(*) FILTER (is_error) > 0 THEN 'degraded' ELSE 'active' END AS state,
+ count(*) FILTER (is_error) <= 10 AS healthy, arg_max(is_error, (ts, event_id)) AS last_is_error FROM ops GROUP BY component""")
+def health_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.health_summary(views.ops(spark, sf_dir))
+
+
+@query(f"WITH {_O}, h AS (SELECT component, count(*) FILTER (is_error) AS e FROM ops GROUP BY component) SELECT count(*) FILTER (e <= 10) AS n_healthy, count(*) FILTER (e > 10) AS n_failed, sum(e) AS n_errors FROM h")
+def health_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.health_totals(health_summary(spark, sf_dir))
+
+
+@query(f"WITH {_O} SELECT event_type, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms, round(max(duration_ms), 6) AS peak_ms, round(count(*) * 1000.0::DOUBLE / sum(duration_ms), 6) AS per_second FROM ops GROUP BY event_type")
+def performance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reports.performance_summary(views.ops(spark, sf_dir)))
+
+
+@query(f"WITH {_O}, e AS (SELECT component, count(*) AS n FROM ops WHERE is_error GROUP BY component) SELECT coalesce(sum(n), 0) AS n_errors, count(*) AS n_components, arg_max(component, (n, -component)) AS most_common FROM e")
+def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.error_summary(views.ops(spark, sf_dir))
+
+
+@query(f"""WITH {_O}, r AS (SELECT component, event_id, row_number() OVER o AS nth, round(avg(duration_ms) OVER (PARTITION BY component ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS mean_so_far, count(*) OVER (PARTITION BY component) AS n FROM ops WINDOW o AS (PARTITION BY component ORDER BY ts, event_id))
+ SELECT * FROM r WHERE nth % 10 = 0 OR nth = n""")
+def progress_running_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reports.running_progress(views.ops(spark, sf_dir)))
+
+
+@query(f"""WITH {_O}, r AS (SELECT component, event_id, row_number() OVER (PARTITION BY component ORDER BY ts, event_id) AS from_start, row_number() OVER (PARTITION BY component ORDER BY ts DESC, event_id DESC) AS from_end FROM ops)
+ SELECT * FROM r WHERE from_start <= 5 OR from_end <= 5""")
+def sample_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sample_ends(views.ops(spark, sf_dir), "component", ["ts", "event_id"]).select("component", "event_id", "from_start", "from_end")
+
+
+@query(f"WITH {_O} SELECT component, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM ops GROUP BY component")
+def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.last_by_name(views.ops(spark, sf_dir).select("component", "event_id", "event_type"), "component", "event_id")
+
+
+@query(f"WITH {_O}, r AS (SELECT component, event_id, row_number() OVER (PARTITION BY component ORDER BY duration_ms DESC, event_id) AS rank FROM ops) SELECT * FROM r WHERE rank <= 5")
+def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.top_k(views.ops(spark, sf_dir), "component", "duration_ms", "event_id").select("component", "event_id", "rank")

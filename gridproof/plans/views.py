@@ -174,7 +174,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("image", "x", "y", value.alias("gray"))
 
 
-PIXELS_SQL = """gray AS (SELECT vec_id AS image, list_transform(embedding, e -> greatest(0.0::DOUBLE, least(1.0::DOUBLE, e::DOUBLE + 0.5))) AS u FROM embeddings),
+PIXELS_SQL = """gray AS (SELECT vec_id AS image, list_transform(embedding, lambda e: greatest(0.0::DOUBLE, least(1.0::DOUBLE, e::DOUBLE + 0.5))) AS u FROM embeddings),
 axis AS (SELECT range::INT AS i FROM range(64)),
 pixels AS (SELECT image, x.i AS x, y.i AS y, CASE
   WHEN image % 4 = 1 AND least(x.i, y.i, 63 - x.i, 63 - y.i) < 5 THEN 250
