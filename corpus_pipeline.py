@@ -13,10 +13,16 @@ from gridproof.llm.common import read_table, written
 LEAST_SHARE = 0.35
 
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (null counts as one) is in ``ids``; all columns."""
-    wanted = ids.select(F.col("doc_id").alias("wanted_id")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
+def keep(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (null counts as one) is in ``ids``; all columns. ``once``: equal rows once.
+
+    Join and deduplication stand on the same two key columns, so texts are shuffled once for both.
+    """
+    value, missing = F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()
+    wanted = ids.select(value.alias("_wanted"), missing.alias("_wanted_null")).distinct()
+    keyed = docs.withColumns({"_id": value, "_id_null": missing})
+    kept = keyed.join(wanted, (F.col("_id") == F.col("_wanted")) & (F.col("_id_null") == F.col("_wanted_null")), "left_semi")
+    return (kept.dropDuplicates(["_id", "_id_null", "text"]) if once else kept).drop("_id", "_id_null")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +39,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays; of equal rows, one."""
     groups = simhash.simhash_groups(docs, words=4, radius=4)
-    return keep(docs, groups.where("doc_id <=> component_id")).dropDuplicates(["doc_id", "text"])
+    return keep(docs, groups.where("doc_id <=> component_id"), once=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
