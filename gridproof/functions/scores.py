@@ -95,7 +95,7 @@ def overall_score(n: Column, quality: Column, hist: Column, edge: Column, freq:
 
 
 #: By points, from none to five. Fixed values.
-CONFIDENCE = ["very low", "low", "moderate", "good", "high", "very high"]
+CONFIDENCE = ["Very Low", "Low", "Medium", "High", "Very High", "Extremely High"]
 
 
 def confidence_label(n: Column, hist: Column, edge: Column, freq: Column, overall: Column) -> Column:

@@ -73,11 +73,11 @@ def editing_table_tier(score: Column) -> Column:
 
 def editing_display(score: Column) -> Column:
     score = finite(score)
-    return F.when(score > 30, "heavy").when(score >= 25, "review").when(score >= 18, "possible light").otherwise("minimal")
+    return F.when(score > 30, "Invalid - heavily edited").when(score >= 25, "Manual review needed").when(score >= 18, "Possible light editing").otherwise("Minimal/natural editing")
 
 
 def editing_category(score: Column) -> Column:
-    return F.when(score >= 75, "heavy").when(score >= 60, "moderate").when(score >= 40, "light").otherwise("natural")
+    return F.when(score >= 75, "Heavy Editing Detected").when(score >= 60, "Moderate Editing Detected").when(score >= 40, "Light Editing Detected").otherwise("Natural/Minimal Editing")
 
 
 def border_tier(confidence: Column) -> Column:
@@ -95,7 +95,7 @@ def border_settled_flag(flag: Column, confidence: Column) -> Column:
 
 
 def border_label(manual: Column, simple: Column, textured: Column, frame: Column) -> Column:
-    return F.when(manual, "Manual Review").when(simple, "Simple Border").when(textured, "Textured Border").when(frame, "Frame").otherwise("No Border")
+    return F.when(manual, "Manual Review").when(simple, "Simple Border").when(textured, "Textured Frame").when(frame, "Frame Structure").otherwise("No Border")
 
 
 def adapted_threshold(width: Column, height: Column, base: float = 25.0) -> Column:
@@ -105,12 +105,20 @@ def adapted_threshold(width: Column, height: Column, base: float = 25.0) -> Colu
 
 
 #: First match wins. Fixed values.
-ERROR_KINDS = [("memory", "memory"), ("cuda", "device"), ("dll", "library"), ("not found", "missing"), ("timeout", "timeout"), ("corrupt", "decode")]
+ERROR_KINDS = [
+    ("unknown exception", "paddle_unknown_exception"),
+    ("orientation", "paddle_orientation_issue"),
+    ("textline", "paddle_orientation_issue"),
+    ("memory", "paddle_resource_issue"),
+    ("cuda", "paddle_resource_issue"),
+    ("gpu", "paddle_resource_issue"),
+    ("could not load", "image_load_error"),
+]
 
 
 def error_kind(message: Column) -> Column:
     """A category for an error message by the first known word in it."""
-    low, out = F.lower(message), F.lit("other")
+    low, out = F.lower(message), F.lit("general_error")
     for word, kind in reversed(ERROR_KINDS):
         out = F.when(low.contains(word), kind).otherwise(out)
     return F.when(message.isNull(), None).otherwise(out)
@@ -119,3 +127,33 @@ def error_kind(message: Column) -> Column:
 def cut_name(name: Column, most: int, kept: int, dots: str = "...") -> Column:
     """A name for display: of more than ``most`` characters, the first ``kept`` and dots."""
     return F.when(F.length(name) > most, F.concat(F.substring(name, 1, kept), F.lit(dots))).otherwise(name)
+
+
+def border_reason(found: Column, primary: Column, vignette: Column, artifacts: Column, uniform: Column) -> Column:
+    """Why a border was or wasn't found, by the method with most evidence (null: several)."""
+    without = F.when(vignette > 0.5, "vignette without border").when(artifacts, "compression artifacts without border").when(uniform, "uniform background without border").otherwise("no border or frame")
+    within = F.when(primary == "obvious", "obvious border").when((primary == "simple") & uniform, "simple uniform border").when(primary == "simple", "simple border by color or texture").when(primary == "frame", "frame by contours").when(primary == "texture", "textured border").otherwise("border by several methods")
+    return F.when(found, within).otherwise(without)
+
+
+def _level(x: Column, above: list[tuple[float, str]], below: tuple[float, str] | None = None) -> Column:
+    out = F.when(x < below[0], below[1]) if below else F.lit(None).cast("string")
+    for cut, name in reversed(above):
+        out = F.when(x > cut, name).otherwise(out)
+    return out
+
+
+def interpretation(brisque: Column, niqe: Column, clipiqa: Column, clipping: Column, entropy: Column, laplacian: Column, density: Column, high_freq: Column) -> Column:
+    """The findings that apply, in order; an empty array where nothing stands out. Unknown scores find nothing."""
+    return F.array_compact(
+        F.array(
+            _level(finite(brisque), [(65, "brisque: significant degradation"), (45, "brisque: moderate issues")], (25, "brisque: excellent")),
+            _level(finite(niqe), [(10, "niqe: poor naturalness"), (6, "niqe: reduced naturalness")], (4, "niqe: excellent")),
+            _level(finite(clipiqa), [(0.7, "clipiqa: high quality")], (0.4, "clipiqa: poor quality")),
+            _level(clipping, [(2, "clipping: tone mapping or exposure")]),
+            _level(entropy, [(7.9, "entropy: artificial enhancement")], (6.0, "entropy: tone manipulation")),
+            _level(laplacian, [(3000, "laplacian: artificial sharpening")], (50, "laplacian: over-smoothing")),
+            _level(density, [(0.2, "edges: over-enhancement")], (0.03, "edges: blur or smoothing")),
+            _level(high_freq, [(0.25, "frequencies: artificial enhancement")], (0.02, "frequencies: over-smoothing")),
+        )
+    )

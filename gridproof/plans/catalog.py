@@ -93,8 +93,8 @@ _ED = "CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST(doc_id * 37 % 201 AS DOUBLE
  CASE WHEN s IS NULL THEN 'error' WHEN s > 30 THEN 'fail' WHEN s >= 25 THEN 'manual' ELSE 'pass' END AS standalone,
  CASE WHEN s IS NULL THEN 'pass' WHEN s >= 25 THEN 'fail' WHEN s >= 20 THEN 'manual' ELSE 'pass' END AS pipeline,
  CASE WHEN s IS NULL THEN 'error' WHEN s >= 30 THEN 'fail' WHEN s >= 25 THEN 'manual' ELSE 'pass' END AS in_table,
- CASE WHEN s > 30 THEN 'heavy' WHEN s >= 25 THEN 'review' WHEN s >= 18 THEN 'possible light' ELSE 'minimal' END AS display,
- CASE WHEN s >= 75 THEN 'heavy' WHEN s >= 60 THEN 'moderate' WHEN s >= 40 THEN 'light' ELSE 'natural' END AS category FROM p""")
+ CASE WHEN s > 30 THEN 'Invalid - heavily edited' WHEN s >= 25 THEN 'Manual review needed' WHEN s >= 18 THEN 'Possible light editing' ELSE 'Minimal/natural editing' END AS display,
+ CASE WHEN s >= 75 THEN 'Heavy Editing Detected' WHEN s >= 60 THEN 'Moderate Editing Detected' WHEN s >= 40 THEN 'Light Editing Detected' ELSE 'Natural/Minimal Editing' END AS category FROM p""")
 def editing_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
     p = read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_ED} AS s")
@@ -104,7 +104,7 @@ def editing_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {views.DETECTIONS_SQL}, p AS (SELECT doc_id, s_simple AS conf, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE s_simple > 0.1 END AS simple, s_frame > 0.9 AS frame, s_texture > 0.95 AS textured FROM detections),
  f AS (SELECT doc_id, conf, conf > 0.15 AND coalesce(simple, true) AS simple, conf > 0.15 AND frame AS frame, conf > 0.15 AND textured AS textured FROM p)
  SELECT doc_id, CASE WHEN conf >= 0.58 THEN 'fail' WHEN conf >= 0.35 THEN 'manual' ELSE 'pass' END AS tier, simple, CASE WHEN simple OR frame OR textured THEN 'fail' ELSE 'pass' END AS by_flags,
- CASE WHEN conf >= 0.35 AND conf < 0.58 THEN 'Manual Review' WHEN simple THEN 'Simple Border' WHEN textured THEN 'Textured Border' WHEN frame THEN 'Frame' ELSE 'No Border' END AS label FROM f""")
+ CASE WHEN conf >= 0.35 AND conf < 0.58 THEN 'Manual Review' WHEN simple THEN 'Simple Border' WHEN textured THEN 'Textured Frame' WHEN frame THEN 'Frame Structure' ELSE 'No Border' END AS label FROM f""")
 def border_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.detections(spark, sf_dir)
     c = F.col("s_simple")
@@ -120,11 +120,11 @@ def border_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.select("doc_id", tier.alias("tier"), "simple", tiers.border_flag_verdict(*shapes).alias("by_flags"), tiers.border_label(tier == "manual", shapes[0], shapes[2], shapes[1]).alias("label"))
 
 
-_MSG = "CASE doc_id % 7 WHEN 0 THEN 'CUDA out of memory' WHEN 1 THEN 'CUDA error' WHEN 2 THEN 'DLL load failed' WHEN 3 THEN 'File not found' WHEN 4 THEN 'Timeout' WHEN 5 THEN NULL ELSE 'odd' END"
+_MSG = "CASE doc_id % 7 WHEN 0 THEN 'Unknown exception on CUDA' WHEN 1 THEN 'GPU error' WHEN 2 THEN 'Textline failed' WHEN 3 THEN 'Could not load file' WHEN 4 THEN 'Out of memory' WHEN 5 THEN NULL ELSE 'odd' END"
 
 
-@query(f"""WITH p AS (SELECT doc_id, {_MSG} AS m FROM documents) SELECT doc_id, CASE WHEN m IS NULL THEN NULL WHEN lower(m) LIKE '%memory%' THEN 'memory' WHEN lower(m) LIKE '%cuda%' THEN 'device'
- WHEN lower(m) LIKE '%dll%' THEN 'library' WHEN lower(m) LIKE '%not found%' THEN 'missing' WHEN lower(m) LIKE '%timeout%' THEN 'timeout' WHEN lower(m) LIKE '%corrupt%' THEN 'decode' ELSE 'other' END AS kind FROM p""")
+@query(f"""WITH p AS (SELECT doc_id, {_MSG} AS m FROM documents) SELECT doc_id, CASE WHEN m IS NULL THEN NULL WHEN lower(m) LIKE '%unknown exception%' THEN 'paddle_unknown_exception' WHEN lower(m) LIKE '%orientation%' OR lower(m) LIKE '%textline%' THEN 'paddle_orientation_issue'
+ WHEN lower(m) LIKE '%memory%' OR lower(m) LIKE '%cuda%' OR lower(m) LIKE '%gpu%' THEN 'paddle_resource_issue' WHEN lower(m) LIKE '%could not load%' THEN 'image_load_error' ELSE 'general_error' END AS kind FROM p""")
 def error_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_MSG} AS m").select("doc_id", tiers.error_kind(F.col("m")).alias("kind"))
 
@@ -314,7 +314,7 @@ def overall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_NORM}, pts AS (SELECT p_partkey, 3 + CASE WHEN sqrt((pow(hist - (hist + edge + freq) / 3, 2) + pow(edge - (hist + edge + freq) / 3, 2) + pow(freq - (hist + edge + freq) / 3, 2)) / 3) < 10 THEN 2
  WHEN sqrt((pow(hist - (hist + edge + freq) / 3, 2) + pow(edge - (hist + edge + freq) / 3, 2) + pow(freq - (hist + edge + freq) / 3, 2)) / 3) < 20 THEN 1 ELSE 0 END + CASE WHEN overall > 70 OR overall < 30 THEN 1 ELSE 0 END AS p FROM total)
- SELECT p_partkey, ['very low', 'low', 'moderate', 'good', 'high', 'very high'][least(p, 5) + 1] AS confidence FROM pts""")
+ SELECT p_partkey, ['Very Low', 'Low', 'Medium', 'High', 'Very High', 'Extremely High'][least(p, 5) + 1] AS confidence FROM pts""")
 def confidence_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _totals(spark, sf_dir)
     return t.select("p_partkey", sc.confidence_label(F.col("n"), F.col("hist"), F.col("edge"), F.col("freq"), F.col("overall")).alias("confidence"))
@@ -330,6 +330,27 @@ def robust_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(sc.robust_confidence(methods, F.col("noise"), F.col("uniform"), F.col("artifacts"), F.col("vignette")), 6).alias("confidence"))
 
 
+@query(f"""WITH {views.SCORES_SQL} SELECT p_partkey, array_to_string(list_filter([CASE WHEN brisque > 65 THEN 'brisque: significant degradation' WHEN brisque > 45 THEN 'brisque: moderate issues' WHEN brisque < 25 THEN 'brisque: excellent' END,
+ CASE WHEN niqe > 10 THEN 'niqe: poor naturalness' WHEN niqe > 6 THEN 'niqe: reduced naturalness' WHEN niqe < 4 THEN 'niqe: excellent' END, CASE WHEN clipiqa > 0.7 THEN 'clipiqa: high quality' WHEN clipiqa < 0.4 THEN 'clipiqa: poor quality' END,
+ CASE WHEN clipping > 2 THEN 'clipping: tone mapping or exposure' END, CASE WHEN entropy > 7.9 THEN 'entropy: artificial enhancement' WHEN entropy < 6.0 THEN 'entropy: tone manipulation' END,
+ CASE WHEN laplacian > 3000 THEN 'laplacian: artificial sharpening' WHEN laplacian < 50 THEN 'laplacian: over-smoothing' END, CASE WHEN density > 0.2 THEN 'edges: over-enhancement' WHEN density < 0.03 THEN 'edges: blur or smoothing' END,
+ CASE WHEN ratio > 0.25 THEN 'frequencies: artificial enhancement' WHEN ratio < 0.02 THEN 'frequencies: over-smoothing' END], lambda x: x IS NOT NULL), '; ') AS findings FROM scores""")
+def interpretation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.scores(spark, sf_dir)
+    found = tiers.interpretation(*[F.col(c) for c in ("brisque", "niqe", "clipiqa", "clipping", "entropy", "laplacian", "density", "ratio")])
+    return s.select("p_partkey", F.array_join(found, "; ").alias("findings"))
+
+
+@query(f"""WITH {views.DETECTIONS_SQL}, p AS (SELECT *, CASE WHEN s_obvious >= greatest(s_simple, s_frame, s_texture) THEN 'obvious' WHEN s_simple >= greatest(s_frame, s_texture) THEN 'simple' WHEN s_frame >= s_texture THEN 'frame' ELSE 'texture' END AS m FROM detections)
+ SELECT doc_id, CASE WHEN greatest(s_simple, s_frame, s_texture) > 0.5 THEN CASE WHEN m = 'obvious' THEN 'obvious border' WHEN m = 'simple' AND uniform THEN 'simple uniform border' WHEN m = 'simple' THEN 'simple border by color or texture'
+ WHEN m = 'frame' THEN 'frame by contours' ELSE 'textured border' END WHEN vignette > 0.5 THEN 'vignette without border' WHEN artifacts THEN 'compression artifacts without border' WHEN uniform THEN 'uniform background without border' ELSE 'no border or frame' END AS reason FROM p""")
+def border_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.detections(spark, sf_dir)
+    methods = F.array(*[F.struct(F.col(f"s_{m}").alias("s"), F.lit(-i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(("obvious", "simple", "frame", "texture"))])
+    found = F.greatest("s_simple", "s_frame", "s_texture") > 0.5
+    return d.select("doc_id", tiers.border_reason(found, F.array_max(methods)["m"], F.col("vignette"), F.col("artifacts"), F.col("uniform")).alias("reason"))
+
+
 # --- pictures ----------------------------------------------------------------------------------------------------
 
 _P = views.PIXELS_SQL
