@@ -62,4 +62,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality_rules, op2_simhash, op3_language_mixture, op4_token_codes, op5_lattice, op6_licenses, op7_rule_ensemble, op8_sentence_pieces, op9_packing, op10_chat_windows)
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Length of a text once it is escaped.
+_ESCAPED = r"(2 * length({0}) - length(regexp_replace({0}, '[\\\\#<:]', '', 'g')))"
+ORACLE_SQL: dict[str, str] = {
+    "op5_lattice": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ sound AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+ reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a),
+ n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+ SELECT vec_id, coalesce(max(n.n), 0) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM reach LEFT JOIN n ON n.a = vec_id GROUP BY vec_id""",
+    "op10_chat_windows": f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{ODD_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{ODD_TEXT}'),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth, (length(text) + 3) // 4 + 4 AS cost FROM said),
+ cut AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 256 AS bucket FROM placed),
+ begun AS (SELECT *, CASE WHEN bucket <> coalesce(lag(bucket) OVER (PARTITION BY conv_id ORDER BY nth), -1) THEN 1 ELSE 0 END AS starts FROM cut),
+ shown AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id) - 1 AS last, coalesce(lead(starts, 1) OVER (PARTITION BY conv_id ORDER BY nth), 0) + coalesce(lead(starts, 2) OVER (PARTITION BY conv_id ORDER BY nth), 0) AS later,
+  14 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")} AS size FROM begun)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size * (1 + CASE WHEN nth = 1 AND role = 'system' AND last > 0 THEN last ELSE later END)) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id""",
+}

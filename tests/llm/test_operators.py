@@ -255,12 +255,68 @@ def test_chat_digests_against_plain_concatenation(spark):
     assert len(windows) > 1 and all(w.formatted.startswith("### system") for w in windows)
 
 
-def test_pipeline_stages_on_odd_rows(spark, odd):
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     import corpus_pipeline
 
-    table = odd
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, table, "")
-        assert kept.columns == table.columns and kept.count() <= table.count()
-        table = odd
-    assert simhash.simhash_groups(odd).where("doc_id = 7").first().component_id == 6
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, "")
+        assert kept.columns == odd.columns and kept.count() <= len(ODD)
+        assert stage(spark, empty, "").count() == 0
+    left = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, odd, "").collect()]
+    assert left.count(6) == 1 and 7 not in left
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    said = {r.doc_id: r for r in language_id.language_id(table).collect()}
+    left = {r.doc_id: r for r in table.collect() if said[r.doc_id].lang_pred != "und" and said[r.doc_id].score >= corpus_pipeline.LEAST_SHARE}
+    judged = {r.doc_id: r for r in quality_rules.quality_rules(table.where(F.col("doc_id").isin(list(left)))).collect()}
+    sound = []
+    for d, r in left.items():
+        words, *_, repeats = base_by_rule(r.text)
+        inside = judged[d].ppl_low <= judged[d].log_ppl <= judged[d].ppl_high
+        if words >= 50 and 100 * repeats <= 50 * words and inside:
+            sound.append(d)
+    sound.sort()
+    fp = np.array([fingerprint_by_rule(left[d].text) for d in sound], np.uint64)
+    root = union_labels(len(sound), *np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4))
+    kept = [d for k, d in enumerate(sound) if root[k] == k]
+    lib = ChunkTable(public_tokenizers.path("byte_bpe_50k.json"), False).lib
+    want = set()
+    for d in kept:
+        ids = np.array([*lib.encode(left[d].text, add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        want |= {(d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
+    assert set(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    ordered = got.sort_values(["sequence_id", "offset"])
+    assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all() and (got.offset + got.length).max() <= 1024
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, docs, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
+    key = got.columns[0]
+    got, want = (x.sort_values(key).reset_index(drop=True)[sorted(got.columns)] for x in (got, want))
+    assert sorted(got.columns) == sorted(want.columns) and (got.astype(str) == want.astype(str)).all().all()
+
+
+def test_lattice_sql_with_links(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal((5, 64))
+    rows = [(k, (centre[k % 5] + rng.standard_normal(64) * 0.05).astype(np.float32).tolist(), k % 2) for k in range(60)]
+    spark.createDataFrame([*rows, (99, None, 1)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(queries.ORACLE_SQL["op5_lattice"]).fetchall()}
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op5_lattice(spark, str(tmp_path)).collect()} == want
+    assert sum(x[0] for x in want.values()) > 100
