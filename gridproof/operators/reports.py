@@ -35,7 +35,7 @@ def health_totals(summary: DataFrame) -> DataFrame:
 
 
 def performance_summary(ops: DataFrame) -> DataFrame:
-    """For each kind of operation: count, mean and peak duration, operations a second of work, share of cache hits (views)."""
+    """For each kind of operation: count, mean and peak duration, operations a second of work."""
     return ops.groupBy("event_type").agg(
         F.count("*").alias("n"),
         F.avg("duration_ms").alias("mean_ms"),
@@ -87,3 +87,38 @@ def parsed_reasons(rows: DataFrame, reason: str = "reason", prefix: str = "Faile
     parts = rows.withColumn("part", F.split(body, "; ")).select("*", F.posexplode("part").alias("nth", "one")).drop("part")
     split = F.split("one", ": ", 2)
     return parts.select(*rows.columns, "nth", F.get(split, 0).alias("check"), F.get(split, 1).alias("detail"))
+
+
+def detection_report(found: DataFrame, flagged: float = 95.0) -> DataFrame:
+    """One row over detections (has, percent, seconds): totals, errors (unknown flag), shares in percent, mean time, those flagged."""
+    n, has = F.count("*"), F.col("has")
+
+    def share(x):
+        return F.coalesce(F.try_divide(x * F.lit(100.0), n), F.lit(0.0))
+
+    return found.agg(
+        n.alias("total"),
+        F.count_if(has).alias("n_marked"),
+        F.count_if(~has).alias("n_clean"),
+        F.count_if(has.isNull()).alias("n_errors"),
+        share(F.count_if(has)).alias("marked_percent"),
+        share(F.count_if(~has)).alias("clean_percent"),
+        F.avg("seconds").alias("mean_seconds"),
+        F.count_if(has & (F.col("percent") > flagged)).alias("n_flagged"),
+    )
+
+
+def speed_estimate(rows: DataFrame, tests: str, spent_ms: str, each_ms: float = 200.0) -> DataFrame:
+    """``estimated_ms`` had every test cost ``each_ms``, the saving in percent and the factor (null where no time was spent)."""
+    estimate = F.col(tests) * F.lit(each_ms)
+    return rows.withColumns({"estimated_ms": estimate, "saved_percent": F.try_divide((estimate - F.col(spent_ms)) * 100, estimate), "factor": F.try_divide(estimate, F.col(spent_ms))})
+
+
+def invalid_totals(members: DataFrame) -> DataFrame:
+    """One row: invalid memberships over all folders, the distinct assets behind them, and whole percents of ``valid`` ones."""
+    bad = F.col("category") == "invalid"
+    return members.agg(
+        F.count_if(bad).alias("n_listed"),
+        F.count_distinct(F.when(bad, F.col("filename"))).alias("n_unique"),
+        F.expr("coalesce(try_divide(count_if(category = 'valid') * 100, count(DISTINCT filename)), 0)").cast("long").alias("valid_percent"),
+    )

@@ -462,3 +462,24 @@ def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_O}, r AS (SELECT component, event_id, row_number() OVER (PARTITION BY component ORDER BY duration_ms DESC, event_id) AS rank FROM ops) SELECT * FROM r WHERE rank <= 5")
 def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.top_k(views.ops(spark, sf_dir), "component", "duration_ms", "event_id").select("component", "event_id", "rank")
+
+
+@query(f"""WITH p AS (SELECT {_HAS} AS has, {_WM} AS percent, CAST(n_chars AS DOUBLE) / 1000 AS seconds FROM documents) SELECT count(*) AS total, count(*) FILTER (has) AS n_marked, count(*) FILTER (NOT has) AS n_clean,
+ count(*) FILTER (has IS NULL) AS n_errors, round(count(*) FILTER (has) * 100.0::DOUBLE / count(*), 6) AS marked_percent, round(count(*) FILTER (NOT has) * 100.0::DOUBLE / count(*), 6) AS clean_percent,
+ round(avg(seconds), 6) AS mean_seconds, count(*) FILTER (has AND percent > 95) AS n_flagged FROM p""")
+def detection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_table(spark, sf_dir, "documents").selectExpr(f"{_HAS} AS has", f"{_WM} AS percent", "CAST(n_chars AS DOUBLE) / 1000 AS seconds")
+    return _rounded(reports.detection_report(p))
+
+
+@query(f"""WITH {_O}, c AS (SELECT component, count(*) AS n, sum(duration_ms) AS spent FROM ops GROUP BY component)
+ SELECT component, n, n * 200.0::DOUBLE AS estimated_ms, round((n * 200.0::DOUBLE - spent) * 100 / (n * 200.0::DOUBLE), 6) AS saved_percent, round(n * 200.0::DOUBLE / spent, 6) AS factor FROM c""")
+def speed_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = views.ops(spark, sf_dir).groupBy("component").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("spent"))
+    return _rounded(reports.speed_estimate(by, "n", "spent")).drop("spent")
+
+
+@query(f"""{_MEMBERS} SELECT count(*) FILTER (category = 'invalid') AS n_listed, count(DISTINCT filename) FILTER (category = 'invalid') AS n_unique,
+ CAST(floor(count(*) FILTER (category = 'valid') * 100.0::DOUBLE / count(DISTINCT filename)) AS BIGINT) AS valid_percent FROM members""")
+def invalid_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.invalid_totals(routine_scan(spark, sf_dir))
