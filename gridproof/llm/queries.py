@@ -64,7 +64,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 #: Length of a text once it is escaped.
 _ESCAPED = r"(2 * length({0}) - length(regexp_replace({0}, '[\\\\#<:]', '', 'g')))"
+#: Words of a text in lower case.
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({0}, ''), '" + licenses.UPPER + "', '" + licenses.LOWER + r"'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}', {phrase})" for i, (label, text, phrase) in enumerate([*((label, text, False) for label, text in licenses.TEMPLATES), *((label, text, True) for text, label in licenses.PHRASES.items())]))
 ORACLE_SQL: dict[str, str] = {
+    "op6_licenses": f"""WITH listed(template, label, text, phrase) AS (VALUES {_TEMPLATES}),
+ split AS (SELECT template, label, phrase, {_WORDS.format("text")} AS w FROM listed),
+ sized AS (SELECT *, least(len(w), 3) AS k, len(w) - least(len(w), 3) + 1 AS grams FROM split),
+ parts AS (SELECT *, unnest(range(grams)) AS pos FROM sized),
+ grams AS (SELECT template, label, phrase, grams, k, pos, array_to_string(w[pos + 1 : pos + k], ' ') AS gram FROM parts),
+ texts AS (SELECT row_number() OVER () AS row_id, doc_id, {_WORDS.format("text")} AS w FROM documents),
+ flat AS (SELECT row_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM texts),
+ rolled AS (SELECT row_id, place, word || ' ' || lead(word) OVER o AS two, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS three FROM flat WINDOW o AS (PARTITION BY row_id ORDER BY place)),
+ hits AS (SELECT row_id, place, g.* FROM rolled JOIN grams g ON g.k = 3 AND g.gram = three UNION ALL SELECT row_id, place, g.* FROM rolled JOIN grams g ON g.k = 2 AND g.gram = two),
+ votes AS (SELECT row_id, template, label, grams, place - pos AS diagonal, count(*) AS n, min(place) AS low, max(place) AS high FROM hits WHERE NOT phrase GROUP BY ALL),
+ steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row_id, template ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS step FROM votes),
+ grouped AS (SELECT *, sum(step) OVER (PARTITION BY row_id, template ORDER BY diagonal) AS grp FROM steps),
+ spans AS (SELECT row_id, label, grams, sum(n) AS n, max(high) - min(low) + 1 AS width FROM grouped GROUP BY row_id, template, label, grams, grp),
+ named AS (SELECT row_id, label, least(1.0::DOUBLE, n::DOUBLE / grams) AS coverage FROM spans WHERE least(1.0::DOUBLE, n::DOUBLE / grams) >= CASE WHEN grams <= 12 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END AND width <= ceil(grams * 1.5::DOUBLE) + 3),
+ own AS (SELECT row_id, list(label) AS labels, max(coverage) AS score FROM named GROUP BY row_id),
+ base AS (SELECT row_id, list(label) AS labels, count(*) AS n, min(place) AS low, max(place) AS high FROM hits WHERE phrase GROUP BY row_id)
+ SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, base.low AS first_word, base.high AS last_word, coalesce(array_to_string(list_sort(list_distinct(base.labels)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels, CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(own.score, 0.0::DOUBLE) END AS score
+ FROM texts LEFT JOIN base USING (row_id) LEFT JOIN own USING (row_id)""",
     "op5_lattice": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
  sound AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),

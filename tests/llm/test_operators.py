@@ -300,12 +300,35 @@ def test_same_as_sql(spark, docs, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
     key = got.columns[0]
     got, want = (x.sort_values(key).reset_index(drop=True)[sorted(got.columns)] for x in (got, want))
-    assert sorted(got.columns) == sorted(want.columns) and (got.astype(str) == want.astype(str)).all().all()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    for c in got.columns:
+        assert (got[c].isna() == want[c].isna()).all() and (got[c].dropna() == want[c].dropna()).all(), c
+
+
+def test_license_sql_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, repeated rows, spread and interrupted notices, against the SQL."""
+    import duckdb
+
+    long_notice = licenses.TEMPLATES[6][1]
+    words = long_notice.split()
+    rows = [
+        (20, long_notice), (20, long_notice), (21, " ".join(words[:14] + ["well", "now"] + words[14:])), (22, " ".join(words[:9])), (23, f"{long_notice} {long_notice}"), (24, "x " * 5000 + "cc by cc by-nc 4.0 CC\u212aBY cc\u0130 by"),
+        (25, "Released under the X MIT License"), (26, "cc  by\nall RIGHTS reserved; all rights-reserved general public license"), (27, " ".join(w + " um" for w in words)), (None, "cc by"),
+    ]
+    table = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    table.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.sql(queries.ORACLE_SQL["op6_licenses"])
+    want = sorted(map(repr, rel.fetchall()))
+    got = sorted(repr(tuple(r[c] for c in rel.columns)) for r in queries.op6_licenses(spark, str(tmp_path)).collect())
+    assert got == want
+    assert sum("gpl-notice" in x for x in got) >= 4
 
 
 def test_lattice_sql_with_links(spark, tmp_path):
