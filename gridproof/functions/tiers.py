@@ -98,12 +98,26 @@ def border_label(manual: Column, simple: Column, textured: Column, frame: Column
     return F.when(manual, "Manual Review").when(simple, "Simple Border").when(textured, "Textured Frame").when(frame, "Frame Structure").otherwise("No Border")
 
 
-def adapted_threshold(width: Column, height: Column, base: float = 25.0) -> Column:
+def adapted_threshold(width: Column, height: Column, base: float = 30.0) -> Column:
     """The colour threshold of border checks, by resolution against full HD."""
     scale = F.sqrt(width * height / F.lit(1920.0 * 1080.0))
     return F.when(scale < 0.5, F.greatest(F.lit(15.0), F.lit(0.7 * base))).when(scale > 2, F.least(F.lit(50.0), F.lit(1.2 * base))).otherwise(F.lit(base))
 
 
+def statistic_thresholds(mean: Column, deviation: Column, texture: Column, shorter: Column, base: float = 30.0, sensitivity: float = 1.8, perimeter: float = 0.15) -> Column:
+    """Settings adapted to a picture's statistics: struct<low, high, contrast, sensitivity, perimeter>.
+
+    ``low`` and ``high`` are edge thresholds, by brightness where contrast is low or high; ``texture`` is the mean of
+    the Laplacian, ``shorter`` the shorter side.
+    """
+    low = F.when(deviation < 30, F.greatest(F.lit(10), F.floor(mean * 0.3))).when(deviation > 60, F.greatest(F.lit(30), F.floor(mean * 0.4))).otherwise(F.lit(50))
+    high = F.when(deviation < 30, F.greatest(F.lit(30), F.floor(mean * 0.8))).when(deviation > 60, F.greatest(F.lit(90), F.floor(mean))).otherwise(F.lit(150))
+    contrast = F.when(deviation < 20, F.greatest(F.lit(15.0), F.lit(base * 0.7))).when(deviation > 50, F.least(F.lit(50.0), F.lit(base * 1.3))).otherwise(F.lit(base))
+    rough = F.when(texture < 3, F.greatest(F.lit(1.5), F.lit(sensitivity * 0.8))).when(texture > 10, F.least(F.lit(3.0), F.lit(sensitivity * 1.2))).otherwise(F.lit(sensitivity))
+    rim = F.when(shorter < 500, F.least(F.lit(0.25), F.lit(perimeter * 1.2))).when(shorter > 2000, F.greatest(F.lit(0.1), F.lit(perimeter * 0.8))).otherwise(F.lit(perimeter))
+    return F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), contrast.alias("contrast"), rough.alias("sensitivity"), rim.alias("perimeter"))
+
+
 #: First match wins. Fixed values.
 ERROR_KINDS = [
     ("unknown exception", "paddle_unknown_exception"),

@@ -87,12 +87,14 @@ def noise_deviation(gray: np.ndarray) -> float:
 
 
 def texture_frame(gray: np.ndarray, share: float = 0.15, least: float = 1.8) -> dict[str, float | bool]:
-    """Whether the gradient varies more in the four strips at the sides than in the middle."""
-    mag = np.hypot(*sobel(gray))
-    h, w = gray.shape
-    a, b = max(1, int(h * share)), max(1, int(w * share))
-    middle = mag[a : h - a, b : w - b].var() if h > 2 * a and w > 2 * b else 0.0
-    ratio = float(np.mean([mag[:a].var(), mag[h - a :].var(), mag[:, :b].var(), mag[:, w - b :].var()]) / (middle + 1e-10))
+    """Whether the gradient varies more in the four strips at the sides than in the middle; each is a picture of its own."""
+    (h, w), b = gray.shape, int(min(gray.shape) * share)
+
+    def rough(part: np.ndarray) -> float:
+        return float(np.hypot(*sobel(part)).var()) if min(part.shape) > 1 else 0.0
+
+    strips = [gray[:b], gray[h - b :], gray[:, :b], gray[:, w - b :]] if b else []
+    ratio = float(np.mean([rough(s) for s in strips]) if strips else 0.0) / (rough(gray[b : h - b, b : w - b]) + 1e-10)
     return {"texture_ratio": ratio, "textured": bool(ratio > least)}
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import fallback_editing_score
+
 
 def histogram_features(pixels: DataFrame) -> DataFrame:
     """Clipping in percent, entropy in bits, smoothness, strict local peaks above a tenth of the largest bin, distance from uniform."""
@@ -44,74 +46,117 @@ def histogram_features(pixels: DataFrame) -> DataFrame:
     )
 
 
+SIDES = ("top", "bottom", "left", "right")
+
+
+def strips(width: int, height: int, w: int) -> dict[str, Column]:
+    """Whether a pixel is in the strip of ``w`` pixels along each side."""
+    x, y = F.col("x"), F.col("y")
+    return {"top": y < w, "bottom": y >= height - w, "left": x < w, "right": x >= width - w}
+
+
+def unit(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def mean_of(xs: list[Column]) -> Column:
+    return sum(xs[1:], xs[0]) / len(xs)
+
+
+def spread_of(xs: list[Column]) -> Column:
+    """Population variance of a few columns."""
+    mean = mean_of(xs)
+    return mean_of([(x - mean) * (x - mean) for x in xs])
+
+
 def obvious_border(pixels: DataFrame, width: int = 64, height: int = 64, contrast: float = 25.0, steady: float = 15.0) -> DataFrame:
-    """The plain border test: for each candidate width, sides that differ from the centre and are even.
+    """The plain border test: for each candidate width, sides that differ from what they enclose and are even.
 
-    Candidates are 3 to a tenth of the shorter side (20 at most). A side counts if its mean differs from the centre's
-    (the middle half) by more than ``contrast`` and its deviation is below ``steady``; two sides make a border if the
-    best candidate's confidence is above 0.6. Score: contrast, evenness, symmetry of the sides and completeness.
+    Candidates are 3 to a tenth of the shorter side (20 at most). A side counts if its mean differs from the enclosed
+    part's by more than ``contrast`` and its deviation is below ``steady``. The score is contrast and evenness of all
+    four sides, symmetry of opposite sides that both count, and completeness; the best candidate (the narrowest among
+    equals) is a border if two sides count and its confidence is above 0.6. ``border_width`` is 0 where no side counts.
     """
-    widest = min(min(width, height) // 10, 20)
     x, y, g = F.col("x"), F.col("y"), F.col("gray")
-    centre = x.between(width // 4, width - width // 4 - 1) & y.between(height // 4, height - height // 4 - 1)
-    aggs = [F.avg(F.when(centre, g)).alias("centre")]
-    for w in range(3, widest + 1):
-        for side, inside in (("top", y < w), ("bottom", y >= height - w), ("left", x < w), ("right", x >= width - w)):
+    widths = [w for w in range(3, min(min(width, height) // 10, 20) + 1)]
+    within = F.least(x, y, F.lit(width - 1) - x, F.lit(height - 1) - y)
+    aggs = []
+    for w in widths:
+        aggs.append(F.avg(F.when(within >= w, g)).alias(f"c_{w}"))
+        for side, inside in strips(width, height, w).items():
             aggs += [F.avg(F.when(inside, g)).alias(f"m_{side}_{w}"), F.stddev_pop(F.when(inside, g)).alias(f"s_{side}_{w}")]
-    one = pixels.groupBy("image").agg(*aggs)
-    sides = ("top", "bottom", "left", "right")
-    scored = []
-    for w in range(3, widest + 1):
-        on = {s: (F.abs(F.col(f"m_{s}_{w}") - F.col("centre")) > contrast) & (F.col(f"s_{s}_{w}") < steady) for s in sides}
-        n = sum((on[s].cast("int") for s in sides), F.lit(0))
-        diff = sum((F.when(on[s], F.abs(F.col(f"m_{s}_{w}") - F.col("centre"))).otherwise(0.0) for s in sides), F.lit(0.0)) / F.greatest(n, F.lit(1))
-        dev = sum((F.when(on[s], F.col(f"s_{s}_{w}")).otherwise(0.0) for s in sides), F.lit(0.0)) / F.greatest(n, F.lit(1))
+    one = pixels.groupBy("image").agg(*aggs or [F.count("*").alias("n")])
+    scored = [F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("w"), F.lit(0).alias("n"))]
+    for w in widths:
+        mean, dev = ({s: F.col(f"{k}_{s}_{w}") for s in SIDES} for k in "ms")
+        diff = {s: F.abs(mean[s] - F.col(f"c_{w}")) for s in SIDES}
+        on = {s: (diff[s] > contrast) & (dev[s] < steady) for s in SIDES}
+        n = sum((on[s].cast("int") for s in SIDES), F.lit(0))
+        away = mean_of(list(diff.values()))
+        even = unit(F.lit(1.0) - mean_of(list(dev.values())) / 30)
+        score = away / contrast * even
+        for a, b in (("top", "bottom"), ("left", "right")):
+            score = score * F.when(on[a] & on[b], F.lit(1.0) - F.least(F.lit(1.0), F.abs(mean[a] - mean[b]) / (away + 1e-5))).otherwise(1.0)
         opposite = (on["top"] & on["bottom"]) | (on["left"] & on["right"])
-        complete = F.when(n == 4, 1.5).when(n == 3, 1.2).when(opposite, 1.1).otherwise(1.0)
-        even = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - dev / 30))
-        score = F.when(n >= 2, diff / contrast * even * complete).otherwise(0.0)
-        scored.append(F.struct(score.alias("score"), F.lit(-w).alias("w"), n.alias("n_sides")))
+        score = score * F.when(n == 4, 1.5).when(n == 3, 1.2).when((n == 2) & opposite, 1.1).otherwise(1.0)
+        scored.append(F.when((n > 0) & (score > 0), F.struct(score.alias("score"), F.lit(-w).alias("w"), n.alias("n"))).otherwise(scored[0]))
     best = F.array_max(F.array(*scored))
-    return one.select("image", best.alias("b")).select(
-        "image", (-F.col("b.w")).alias("border_width"), F.col("b.n_sides").alias("n_sides"), F.least(F.lit(1.0), F.col("b.score") / 3).alias("confidence"), ((F.col("b.n_sides") >= 2) & (F.col("b.score") / 3 > 0.6)).alias("detected")
-    )
+    confidence = F.least(F.lit(1.0), F.col("b.score") / 3)
+    return one.select("image", best.alias("b")).select("image", (-F.col("b.w")).alias("border_width"), F.col("b.n").alias("n_sides"), confidence.alias("confidence"), ((F.col("b.n") >= 2) & (confidence > 0.6)).alias("detected"))
 
 
 def uniform_background(pixels: DataFrame, width: int = 64, height: int = 64, grid: int = 8) -> DataFrame:
-    """Even surroundings: the share of grid cells with a deviation below 8, and how even the cells at the edge are."""
-    cw, ch = width // grid, height // grid
+    """Even surroundings: the share of grid cells with a deviation below 8, and how even the strips at the four sides are.
+
+    The strips are a twentieth of the shorter side wide; a picture too small for them has none and gets nothing for them.
+    """
+    cw, ch, w = width // grid, height // grid, int(min(width, height) * 0.05)
     cells = pixels.where((F.col("x") < cw * grid) & (F.col("y") < ch * grid)).groupBy("image", F.floor(F.col("x") / cw).alias("cx"), F.floor(F.col("y") / ch).alias("cy")).agg(F.stddev_pop("gray").alias("dev"))
-    rim = (F.col("cx") == 0) | (F.col("cx") == grid - 1) | (F.col("cy") == 0) | (F.col("cy") == grid - 1)
-    share = F.count_if(F.col("dev") < 8) / F.count("*")
-    even = F.avg(F.when(rim, F.lit(1.0) - F.least(F.lit(1.0), F.col("dev") / 20)))
-    out = cells.groupBy("image").agg((share * 0.6 + even * 0.4).alias("score"))
+    shares = cells.groupBy("image").agg((F.count_if(F.col("dev") < 8) / F.count("*")).alias("share"))
+    sides = pixels.groupBy("image").agg(*[F.stddev_pop(F.when(inside, F.col("gray"))).alias(s) for s, inside in strips(width, height, w).items()])
+    even = mean_of([F.lit(1.0) - F.least(F.lit(1.0), F.col(s) / 20) for s in SIDES]) if w else F.lit(0.0)
+    out = shares.join(sides, "image").select("image", (F.col("share") * 0.6 + even * 0.4).alias("score"))
     return out.select("image", "score", (F.col("score") > 0.7).alias("uniform"))
 
 
-def block_artifacts(pixels: DataFrame, width: int = 64, height: int = 64) -> DataFrame:
-    """Steps across the borders of 8-pixel blocks: mean absolute difference in each direction, and a score."""
-    right, down = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
-    steps = pixels.select(
-        "image",
-        F.when((F.col("x") % 8 == 0) & (F.col("x") > 0), F.abs(F.col("gray") - F.lag("gray").over(right))).alias("h"),
-        F.when((F.col("y") % 8 == 0) & (F.col("y") > 0), F.abs(F.col("gray") - F.lag("gray").over(down))).alias("v"),
+def block_artifacts(pixels: DataFrame, width: int = 64, height: int = 64, block: int = 8) -> DataFrame:
+    """Steps across the borders of 8-pixel blocks: their mean in each direction, and a score for how regular they are.
+
+    Regularity is the mean over the deviation of a direction's block borders (none where they are all alike). Only
+    the pixels beside a border are grouped: the two of a pair by a signed sum.
+    """
+    x, y, g = F.col("x"), F.col("y"), F.col("gray")
+
+    def beside(across: Column, along: Column, size: int, name: str) -> Column:
+        line = F.floor((across + 1) / block)
+        sign = F.when(across % block == 0, g).when(across % block == block - 1, -g)
+        found = sign.isNotNull() & (line >= 1) & (line * block < size - block)
+        return F.when(found, F.struct(F.lit(name).alias("way"), line.alias("line"), along.alias("along"), sign.alias("gray")))
+
+    pairs = pixels.select("image", F.explode(F.array_compact(F.array(beside(y, x, height, "h"), beside(x, y, width, "v")))).alias("p")).select("image", "p.*")
+    steps = pairs.groupBy("image", "way", "line", "along").agg(F.abs(F.sum("gray")).alias("step"))
+    lines = steps.groupBy("image", "way", "line").agg(F.avg("step").alias("step"))
+    both = lines.groupBy("image").agg(
+        *[f(F.when(F.col("way") == k, F.col("step"))).alias(f"{n}_{k}") for k in "hv" for n, f in (("m", F.avg), ("d", F.stddev_pop))],
     )
-    mean = steps.groupBy("image").agg(F.avg("h").alias("horizontal"), F.avg("v").alias("vertical"))
-    score = F.least(F.lit(1.0), (F.col("horizontal") + F.col("vertical")) / 10)
-    return mean.select("image", "horizontal", "vertical", score.alias("score"), ((score > 0.3) & ((F.col("horizontal") + F.col("vertical")) / 2 > 2)).alias("blocky"))
+
+    def regular(k: str) -> Column:  # a deviation of rounding errors only is none
+        return F.when(F.col(f"d_{k}") > 1e-9, F.col(f"m_{k}") / (F.col(f"d_{k}") + 1e-5)).otherwise(0.0)
+
+    score = F.least(F.lit(1.0), (regular("h") + regular("v")) / 10)
+    return both.select("image", F.col("m_h").alias("horizontal"), F.col("m_v").alias("vertical"), score.alias("score"), ((score > 0.3) & ((F.col("m_h") > 2) | (F.col("m_v") > 2))).alias("blocky"))
 
 
 def vignette(pixels: DataFrame, width: int = 64, height: int = 64) -> DataFrame:
-    """Dark corners: the middle quarter against the four corners (an eighth of each side), by ratio and evenness."""
+    """Dark corners: a square about the middle (a quarter of the shorter side to each hand) against the four corners (an eighth), by ratio and evenness."""
     x, y, g = F.col("x"), F.col("y"), F.col("gray")
-    cw, ch = width // 8, height // 8
-    centre = x.between(width // 2 - width // 8, width // 2 + width // 8 - 1) & y.between(height // 2 - height // 8, height // 2 + height // 8 - 1)
-    corners = {"tl": (x < cw) & (y < ch), "tr": (x >= width - cw) & (y < ch), "bl": (x < cw) & (y >= height - ch), "br": (x >= width - cw) & (y >= height - ch)}
-    one = pixels.groupBy("image").agg(F.avg(F.when(centre, g)).alias("centre"), *[F.avg(F.when(c, g)).alias(k) for k, c in corners.items()])
-    mean = (F.col("tl") + F.col("tr") + F.col("bl") + F.col("br")) / 4
-    var = sum(((F.col(k) - mean) * (F.col(k) - mean) for k in corners), F.lit(0.0)) / 4
-    ratio = F.col("centre") / F.greatest(mean, F.lit(1.0))
-    consistent = F.lit(1.0) - F.least(F.lit(1.0), F.sqrt(var) / F.greatest(mean, F.lit(1.0)))
+    r, c = min(width, height) // 4, min(width, height) // 8
+    centre = x.between(width // 2 - r, width // 2 + r) & y.between(height // 2 - r, height // 2 + r)
+    corners = {f"{a}{b}": v & h for a, v in (("t", y <= c), ("b", y >= height - c)) for b, h in (("l", x <= c), ("r", x >= width - c))}
+    one = pixels.groupBy("image").agg(F.avg(F.when(centre, g)).alias("centre"), *[F.avg(F.when(inside, g)).alias(k) for k, inside in corners.items()])
+    four = [F.col(k) for k in corners]
+    ratio = F.col("centre") / (mean_of(four) + 1e-5)
+    consistent = F.lit(1.0) - F.sqrt(spread_of(four)) / (mean_of(four) + 1e-5)
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio - 1) * consistent)
     return one.select("image", ratio.alias("ratio"), score.alias("score"), ((score > 0.3) & (ratio > 1.2)).alias("vignetted"))
 
@@ -126,22 +171,175 @@ def edge_strips(pixels: DataFrame, width: int = 64, height: int = 64) -> DataFra
     return one.select("image", mean.alias("variance"), (mean < 200).alias("bordered"))
 
 
+def stroke(width: int, height: int, w: int) -> Column:
+    """The inside half of a line of ``w`` pixels drawn along the picture's edge."""
+    x, y = F.col("x"), F.col("y")
+    return (x <= w // 2) | (y <= w // 2) | (x >= width - w // 2) | (y >= height - w // 2)
+
+
+def outline(width: int, height: int, w: int) -> Column:
+    """The line of three pixels just inside a border of ``w`` pixels."""
+    x, y = F.col("x"), F.col("y")
+    box = x.between(w - 2, width - w + 2) & y.between(w - 2, height - w + 2)
+    return box & ~(x.between(w + 1, width - w - 1) & y.between(w + 1, height - w - 1))
+
+
+def enclosed(width: int, height: int, w: int) -> Column:
+    return F.col("x").between(w, width - w) & F.col("y").between(w, height - w)
+
+
 def border_statistics(pixels: DataFrame, border: int = 5, width: int = 64, height: int = 64) -> DataFrame:
     """Evenness of a border of the given width, agreement of its four sides, and of its four corners."""
+    one = pixels.groupBy("image").agg(F.stddev_pop("gray").alias("all_dev"), *_border_aggs(border, width, height))
+    return one.select("image", *[c.alias(n) for n, c in _border_scores(border).items()])
+
+
+def _border_aggs(w: int, width: int, height: int) -> list[Column]:
     x, y, g = F.col("x"), F.col("y"), F.col("gray")
-    rim = F.least(x, y, (width - 1) - x, (height - 1) - y) < border
-    c = min(2 * border, 15)
-    sides = [y < border, y >= height - border, x < border, x >= width - border]
-    corners = [(x < c) & (y < c), (x >= width - c) & (y < c), (x < c) & (y >= height - c), (x >= width - c) & (y >= height - c)]
-    one = pixels.groupBy("image").agg(
-        F.stddev_pop(F.when(rim, g)).alias("dev"), F.stddev_pop(g).alias("all_dev"), *[F.avg(F.when(s, g)).alias(f"s{i}") for i, s in enumerate(sides)], *[F.avg(F.when(s, g)).alias(f"c{i}") for i, s in enumerate(corners)]
+    c = min(2 * w, 15)
+    corners = [a & b for a in (y < c, y >= height - c) for b in (x < c, x >= width - c)]
+    rim = F.when(stroke(width, height, w), g)
+    return [
+        F.avg(rim).alias(f"rim_{w}"), F.stddev_pop(rim).alias(f"dev_{w}"), F.avg(F.when(enclosed(width, height, w), g)).alias(f"in_{w}"),
+        *[F.avg(F.when(inside, g)).alias(f"{s}_{w}") for s, inside in strips(width, height, w).items()], *[F.avg(F.when(inside, g)).alias(f"k{i}_{w}") for i, inside in enumerate(corners)],
+    ]
+
+
+def _border_scores(w: int) -> dict[str, Column]:
+    uniform = F.lit(1.0) - F.least(F.lit(1.0), F.col(f"dev_{w}") / F.greatest(F.lit(5.0), F.col("all_dev")) / 2)
+    side = F.lit(1.0) - F.least(F.lit(1.0), spread_of([F.col(f"{s}_{w}") for s in SIDES]) / 400)
+    corner = F.lit(0.8) if w < 4 else F.lit(1.0) - F.least(F.lit(1.0), spread_of([F.col(f"k{i}_{w}") for i in range(4)]) / 200)
+    return {"uniformity": uniform, "side_consistency": side, "corner_consistency": corner}
+
+
+def gradients(pixels: DataFrame) -> DataFrame:
+    """``pixels`` with ``magnitude``, the length of the 3 by 3 Sobel gradient; edges are mirrored without the edge pixel."""
+    row, column = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
+
+    def beside(c: str, order) -> tuple[Column, Column]:
+        before, after = F.lag(c).over(order), F.lead(c).over(order)
+        return F.coalesce(before, after, F.col(c)), F.coalesce(after, before, F.col(c))
+
+    left, right = beside("gray", row)
+    flat = pixels.select("image", "x", "y", "gray", (right - left).alias("slope"), (left + 2 * F.col("gray") + right).alias("level"))
+    (up, down), (above, below) = beside("slope", column), beside("level", column)
+    return flat.select("image", "x", "y", "gray", F.hypot((up + 2 * F.col("slope") + down).cast("double"), (below - above).cast("double")).alias("magnitude"))
+
+
+#: Shares of the shorter side that the border search tries, and weights of the parts of its score. Fixed values.
+WIDTH_SHARES = [0.008, 0.015, 0.025, 0.040, 0.060]
+WEIGHTS = {"contrast": 0.40, "uniformity": 0.30, "side_consistency": 0.15, "transition": 0.10, "corner_consistency": 0.05}
+
+
+def simple_border(pixels: DataFrame, width: int = 64, height: int = 64, contrast: float = 30.0, widest: float = 0.15, least: float = 0.35) -> DataFrame:
+    """Width search for an even border: (image, border_width, difference, score, detected).
+
+    A candidate is taken into account if it differs from what it encloses by half of ``contrast``, is even and has
+    consistent sides. Wide borders and pictures of low contrast score less. A vignette takes a narrow win away.
+    """
+    shorter = min(width, height)
+    widths = sorted({max(2, int(shorter * s)) for s in WIDTH_SHARES if s <= widest})
+    m = F.col("magnitude")
+    one = gradients(pixels).groupBy("image").agg(
+        F.stddev_pop("gray").alias("all_dev"), *[a for w in widths for a in _border_aggs(w, width, height)], *[F.avg(F.when(outline(width, height, w), m)).alias(f"edge_{w}") for w in widths if w > 2]
     )
+    low = F.col("all_dev") < 30
+    scored = [F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("w"), F.lit(0.0).alias("difference"))]
+    for w in widths:
+        parts = _border_scores(w)
+        away = F.abs(F.col(f"rim_{w}") - F.col(f"in_{w}"))
+        fit = (away >= contrast / 2) & (parts["uniformity"] >= 0.75) & (parts["side_consistency"] >= 0.70)
+        parts |= {"contrast": F.least(F.lit(1.0), away / contrast), "uniformity": F.greatest(F.lit(0.0), (parts["uniformity"] - 0.5) * 2), "transition": F.least(F.lit(1.0), F.col(f"edge_{w}") / 30) if w > 2 else F.lit(0.5)}
+        ratio = w / shorter
+        factor = max(0.7, 1 - (ratio - widest / 2) * 3) if ratio > widest / 2 else 1.0
+        score = sum((parts[k] * v for k, v in WEIGHTS.items()), F.lit(0.0)) * factor * F.when(low, 0.9).otherwise(1.0)
+        scored.append(F.when(fit, F.struct(score.alias("score"), F.lit(-w).alias("w"), away.alias("difference"))).otherwise(scored[0]))
+    found = one.select("image", F.when(low, least * 1.2).otherwise(least).alias("bar"), F.array_max(F.array(*scored)).alias("b"))
+    joined = found.join(vignette(pixels, width, height).select("image", F.col("vignetted"), F.col("score").alias("shade")), "image")
+    over = F.col("b.score") > F.col("bar")
+    veto = over & F.col("vignetted") & (F.col("shade") > 0.6) & (F.col("b.score") < F.col("bar") * 1.5)
+    return joined.select("image", (-F.col("b.w")).alias("border_width"), F.col("b.difference").alias("difference"), (F.col("b.score") * F.when(veto, 0.8).otherwise(1.0)).alias("score"), (over & ~veto).alias("detected"))
+
+
+def border_region(pixels: DataFrame, width: int = 64, height: int = 64, contrast: float = 30.0) -> DataFrame:
+    """(image, border_width, regions): where a border lies, as boxes (side, x0, y0, x1, y1) of the width that separates best; none: 0 and no boxes."""
+    g, shorter = F.col("gray"), min(width, height)
+    widths = sorted({w for s in (0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.07, 0.1) if (w := int(shorter * s)) >= 2})
+    aggs = [a for w in widths for a in (F.avg(F.when(stroke(width, height, w), g)).alias(f"m{w}"), F.stddev_pop(F.when(stroke(width, height, w), g)).alias(f"d{w}"), F.avg(F.when(enclosed(width, height, w), g)).alias(f"i{w}"))]
+    one = pixels.groupBy("image").agg(*aggs or [F.count("*").alias("n")])
+    scored = [F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("w"))]
+    for w in widths:
+        away = F.abs(F.col(f"m{w}") - F.col(f"i{w}"))
+        score = away * (F.lit(1.0) - F.least(F.lit(1.0), F.col(f"d{w}") / 30))
+        scored.append(F.when((away > contrast / 2) & (score > 0), F.struct(score.alias("score"), F.lit(-w).alias("w"))).otherwise(scored[0]))
+    b = F.col("border_width")
+
+    def box(side: str, x0, y0, x1, y1) -> Column:
+        return F.struct(F.lit(side).alias("side"), *[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))])
+
+    boxes = F.array(box("top", 0, 0, width, b), box("bottom", 0, height - b, width, height), box("left", 0, 0, b, height), box("right", width - b, 0, width, height))
+    return one.select("image", (-F.array_max(F.array(*scored))["w"]).alias("border_width")).withColumn("regions", F.when(b > 0, boxes).otherwise(F.filter(boxes, lambda r: F.lit(False))))
+
+
+def side_measures(pixels: DataFrame, border: int = 5, width: int = 64, height: int = 64) -> DataFrame:
+    """Evenness of each side by itself (the least, and how alike they are), symmetry of opposite sides, and sharpness of the step inside."""
+    g = F.col("gray")
+    sides = strips(width, height, border)
+    one = gradients(pixels).groupBy("image").agg(
+        *[F.avg(F.when(v, g)).alias(f"m_{s}") for s, v in sides.items()], *[F.stddev_pop(F.when(v, g)).alias(f"d_{s}") for s, v in sides.items()], F.avg(F.when(outline(width, height, border), F.col("magnitude"))).alias("edge")
+    )
+    even = [F.lit(1.0) - F.least(F.lit(1.0), F.col(f"d_{s}") / 30) for s in SIDES]
+    alike = F.when(mean_of(even) > 0, F.lit(1.0) - F.sqrt(spread_of(even)) / mean_of(even)).otherwise(1.0)
+    level = [F.lit(1.0) - F.least(F.lit(1.0), F.abs(F.col(f"m_{a}") - F.col(f"m_{b}")) / 50) for a, b in (("top", "bottom"), ("left", "right"))]
+    return one.select("image", F.least(*even).alias("least_uniformity"), alike.alias("side_consistency"), mean_of(level).alias("symmetry"), F.least(F.lit(1.0), F.col("edge") / 50).alias("sharpness"))
+
+
+def border_symmetry(pixels: DataFrame, width: int = 64, height: int = 64, share: float = 0.15, bins: int = 64) -> DataFrame:
+    """Whether opposite sides have alike histograms: the mean of their two correlations, above 0.7.
+
+    Two histograms of one bin each that is the same correlate fully. A pixel in two strips counts in both.
+    """
+    inside = strips(width, height, int(min(width, height) * share))
+    hist = pixels.groupBy("image", F.floor(F.col("gray") / (256 // bins)).alias("bin")).agg(*[F.count_if(v).cast("double").alias(s) for s, v in inside.items()])
+    pairs = (("top", "bottom"), ("left", "right"))
+    sums = [F.sum(s).alias(s) for s in SIDES] + [F.sum(F.col(s) * F.col(s)).alias(f"{s}2") for s in SIDES] + [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs]
+    one = hist.groupBy("image").agg(*sums)
+
+    def correlation(a: str, b: str) -> Column:
+        top = F.col(f"{a}_{b}") - F.col(a) * F.col(b) / bins
+        below = (F.col(f"{a}2") - F.col(a) * F.col(a) / bins) * (F.col(f"{b}2") - F.col(b) * F.col(b) / bins)
+        return F.when(below > 1e-9, top / F.sqrt(below)).otherwise(1.0)
+
+    score = mean_of([correlation(a, b) for a, b in pairs])
+    return one.select("image", score.alias("score"), (score > 0.7).alias("symmetric"))
+
+
+def gradient_ratio(pixels: DataFrame, width: int = 64, height: int = 64, share: float = 0.15) -> DataFrame:
+    """Gradient at the perimeter over that in the middle; above 1.5 there is a frame."""
+    w = int(min(width, height) * share)
+    middle = F.col("x").between(w, width - w) & F.col("y").between(w, height - w)
+    one = gradients(pixels).groupBy("image").agg(F.avg(F.when(~middle, F.col("magnitude"))).alias("rim"), F.avg(F.when(middle, F.col("magnitude"))).alias("mid"))
+    ratio = F.col("rim") / (F.coalesce("mid", F.lit(0.0)) + 1e-10)
+    return one.select("image", ratio.alias("ratio"), (ratio > 1.5).alias("framed"))
+
+
+def colour_consistency(colours: DataFrame, border: int = 5, width: int = 64, height: int = 64) -> DataFrame:
+    """How alike the step from a border to what it encloses is in the three channels of (image, x, y, r, g, b)."""
+    aggs = [F.avg(F.when(where, F.col(c))).alias(f"{c}_{n}") for c in "rgb" for n, where in (("out", stroke(width, height, border)), ("in", enclosed(width, height, border)))]
+    steps = [F.abs(F.col(f"{c}_out") - F.col(f"{c}_in")) for c in "rgb"]
+    mean = mean_of(steps)
+    score = F.when(mean > 0, F.lit(1.0) - F.least(F.lit(1.0), spread_of(steps) / (mean * mean))).otherwise(0.0)
+    return colours.groupBy("image").agg(*aggs).select("image", score.alias("colour_consistency"))
 
-    def spread(names: list[str]) -> Column:
-        mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
-        return sum(((F.col(n) - mean) * (F.col(n) - mean) for n in names), F.lit(0.0)) / len(names)
 
-    uniform = F.lit(1.0) - F.least(F.lit(1.0), F.col("dev") / F.greatest(F.lit(5.0), F.col("all_dev")) / 2)
-    side = F.lit(1.0) - F.least(F.lit(1.0), spread(["s0", "s1", "s2", "s3"]) / 400)
-    corner = F.lit(0.8) if border < 4 else F.lit(1.0) - F.least(F.lit(1.0), spread(["c0", "c1", "c2", "c3"]) / 200)
-    return one.select("image", uniform.alias("uniformity"), side.alias("side_consistency"), corner.alias("corner_consistency"))
+def fallback_editing(colours: DataFrame) -> DataFrame:
+    """Editing score without models, from the histograms of the three channels: (image, entropy, n_peaks, score, passed)."""
+    channel = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in "rgb"]))
+    hist = colours.select("image", channel.alias("c")).groupBy("image", "c.channel", "c.value").agg(F.count("*").alias("n"))
+    packed = hist.groupBy("image", "channel").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("h"), F.sum("n").alias("total"))
+    full = packed.select("image", "total", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.coalesce(F.try_element_at("h", b), F.lit(0))).alias("h"))
+    entropy = -F.aggregate("h", F.lit(0.0), lambda s, n: s + n / F.col("total") * F.log2(n / F.col("total") + 1e-10))
+    peaks = F.size(F.filter(F.sequence(F.lit(1), F.lit(254)), lambda i: (F.get("h", i) > F.get("h", i - 1)) & (F.get("h", i) > F.get("h", i + 1))))
+    one = full.select("image", entropy.alias("entropy"), peaks.alias("peaks")).groupBy("image").agg(F.avg("entropy").alias("entropy"), F.sum("peaks").alias("n_peaks"))
+    score = fallback_editing_score(F.col("entropy"), F.col("n_peaks"))
+    return one.select("image", "entropy", "n_peaks", score.cast("double").alias("score"), (score < 20).alias("passed"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as sc
 from ..functions import tiers
 from ..operators import ocr, pixels, reports, specs, verdicts
+from ..sources import copies
 from ..sources.tables import read_table
 from . import views
 
@@ -57,7 +58,7 @@ def fallback_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.assets(spark, sf_dir).select("doc_id", specs.fallback_spec(F.col("width"), F.col("height")).alias("verdict"))
 
 
-@query(f"WITH {views.ASSETS_SQL} SELECT doc_id, CASE WHEN sqrt(width * height / (1920.0::DOUBLE * 1080)) < 0.5 THEN 17.5::DOUBLE WHEN sqrt(width * height / (1920.0::DOUBLE * 1080)) > 2 THEN 30.0::DOUBLE ELSE 25.0::DOUBLE END AS threshold FROM assets")
+@query(f"WITH {views.ASSETS_SQL} SELECT doc_id, CASE WHEN sqrt(width * height / (1920.0::DOUBLE * 1080)) < 0.5 THEN 21.0::DOUBLE WHEN sqrt(width * height / (1920.0::DOUBLE * 1080)) > 2 THEN 36.0::DOUBLE ELSE 30.0::DOUBLE END AS threshold FROM assets")
 def resolution_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.assets(spark, sf_dir).select("doc_id", tiers.adapted_threshold(F.col("width"), F.col("height")).alias("threshold"))
 
@@ -70,6 +71,20 @@ def suffix_on_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.with_clash_names(files, path="doc_id").select("doc_id", "category", "target")
 
 
+_FOLDER = "CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id * 37 % 201 > 60 THEN 'invalid' WHEN doc_id * 37 % 201 >= 50 THEN 'manualreview' ELSE 'valid' END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, 'img' || CAST(doc_id % 50 AS VARCHAR) || '.png' AS filename, {_FOLDER} AS folder FROM documents),
+ r AS (SELECT *, row_number() OVER (PARTITION BY folder, filename ORDER BY doc_id) - 1 AS n, max(doc_id) OVER (PARTITION BY folder, filename) AS last FROM p)
+ SELECT doc_id, folder, CASE WHEN folder IS NULL THEN NULL WHEN n = 0 THEN folder || '/' || filename ELSE folder || '/' || split_part(filename, '.', 1) || '_' || n || '.png' END AS suffixed,
+ CASE WHEN doc_id = last AND folder IS NOT NULL THEN folder || '/' || filename END AS overwritten FROM r""")
+def copy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('img', CAST(doc_id % 50 AS STRING), '.png') AS filename", f"{_ED} AS s")
+    tiered = p.withColumn("status", tiers.editing_tier(F.col("s")))
+    both = [copies.copy_plan(tiered, "tier", path="doc_id", clash=c) for c in ("suffix", "last")]
+    return both[0].select("doc_id", "folder", F.col("target").alias("suffixed")).join(both[1].select("doc_id", F.col("target").alias("overwritten")), "doc_id")
+
+
 # --- tiers -------------------------------------------------------------------------------------------------------
 
 _WM = "CAST(doc_id * 29 % 201 AS DOUBLE) / 2"
@@ -370,35 +385,48 @@ def histogram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pixels.histogram_features(views.pixels(spark, sf_dir)))
 
 
-@query(f"""WITH {_P}, c AS (SELECT image, avg(gray) AS centre FROM pixels WHERE x BETWEEN 16 AND 47 AND y BETWEEN 16 AND 47 GROUP BY image),
- sides AS (SELECT image, w.w, s.s, avg(gray) AS m, stddev_pop(gray) AS d FROM pixels, (SELECT unnest([3, 4, 5, 6]) AS w) w, (SELECT unnest(['top', 'bottom', 'left', 'right']) AS s) s
-  WHERE s.s = 'top' AND y < w.w OR s.s = 'bottom' AND y >= 64 - w.w OR s.s = 'left' AND x < w.w OR s.s = 'right' AND x >= 64 - w.w GROUP BY image, w.w, s.s),
- good AS (SELECT image, w, list(s) AS ss, count(*) AS n, avg(abs(m - centre)) AS diff, avg(d) AS dev FROM sides JOIN c USING (image) WHERE abs(m - centre) > 25 AND d < 15 GROUP BY image, w HAVING count(*) >= 2),
- sc AS (SELECT image, w, n, diff / 25 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - dev / 30)) * CASE WHEN n = 4 THEN 1.5::DOUBLE WHEN n = 3 THEN 1.2::DOUBLE WHEN list_has_all(ss, ['top', 'bottom']) OR list_has_all(ss, ['left', 'right']) THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS score FROM good),
- best AS (SELECT image, max(score) AS score FROM sc GROUP BY image)
- SELECT c.image, round(least(1.0::DOUBLE, coalesce(b.score, 0) / 3), 6) AS confidence, coalesce(b.score / 3 > 0.6, false) AS detected FROM c LEFT JOIN best b USING (image)""")
+#: The four sides of a strip of w pixels, as means or deviations named after them.
+def _sides(f: str, prefix: str, w: str = "w") -> str:
+    return ", ".join(f"{f}(gray) FILTER ({where}) AS {prefix}{s}" for s, where in (("t", f"y < {w}"), ("b", f"y >= 64 - {w}"), ("l", f"x < {w}"), ("r", f"x >= 64 - {w}")))
+
+
+_STROKE = "(x <= w // 2 OR y <= w // 2 OR x >= 64 - w // 2 OR y >= 64 - w // 2)"
+_OUTLINE = "(x BETWEEN w - 2 AND 66 - w AND y BETWEEN w - 2 AND 66 - w AND NOT (x BETWEEN w + 1 AND 63 - w AND y BETWEEN w + 1 AND 63 - w))"
+_INSIDE = "(x BETWEEN w AND 64 - w AND y BETWEEN w AND 64 - w)"
+_SHADE = """shade AS (SELECT image, avg(gray) FILTER (x BETWEEN 16 AND 48 AND y BETWEEN 16 AND 48) AS centre, [avg(gray) FILTER (x <= 8 AND y <= 8), avg(gray) FILTER (x >= 56 AND y <= 8),
+ avg(gray) FILTER (x <= 8 AND y >= 56), avg(gray) FILTER (x >= 56 AND y >= 56)] AS four FROM pixels GROUP BY image),
+ shaded AS (SELECT image, centre / (list_avg(four) + 1e-5) AS ratio, least(1.0::DOUBLE, greatest(0.0::DOUBLE, centre / (list_avg(four) + 1e-5) - 1) * (1 - list_stddev_pop(four) / (list_avg(four) + 1e-5))) AS score FROM shade)"""
+
+
+@query(f"""WITH {_P}, r AS (SELECT image, w, avg(gray) FILTER (least(x, y, 63 - x, 63 - y) >= w) AS c, {_sides("avg", "m")}, {_sides("stddev_pop", "d")} FROM pixels, (SELECT unnest([3, 4, 5, 6]) AS w) GROUP BY image, w),
+ a AS (SELECT *, (abs(mt - c) + abs(mb - c) + abs(ml - c) + abs(mr - c)) / 4 AS away, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - (dt + db + dl + dr) / 4 / 30)) AS even,
+  abs(mt - c) > 25 AND dt < 15 AS ot, abs(mb - c) > 25 AND db < 15 AS ob, abs(ml - c) > 25 AND dl < 15 AS ol, abs(mr - c) > 25 AND dr < 15 AS ort FROM r),
+ s AS (SELECT image, w, ot::INT + ob::INT + ol::INT + ort::INT AS n, away / 25 * even * CASE WHEN ot AND ob THEN 1 - least(1.0::DOUBLE, abs(mt - mb) / (away + 1e-5)) ELSE 1 END * CASE WHEN ol AND ort THEN 1 - least(1.0::DOUBLE, abs(ml - mr) / (away + 1e-5)) ELSE 1 END
+  * CASE ot::INT + ob::INT + ol::INT + ort::INT WHEN 4 THEN 1.5::DOUBLE WHEN 3 THEN 1.2::DOUBLE WHEN 2 THEN CASE WHEN ot AND ob OR ol AND ort THEN 1.1::DOUBLE ELSE 1 END ELSE 1 END AS score FROM a),
+ b AS (SELECT image, arg_max({{'w': w, 'n': n, 'score': score}}, (score, -w)) FILTER (n > 0 AND score > 0) AS b FROM s GROUP BY image)
+ SELECT image, coalesce(b.w, 0) AS border_width, coalesce(b.n, 0) AS n_sides, round(least(1.0::DOUBLE, coalesce(b.score, 0) / 3), 6) AS confidence, coalesce(b.n >= 2 AND least(1.0::DOUBLE, b.score / 3) > 0.6, false) AS detected FROM b""")
 def obvious_border(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.obvious_border(views.pixels(spark, sf_dir))).select("image", "confidence", "detected")
+    return _rounded(pixels.obvious_border(views.pixels(spark, sf_dir)))
 
 
-@query(f"""WITH {_P}, c AS (SELECT image, x // 8 AS cx, y // 8 AS cy, stddev_pop(gray) AS d FROM pixels GROUP BY image, x // 8, y // 8),
- s AS (SELECT image, count(*) FILTER (d < 8) / count(*)::DOUBLE * 0.6 + avg(1 - least(1.0::DOUBLE, d / 20)) FILTER (cx IN (0, 7) OR cy IN (0, 7)) * 0.4 AS score FROM c GROUP BY image)
- SELECT image, round(score, 6) AS score, score > 0.7 AS uniform FROM s""")
+@query(f"""WITH {_P}, c AS (SELECT image, stddev_pop(gray) AS d FROM pixels GROUP BY image, x // 8, y // 8), s AS (SELECT image, count(*) FILTER (d < 8) / count(*)::DOUBLE AS share FROM c GROUP BY image),
+ e AS (SELECT image, {_sides("stddev_pop", "d", "3")} FROM pixels GROUP BY image),
+ u AS (SELECT image, share * 0.6 + (4 - least(1.0::DOUBLE, dt / 20) - least(1.0::DOUBLE, db / 20) - least(1.0::DOUBLE, dl / 20) - least(1.0::DOUBLE, dr / 20)) / 4 * 0.4 AS score FROM s JOIN e USING (image))
+ SELECT image, round(score, 6) AS score, score > 0.7 AS uniform FROM u""")
 def uniform_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pixels.uniform_background(views.pixels(spark, sf_dir)))
 
 
-@query(f"""WITH {_P}, d AS (SELECT image, x, y, abs(gray - lag(gray) OVER (PARTITION BY image, y ORDER BY x)) AS h, abs(gray - lag(gray) OVER (PARTITION BY image, x ORDER BY y)) AS v FROM pixels),
- m AS (SELECT image, avg(h) FILTER (x % 8 = 0 AND x > 0) AS horizontal, avg(v) FILTER (y % 8 = 0 AND y > 0) AS vertical FROM d GROUP BY image)
- SELECT image, round(horizontal, 6) AS horizontal, round(vertical, 6) AS vertical, round(least(1.0::DOUBLE, (horizontal + vertical) / 10), 6) AS score, least(1.0::DOUBLE, (horizontal + vertical) / 10) > 0.3 AND (horizontal + vertical) / 2 > 2 AS blocky FROM m""")
+@query(f"""WITH {_P}, d AS (SELECT image, x, y, abs(gray - lag(gray) OVER (PARTITION BY image, y ORDER BY x)) AS v, abs(gray - lag(gray) OVER (PARTITION BY image, x ORDER BY y)) AS h FROM pixels),
+ l AS (SELECT image, 'h' AS way, y AS line, avg(h) AS step FROM d WHERE y % 8 = 0 AND y BETWEEN 8 AND 55 GROUP BY image, y UNION ALL SELECT image, 'v', x, avg(v) FROM d WHERE x % 8 = 0 AND x BETWEEN 8 AND 55 GROUP BY image, x),
+ m AS (SELECT image, way, avg(step) AS mean, stddev_pop(step) AS dev FROM l GROUP BY image, way), g AS (SELECT image, way, mean, CASE WHEN dev > 1e-9 THEN mean / (dev + 1e-5) ELSE 0 END AS regular FROM m),
+ s AS (SELECT image, max(mean) FILTER (way = 'h') AS horizontal, max(mean) FILTER (way = 'v') AS vertical, least(1.0::DOUBLE, sum(regular) / 10) AS score FROM g GROUP BY image)
+ SELECT image, round(horizontal, 6) AS horizontal, round(vertical, 6) AS vertical, round(score, 6) AS score, score > 0.3 AND (horizontal > 2 OR vertical > 2) AS blocky FROM s""")
 def block_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pixels.block_artifacts(views.pixels(spark, sf_dir)))
 
 
-@query(f"""WITH {_P}, r AS (SELECT image, avg(gray) FILTER (x BETWEEN 24 AND 39 AND y BETWEEN 24 AND 39) AS centre, avg(gray) FILTER (x < 8 AND y < 8) AS a, avg(gray) FILTER (x >= 56 AND y < 8) AS b,
- avg(gray) FILTER (x < 8 AND y >= 56) AS c, avg(gray) FILTER (x >= 56 AND y >= 56) AS d FROM pixels GROUP BY image), m AS (SELECT *, (a + b + c + d) / 4 AS mean FROM r),
- s AS (SELECT image, centre / greatest(mean, 1.0) AS ratio, 1 - least(1.0::DOUBLE, sqrt((pow(a - mean, 2) + pow(b - mean, 2) + pow(c - mean, 2) + pow(d - mean, 2)) / 4) / greatest(mean, 1.0)) AS even FROM m),
- t AS (SELECT image, ratio, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ratio - 1) * even) AS score FROM s) SELECT image, round(ratio, 6) AS ratio, round(score, 6) AS score, score > 0.3 AND ratio > 1.2 AS vignetted FROM t""")
+@query(f"WITH {_P}, {_SHADE} SELECT image, round(ratio, 6) AS ratio, round(score, 6) AS score, score > 0.3 AND ratio > 1.2 AS vignetted FROM shaded")
 def vignette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pixels.vignette(views.pixels(spark, sf_dir)))
 
@@ -409,13 +437,86 @@ def edge_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pixels.edge_strips(views.pixels(spark, sf_dir)))
 
 
-@query(f"""WITH {_P}, s AS (SELECT image, stddev_pop(gray) FILTER (least(x, y, 63 - x, 63 - y) < 5) AS dev, stddev_pop(gray) AS all_dev, [avg(gray) FILTER (y < 5), avg(gray) FILTER (y >= 59), avg(gray) FILTER (x < 5), avg(gray) FILTER (x >= 59)] AS side,
- [avg(gray) FILTER (x < 10 AND y < 10), avg(gray) FILTER (x >= 54 AND y < 10), avg(gray) FILTER (x < 10 AND y >= 54), avg(gray) FILTER (x >= 54 AND y >= 54)] AS corner FROM pixels GROUP BY image)
- SELECT image, round(1 - least(1.0::DOUBLE, dev / greatest(5.0, all_dev) / 2), 6) AS uniformity, round(1 - least(1.0::DOUBLE, list_var_pop(side) / 400), 6) AS side_consistency, round(1 - least(1.0::DOUBLE, list_var_pop(corner) / 200), 6) AS corner_consistency FROM s""")
+_PARTS = f"""parts AS (SELECT image, w, any_value(all_dev) AS all_dev, avg(gray) FILTER (WHERE {_STROKE}) AS rim, stddev_pop(gray) FILTER (WHERE {_STROKE}) AS dev, avg(gray) FILTER (WHERE {_INSIDE}) AS inside, {_sides("avg", "m")},
+ [avg(gray) FILTER (x < least(2 * w, 15) AND y < least(2 * w, 15)), avg(gray) FILTER (x >= 64 - least(2 * w, 15) AND y < least(2 * w, 15)), avg(gray) FILTER (x < least(2 * w, 15) AND y >= 64 - least(2 * w, 15)), avg(gray) FILTER (x >= 64 - least(2 * w, 15) AND y >= 64 - least(2 * w, 15))] AS corner,
+ avg(m) FILTER (WHERE {_OUTLINE}) AS edge FROM grad JOIN spread USING (image), widths GROUP BY image, w),
+ rated AS (SELECT image, w, all_dev, abs(rim - inside) AS away, 1 - least(1.0::DOUBLE, dev / greatest(5.0, all_dev) / 2) AS uniformity, 1 - least(1.0::DOUBLE, list_var_pop([mt, mb, ml, mr]) / 400) AS sides,
+  CASE WHEN w < 4 THEN 0.8::DOUBLE ELSE 1 - least(1.0::DOUBLE, list_var_pop(corner) / 200) END AS corners, CASE WHEN w > 2 THEN least(1.0::DOUBLE, edge / 30) ELSE 0.5::DOUBLE END AS step FROM parts)"""
+_SPREAD = "spread AS (SELECT image, stddev_pop(gray) AS all_dev FROM pixels GROUP BY image)"
+
+
+@query(f"""WITH {_P}, {views.GRADIENTS_SQL}, {_SPREAD}, widths AS (SELECT 5 AS w), {_PARTS}
+ SELECT image, round(uniformity, 6) AS uniformity, round(sides, 6) AS side_consistency, round(corners, 6) AS corner_consistency FROM rated""")
 def border_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pixels.border_statistics(views.pixels(spark, sf_dir)))
 
 
+@query(f"""WITH {_P}, {views.GRADIENTS_SQL}, {_SPREAD}, widths AS (SELECT unnest([2, 3]) AS w), {_PARTS}, {_SHADE},
+ scored AS (SELECT image, w, away, CASE WHEN all_dev < 30 THEN 0.35::DOUBLE * 1.2 ELSE 0.35::DOUBLE END AS bar, away >= 15 AND uniformity >= 0.75 AND sides >= 0.70 AS fit, (0.40::DOUBLE * least(1.0::DOUBLE, away / 30) + 0.30::DOUBLE * greatest(0.0::DOUBLE, (uniformity - 0.5) * 2)
+  + 0.15::DOUBLE * sides + 0.10::DOUBLE * step + 0.05::DOUBLE * corners) * CASE WHEN all_dev < 30 THEN 0.9::DOUBLE ELSE 1 END AS score FROM rated),
+ best AS (SELECT image, any_value(bar) AS bar, arg_max({{'w': w, 'away': away, 'score': score}}, (score, -w)) FILTER (fit) AS b FROM scored GROUP BY image),
+ judged AS (SELECT image, coalesce(b.w, 0) AS w, coalesce(b.away, 0) AS away, coalesce(b.score, 0) AS s, bar, s.score > 0.6 AND s.ratio > 1.2 AS dark FROM best JOIN shaded s USING (image))
+ SELECT image, w AS border_width, round(away, 6) AS difference, round(CASE WHEN s > bar AND dark AND s < bar * 1.5 THEN s * 0.8 ELSE s END, 6) AS score, s > bar AND NOT (dark AND s < bar * 1.5) AS detected FROM judged""")
+def simple_border(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.simple_border(views.pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {_P}, t AS (SELECT image, w, abs(avg(gray) FILTER (WHERE {_STROKE}) - avg(gray) FILTER (WHERE {_INSIDE})) AS away, stddev_pop(gray) FILTER (WHERE {_STROKE}) AS dev FROM pixels, (SELECT unnest([2, 3, 4, 6]) AS w) GROUP BY image, w),
+ b AS (SELECT image, coalesce(arg_max(w, (away * (1 - least(1.0::DOUBLE, dev / 30)), -w)) FILTER (away > 15 AND dev < 30), 0) AS w FROM t GROUP BY image)
+ SELECT image, w AS border_width, CASE WHEN w > 0 THEN 4 ELSE 0 END AS n_regions, CASE WHEN w > 0 THEN 'top:0,0,64,' || w || ' bottom:0,' || 64 - w || ',64,64 left:0,0,' || w || ',64 right:' || 64 - w || ',0,64,64' ELSE '' END AS regions FROM b""")
+def border_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pixels.border_region(views.pixels(spark, sf_dir))
+    named = F.transform("regions", lambda r: F.concat_ws(":", r["side"], F.concat_ws(",", r["x0"], r["y0"], r["x1"], r["y1"])))
+    return found.select("image", "border_width", F.size("regions").alias("n_regions"), F.array_join(named, " ").alias("regions"))
+
+
+@query(f"""WITH {_P}, {views.GRADIENTS_SQL}, s AS (SELECT image, {_sides("avg", "m", "5")}, {_sides("stddev_pop", "d", "5")}, avg(m) FILTER (WHERE {_OUTLINE.replace("w", "5")}) AS edge FROM grad GROUP BY image),
+ e AS (SELECT *, [1 - least(1.0::DOUBLE, dt / 30), 1 - least(1.0::DOUBLE, db / 30), 1 - least(1.0::DOUBLE, dl / 30), 1 - least(1.0::DOUBLE, dr / 30)] AS even FROM s)
+ SELECT image, round(list_min(even), 6) AS least_uniformity, round(CASE WHEN list_avg(even) > 0 THEN 1 - list_stddev_pop(even) / list_avg(even) ELSE 1 END, 6) AS side_consistency,
+ round((2 - least(1.0::DOUBLE, abs(mt - mb) / 50) - least(1.0::DOUBLE, abs(ml - mr) / 50)) / 2, 6) AS symmetry, round(least(1.0::DOUBLE, edge / 50), 6) AS sharpness FROM e""")
+def side_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.side_measures(views.pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {_P}, h AS (SELECT image, gray // 4 AS bin, count(*) FILTER (y < 9) AS t, count(*) FILTER (y >= 55) AS b, count(*) FILTER (x < 9) AS l, count(*) FILTER (x >= 55) AS r FROM pixels GROUP BY image, gray // 4),
+ f AS (SELECT i.image, n.range AS bin, coalesce(t, 0) AS t, coalesce(b, 0) AS b, coalesce(l, 0) AS l, coalesce(r, 0) AS r FROM (SELECT DISTINCT image FROM h) i CROSS JOIN range(64) n LEFT JOIN h ON h.image = i.image AND h.bin = n.range),
+ s AS (SELECT image, (CASE WHEN var_pop(t) * var_pop(b) > 1e-12 THEN corr(t, b) ELSE 1 END + CASE WHEN var_pop(l) * var_pop(r) > 1e-12 THEN corr(l, r) ELSE 1 END) / 2 AS score FROM f GROUP BY image)
+ SELECT image, round(score, 6) AS score, score > 0.7 AS symmetric FROM s""")
+def border_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.border_symmetry(views.pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {_P}, {views.GRADIENTS_SQL}, r AS (SELECT image, avg(m) FILTER (NOT (x BETWEEN 9 AND 55 AND y BETWEEN 9 AND 55)) / (avg(m) FILTER (x BETWEEN 9 AND 55 AND y BETWEEN 9 AND 55) + 1e-10) AS ratio FROM grad GROUP BY image)
+ SELECT image, round(ratio, 6) AS ratio, ratio > 1.5 AS framed FROM r""")
+def gradient_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.gradient_ratio(views.pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {_P}, s AS (SELECT image, avg(gray) AS m, stddev_pop(gray) AS d, avg(abs(gray - 128)) / 8 AS t, image % 3 * 1000 AS side FROM pixels GROUP BY image)
+ SELECT image, CASE WHEN d < 30 THEN greatest(10, floor(m * 0.3::DOUBLE)) WHEN d > 60 THEN greatest(30, floor(m * 0.4::DOUBLE)) ELSE 50 END::BIGINT AS low, CASE WHEN d < 30 THEN greatest(30, floor(m * 0.8::DOUBLE)) WHEN d > 60 THEN greatest(90, floor(m)) ELSE 150 END::BIGINT AS high,
+ CASE WHEN d < 20 THEN 21.0::DOUBLE WHEN d > 50 THEN 39.0::DOUBLE ELSE 30.0::DOUBLE END AS contrast, CASE WHEN t < 3 THEN 1.5::DOUBLE WHEN t > 10 THEN 2.16::DOUBLE ELSE 1.8::DOUBLE END AS sensitivity,
+ CASE WHEN side < 500 THEN 0.18::DOUBLE WHEN side > 2000 THEN 0.12::DOUBLE ELSE 0.15::DOUBLE END AS perimeter FROM s""")
+def statistic_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = views.pixels(spark, sf_dir).groupBy("image").agg(F.avg("gray").alias("m"), F.stddev_pop("gray").alias("d"), (F.avg(F.abs(F.col("gray") - 128)) / 8).alias("t"))
+    return _rounded(one.select("image", tiers.statistic_thresholds(F.col("m"), F.col("d"), F.col("t"), F.col("image") % 3 * 1000).alias("s")).select("image", "s.*"))
+
+
+@query(f"""WITH {_P}, {views.COLOURS_SQL}, w AS (SELECT *, 5 AS w FROM colours), s AS (SELECT image, [{", ".join(f"abs(avg({c}) FILTER (WHERE {_STROKE}) - avg({c}) FILTER (WHERE {_INSIDE}))" for c in "rgb")}] AS steps FROM w GROUP BY image)
+ SELECT image, round(CASE WHEN list_avg(steps) > 0 THEN 1 - least(1.0::DOUBLE, list_var_pop(steps) / pow(list_avg(steps), 2)) ELSE 0 END, 6) AS colour_consistency FROM s""")
+def colour_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.colour_consistency(views.colours(spark, sf_dir)))
+
+
+@query(f"""WITH {_P}, {views.COLOURS_SQL}, c AS (SELECT image, 'r' AS channel, r AS v FROM colours UNION ALL SELECT image, 'g', g FROM colours UNION ALL SELECT image, 'b', b FROM colours), h AS (SELECT image, channel, v, count(*) AS n FROM c GROUP BY ALL),
+ f AS (SELECT i.image, i.channel, b.range AS v, coalesce(n, 0) AS n FROM (SELECT DISTINCT image, channel FROM h) i CROSS JOIN range(256) b LEFT JOIN h ON h.image = i.image AND h.channel = i.channel AND h.v = b.range),
+ w AS (SELECT *, lag(n) OVER o AS before, lead(n) OVER o AS after FROM f WINDOW o AS (PARTITION BY image, channel ORDER BY v)),
+ e AS (SELECT image, channel, -sum(n / 4096.0::DOUBLE * log2(n / 4096.0::DOUBLE + 1e-10)) AS entropy, count(*) FILTER (n > before AND n > after) AS peaks FROM w GROUP BY image, channel),
+ t AS (SELECT image, avg(entropy) AS entropy, sum(peaks) AS n_peaks FROM e GROUP BY image), s AS (SELECT *, CASE WHEN entropy < 5 THEN 15 ELSE 0 END + CASE WHEN n_peaks > 30 THEN 10 ELSE 0 END + CASE WHEN entropy < 4 THEN 20 ELSE 0 END AS score FROM t)
+ SELECT image, round(entropy, 6) AS entropy, n_peaks, score::DOUBLE AS score, score < 20 AS passed FROM s""")
+def fallback_editing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.fallback_editing(views.colours(spark, sf_dir)))
+
+
 # --- reports -----------------------------------------------------------------------------------------------------
 
 _O = views.OPS_SQL

@@ -182,3 +182,19 @@ pixels AS (SELECT image, x.i AS x, y.i AS y, CASE
   WHEN image % 4 = 3 THEN greatest(0, least(255, 230 - ((2 * x.i - 63) * (2 * x.i - 63) + (2 * y.i - 63) * (2 * y.i - 63)) // 50))
   ELSE floor(u[x.i + 1] * u[y.i + 1] * 255)::INT END AS gray
   FROM gray, axis x, axis y)"""
+
+#: Channels of the pictures in colour, from their gray.
+CHANNELS = "gray AS r, (gray * 3 + x) % 256 AS g, 255 - gray AS b"
+COLOURS_SQL = f"colours AS (SELECT image, x, y, {CHANNELS} FROM pixels)"
+
+
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, x, y, r, g, b) of the same pictures."""
+    return pixels(spark, sf_dir).selectExpr("image", "x", "y", *CHANNELS.split(", "))
+
+
+#: Sobel gradients of ``pixels``, edges mirrored.
+GRADIENTS_SQL = """flat AS (SELECT image, x, y, gray, coalesce(lead(gray) OVER r, lag(gray) OVER r) - coalesce(lag(gray) OVER r, lead(gray) OVER r) AS slope,
+ coalesce(lead(gray) OVER r, lag(gray) OVER r) + 2 * gray + coalesce(lag(gray) OVER r, lead(gray) OVER r) AS level FROM pixels WINDOW r AS (PARTITION BY image, y ORDER BY x)),
+grad AS (SELECT image, x, y, gray, sqrt(pow(coalesce(lag(slope) OVER c, lead(slope) OVER c) + 2 * slope + coalesce(lead(slope) OVER c, lag(slope) OVER c), 2)
+ + pow(coalesce(lead(level) OVER c, lag(level) OVER c) - coalesce(lag(level) OVER c, lead(level) OVER c), 2)) AS m FROM flat WINDOW c AS (PARTITION BY image, x ORDER BY y))"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridproof.functions import scores, tiers
 from gridproof.operators import kernels, ocr, pixels, specs
-from gridproof.sources import images
+from gridproof.sources import configs, copies, images
 from gridproof.streaming import scans
 
 
@@ -79,6 +79,48 @@ def test_kernels():
     assert kernels.noise_deviation(dot) == pytest.approx(np.std([251] + [0] * 80))
 
 
+def picture(spark, arrays):
+    rows = [(k, x, y, int(a[y, x])) for k, a in arrays.items() for y in range(a.shape[0]) for x in range(a.shape[1])]
+    return spark.createDataFrame(rows, "image string, x int, y int, gray int")
+
+
+def test_gradients_are_sobel(spark):
+    a = np.random.default_rng(1).integers(0, 256, (6, 9))
+    got = {(r.y, r.x): r.magnitude for r in pixels.gradients(picture(spark, {"a": a})).collect()}
+    want = np.hypot(*kernels.sobel(a))
+    assert all(got[y, x] == pytest.approx(want[y, x]) for y in range(6) for x in range(9))
+
+
+def test_borders_of_made_pictures(spark):
+    rng = np.random.default_rng(2)
+    noise = rng.integers(60, 140, (64, 64))
+    framed, dark = np.full((64, 64), 250), np.full((64, 64), 250)
+    framed[5:59, 5:59] = noise[5:59, 5:59]
+    y, x = np.mgrid[:64, :64]
+    dark = np.clip(230 - ((x - 32) ** 2 + (y - 32) ** 2) // 10, 0, 255)
+    table = picture(spark, {"framed": framed, "noise": noise, "dark": dark, "flat": np.full((64, 64), 90)})
+
+    def of(f, field):
+        return {r.image: r[field] for r in f(table).collect()}
+
+    assert of(pixels.obvious_border, "detected") == {"framed": True, "noise": False, "dark": False, "flat": False}  # the dark sides are not even
+    assert of(pixels.obvious_border, "border_width")["framed"] in (3, 4, 5, 6) and of(pixels.obvious_border, "border_width")["flat"] == 0
+    simple = of(pixels.simple_border, "detected")
+    assert simple["framed"] and not simple["noise"] and not simple["flat"]
+    assert of(pixels.vignette, "vignetted") == {"framed": False, "noise": False, "dark": True, "flat": False}
+    assert of(pixels.border_symmetry, "symmetric")["framed"] and of(pixels.gradient_ratio, "framed")["framed"]
+    assert of(pixels.border_region, "border_width")["framed"] == 6 and of(pixels.border_region, "regions")["flat"] == []
+    assert of(pixels.side_measures, "least_uniformity")["framed"] == 1.0
+    assert of(pixels.uniform_background, "uniform") == {"framed": False, "noise": False, "dark": False, "flat": True}
+    assert pixels.simple_border(table.limit(0)).count() == 0
+
+
+def test_textured_frame_is_by_region():
+    flat = np.full((40, 40), 100.0)
+    flat[:6] = np.random.default_rng(3).integers(0, 256, (6, 40))
+    assert kernels.texture_frame(flat)["textured"] and not kernels.texture_frame(np.full((40, 40), 7.0))["textured"]
+
+
 def test_image_files(spark, tmp_path):
     rng = np.random.default_rng(0)
     gray = rng.integers(0, 256, (64, 64))
@@ -110,3 +152,37 @@ def test_stream_validates_once(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.path for r in spark.sql("SELECT path FROM once").collect()) == ["a", "b"]
+
+
+def test_settings(spark, tmp_path):
+    assert configs.BorderSettings().faults() == configs.SystemSettings().faults() == configs.DetectorSettings().faults() == []
+    (tmp_path / "a.json").write_text('{"COLOR_DIFF_THRESHOLD": 20, "unknown": 1}')
+    (tmp_path / "b.json").write_text('{"confidence_threshold_low": 0.9}')
+    (tmp_path / "c.json").write_text("not json")
+    (tmp_path / "d.json").write_text('{"processing_mode": "other", "cache_size": 9}')
+    (tmp_path / "e.json").write_text('{"text_count_thresholds": 5}')
+    read = lambda name, kind=configs.BorderSettings: configs.read_settings(spark, str(tmp_path / name), kind)
+    assert read("a.json").color_diff_threshold == 20
+    assert read("b.json") == read("c.json") == read("missing.json") == configs.BorderSettings()
+    assert read("d.json", configs.SystemSettings) == read("e.json", configs.SystemSettings) == configs.SystemSettings()
+    assert configs.settings_of(configs.BorderSettings, {"apply_gaussian_blur": True, "use_bilateral_filter": True}) == configs.BorderSettings()
+    configs.write_settings(spark, configs.DetectorSettings(max_retry_attempts=7), str(tmp_path / "w"))
+    assert read("w", configs.DetectorSettings).max_retry_attempts == 7
+
+
+def test_copies(spark, tmp_path):
+    for name in ("a/x.png", "b/x.png", "c/y.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    rows = [(f"{tmp_path}/a/x.png", "x.png", "fail"), (f"file://{tmp_path}/b/x.png", "x.png", "fail"), (f"{tmp_path}/c/y.png", "y.png", "odd"), (f"{tmp_path}/no.png", "no.png", "pass"), (f"{tmp_path}/a/x.png", "x.png", None)]
+    table = spark.createDataFrame(rows, "path string, filename string, status string")
+    plan = copies.copy_plan(table, "tier")
+    assert sorted(str(r.target) for r in plan.collect()) == ["None", "invalid/x.png", "invalid/x_1.png", "invalid/y.png", "valid/no.png"]
+    done = {r.target: r.error for r in copies.copy_files(plan, str(tmp_path / "out")).collect()}
+    assert done.pop("valid/no.png").startswith("FileNotFoundError") and set(done.values()) == {None}
+    assert sorted(p.name for p in (tmp_path / "out" / "invalid").iterdir()) == ["x.png", "x_1.png", "y.png"]
+    last = copies.copy_plan(table, "tier", clash="last")
+    assert last.count() == 5 and last.where("target = 'invalid/x.png'").count() == 1
+    for status in ("pass", "fail"):
+        copies.write_by_status(table.where(F.col("status") == status), str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "v")).count() == 3
