@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridproof.functions import scores, tiers
-from gridproof.operators import kernels, ocr, pixels, specs
+from gridproof.operators import contours, kernels, ocr, pixels, specs
 from gridproof.sources import configs, copies, images
 from gridproof.streaming import scans
 
@@ -186,3 +186,35 @@ def test_copies(spark, tmp_path):
     for status in ("pass", "fail"):
         copies.write_by_status(table.where(F.col("status") == status), str(tmp_path / "v"))
     assert spark.read.parquet(str(tmp_path / "v")).count() == 3
+
+
+def test_outer_contours_and_shapes():
+    mask = np.zeros((40, 50), bool)
+    mask[5:35, 5:45] = True
+    mask[8:32, 8:42] = False  # a ring
+    mask[15:20, 15:20] = True  # enclosed by it
+    mask[38, 2] = True
+    found = contours.outer_contours(mask)
+    assert len(found) == 2
+    ring, filled = max(found, key=lambda c: len(c[0]))
+    assert contours.area_of(ring) == (29 * 39, (24.5, 19.5)) and contours.length_of(ring) == 2 * (29 + 39) and filled.sum() == 30 * 40
+    assert {tuple(p) for p in contours.simplified(ring, 2.0)} == {(5, 5), (44, 5), (44, 34), (5, 34)}
+    assert contours.least_rectangle(ring)[:3] == (39, 29, 0)
+    turned = np.array([(10, 0), (20, 10), (10, 20), (0, 10)])
+    assert contours.least_rectangle(turned)[:3] == pytest.approx((200**0.5, 200**0.5, 45))
+    got = contours.frame_contour(found, 40, 50)
+    assert got["frame"] and got["frame_score"] > 0.7
+    assert not contours.frame_contour(found, 40, 50, perimeter=np.zeros((40, 50), bool))["frame"] and contours.frame_contour([], 40, 50) == {"frame": False, "frame_score": 0.0}
+    assert contours.quadrilateral(ring, 40, 50)["quad"]
+
+
+def test_frame_features(spark):
+    g = np.full((48, 48), 40, np.uint8)
+    g[2:46, 2:46] = 220
+    flat = contours.bilateral(np.full((20, 20), 9.0))
+    assert (flat == 9).all() and contours.local_equalised(flat).std() == 0
+    rows = [(1, 48, 48, bytes(g.ravel())), (2, 48, 48, None), (3, 4, 4, bytes(16)), (4, 32, 32, bytes(1024))]
+    got = {r.image: r for r in contours.frame_features(spark.createDataFrame(rows, "image int, width int, height int, gray binary")).collect()}
+    assert len(got) == 4 and got[2].frame is None and got[3].boxes == []
+    assert len(got[1].boxes) == 1 and got[1].boxes[0].w >= 43
+    assert got[4].boxes == []
