@@ -343,3 +343,62 @@ def fallback_editing(colours: DataFrame) -> DataFrame:
     one = full.select("image", entropy.alias("entropy"), peaks.alias("peaks")).groupBy("image").agg(F.avg("entropy").alias("entropy"), F.sum("peaks").alias("n_peaks"))
     score = fallback_editing_score(F.col("entropy"), F.col("n_peaks"))
     return one.select("image", "entropy", "n_peaks", score.cast("double").alias("score"), (score < 20).alias("passed"))
+
+
+def hsv(r: Column, g: Column, b: Column) -> dict[str, Column]:
+    """Hue (0..179), saturation and value (0..255) of a colour, rounded to whole numbers."""
+    top, span = F.greatest(r, g, b), (F.greatest(r, g, b) - F.least(r, g, b)).cast("double")
+    turn = F.when(span == 0, 0.0).when(top == r, (g - b) * 60.0 / span).when(top == g, (b - r) * 60.0 / span + 120).otherwise((r - g) * 60.0 / span + 240)
+    hue = F.round(F.when(turn < 0, turn + 360).otherwise(turn) / 2)
+    return {"h": F.when(hue == 180, 0.0).otherwise(hue), "s": F.when(top == 0, 0.0).otherwise(F.round(span * 255 / top)), "v": top.cast("double")}
+
+
+#: Rows of the matrix from linear RGB to XYZ, over the white point. Fixed values.
+XYZ = {"X": (0.412453, 0.357580, 0.180423, 0.950456), "Y": (0.212671, 0.715160, 0.072169, 1.0), "Z": (0.019334, 0.119193, 0.950227, 1.088754)}
+
+
+def lab(r: Column, g: Column, b: Column) -> dict[str, Column]:
+    """Lightness and the two colour axes, each scaled to 0..255 and rounded."""
+
+    def linear(c: Column) -> Column:
+        u = c / F.lit(255.0)
+        return F.when(u > 0.04045, F.pow((u + 0.055) / 1.055, F.lit(2.4))).otherwise(u / 12.92)
+
+    xyz = {k: (linear(r) * p + linear(g) * q + linear(b) * s) / white for k, (p, q, s, white) in XYZ.items()}
+    f = {k: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(t * 7.787 + 16 / 116) for k, t in xyz.items()}
+    light = F.when(xyz["Y"] > 0.008856, f["Y"] * 116 - 16).otherwise(xyz["Y"] * 903.3)
+    return {"l": F.round(light * 255 / 100), "a": F.round((f["X"] - f["Y"]) * 500 + 128), "b_": F.round((f["Y"] - f["Z"]) * 200 + 128)}
+
+
+def colour_frame(colours: DataFrame, width: int = 64, height: int = 64, contrast: float = 30.0) -> DataFrame:
+    """(image, difference, confidence, detected): a frame by the strongest step in gray, hue, saturation, value or lightness.
+
+    For each candidate width the outer line is compared with the line inside it (gray) and with the middle; hue counts
+    round the circle. A step above 1, in units of each channel, is a frame.
+    """
+    x, y = F.col("x"), F.col("y")
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    gray = F.round(r * 0.299 + g * 0.587 + b * 0.114)
+    parts = {"gray": gray, **hsv(r, g, b), **lab(r, g, b)}
+    flat = colours.select("image", "x", "y", *[c.alias(n) for n, c in parts.items()])
+    widths = sorted({w for s in (0.01, 0.02, 0.03, 0.05) if (w := int(min(width, height) * s)) >= 1})
+    aggs = []
+    for w in widths:
+        inset = max(1, w // 2)
+        near = inset // 2
+        box = x.between(w - near, width - w + near) & y.between(w - near, height - w + near)
+        line = box & ~(x.between(w + near + 1, width - w - near - 1) & y.between(w + near + 1, height - w - near - 1))
+        rim, middle = stroke(width, height, w), enclosed(width, height, w + inset)
+        aggs += [F.avg(F.when(line, F.col("gray"))).alias(f"line_{w}"), F.stddev_pop(F.when(rim, F.col("gray"))).alias(f"dev_{w}")]
+        aggs += [F.avg(F.when(where, F.col(n))).alias(f"{n}_{k}_{w}") for n in parts for k, where in (("out", rim), ("in", middle))]
+    one = flat.groupBy("image").agg(*aggs or [F.count("*").alias("n")])
+    scored = [F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("w"), F.lit(0.0).alias("difference"))]
+    for w in widths:
+        step = {n: F.abs(F.col(f"{n}_out_{w}") - F.col(f"{n}_in_{w}")) for n in parts}
+        away = F.greatest(F.abs(F.col(f"gray_out_{w}") - F.col(f"line_{w}")), step["gray"])
+        even = F.lit(1.0) - F.least(F.lit(1.0), F.col(f"dev_{w}") / 40)
+        others = [F.least(step["h"], F.lit(180.0) - step["h"]) / 90, step["s"] / 128, step["v"] / 128, step["l"] / 100, step["a"] / 127, step["b_"] / 127]
+        score = F.greatest(away / contrast * (even * 0.5 + 1), *[F.least(F.lit(1.5), o) for o in others])
+        scored.append(F.when(score > 0, F.struct(score.alias("score"), F.lit(-w).alias("w"), away.alias("difference"))).otherwise(scored[0]))
+    best = F.array_max(F.array(*scored))
+    return one.select("image", best.alias("q")).select("image", F.col("q.difference").alias("difference"), F.least(F.lit(1.0), F.col("q.score") / 2).alias("confidence"), (F.col("q.score") > 1).alias("detected"))

@@ -517,6 +517,25 @@ def fallback_editing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pixels.fallback_editing(views.colours(spark, sf_dir)))
 
 
+_LINEAR = "CASE WHEN {0} / 255.0::DOUBLE > 0.04045 THEN pow(({0} / 255.0::DOUBLE + 0.055) / 1.055, 2.4::DOUBLE) ELSE {0} / 255.0::DOUBLE / 12.92 END"
+_TONES = f"""lin AS (SELECT *, {", ".join(f"{_LINEAR.format(c)} AS l{c}" for c in "rgb")} FROM colours),
+xyz AS (SELECT *, (lr * 0.412453::DOUBLE + lg * 0.357580::DOUBLE + lb * 0.180423::DOUBLE) / 0.950456 AS tx, lr * 0.212671::DOUBLE + lg * 0.715160::DOUBLE + lb * 0.072169::DOUBLE AS ty, (lr * 0.019334::DOUBLE + lg * 0.119193::DOUBLE + lb * 0.950227::DOUBLE) / 1.088754 AS tz FROM lin),
+cube AS (SELECT *, {", ".join(f"CASE WHEN t{c} > 0.008856 THEN pow(t{c}, 1 / 3.0::DOUBLE) ELSE t{c} * 7.787 + 16 / 116.0::DOUBLE END AS f{c}" for c in "xyz")}, greatest(r, g, b) AS top, (greatest(r, g, b) - least(r, g, b))::DOUBLE AS span FROM xyz),
+turned AS (SELECT *, CASE WHEN span = 0 THEN 0 WHEN top = r THEN (g - b) * 60.0::DOUBLE / span WHEN top = g THEN (b - r) * 60.0::DOUBLE / span + 120 ELSE (r - g) * 60.0::DOUBLE / span + 240 END AS turn FROM cube),
+tones AS (SELECT image, x, y, round(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE) AS gray, round(CASE WHEN turn < 0 THEN turn + 360 ELSE turn END / 2) % 180 AS h, CASE WHEN top = 0 THEN 0 ELSE round(span * 255 / top) END AS s, top AS v,
+ round(CASE WHEN ty > 0.008856 THEN fy * 116 - 16 ELSE ty * 903.3 END * 255 / 100) AS l, round((fx - fy) * 500 + 128) AS a, round((fy - fz) * 200 + 128) AS b FROM turned)"""
+_MIDDLE = "(x BETWEEN w + 1 AND 63 - w AND y BETWEEN w + 1 AND 63 - w)"
+_LINE = "(x BETWEEN w AND 64 - w AND y BETWEEN w AND 64 - w AND NOT (x BETWEEN w + 1 AND 63 - w AND y BETWEEN w + 1 AND 63 - w))"
+
+
+@query(f"""WITH {_P}, {views.COLOURS_SQL}, {_TONES}, d AS (SELECT image, w, abs(avg(gray) FILTER (WHERE {_STROKE}) - avg(gray) FILTER (WHERE {_LINE})) AS near, stddev_pop(gray) FILTER (WHERE {_STROKE}) AS dev,
+ {", ".join(f"abs(avg({c}) FILTER (WHERE {_STROKE}) - avg({c}) FILTER (WHERE {_MIDDLE})) AS d{c}" for c in ("gray", "h", "s", "v", "l", "a", "b"))} FROM tones, (SELECT unnest([1, 3]) AS w) GROUP BY image, w),
+ s AS (SELECT image, w, greatest(near, dgray) AS away, greatest(greatest(near, dgray) / 30 * (1 + 0.5::DOUBLE * (1 - least(1.0::DOUBLE, dev / 40))), least(1.5::DOUBLE, least(dh, 180 - dh) / 90), least(1.5::DOUBLE, ds / 128), least(1.5::DOUBLE, dv / 128), least(1.5::DOUBLE, dl / 100), least(1.5::DOUBLE, da / 127), least(1.5::DOUBLE, db / 127)) AS score FROM d),
+ b AS (SELECT image, arg_max(away, (score, -w)) AS away, max(score) AS score FROM s GROUP BY image) SELECT image, round(away, 6) AS difference, round(least(1.0::DOUBLE, score / 2), 6) AS confidence, score > 1 AS detected FROM b""")
+def colour_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pixels.colour_frame(views.colours(spark, sf_dir)))
+
+
 # --- reports -----------------------------------------------------------------------------------------------------
 
 _O = views.OPS_SQL

@@ -218,3 +218,11 @@ def test_frame_features(spark):
     assert len(got) == 4 and got[2].frame is None and got[3].boxes == []
     assert len(got[1].boxes) == 1 and got[1].boxes[0].w >= 43
     assert got[4].boxes == []
+
+
+def test_colour_spaces(spark):
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    rows = [(255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 255), (0, 0, 0)]
+    got = values(spark, rows, "r int, g int, b int", *pixels.hsv(r, g, b).values(), *pixels.lab(r, g, b).values())
+    assert got[0] == (0, 255, 255, 136, 208, 195) and got[1][:3] == (60, 255, 255) and got[2][:3] == (120, 255, 255)
+    assert got[3] == (0, 0, 255, 255, 128, 128) and got[4] == (0, 0, 0, 0, 128, 128)
