@@ -377,10 +377,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"""WITH {_P}, h AS (SELECT image, gray, count(*) / 4096.0::DOUBLE AS p FROM pixels GROUP BY image, gray), ids AS (SELECT DISTINCT image FROM pixels),
  f AS (SELECT i.image, b.range::INT AS bin, coalesce(h.p, 0) AS p FROM ids i CROSS JOIN range(256) b LEFT JOIN h ON h.image = i.image AND h.gray = b.range),
- w AS (SELECT *, lag(p) OVER o AS before, lead(p) OVER o AS after, sum(p) OVER o AS cum, max(p) OVER (PARTITION BY image) AS top FROM f WINDOW o AS (PARTITION BY image ORDER BY bin))
+ w AS (SELECT *, lag(p) OVER o AS before, lead(p) OVER o AS after, sum(p) OVER o AS cum, max(p) OVER (PARTITION BY image) AS top FROM f WINDOW o AS (PARTITION BY image ORDER BY bin)),
+ e AS (SELECT image, p, top, lag(p) OVER o AS before, lead(p) OVER o AS after FROM w WHERE before IS NULL OR p <> before WINDOW o AS (PARTITION BY image ORDER BY bin)),
+ k AS (SELECT image, count(*) FILTER (p > before AND p > after AND p >= top * 0.1) AS n FROM e GROUP BY image)
  SELECT image, round(sum(p) FILTER (bin = 0) * 100, 6) AS black_clipping, round(sum(p) FILTER (bin = 255) * 100, 6) AS white_clipping, round(sum(p) FILTER (bin IN (0, 255)) * 100, 6) AS total_clipping,
- round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS entropy, round(1 / (1 + var_pop(p - before)), 6) AS smoothness, count(*) FILTER (p > before AND p > after AND p >= top * 0.1) AS n_peaks,
- round(max(abs(cum - (bin + 1) / 256.0::DOUBLE)), 6) AS ks FROM w GROUP BY image""")
+ round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS entropy, round(1 / (1 + var_pop(p - before)), 6) AS smoothness, any_value(k.n) AS n_peaks,
+ round(max(abs(cum - (bin + 1) / 256.0::DOUBLE)), 6) AS ks FROM w JOIN k USING (image) GROUP BY image""")
 def histogram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pixels.histogram_features(views.pixels(spark, sf_dir)))
 

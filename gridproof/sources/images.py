@@ -43,6 +43,31 @@ def slice_scan(files: DataFrame, start: int = 0, most: int | None = None) -> Dat
     return rest if most is None else rest.limit(most)
 
 
+def tiff_header(content: bytes) -> tuple:
+    """As ``header``, from the first directory of a TIFF file; nulls where it is cut off or has no size."""
+    order = "<" if content[:2] == b"II" else ">"
+    tags: dict[int, float] = {}
+    try:
+        at = struct.unpack_from(f"{order}I", content, 4)[0]
+        for k in range(struct.unpack_from(f"{order}H", content, at)[0]):
+            tag, kind, n, value = struct.unpack_from(f"{order}HHII", content, at + 2 + 12 * k)
+            place = at + 2 + 12 * k + 8
+            if kind == 3 and n <= 2:
+                value = struct.unpack_from(f"{order}H", content, place)[0]
+            elif kind == 5:
+                above, below = struct.unpack_from(f"{order}II", content, value)
+                value = above / below if below else 0
+            tags[tag] = value
+    except struct.error:
+        return (None,) * 6
+    if 256 not in tags or 257 not in tags:
+        return (None,) * 6
+    samples = tags.get(277, 1)
+    mode = {0: "L", 1: "L", 2: "RGBA" if samples == 4 else "RGB", 3: "P", 5: "CMYK"}.get(tags.get(262))
+    unit = {3: 2.54}.get(tags.get(296, 2), 1.0)
+    return "TIFF", int(tags[256]), int(tags[257]), mode, (tags.get(282) or 72.0 / unit) * unit, (tags.get(283) or 72.0 / unit) * unit
+
+
 def header(content: bytes) -> tuple:
     """(format, width, height, mode, dpi_x, dpi_y) from a file's first bytes; nulls for what is no known image."""
     if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 26:
@@ -73,6 +98,19 @@ def header(content: bytes) -> tuple:
     if content[:2] == b"BM" and len(content) >= 26:
         w, h = struct.unpack("<ii", content[18:26])
         return "BMP", w, abs(h), "RGB", 72.0, 72.0
+    if content[:4] in (b"II*\0", b"MM\0*"):
+        return tiff_header(content)
+    if content[:4] == b"RIFF" and content[8:12] == b"WEBP" and len(content) >= 30:
+        kind = content[12:16]
+        if kind == b"VP8X":
+            w, h = (int.from_bytes(content[k : k + 3], "little") + 1 for k in (24, 27))
+            return "WEBP", w, h, "RGBA" if content[20] & 16 else "RGB", 72.0, 72.0
+        if kind == b"VP8L":
+            bits = int.from_bytes(content[21:25], "little")
+            return "WEBP", (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, "RGBA" if bits >> 28 & 1 else "RGB", 72.0, 72.0
+        if kind == b"VP8 ":
+            w, h = struct.unpack("<HH", content[26:30])
+            return "WEBP", w & 0x3FFF, h & 0x3FFF, "RGB", 72.0, 72.0
     if content[:4] in (b"GIF8",) and len(content) >= 10:
         return "GIF", *struct.unpack("<HH", content[6:10]), "P", 72.0, 72.0
     return None, None, None, None, None, None

@@ -1,6 +1,7 @@
 """Thresholds at their boundaries, odd values, image files and streams."""
 
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -226,3 +227,22 @@ def test_colour_spaces(spark):
     got = values(spark, rows, "r int, g int, b int", *pixels.hsv(r, g, b).values(), *pixels.lab(r, g, b).values())
     assert got[0] == (0, 255, 255, 136, 208, 195) and got[1][:3] == (60, 255, 255) and got[2][:3] == (120, 255, 255)
     assert got[3] == (0, 0, 255, 255, 128, 128) and got[4] == (0, 0, 0, 0, 128, 128)
+
+
+def test_other_headers():
+    entries = [(256, 4, 1, 640), (257, 3, 1, 480), (262, 3, 1, 5), (277, 3, 1, 4), (282, 5, 1, 200), (283, 5, 1, 200), (296, 3, 1, 3)]
+    for order, mark in (("<", b"II*\0"), (">", b"MM\0*")):
+        body = struct.pack(f"{order}H", len(entries))
+        for tag, kind, n, v in entries:
+            body += struct.pack(f"{order}HHI", tag, kind, n) + (struct.pack(f"{order}HH", v, 0) if kind == 3 else struct.pack(f"{order}I", v))
+        data = (mark + struct.pack(f"{order}I", 8) + body).ljust(200, b"\0") + struct.pack(f"{order}II", 1181, 10)
+        assert images.header(data) == ("TIFF", 640, 480, "CMYK", pytest.approx(299.974), pytest.approx(299.974))
+        assert images.header(data[:30]) == (None,) * 6
+    wide = b"RIFF\0\0\0\0WEBPVP8X" + bytes(4) + b"\x10" + bytes(3) + (1919).to_bytes(3, "little") + (704).to_bytes(3, "little")
+    assert images.header(wide)[:4] == ("WEBP", 1920, 705, "RGBA") and images.header(b"RIFF") == (None,) * 6
+
+
+def test_flat_top_is_one_peak(spark):
+    gray = np.repeat([10, 11, 50, 50, 52], [8, 8, 4, 4, 1]).reshape(5, 5)  # bins 10 and 11 alike, 50, and a low one
+    got = pixels.histogram_features(picture(spark, {"a": gray})).first()
+    assert got.n_peaks == 3
