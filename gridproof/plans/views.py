@@ -45,7 +45,7 @@ SCORES = [
 OCR = [
     "conv_id AS image",
     "turn",
-    "substring(text, 1, 20) AS text",
+    "text",
     "CAST((conv_id * 31 + turn * 17) % 100 AS DOUBLE) / 100 AS confidence",
     "CAST((conv_id * 13 + turn * 7) % 40 AS INT) AS w",
     "CAST((conv_id * 5 + turn * 11) % 30 AS INT) AS h",
@@ -126,11 +126,13 @@ verdicts AS (
 
 def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
-    noise = rows.selectExpr(*[e if not e.startswith("substring") else f"{_cases('turn % 6', OCR_NOISE)} AS text" for e in OCR], "turn + 1000 AS nth")
+    noise = rows.selectExpr(*[e if e != "text" else f"{_cases('turn % 6', OCR_NOISE)} AS text" for e in OCR], "turn + 1000 AS nth")
     return rows.selectExpr(*OCR, "turn AS nth").unionByName(noise)
 
 
-OCR_SQL = f"ocr AS (SELECT {duck(OCR)}, turn AS nth FROM conversations UNION ALL SELECT {duck([e if not e.startswith('substring') else f'{_cases("turn % 6", OCR_NOISE)} AS text' for e in OCR])}, turn + 1000 FROM conversations)"
+#: The SQL as it was, with texts cut to 20 characters: ``ocr`` takes whole texts, so the two differ (README).
+_OCR_CUT = [e if e != "text" else "substring(text, 1, 20) AS text" for e in OCR]
+OCR_SQL = f"ocr AS (SELECT {duck(_OCR_CUT)}, turn AS nth FROM conversations UNION ALL SELECT {duck([e if not e.startswith('substring') else f'{_cases("turn % 6", OCR_NOISE)} AS text' for e in _OCR_CUT])}, turn + 1000 FROM conversations)"
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
