@@ -1,6 +1,6 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
-Prefix sums of turn tokens cut a conversation into spans of whole turns. A window is a span with the system turn and
+A fold over the turns' tokens cuts a conversation into spans of whole turns. A window is a span with the system turn and
 the last few turns before it repeated; the loss mask covers the assistant turns of the span itself, so that each
 assistant text is a target once. Template of a turn: ``### role: text</turn>`` and a line feed, where backslash,
 ``#``, ``<`` and ``:`` of role and text are written as two-character escapes, so that no control string can occur in them.
@@ -35,57 +35,84 @@ def tokens(text: Column) -> Column:
 
 
 def chat_windows(turns: DataFrame, budget: int = 256, history: int = 2) -> DataFrame:
-    """conv_id, window, n_context, n_turns, n_tokens, formatted, mask: array of (start, length) in code points of ``formatted``.
+    """conv_id, window, n_context, n_turns, n_tokens, oversized, formatted, mask: array of (start, length) in code points of ``formatted``.
 
     Windows of a conversation count from 0. The first ``n_context`` turns of a window repeat earlier ones (the
-    system turn, if the conversation opens with one, and at most ``history`` turns before the span). A span takes the
-    turns that start within the same ``budget`` tokens of the conversation, so it is over budget by its last turn at
-    most, and a turn is never cut. Rows without a conversation (null conv_id) are one conversation; equal turn
+    system turn, if the conversation opens with one, and at most ``history`` turns before the span). System turn,
+    history and span together stay within ``budget`` tokens: beside a span's first turn the history goes first, its
+    oldest turn before the others, then the system turn, and the span takes further turns as long as they fit. A turn
+    is never cut: one that is over the budget by itself is a span of its own, after the system turn only, and
+    ``oversized`` marks its window. Rows without a conversation (null conv_id) are one conversation; equal turn
     numbers stand in order of role and text; repeated rows are turns each; null roles and texts are empty.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    placed = rows.withColumn("nth", F.row_number().over(order)).withColumn("cost", tokens(F.col("text")))
     by_turn = Window.partitionBy("conv_id").orderBy("nth")
-    before = F.coalesce(F.sum("cost").over(by_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = placed.withColumn("bucket", F.floor(before / budget))
-    starts = (F.coalesce(F.lag("bucket").over(by_turn), F.lit(-1)) != F.col("bucket")).cast("int")
-    spanned = cut.withColumn("starts", starts).withColumn("span", F.sum("starts").over(by_turn) - 1)
-    whole = Window.partitionBy("conv_id")
-    # history: the spans that begin within the next ``history`` turns
-    later = [F.when(F.lead("starts", k).over(by_turn) == 1, F.lead("span", k).over(by_turn)) for k in range(1, history + 1)]
-    near = spanned.withColumn("later", F.array_compact(F.array(*later)) if later else F.array().cast("array<bigint>")).withColumn("last", F.max("span").over(whole))
-    system = (F.col("nth") == 1) & (F.col("role") == "system")
-    again = F.when(system & (F.col("last") > 0), F.sequence(F.lit(1).cast("long"), F.greatest(F.col("last"), F.lit(1)).cast("long"))).otherwise(F.col("later"))
-    shown = near.select("conv_id", "nth", "role", "text", "cost", "span", F.explode(F.concat(F.array("span"), again)).alias("window"))
+    placed = rows.withColumn("nth", F.row_number().over(order)).withColumn("cost", tokens(F.col("text")))
+    placed = placed.withColumns({
+        "before": F.coalesce(F.sum("cost").over(by_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "system": F.max(F.when((F.col("nth") == 1) & (F.col("role") == "system"), F.col("cost"))).over(by_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    })
+    cost, system, nth = F.col("cost"), F.col("system"), F.col("nth")
+    lowest = F.when(system.isNull(), 1).otherwise(2)
+    behind = [F.when(nth - k >= lowest, F.col("before") - F.lag("before", k).over(by_turn)) for k in range(1, history + 1)]
+    # what a window has before its own turns, if it begins at this one
+    headed = system.isNotNull() & (nth > 1) & ((system + cost <= budget) | (cost > budget))
+    sums = placed.withColumn("behind", F.array_compact(F.array(*behind)) if behind else F.array().cast("array<bigint>")).withColumn("headed", headed)
+    opened = cost + F.when(F.col("headed"), system).otherwise(0)
+    fits = F.when(F.col("headed") | system.isNull(), F.filter("behind", lambda n: n + opened <= budget)).otherwise(F.array().cast("array<bigint>"))
     head = F.concat(F.lit(HEAD), escape(F.col("role")), F.lit(MIDDLE))
     body = escape(F.col("text"))
-    own = F.col("window") == F.col("span")
     piece = F.struct(
         "nth",
         F.concat(head, body, F.lit(TAIL)).alias("piece"),
-        (own & (F.col("role") == "assistant")).alias("target"),
+        (F.col("role") == "assistant").alias("said"),
         F.length(head).alias("at"),
         F.length(body).alias("size"),
-        own.alias("own"),
         "cost",
+        F.col("headed").cast("int").alias("headed"),
+        F.size("fits").alias("n_history"),
+        (opened + F.coalesce(F.array_max("fits"), F.lit(0))).alias("opened"),
     )
-    gathered = shown.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("turns"))
+    talks = sums.withColumn("fits", fits).groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("all"))
+    none = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("starts"))
+    cut = F.aggregate(
+        "all",
+        none,
+        lambda s, t: F.when((F.size(s["starts"]) > 0) & (s["used"] + t["cost"] <= budget), F.struct((s["used"] + t["cost"]).alias("used"), s["starts"].alias("starts"))).otherwise(
+            F.struct(t["opened"].alias("used"), F.concat(s["starts"], F.array(t["nth"])).alias("starts"))
+        ),
+        lambda s: s["starts"],
+    )
+
+    def window(first: Column, i: Column) -> Column:
+        opening = F.get(F.col("all"), first - 1)
+        own = F.slice(F.col("all"), first, F.coalesce(F.get(F.col("starts"), i + 1), F.size("all") + 1) - first)
+        context = F.concat(F.slice(F.col("all"), F.lit(1), opening["headed"]), F.slice(F.col("all"), first - opening["n_history"], opening["n_history"]))
+        return F.struct(
+            i.alias("window"),
+            F.size(context).alias("n_context"),
+            (opening["cost"] > budget).alias("oversized"),
+            F.concat(F.transform(context, lambda t: t.withField("said", F.lit(False))), own).alias("turns"),
+        )
+
+    gathered = talks.withColumn("starts", cut).select("conv_id", F.inline(F.transform("starts", window)))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start: int, length: int>>").alias("mask"))
     folded = F.aggregate(
         "turns",
         start,
         lambda s, t: F.struct(
             (s["end"] + F.length(t["piece"])).alias("end"),
-            F.when(t["target"], F.concat(s["mask"], F.array(F.struct((s["end"] + t["at"]).alias("start"), t["size"].alias("length"))))).otherwise(s["mask"]).alias("mask"),
+            F.when(t["said"], F.concat(s["mask"], F.array(F.struct((s["end"] + t["at"]).alias("start"), t["size"].alias("length"))))).otherwise(s["mask"]).alias("mask"),
         ),
     )
     return gathered.select(
         "conv_id",
         F.col("window").cast("long").alias("window"),
-        F.size(F.filter("turns", lambda t: ~t["own"])).alias("n_context"),
+        "n_context",
         F.size("turns").alias("n_turns"),
         F.aggregate("turns", F.lit(0).cast("long"), lambda s, t: s + t["cost"]).alias("n_tokens"),
+        "oversized",
         F.array_join(F.col("turns")["piece"], "").alias("formatted"),
         folded["mask"].alias("mask"),
     )
