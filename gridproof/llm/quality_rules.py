@@ -1,9 +1,10 @@
 """Quality rules: repetition and symbol counts, and an n-gram perplexity band for each language.
 
-The language model is a modified Kneser-Ney model over n-grams of character classes. Spark counts every n-gram of
-every document; each language's n-grams of one order are kept as a sorted array of hashes with arrays of log
-probabilities and back-off weights beside it. A class sequence of four fits 20 bits, so the hash has no collisions
-and a language holds at most 32**4 n-grams of the top order: that bounds what is broadcast, whatever the corpus.
+The language model is a modified Kneser-Ney model over n-grams of characters, in an alphabet of the language's own: its
+most frequent letters by Spark's counts, a few classes for its other letters, and one each for space, digit, mark and
+symbol of any script. Spark counts every n-gram of every document; each language's n-grams of one order are kept as a
+sorted array of hashes with arrays of log probabilities and back-off weights beside it. A sequence of four fits 24
+bits, so the hash has no collisions and a language holds at most 64**4 n-grams of the top order, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -13,50 +14,62 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, slabs, written
 
 ORDER = 4
-BITS = 5
+BITS = 6
 #: Languages with a model of their own, those with most characters; all others share one more model.
 OWN_MODELS = 24
 SLAB = 2_000_000
-#: Class 0 stands between documents, 1 for space, 2-27 for letters by their base letter, then the others.
-CLASSES = {"space": 1, "letter": 2, "digit": 28, "mark": 29, "symbol": 30, "other_letter": 31}
-
-
-def class_table() -> np.ndarray:
-    """The class of every code point."""
-    table = np.full(0x110000, CLASSES["symbol"], np.uint8)
-    for c in range(0x3000):
-        ch = unicodedata.normalize("NFD", chr(c).lower())[0]
-        kind = unicodedata.category(chr(c))
-        if "a" <= ch <= "z":
-            table[c] = CLASSES["letter"] + ord(ch) - ord("a")
-        elif chr(c).isspace():
-            table[c] = CLASSES["space"]
-        elif kind[0] in "LM":
-            table[c] = CLASSES["other_letter"]
-        elif kind[0] == "N":
-            table[c] = CLASSES["digit"]
-        elif kind[0] == "P":
-            table[c] = CLASSES["mark"]
-    table[0x3000:] = CLASSES["other_letter"]
-    return table
-
-
-_CLASS: list[np.ndarray] = []
-
-
-def gram_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+#: Class 0 stands between documents, 1 for space, 2-47 for the alphabet, 48-60 for other letters by a hash, then the others.
+CLASSES = {"space": 1, "letter": 2, "other_letter": 48, "digit": 61, "mark": 62, "symbol": 63}
+LETTERS = CLASSES["other_letter"] - CLASSES["letter"]
+_BASE: list[tuple[np.ndarray, np.ndarray]] = []
+_TABLES: dict[tuple[int, ...], np.ndarray] = {}
+
+
+def base_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The class of every code point without an alphabet, and its lower case."""
+    if not _BASE:
+        table = np.full(0x110000, CLASSES["symbol"], np.uint8)
+        low = np.arange(0x110000, dtype=np.int32)
+        for c in range(0x110000):
+            ch = chr(c)
+            kind = unicodedata.category(ch)[0]
+            if kind in "LM":
+                low[c] = ord(ch.lower()[0])
+                table[c] = CLASSES["other_letter"] + (int(low[c]) * 2654435761 >> 7) % (CLASSES["digit"] - CLASSES["other_letter"])
+            elif ch.isspace():
+                table[c] = CLASSES["space"]
+            elif kind == "N":
+                table[c] = CLASSES["digit"]
+            elif kind == "P":
+                table[c] = CLASSES["mark"]
+        _BASE.append((table, low))
+    return _BASE[0]
+
+
+def class_table(alphabet: tuple[int, ...]) -> np.ndarray:
+    """The class of every code point, where the letters of ``alphabet`` have one each."""
+    if alphabet not in _TABLES:
+        base, low = base_tables()
+        own = np.zeros(0x110000, np.uint8)
+        own[list(alphabet)] = CLASSES["letter"] + np.arange(len(alphabet))
+        _TABLES[alphabet] = np.where(own[low] > 0, own[low], base)
+    return _TABLES[alphabet]
+
+
+def code_points(texts: list[str | None]) -> np.ndarray:
+    return np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def gram_codes(texts: list[str | None], alphabet: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of the n-gram that ends at each character, for all texts in a row, and how many each text has."""
-    if not _CLASS:
-        _CLASS.append(class_table())
     sizes = np.array([len(t or "") for t in texts], np.int64)
-    points = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    cls = _CLASS[0][points].astype(np.int32)
+    cls = class_table(alphabet)[code_points(texts)].astype(np.int32)
     starts = np.cumsum(sizes) - sizes
     starts = starts[sizes > 0]
     code = cls.copy()
@@ -68,6 +81,15 @@ def gram_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code, sizes
 
 
+def by_model(models: list[str], texts: list[str | None]):
+    """(model, places, texts) of each model in a batch, in slabs."""
+    for a, b in slabs(np.array([len(t or "") for t in texts]), SLAB):
+        owner = np.array(models[a:b], object)
+        for m in sorted(set(models[a:b])):
+            places = a + np.flatnonzero(owner == m)
+            yield m, places, [texts[i] for i in places]
+
+
 # --- base counts -------------------------------------------------------------------------------------------------
 
 WHITE = b"\x20\t\n\x0b\x0c\r"
@@ -98,27 +120,52 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 # --- the model ---------------------------------------------------------------------------------------------------
 
 
-def count_grams(docs: DataFrame, model_of: Column) -> DataFrame:
+def alphabets(docs: DataFrame, model_of: Column) -> dict[str, tuple[int, ...]]:
+    """The most frequent letters of each model's texts, in lower case; every text counts."""
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        table, low = base_tables()
+        letter = (table >= CLASSES["other_letter"]) & (table < CLASSES["digit"])
+        for batch in batches:
+            for m, _, texts in by_model(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = np.bincount(code_points(texts), minlength=0x110000)
+                sums[m] = sums[m] + got if m in sums else got
+        for m, got in sums.items():
+            got = np.bincount(low, got * letter, 0x110000).astype(np.int64)
+            key = np.flatnonzero(got)
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(key), pa.string()), pa.array(key, pa.int32()), pa.array(got[key], pa.int64())], ["model", "letter", "n"])
+
+    counted = docs.select(model_of.alias("model"), F.col("text")).mapInArrow(run, "model string, letter int, n long").groupBy("model", "letter").agg(F.sum("n").alias("n"))
+    ranked = counted.withColumn("nth", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("n"), "letter")))
+    found: dict[str, list[int]] = {}
+    for r in ranked.where(F.col("nth") <= LETTERS).orderBy("model", "nth").collect():
+        found.setdefault(r["model"], []).append(r["letter"])
+    return {m: tuple(x) for m, x in found.items()}
+
+
+def count_grams(docs: DataFrame, model_of: Column, letters: dict[str, tuple[int, ...]]) -> DataFrame:
     """(model, gram, n): how often each n-gram stands in all texts of each model's languages.
 
-    A task adds up its own counts in one array per model and gives them out once, so the shuffle carries each task's
+    A task adds up its own counts for each model and gives them out once, so the shuffle carries each task's
     distinct n-grams, not their occurrences.
     """
 
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
     def run(batches):
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            models = np.array(batch.column(0).to_pylist(), object)
-            texts = batch.column(1).to_pylist()
-            for a, b in slabs(np.array([len(t or "") for t in texts]), SLAB):
-                code, sizes = gram_codes(texts[a:b])
-                owner = models[a:b]
-                for m in set(owner):
-                    got = np.bincount(code[np.repeat(owner == m, sizes)], minlength=1 << (BITS * ORDER))
-                    sums[m] = sums[m] + got if m in sums else got
-        for m, got in sums.items():
-            key = np.flatnonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array([m] * len(key), pa.string()), pa.array(key, pa.int32()), pa.array(got[key], pa.int64())], ["model", "gram", "n"])
+            for m, _, texts in by_model(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = sums.setdefault(m, [])
+                parts.append(np.unique(gram_codes(texts, letters.get(m, ()))[0], return_counts=True))
+                if len(parts) > 1 and sum(len(k) for k, _ in parts[1:]) > max(len(parts[0][0]), SLAB // 4):
+                    sums[m] = [summed(parts)]
+        for m, parts in sums.items():
+            key, n = summed(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(key), pa.string()), pa.array(key, pa.int32()), pa.array(n, pa.int64())], ["model", "gram", "n"])
 
     counted = docs.select(model_of.alias("model"), F.col("text")).mapInArrow(run, "model string, gram int, n long")
     return counted.groupBy("model", "gram").agg(F.sum("n").alias("n"))
@@ -131,23 +178,24 @@ class KneserNey:
     leaves to shorter ones. Lower orders count distinct left neighbours, as Kneser-Ney smoothing asks.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int = 5):
+        self.bits = bits
         by = np.argsort(keys)
         keys, counts = keys[by].astype(np.int64), counts[by].astype(np.float64)
         levels = {ORDER: (keys, counts)}
         for k in range(ORDER - 1, 0, -1):
-            low, n = np.unique(levels[k + 1][0] & ((1 << (BITS * k)) - 1), return_counts=True)
+            low, n = np.unique(levels[k + 1][0] & ((1 << (self.bits * k)) - 1), return_counts=True)
             levels[k] = (low, n.astype(np.float64))
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         self.backs: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(1, ORDER + 1):
             key, n = levels[k]
             d = self.discounts(n)
-            context, start, which = np.unique(key >> BITS, return_index=True, return_inverse=True)
+            context, start, which = np.unique(key >> self.bits, return_index=True, return_inverse=True)
             total = np.add.reduceat(n, start)
             cut = d[np.minimum(n, 3).astype(int)]
             left = np.add.reduceat(cut, start) / total
-            lower = np.exp(self.log_lower(k - 1, key & ((1 << (BITS * (k - 1))) - 1))) if k > 1 else np.full(len(key), 1 / (1 << BITS))
+            lower = np.exp(self.log_lower(k - 1, key & ((1 << (self.bits * (k - 1))) - 1))) if k > 1 else np.full(len(key), 1 / (1 << self.bits))
             p = np.maximum(n - cut, 0) / total[which] + left[which] * lower
             self.levels.append((key.astype(np.int32), np.log(p).astype(np.float32)))
             self.backs.append((context.astype(np.int32), np.log(left).astype(np.float32)))
@@ -169,23 +217,21 @@ class KneserNey:
     def log_lower(self, k: int, code: np.ndarray) -> np.ndarray:
         """log p of the last class of each n-gram of order k, backing off where it was never seen."""
         if k == 0:
-            return np.full(len(code), -np.log(1 << BITS))
+            return np.full(len(code), -np.log(1 << self.bits))
         keys, logp = self.levels[k - 1]
         at, seen = self.find(keys, code)
         out = np.where(seen, logp[at], 0.0)
         if not seen.all():
             rest = code[~seen]
             contexts, back = self.backs[k - 1]
-            cat, known = self.find(contexts, rest >> BITS)
-            out[~seen] = np.where(known, back[cat], 0.0) + self.log_lower(k - 1, rest & ((1 << (BITS * (k - 1))) - 1))
+            cat, known = self.find(contexts, rest >> self.bits)
+            out[~seen] = np.where(known, back[cat], 0.0) + self.log_lower(k - 1, rest & ((1 << (self.bits * (k - 1))) - 1))
         return out
 
     def score(self, code: np.ndarray) -> np.ndarray:
         """log p at each position; each distinct n-gram is looked up once."""
-        table = np.zeros(1 << (BITS * ORDER), np.float32)
-        grams = np.flatnonzero(np.bincount(code, minlength=len(table)))
-        table[grams] = self.log_lower(ORDER, grams)
-        return table[code]
+        grams, at = np.unique(code, return_inverse=True)
+        return self.log_lower(ORDER, grams).astype(np.float32)[at]
 
 
 def model_names(docs: DataFrame) -> list[str]:
@@ -194,12 +240,12 @@ def model_names(docs: DataFrame) -> list[str]:
     return [r["lang"] for r in rows]
 
 
-def fit(docs: DataFrame, own: list[str]) -> dict[str, KneserNey]:
-    """Counts all documents; what comes to the driver is at most OWN_MODELS + 1 tables of 32**4 counts."""
-    got = count_grams(docs, model_column(own)).toArrow().combine_chunks()
-    names = np.array(got["model"].to_pylist(), object)
+def fit(docs: DataFrame, own: list[str], letters: dict[str, tuple[int, ...]]) -> dict[str, KneserNey]:
+    """Counts all documents; what comes to the driver is at most OWN_MODELS + 1 tables of 64**4 counts."""
+    got = count_grams(docs, model_column(own), letters).toArrow().combine_chunks()
+    names = got["model"].to_numpy()
     keys, counts = got["gram"].to_numpy(), got["n"].to_numpy()
-    return {m: KneserNey(keys[names == m], counts[names == m]) for m in sorted(set(names))}
+    return {m: KneserNey(keys[names == m], counts[names == m], BITS) for m in sorted(set(names))}
 
 
 def model_column(own: list[str]) -> Column:
@@ -210,21 +256,19 @@ def measured(docs: DataFrame) -> DataFrame:
     """Base counts and log perplexity of each document, written in the shared folder."""
     spark = docs.sparkSession
     own = model_names(docs)
-    sent = spark.sparkContext.broadcast(fit(docs, own))
+    letters = alphabets(docs, model_column(own))
+    sent = spark.sparkContext.broadcast((letters, fit(docs, own, letters)))
 
     def work(batch: pa.RecordBatch) -> dict:
-        texts, models = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), object)
+        texts, models = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        letters, fitted = sent.value
         ppl = np.full(len(texts), np.nan)
-        for a, b in slabs(np.array([len(t or "") for t in texts]), SLAB):
-            code, sizes = gram_codes(texts[a:b])
-            owner, logs = models[a:b], np.zeros(len(code), np.float32)
-            for m in set(owner):
-                here = np.repeat(owner == m, sizes)
-                if here.any():
-                    logs[here] = sent.value[m].score(code[here])
-            ends = np.cumsum(sizes)
-            total = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
-            ppl[a:b] = (total[ends - sizes] - total[ends]) / np.maximum(sizes, 1)
+        for m, places, part in by_model(models, texts):
+            code, sizes = gram_codes(part, letters.get(m, ()))
+            if len(code):
+                total = np.concatenate([[0.0], np.cumsum(fitted[m].score(code), dtype=np.float64)])
+                ends = np.cumsum(sizes)
+                ppl[places] = (total[ends - sizes] - total[ends]) / np.maximum(sizes, 1)
         base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
         return {c: base[:, i] for i, c in enumerate(names)} | {"doc_id": batch.column(0), "model": models, "log_ppl": [None if not t else x for t, x in zip(texts, ppl.tolist())]}
