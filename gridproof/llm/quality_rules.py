@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ from .common import by_batch, slabs, written
 
 ORDER = 4
 BITS = 6
-#: Languages with a model of their own, those with most characters; all others share one more model.
-OWN_MODELS = 24
+#: Languages with fewer characters than this are pooled: their counts of counts are too few for discounts.
+LEAST_TEXT = 10_000
+#: Models that are counted, broadcast and used at a time.
+GROUP = 24
 SLAB = 2_000_000
 #: Class 0 stands between documents, 1 for space, 2-47 for the alphabet, 48-60 for other letters by a hash, then the others.
 CLASSES = {"space": 1, "letter": 2, "other_letter": 48, "digit": 61, "mark": 62, "symbol": 63}
@@ -235,14 +238,15 @@ class KneserNey:
 
 
 def model_names(docs: DataFrame) -> list[str]:
-    """The languages that get a model of their own."""
-    rows = docs.where("lang IS NOT NULL").groupBy("lang").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).orderBy(F.desc("n"), "lang").limit(OWN_MODELS).collect()
+    """The languages that get a model of their own: all with enough text."""
+    size = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    rows = docs.where("lang IS NOT NULL").groupBy("lang").agg(size.alias("n")).where(F.col("n") >= LEAST_TEXT).orderBy("lang").collect()
     return [r["lang"] for r in rows]
 
 
-def fit(docs: DataFrame, own: list[str], letters: dict[str, tuple[int, ...]]) -> dict[str, KneserNey]:
-    """Counts all documents; what comes to the driver is at most OWN_MODELS + 1 tables of 64**4 counts."""
-    got = count_grams(docs, model_column(own), letters).toArrow().combine_chunks()
+def fit(docs: DataFrame, model_of: Column, letters: dict[str, tuple[int, ...]]) -> dict[str, KneserNey]:
+    """Counts all documents of a group; what comes to the driver is at most GROUP + 1 tables of 64**4 counts."""
+    got = count_grams(docs, model_of, letters).toArrow().combine_chunks()
     names = got["model"].to_numpy()
     keys, counts = got["gram"].to_numpy(), got["n"].to_numpy()
     return {m: KneserNey(keys[names == m], counts[names == m], BITS) for m in sorted(set(names))}
@@ -253,11 +257,19 @@ def model_column(own: list[str]) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Base counts and log perplexity of each document, written in the shared folder."""
-    spark = docs.sparkSession
+    """Base counts and log perplexity of each document, written in the shared folder, one group of languages after another."""
     own = model_names(docs)
-    letters = alphabets(docs, model_column(own))
-    sent = spark.sparkContext.broadcast((letters, fit(docs, own, letters)))
+    if len(own) <= GROUP:
+        return measured_group(docs, model_column(own))
+    groups = [own[i : i + GROUP] for i in range(0, len(own), GROUP)]
+    parts = [measured_group(docs.where(F.col("lang").isin(g)), model_column(g)) for g in groups]
+    rest = measured_group(docs.where(F.col("lang").isNull() | ~F.col("lang").isin(own)), model_column([]))
+    return reduce(DataFrame.unionByName, parts, rest)
+
+
+def measured_group(docs: DataFrame, model_of: Column) -> DataFrame:
+    letters = alphabets(docs, model_of)
+    sent = docs.sparkSession.sparkContext.broadcast((letters, fit(docs, model_of, letters)))
 
     def work(batch: pa.RecordBatch) -> dict:
         texts, models = batch.column(1).to_pylist(), batch.column(2).to_pylist()
@@ -273,9 +285,11 @@ def measured(docs: DataFrame) -> DataFrame:
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
         return {c: base[:, i] for i, c in enumerate(names)} | {"doc_id": batch.column(0), "model": models, "log_ppl": [None if not t else x for t, x in zip(texts, ppl.tolist())]}
 
-    source = docs.select("doc_id", "text", model_column(own).alias("model"))
+    source = docs.select("doc_id", "text", model_of.alias("model"))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, model string, log_ppl double"
-    return written(by_batch(source, ["doc_id", "text", "model"], schema, work), "quality")
+    got = written(by_batch(source, ["doc_id", "text", "model"], schema, work), "quality")
+    sent.unpersist()
+    return got
 
 
 def bands(scored: DataFrame, below: float, above: float) -> DataFrame:
@@ -294,13 +308,13 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
 
     Fails the base rules: fewer words than ``min_words``, or more than ``max_repeat_percent`` of the words in repeated
     3-word windows. Rejected besides: a perplexity outside the band of the document's language. A null or empty text
-    has no words and fails; a null language belongs to the model of the others; repeated rows are judged each by
+    has no words and fails; null languages and those with fewer than LEAST_TEXT characters share one model; repeated rows are judged each by
     itself; an empty table gives an empty result. The upper side is the wider one, since a document that mixes languages
     is less likely under either language's model and still sound. Other columns of ``docs`` are neither read nor returned.
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     scored = measured(docs).withColumn("base_failed", failed)
-    band = F.broadcast(bands(scored, below, above))  # a row for each model: OWN_MODELS + 1 at most
+    band = F.broadcast(bands(scored, below, above))  # a row for each model
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return scored.join(band, "model", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_ppl", F.col("low").alias("ppl_low"), F.col("high").alias("ppl_high")

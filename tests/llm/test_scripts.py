@@ -34,3 +34,24 @@ def test_classes_of_characters_in_any_script():
     assert len({int(table[ord(c)]) for c in " 　\xa0"}) == 1
     assert {int(table[ord(c)]) for c in "。、.！"} == {cls["mark"]} and {int(table[ord(c)]) for c in "7٣〇"} == {cls["digit"]} and {int(table[ord(c)]) for c in "😀+"} == {cls["symbol"]}
     assert table[ord("А")] == table[ord("а")] != table[ord("б")] and cls["other_letter"] <= table[ord("я")] < cls["digit"]
+
+
+def test_every_language_has_a_band_of_its_own(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for k in range(27):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 8)
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(30 + 10 * k)]
+        rows += [(100 * k + i, prose(rng, words, 100 - k), f"l{k:02}") for i in range(40)]
+    rows += [(9000, prose(rng, ["some", "words", "of", "a", "small", "tongue"]), "tiny"), (9001, prose(rng, ["no", "tongue", "at", "all"]), None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lang = {d: x for d, _, x in rows}
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table).collect()}
+    assert len(got) == len(rows)
+    bands = {}
+    for d, r in got.items():
+        bands.setdefault((r.ppl_low, r.ppl_high), set()).add(lang[d])
+    assert sorted(map(len, bands.values())) == [1] * 27 + [2] and {"tiny", None} in bands.values()
+    monkeypatch.setattr(quality_rules, "GROUP", 100)
+    at_once = {r.doc_id: r for r in quality_rules.quality_rules(table).collect()}
+    assert got == at_once
