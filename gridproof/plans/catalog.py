@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as sc
@@ -18,6 +18,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 KEY = ["doc_id", "filename"]
+#: Rounding to six digits by arithmetic that gives the same double everywhere, also at an exact half.
+_ROUND = "floor(({0}) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE"
+
+
+def _round(x: Column) -> Column:
+    return F.floor(x * F.lit(1e6) + 0.5) / F.lit(1e6)
 
 
 def query(sql: str | None = None):
@@ -146,43 +152,43 @@ def error_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- text in images ----------------------------------------------------------------------------------------------
 
-_NOISE = r"""(length(lower(trim(text))) <= 3 AND len(list_distinct(string_split(lower(trim(text)), ''))) = 1 AND length(trim(text)) > 0
- OR length(trim(text)) >= 4 AND len(list_distinct(string_split(lower(trim(text)), ''))) / length(trim(text)) < 0.3 OR regexp_matches(lower(trim(text)), '^[^\p{L}\p{N}_\s]{2,}$'))"""
+_CLEAN = f"lower(regexp_replace(text, '^[{ocr.SPACES}]+|[{ocr.SPACES}]+$', '', 'g'))"
+_NOISE = rf"""(length({_CLEAN}) <= 3 AND len(list_distinct(string_split({_CLEAN}, ''))) = 1 AND length({_CLEAN}) > 0
+ OR length({_CLEAN}) >= 4 AND len(list_distinct(string_split({_CLEAN}, ''))) / length({_CLEAN}) < 0.3 OR regexp_matches({_CLEAN}, '^[^\p{{L}}\p{{N}}_\s]{{2,}}$'))"""
 _KEEP = rf"(confidence >= 0.6 AND length(text) BETWEEN 1 AND 500 AND w * h >= 50 AND regexp_matches(text, '\S') AND NOT {_NOISE})"
-_METRICS = f"""{views.OCR_SQL}, metrics AS (SELECT image, count(*) AS n_texts, avg(confidence) AS average_confidence, count(*) FILTER (confidence >= 0.8) AS n_high,
- count(*) FILTER (confidence >= 0.5 AND confidence < 0.8) AS n_medium, count(*) FILTER (confidence < 0.5) AS n_low, sum(length(text)) AS text_length,
- coalesce(sum(length(text) * confidence * confidence) / nullif(sum(length(text) * confidence), 0) * 100, 0) AS overall_confidence FROM ocr GROUP BY image),
+_METRICS = f"""{views.OCR_SQL}, judged AS (SELECT *, {_KEEP} AS kept FROM ocr), metrics AS (SELECT image, count(*) FILTER (kept) AS n_texts, coalesce(avg(confidence) FILTER (kept) * 100, 0) AS average_confidence,
+ coalesce(avg(detection) FILTER (kept) * 100, 0) AS detection_confidence, coalesce(avg(recognition) FILTER (kept) * 100, 0) AS recognition_confidence, count(*) FILTER (kept AND confidence >= 0.8) AS n_high, count(*) FILTER (kept AND confidence >= 0.5 AND confidence < 0.8) AS n_medium,
+ count(*) FILTER (kept AND confidence < 0.5) AS n_low, CAST(coalesce(sum(length(text)) FILTER (kept), 0) AS BIGINT) AS text_length,
+ coalesce(sum(length(text) * confidence * confidence) FILTER (kept) / nullif(sum(length(text) * confidence) FILTER (kept), 0) * 100, 0) AS overall_confidence FROM judged GROUP BY image),
  tiered AS (SELECT image, n_texts, overall_confidence, CASE WHEN overall_confidence > 80 OR n_texts > 5 THEN 'fail' WHEN overall_confidence > 60 OR n_texts > 2 THEN 'manual' ELSE 'pass' END AS status,
  NOT (overall_confidence > 60 OR n_texts > 2) AS unified_pass FROM metrics)"""
 
 
-@query(f"WITH {views.OCR_SQL} SELECT image, nth, text, {_NOISE} AS noise, {_KEEP} AS kept FROM ocr")
-def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = views.ocr(spark, sf_dir)
-    return f.select("image", "nth", "text", ocr.is_noise(F.col("text")).alias("noise"), ocr.keep_text(F.col("text"), F.col("confidence"), F.col("w"), F.col("h")).alias("kept"))
+def _kept() -> Column:
+    return ocr.keep_text(F.col("text"), F.col("confidence"), F.col("w"), F.col("h"))
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.ocr(spark, sf_dir)
+@query(f"WITH {views.OCR_SQL} SELECT image, nth, text, {_NOISE} AS noise, {_KEEP} AS kept FROM ocr")
+def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.ocr(spark, sf_dir).select("image", "nth", "text", ocr.is_noise(F.col("text")).alias("noise"), _kept().alias("kept"))
 
 
-@query(f"WITH {_METRICS} SELECT image, n_texts, round(average_confidence, 6) AS average_confidence, n_high, n_medium, n_low, text_length, round(overall_confidence, 6) AS overall_confidence FROM metrics")
+@query(f"""WITH {_METRICS} SELECT image, n_texts, round(average_confidence, 6) AS average_confidence, round(detection_confidence, 6) AS detection_confidence, round(recognition_confidence, 6) AS recognition_confidence, n_high, n_medium, n_low, text_length,
+ round(overall_confidence, 6) AS overall_confidence FROM metrics""")
 def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = ocr.confidence_metrics(_texts(spark, sf_dir))
-    return m.withColumns({c: F.round(c, 6) for c in ("average_confidence", "overall_confidence")})
+    return _rounded(ocr.confidence_metrics(views.ocr(spark, sf_dir), _kept()))
 
 
 @query(f"WITH {_METRICS} SELECT image, n_texts, status, unified_pass FROM tiered")
 def text_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.text_tiers(_texts(spark, sf_dir)).drop("overall_confidence")
+    return ocr.text_tiers(views.ocr(spark, sf_dir), _kept()).drop("overall_confidence")
 
 
 @query(f"""WITH {_METRICS} SELECT count(*) AS n_images, count(*) FILTER (status = 'fail') AS n_fail, count(*) FILTER (status = 'manual') AS n_manual, count(*) FILTER (status = 'pass') AS n_pass,
- round(avg(overall_confidence), 6) AS mean, round(median(overall_confidence), 6) AS median, round(min(overall_confidence), 6) AS least, round(max(overall_confidence), 6) AS most,
- round(stddev_pop(overall_confidence), 6) AS deviation, sum(n_texts) AS n_texts FROM tiered""")
+ round(avg(overall_confidence), 6) AS mean, round(median(round(overall_confidence, 2)), 6) AS median, round(min(overall_confidence), 6) AS least, round(max(overall_confidence), 6) AS most,
+ round(stddev_pop(overall_confidence), 6) AS deviation, CAST(sum(n_texts) AS BIGINT) AS n_texts FROM tiered""")
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ocr.batch_stats(ocr.text_tiers(_texts(spark, sf_dir)))
-    return s.withColumns({c: F.round(c, 6) for c in ("mean", "median", "least", "most", "deviation")})
+    return _rounded(ocr.batch_stats(ocr.text_tiers(views.ocr(spark, sf_dir), _kept())))
 
 
 # --- verdicts ----------------------------------------------------------------------------------------------------
@@ -338,11 +344,11 @@ def confidence_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {views.DETECTIONS_SQL}, b AS (SELECT *, greatest(s_obvious, s_simple * 0.8, s_frame * 0.7, s_texture * 0.6) AS base FROM detections),
  a AS (SELECT doc_id, base * CASE WHEN noise > 25 THEN greatest(0.7::DOUBLE, 1 - (noise - 25) / 50) ELSE 1.0::DOUBLE END * CASE WHEN uniform AND base > 0.58 THEN 1.1::DOUBLE WHEN uniform THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END
  * CASE WHEN artifacts THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN vignette > 0.5 AND base < 0.58 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS x FROM b)
- SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN x < 0.2 THEN x * 0.8 WHEN x > 0.8 THEN 0.8 + (x - 0.8) * 0.5 ELSE x END)), 6) AS confidence FROM a""")
+ SELECT doc_id, {_ROUND.format("greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN x < 0.2 THEN x * 0.8 WHEN x > 0.8 THEN 0.8 + (x - 0.8) * 0.5 ELSE x END))")} AS confidence FROM a""")
 def robust_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"s_{m}").alias("score")) for m in ("obvious", "simple", "frame", "texture")])
     d = views.detections(spark, sf_dir)
-    return d.select("doc_id", F.round(sc.robust_confidence(methods, F.col("noise"), F.col("uniform"), F.col("artifacts"), F.col("vignette")), 6).alias("confidence"))
+    return d.select("doc_id", _round(sc.robust_confidence(methods, F.col("noise"), F.col("uniform"), F.col("artifacts"), F.col("vignette"))).alias("confidence"))
 
 
 @query(f"""WITH {views.SCORES_SQL} SELECT p_partkey, array_to_string(list_filter([CASE WHEN brisque > 65 THEN 'brisque: significant degradation' WHEN brisque > 45 THEN 'brisque: moderate issues' WHEN brisque < 25 THEN 'brisque: excellent' END,
@@ -475,9 +481,10 @@ def border_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_P}, {views.GRADIENTS_SQL}, s AS (SELECT image, {_sides("avg", "m", "5")}, {_sides("stddev_pop", "d", "5")}, avg(m) FILTER (WHERE {_OUTLINE.replace("w", "5")}) AS edge FROM grad GROUP BY image),
  e AS (SELECT *, [1 - least(1.0::DOUBLE, dt / 30), 1 - least(1.0::DOUBLE, db / 30), 1 - least(1.0::DOUBLE, dl / 30), 1 - least(1.0::DOUBLE, dr / 30)] AS even FROM s)
  SELECT image, round(list_min(even), 6) AS least_uniformity, round(CASE WHEN list_avg(even) > 0 THEN 1 - list_stddev_pop(even) / list_avg(even) ELSE 1 END, 6) AS side_consistency,
- round((2 - least(1.0::DOUBLE, abs(mt - mb) / 50) - least(1.0::DOUBLE, abs(ml - mr) / 50)) / 2, 6) AS symmetry, round(least(1.0::DOUBLE, edge / 50), 6) AS sharpness FROM e""")
+ {_ROUND.format("((1 - least(1.0::DOUBLE, abs(mt - mb) / 50)) + (1 - least(1.0::DOUBLE, abs(ml - mr) / 50))) / 2")} AS symmetry, round(least(1.0::DOUBLE, edge / 50), 6) AS sharpness FROM e""")
 def side_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.side_measures(views.pixels(spark, sf_dir)))
+    found = pixels.side_measures(views.pixels(spark, sf_dir))
+    return _rounded(found.withColumn("symmetry", _round(F.col("symmetry"))))
 
 
 @query(f"""WITH {_P}, h AS (SELECT image, gray // 4 AS bin, count(*) FILTER (y < 9) AS t, count(*) FILTER (y >= 55) AS b, count(*) FILTER (x < 9) AS l, count(*) FILTER (x >= 55) AS r FROM pixels GROUP BY image, gray // 4),

@@ -47,11 +47,14 @@ OCR = [
     "turn",
     "text",
     "CAST((conv_id * 31 + turn * 17) % 100 AS DOUBLE) / 100 AS confidence",
+    "CAST((conv_id * 7 + turn * 3) % 100 AS DOUBLE) / 100 AS detection",
+    "CAST((conv_id * 3 + turn * 5) % 100 AS DOUBLE) / 100 AS recognition",
     "CAST((conv_id * 13 + turn * 7) % 40 AS INT) AS w",
     "CAST((conv_id * 5 + turn * 11) % 30 AS INT) AS h",
 ]
 #: Rows of noise beside the real ones, by turn. Fixed values.
-OCR_NOISE = ["'aaa'", "'--'", "'aaaaaaa'", "'ab'", "'Sale'", "'...!'"]
+OCR_NOISE = ["'aaa'", "'--'", "'aaaaaaa'", "'ab'", "'Sale'", "'...!'", "concat('aaa', chr(10))", "concat(chr(9), '-- ')"]
+_NOISE_ROWS = [e if e != "text" else f"{_cases(f'turn % {len(OCR_NOISE)}', OCR_NOISE)} AS text" for e in OCR]
 OPS = ["user_id AS component", "event_id", "event_type", "event_type = 'error' AS is_error", "value AS duration_ms", "ts"]
 DETECTIONS = [
     "doc_id",
@@ -126,13 +129,11 @@ verdicts AS (
 
 def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
-    noise = rows.selectExpr(*[e if e != "text" else f"{_cases('turn % 6', OCR_NOISE)} AS text" for e in OCR], "turn + 1000 AS nth")
+    noise = rows.selectExpr(*_NOISE_ROWS, "turn + 1000 AS nth")
     return rows.selectExpr(*OCR, "turn AS nth").unionByName(noise)
 
 
-#: The SQL as it was, with texts cut to 20 characters: ``ocr`` takes whole texts, so the two differ (README).
-_OCR_CUT = [e if e != "text" else "substring(text, 1, 20) AS text" for e in OCR]
-OCR_SQL = f"ocr AS (SELECT {duck(_OCR_CUT)}, turn AS nth FROM conversations UNION ALL SELECT {duck([e if not e.startswith('substring') else f'{_cases("turn % 6", OCR_NOISE)} AS text' for e in _OCR_CUT])}, turn + 1000 FROM conversations)"
+OCR_SQL = f"ocr AS (SELECT {duck(OCR)}, turn AS nth FROM conversations UNION ALL SELECT {duck(_NOISE_ROWS)}, turn + 1000 FROM conversations)"
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

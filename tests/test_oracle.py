@@ -28,7 +28,7 @@ def plain(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
-        return round(float(v), 5)
+        return float(f"{float(v):.6g}")  # six significant digits: sums may differ in their last bits
     return v
 
 
