@@ -1,4 +1,4 @@
-"""What the operators share: the shared folder, written tables, batching, connected components."""
+"""What the operators share: the shared folder, written tables, batching, joins over hot keys, connected components."""
 
 from __future__ import annotations
 
@@ -8,14 +8,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+
+#: A key with more than one in so many rows is joined by itself: there are never more such keys than this.
+HUBS = 1000
+#: Fewer rows than this are no hot key, however small the table.
+LEAST_HUB = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a new local one is set."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset a local session (tests) gets one; a cluster is an error,
+    since its executors would each write to a folder of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,9 +46,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def by_batch(df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.RecordBatch], dict], setup: Callable | None = None) -> DataFrame:
     """``work`` over the Arrow batches of ``columns`` only (so clashing extra columns never matter); it gives the columns of ``schema``."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,6 +58,40 @@ def by_batch(df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def text_column(schema: str, work: Callable[..., dict]) -> Callable[..., Column]:
+    """``work`` as a function of string columns: a struct of ``schema`` for each row, whose other columns stay in the JVM."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def answer(columns: tuple[pa.Array, ...]) -> pa.Array:
+        got = work(*[c.to_pylist() for c in columns])
+        return pa.StructArray.from_arrays([pa.array(got[f.name], type=f.type) for f in kind], fields=list(kind))
+
+    def one(a: pa.Array) -> pa.Array:
+        return answer((a,))
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return answer((a, b))
+
+    made = [F.arrow_udf(f, StructType.fromDDL(schema)).asNondeterministic() for f in (one, two)]  # or the planner would run it twice
+    return lambda *columns: made[len(columns) - 1](*columns)
+
+
+def hot_keys(counted: DataFrame, key: str, total: int) -> list:
+    """The values of ``key`` that hold more than one in HUBS of ``total`` rows, from (key, n); at most HUBS of them."""
+    return [r[0] for r in counted.where(F.col("n") > max(total // HUBS, LEAST_HUB)).select(key).collect()]
+
+
+def hub_join(left: DataFrame, right: DataFrame, key: str, hot: list) -> DataFrame:
+    """``left`` and ``right`` (one row for each key) joined on ``key``; the rows of the ``hot`` keys stay where they are.
+
+    At most HUBS rows of ``right`` belong to hot keys, and these are broadcast; all other keys are joined by shuffle.
+    """
+    if not hot:
+        return left.join(right, key)
+    near = left.where(F.col(key).isin(hot)).join(F.broadcast(right.where(F.col(key).isin(hot))), key)
+    return near.unionByName(left.where(~F.col(key).isin(hot)).join(right.where(~F.col(key).isin(hot)), key))
+
+
 def slabs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``most`` in all, or one row."""
     at, total = 0, 0
@@ -79,16 +121,17 @@ def union_labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a long, b long), root the smallest node of its component.
 
-    Alternating large and small stars; each round is two shuffles on the node and a written table, so that
-    neither lineage nor driver memory grows. Loops and repeated links are fine; nulls are not allowed.
+    Alternating large and small stars; each star is a written table, so that neither lineage nor driver memory grows,
+    and the links of a hub (the centre of a large group) are not shuffled to one task. Loops and repeated links are
+    fine; nulls are not allowed.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, total: int, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        joined = both.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+        joined = hub_join(both, least.select("a", "m"), "a", hot_keys(least, "a", total))
         moved = joined.where("b > a").selectExpr("b AS a", "m AS b") if large else joined.selectExpr("b AS a", "m AS b").union(least.selectExpr("a", "m AS b"))
-        return moved.where("a <> b").distinct()
+        return written(moved.where("a <> b").distinct(), "stars")
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
@@ -96,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = mark(now)
     while seen[0]:
-        now = written(star(star(now, True), False), "stars")
+        now = star(star(now, seen[0], True), seen[0], False)
         if (new := mark(now)) == seen:
             break
         seen = new

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, slabs, written
+from .common import slabs, text_column, written
 
 ORDER = 4
 BITS = 6
@@ -256,40 +257,49 @@ def model_column(own: list[str]) -> Column:
     return F.when(F.col("lang").isin(own), F.concat(F.lit("="), F.col("lang"))).otherwise(F.lit("others")) if own else F.lit("others")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """Base counts and log perplexity of each document, written in the shared folder, one group of languages after another."""
-    own = model_names(docs)
-    if len(own) <= GROUP:
-        return measured_group(docs, model_column(own))
-    groups = [own[i : i + GROUP] for i in range(0, len(own), GROUP)]
-    parts = [measured_group(docs.where(F.col("lang").isin(g)), model_column(g)) for g in groups]
-    rest = measured_group(docs.where(F.col("lang").isNull() | ~F.col("lang").isin(own)), model_column([]))
-    return reduce(DataFrame.unionByName, parts, rest)
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+SCHEMA = ", ".join(f"{c} long" for c in BASE) + ", log_ppl double"
 
 
-def measured_group(docs: DataFrame, model_of: Column) -> DataFrame:
+def groups(docs: DataFrame) -> Iterator[tuple[DataFrame, Column]]:
+    """The documents of GROUP models at a time, and each one's model; together they are all of ``docs``."""
+    own = model_names(docs)
+    if len(own) <= GROUP:
+        yield docs, model_column(own)
+        return
+    for i in range(0, len(own), GROUP):
+        yield docs.where(F.col("lang").isin(own[i : i + GROUP])), model_column(own[i : i + GROUP])
+    yield docs.where(F.col("lang").isNull() | ~F.col("lang").isin(own)), model_column([])
+
+
+def answered(letters: dict[str, tuple[int, ...]], fitted: dict[str, KneserNey], texts: list[str | None], models: list[str]) -> dict:
+    """The columns of SCHEMA for some texts."""
+    ppl = np.full(len(texts), np.nan)
+    for m, places, part in by_model(models, texts):
+        code, sizes = gram_codes(part, letters.get(m, ()))
+        if len(code):
+            some = sizes > 0
+            ppl[places[some]] = -np.add.reduceat(fitted[m].score(code).astype(np.float64), (np.cumsum(sizes) - sizes)[some]) / sizes[some]
+    base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, len(BASE))
+    return {c: base[:, i] for i, c in enumerate(BASE)} | {"log_ppl": [None if not t else x for t, x in zip(texts, ppl.tolist())]}
+
+
+def judged(docs: DataFrame, model_of: Column) -> DataFrame:
+    """``docs`` with ``_model`` and ``_found``, a struct of SCHEMA, by models counted over them."""
     letters = alphabets(docs, model_of)
     sent = docs.sparkSession.sparkContext.broadcast((letters, fit(docs, model_of, letters)))
+    found = text_column(SCHEMA, lambda texts, models: answered(*sent.value, texts, models))
+    return docs.withColumn("_model", model_of).withColumn("_found", found(F.col("text"), F.col("_model")))
+
 
-    def work(batch: pa.RecordBatch) -> dict:
-        texts, models = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        letters, fitted = sent.value
-        ppl = np.full(len(texts), np.nan)
-        for m, places, part in by_model(models, texts):
-            code, sizes = gram_codes(part, letters.get(m, ()))
-            if len(code):
-                total = np.concatenate([[0.0], np.cumsum(fitted[m].score(code), dtype=np.float64)])
-                ends = np.cumsum(sizes)
-                ppl[places] = (total[ends - sizes] - total[ends]) / np.maximum(sizes, 1)
-        base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        return {c: base[:, i] for i, c in enumerate(names)} | {"doc_id": batch.column(0), "model": models, "log_ppl": [None if not t else x for t, x in zip(texts, ppl.tolist())]}
-
-    source = docs.select("doc_id", "text", model_of.alias("model"))
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, model string, log_ppl double"
-    got = written(by_batch(source, ["doc_id", "text", "model"], schema, work), "quality")
-    sent.unpersist()
-    return got
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, model, base counts and log perplexity of each document, written in the shared folder, one group of models after another."""
+    parts = [written(judged(rows, model_of).select("doc_id", F.col("_model").alias("model"), "_found.*"), "quality") for rows, model_of in groups(docs)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def failed(n_words: Column, n_repeat_words: Column, min_words: int, max_repeat_percent: int) -> Column:
+    return (n_words < min_words) | (100 * n_repeat_words > max_repeat_percent * n_words)
 
 
 def bands(scored: DataFrame, below: float, above: float) -> DataFrame:
@@ -308,14 +318,30 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
 
     Fails the base rules: fewer words than ``min_words``, or more than ``max_repeat_percent`` of the words in repeated
     3-word windows. Rejected besides: a perplexity outside the band of the document's language. A null or empty text
-    has no words and fails; null languages and those with fewer than LEAST_TEXT characters share one model; repeated rows are judged each by
-    itself; an empty table gives an empty result. The upper side is the wider one, since a document that mixes languages
-    is less likely under either language's model and still sound. Other columns of ``docs`` are neither read nor returned.
+    has no words and fails; null languages and those with fewer than LEAST_TEXT characters share one model; where no
+    document of a model passes the base rules there is no band (nulls) and perplexity rejects nothing; repeated rows
+    are judged each by itself; an empty table gives an empty result. The upper side is the wider one, since a document
+    that mixes languages is less likely under either language's model and still sound. A document is scored by a model
+    that counted it too: leaving its own counts out would need its n-grams beside the model's at every place, and moves
+    a document only where it is a good part of its language's text, for which there is LEAST_TEXT. Other columns of
+    ``docs`` are neither read nor returned.
     """
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    scored = measured(docs).withColumn("base_failed", failed)
+    scored = measured(docs).withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words"), min_words, max_repeat_percent))
     band = F.broadcast(bands(scored, below, above))  # a row for each model
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return scored.join(band, "model", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_ppl", F.col("low").alias("ppl_low"), F.col("high").alias("ppl_high")
     )
+
+
+def rows_in_bands(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, below: float = 5.0, above: float = 10.0) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, each judged by itself.
+
+    Texts are scored once for the bands and once more for the verdict, instead of being shuffled for a join.
+    """
+    parts = [judged(rows, model_of) for rows, model_of in groups(docs)]
+    fails = failed(F.col("_found.n_words"), F.col("_found.n_repeat_words"), min_words, max_repeat_percent)
+    seen = reduce(DataFrame.unionByName, [p.select(F.col("_model").alias("model"), "_found.log_ppl", fails.alias("base_failed")) for p in parts])
+    band = written(bands(seen, below, above).select(F.col("model").alias("_band"), F.col("low").alias("_low"), F.col("high").alias("_high")), "bands")
+    inside = F.coalesce(F.col("_found.log_ppl").between(F.col("_low"), F.col("_high")), F.lit(True))
+    return reduce(DataFrame.unionByName, [p.join(F.broadcast(band), F.col("_model") == F.col("_band"), "left").where(~fails & inside).select(*docs.columns) for p in parts])

@@ -13,10 +13,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, components, slabs, union_labels, written
+from .common import components, hot_keys, hub_join, slabs, text_column, union_labels, written
 
 SEED = 42
 LANES = 64
@@ -61,15 +61,14 @@ def fingerprints_of(texts: list[str | None], words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp), the fingerprint as a signed long."""
+def fingerprint(text: Column, words: int) -> Column:
+    """The fingerprint of a text as a signed long."""
 
-    def work(batch: pa.RecordBatch) -> dict:
-        texts = batch.column(1).to_pylist()
+    def work(texts: list[str | None]) -> dict:
         parts = [fingerprints_of(texts[a:b], words) for a, b in slabs(np.array([len(t or "") for t in texts]), 1_000_000)]
-        return {"doc_id": batch.column(0), "fp": (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64)}
+        return {"fp": (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64)}
 
-    return by_batch(docs, ["doc_id", "text"], "doc_id long, fp long", work)
+    return text_column("fp long", work)(text)["fp"]
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -187,6 +186,22 @@ def links(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
     return tiled.select("key", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def groups_of(prints: DataFrame, radius: int, blocks: int) -> tuple[DataFrame, list]:
+    """(fp, least, component_id, first) of each distinct fingerprint of ``prints`` (doc_id, fp), and the hot fingerprints.
+
+    ``least`` is the smallest doc_id with that fingerprint, ``component_id`` the smallest of the component, and
+    ``first`` marks the one fingerprint of a component that the document to keep has (null doc_ids come last).
+    """
+    counted = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-counts")
+    hot = hot_keys(counted, "fp", prints.count())
+    nodes = counted.select("fp", "least")
+    roots = components(links(nodes.select("fp"), radius, blocks))
+    named = written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "fp"))["fp"].alias("of"), F.count("*").alias("n"))
+    joined = hub_join(named, lowest.drop("n"), "root", hot_keys(lowest, "root", named.count()))
+    return joined.select("fp", "least", "component_id", (F.col("fp") == F.col("of")).alias("first")), hot
+
+
 def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links of at most ``radius`` bits).
 
@@ -194,10 +209,23 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int
     Repeated rows stay, each with its component; a null doc_id is ignored in the smallest, and a component of such rows only
     has a null id. An empty table gives an empty result. Other columns are neither read nor returned.
     """
-    prints = written(fingerprints(docs, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), radius, blocks))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = named.join(lowest, "root").select("fp", "component_id")
-    return prints.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = written(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
+    owner, hot = groups_of(prints, radius, blocks)
+    answer = hub_join(prints, owner.select("fp", "component_id"), "fp", hot)
+    return answer.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
+    """The rows of ``docs`` to keep, with all their columns: of each component one row.
+
+    That is the row with the smallest doc_id (any other before null), among several with it the one with the smallest
+    fingerprint, then the smallest text. Rows are told apart by doc_id and fingerprint, not by doc_id alone. The
+    texts are shuffled once.
+    """
+    prints = written(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
+    owner, _ = groups_of(prints, radius, blocks)
+    keep = owner.where("first").select(F.coalesce("least", F.lit(0)).alias("_keep_id"), F.col("least").isNull().alias("_keep_null"), F.col("fp").alias("_keep_fp"))
+    marked = docs.withColumns({"_own_id": F.coalesce("doc_id", F.lit(0)), "_own_null": F.col("doc_id").isNull(), "_own_fp": fingerprint(F.col("text"), words)})
+    found = marked.join(keep, (F.col("_own_id") == F.col("_keep_id")) & (F.col("_own_null") == F.col("_keep_null")) & (F.col("_own_fp") == F.col("_keep_fp")), "left_semi")
+    order = Window.partitionBy("_own_id", "_own_null", "_own_fp").orderBy("text")
+    return found.withColumn("_own_nth", F.row_number().over(order)).where("_own_nth = 1").select(*docs.columns)

@@ -25,6 +25,10 @@ ODD = [
 ]
 
 
+def spark_of(frame):
+    return frame.sparkSession
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     return spark.createDataFrame(ODD, DOC)
@@ -129,6 +133,74 @@ def test_language_held_out_accuracy(docs):
     assert got.where("lang = lang_pred").count() >= 0.98 * got.count()
 
 
+def test_background_takes_what_no_language_explains(spark):
+    import random
+
+    rng = random.Random(3)
+    tongues = {c: ["".join(rng.choice(s) + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(300)] for c, s in (("aa", "bcdfg"), ("bb", "hjklm"), ("cc", "npqrst"), ("xx", "vwxyz"))}
+
+    def prose(tongue, n):
+        return " ".join(rng.choice(tongues[tongue]) for _ in range(n))
+
+    rows = [(k, prose(t, 80), t) for k in range(120) for t in [("aa", "bb", "cc")[k % 3]]]
+    rows += [(1000, prose("xx", 90), None), (1001, " ".join(prose(t, 40) for t in ("aa", "bb", "cc")), None), (1002, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(600)), None), (1003, "слово за слово " * 20, None)]
+    got = {r.doc_id: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k].known < 0.5 for k in (1000, 1002, 1003))
+    assert got[1001].known > 0.9 and got[1001].n_langs == 3 and all(abs(m.share - 1 / 3) < 0.1 for m in got[1001].mixture)
+    assert all(got[k].lang_pred == lang and got[k].known > 0.9 for k, _, lang in rows[:120])
+
+
+def test_mixture_against_plain_em(docs):
+    """Counts, probabilities and EM to convergence over whole texts by dictionaries; the set by trying every subset."""
+    from itertools import combinations
+
+    from gridproof.llm.language_id import SIZE, trigrams
+
+    rows = docs.select("doc_id", "text", "lang").limit(150).collect()
+    counts, letters = {}, {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            code, _, c = trigrams([r.text])
+            for g, x in zip(code.tolist(), c.tolist()):
+                if g:
+                    counts.setdefault(r.lang, {})[g] = counts.setdefault(r.lang, {}).get(g, 0) + 1
+                    letters[x] = letters.get(x, 0) + 1
+    langs, total = sorted(counts), sum(sum(c.values()) for c in counts.values())
+    both = {g: sum(c.get(g, 0) for c in counts.values()) for c in counts.values() for g in c}
+
+    def chance(lang, g):
+        return (counts[lang].get(g, 0) + 1000 * (both.get(g, 0) + 0.05) / (total + 0.05 * SIZE)) / (sum(counts[lang].values()) + 1000)
+
+    def letter(x):
+        return (letters.get(x, 0) + 0.5) / (sum(letters.values()) + 0.5 * 0x110000)
+
+    got = {r.doc_id: r for r in language_id.language_id(spark_of(docs).createDataFrame(rows)).collect()}
+    for r in rows[:25]:
+        code, _, c = trigrams([r.text])
+        c = [0, 0, *c.tolist()]
+        grams = {}
+        for i, g in enumerate(code.tolist()):
+            if g:
+                n, b = grams.get(g, (0, 0.5 * letter(c[i]) * letter(c[i + 1]) * letter(c[i + 2]) + 0.5 / SIZE))
+                grams[g] = n + 1, b
+        if not grams:
+            continue
+        n = np.array([x for x, _ in grams.values()], float)
+        best = None
+        for size in range(1, len(langs) + 1):
+            for chosen in combinations(langs, size):
+                p = np.array([[chance(k, g) for g in grams] for k in chosen] + [[b for _, b in grams.values()]])
+                pi = np.full(len(p), 1 / len(p))
+                for _ in range(2000):
+                    pi = pi * (p @ (n / (pi @ p))) / n.sum()
+                worth = n @ np.log(pi @ p) - 2.0 * size * np.log(n.sum())
+                if best is None or worth > best[0]:
+                    best = worth, dict(zip(chosen, pi)), 1 - pi[-1]
+        assert {m.lang for m in got[r.doc_id].mixture} == set(best[1]), r.doc_id
+        assert got[r.doc_id].lang_pred == max(best[1], key=best[1].get)
+        assert got[r.doc_id].known == pytest.approx(best[2], abs=0.02)
+
+
 def test_language_of_nothing_is_undetermined(odd):
     got = [(r.doc_id, r.lang_pred, r.score) for r in language_id.language_id(odd).where("doc_id IN (1, 2, 3)").collect()]
     assert sorted(got) == [(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)]
@@ -266,18 +338,29 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     assert left.count(6) == 1 and 7 not in left
 
 
+def test_pipeline_tells_rows_apart_by_themselves(spark):
+    import corpus_pipeline
+
+    a, b = "one small text about the river and its boats", "quite another matter that nobody has seen in this town before now"
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (None, "never to be found again in any book or paper", 5), (None, b, 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _own_nth long").withColumn("fp", F.lit("clash"))
+    left = corpus_pipeline.drop_near_duplicates(spark, table, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(1, a), (5, b), (0, rows[4][1])])
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     said = {r.doc_id: r for r in language_id.language_id(table).collect()}
-    left = {r.doc_id: r for r in table.collect() if said[r.doc_id].lang_pred != "und" and said[r.doc_id].score >= corpus_pipeline.LEAST_SHARE}
-    judged = {r.doc_id: r for r in quality_rules.quality_rules(table.where(F.col("doc_id").isin(list(left)))).collect()}
+    left = {r.doc_id: r for r in table.collect() if said[r.doc_id].lang_pred != "und" and (said[r.doc_id].known >= corpus_pipeline.LEAST_KNOWN or said[r.doc_id].n_grams < corpus_pipeline.LEAST_GRAMS)}
+    spoken = spark.createDataFrame([(d, said[d].lang_pred) for d in left], "doc_id long, lang string")
+    judged = {r.doc_id: r for r in quality_rules.quality_rules(table.drop("lang").join(spoken, "doc_id")).collect()}
     sound = []
     for d, r in left.items():
         words, *_, repeats = base_by_rule(r.text)
         inside = judged[d].ppl_low <= judged[d].log_ppl <= judged[d].ppl_high
-        if words >= 50 and 100 * repeats <= 50 * words and inside:
+        if words >= corpus_pipeline.LEAST_WORDS and 100 * repeats <= 50 * words and inside:
             sound.append(d)
     sound.sort()
     fp = np.array([fingerprint_by_rule(left[d].text) for d in sound], np.uint64)
