@@ -9,37 +9,32 @@ from pyspark.sql import functions as F
 from gridproof.llm import language_id, packing, quality_rules, simhash
 from gridproof.llm.common import read_table, written
 
-#: A document's largest language must have this share of it, or it is of no language.
-LEAST_SHARE = 0.35
+#: Learned languages must have this share of a document together, or it is of no language.
+LEAST_KNOWN = 0.5
+#: With fewer trigrams than this a text is too short to be told from gibberish, and stays.
+LEAST_GRAMS = 30
+#: Fewer words than this say nothing about quality; such documents go.
+LEAST_WORDS = 5
 
 
-def keep(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (null counts as one) is in ``ids``; all columns. ``once``: equal rows once.
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have no letters, no text, or, from LEAST_GRAMS trigrams on, that learned languages explain by less than LEAST_KNOWN.
 
-    Join and deduplication stand on the same two key columns, so texts are shuffled once for both.
+    ``lang`` is the predicted language from here on. Every row is judged by its own text; nothing is shuffled.
     """
-    value, missing = F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()
-    wanted = ids.select(value.alias("_wanted"), missing.alias("_wanted_null")).distinct()
-    keyed = docs.withColumns({"_id": value, "_id_null": missing})
-    kept = keyed.join(wanted, (F.col("_id") == F.col("_wanted")) & (F.col("_id_null") == F.col("_wanted_null")), "left_semi")
-    return (kept.dropDuplicates(["_id", "_id_null", "text"]) if once else kept).drop("_id", "_id_null")
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letters, no text, or no language with LEAST_SHARE of them."""
-    found = language_id.language_id(docs)
-    return keep(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)))
+    found = docs.withColumn("_found", language_id.mixture_of(F.col("text"), language_id.fitted(docs)))
+    told = (F.col("_found.known") >= LEAST_KNOWN) | (F.col("_found.n_grams") < LEAST_GRAMS)
+    return found.where((F.col("_found.lang_pred") != "und") & told).withColumn("lang", F.col("_found.lang_pred")).select(*docs.columns)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that fail the base rules or whose perplexity is outside their language's band."""
-    return keep(docs, quality_rules.quality_rules(docs).where("kept"))
+    """Documents go that have fewer than LEAST_WORDS words, repeat themselves, or whose perplexity is outside their language's band."""
+    return quality_rules.rows_in_bands(docs, min_words=LEAST_WORDS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; of equal rows, one."""
-    groups = simhash.simhash_groups(docs, words=4, radius=4)
-    return keep(docs, groups.where("doc_id <=> component_id"), once=True)
+    """Of each group of near-duplicates the row with the smallest doc_id stays; of equal rows, one."""
+    return simhash.first_of_groups(docs, words=4, radius=4)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
