@@ -1,39 +1,53 @@
 """Embedding near-duplicates by lattice hashing: random projections decoded to points of the E8 lattice.
 
-In each of several tables a unit vector is projected to eight dimensions and decoded to its nearest lattice point. A
-vector is filed under that cell and under the neighbouring cells nearest to its projection, so that two vectors meet
-where either one's cell is among the other's; those that meet are verified by cosine in double precision. A pair that
-meets in several buckets is counted in the first only, which is worked out from the vectors alone: buckets give
-counts and spanning links, never their pairs.
+In each of several tables a unit vector is projected to one or more blocks of eight dimensions, and each block is decoded to
+its nearest lattice point; the points together are a cell. A vector is filed under its own cell and under neighbouring
+cells nearest to its projection. What is filed is a node number and a sketch of 128 signs, not the vector. Within a cell
+the sketches tell which vectors may be within the radius of another; only for those are the vectors brought to that cell,
+and verified by cosine in double precision. A pair that shares several cells is counted in the first only, which is
+worked out from the vectors alone: cells give counts and spanning links, never their pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import by_batch, components, union_labels, written
+from .common import components, hot_keys, hub_join, union_labels, written
 
 SEED = 8
-#: Vectors in a bucket; a larger one is cut into tiles, and each pair of tiles is a bucket of its own.
+#: Vectors in a cell that are compared in one piece; a larger one is cut into tiles, and each pair of tiles is dealt by itself.
 TILE = 2048
+SIGNS = 128
+#: By blocks in a table: tables and neighbouring cells. Chosen for a recall of 0.99 at a cosine of exactly 0.93 (README).
+SHAPES = {1: (4, 3), 2: (6, 7), 3: (14, 15), 4: (32, 31)}
+#: Share of a table's cells in which two random vectors meet, for each block; and how many such a vector should meet.
+MEET, MATES = 0.01, 64
 
 
 class Lattice:
     """Tables of E8 cells for vectors of one dimension; made from a seed, the same in every task."""
 
-    def __init__(self, dim: int, tables: int, probes: int, scale: float):
+    def __init__(self, dim: int, blocks: int, tables: int, probes: int, scale: float):
         rng = np.random.default_rng(SEED + dim)
-        self.tables, self.probes, self.scale = tables, probes, scale
-        self.turn = [np.linalg.qr(rng.standard_normal((max(dim, 8), 8)))[0][:dim] for _ in range(tables)]
-        self.shift = [rng.random(8) for _ in range(tables)]
-        self.mix = rng.integers(1, 1 << 62, (8,), dtype=np.int64) | 1
+        self.blocks, self.tables, self.probes = blocks, tables, probes
+        self.scale = scale / math.sqrt(max(dim, 8))
+        self.turn = [[np.linalg.qr(rng.standard_normal((max(dim, 8), 8)))[0][:dim] for _ in range(blocks)] for _ in range(tables)]
+        self.shift = rng.random((tables, blocks, 8))
+        self.mix = rng.integers(1, 1 << 62, (tables, blocks, 8), dtype=np.int64) | 1
+        self.planes = rng.standard_normal((dim, SIGNS))
         unit = np.eye(8)
         near = [s * unit[i] + t * unit[j] for i in range(8) for j in range(i) for s in (1, -1) for t in (1, -1)]
         half = [np.array([(1 if m >> i & 1 else -1) / 2 for i in range(8)]) for m in range(256) if bin(m).count("1") % 2 == 0]
         self.roots = np.array(near + half)  # the 240 shortest vectors
+        each = 5 if blocks <= 2 else 3  # own point and the nearest neighbours of each block that are combined
+        self.choices = np.stack(np.meshgrid(*[np.arange(each)] * blocks, indexing="ij"), -1).reshape(-1, blocks)
+        self.near = each - 1
 
     @staticmethod
     def decode(x: np.ndarray) -> np.ndarray:
@@ -53,46 +67,78 @@ class Lattice:
         a, b = d8(x), d8(x - 0.5) + 0.5
         return np.where((((x - a) ** 2).sum(1) <= ((x - b) ** 2).sum(1))[:, None], a, b)
 
-    def cell(self, point: np.ndarray) -> np.ndarray:
-        whole = np.rint(point * 2).astype(np.int64)
+    def cells(self, unit: np.ndarray, table: int, probes: int | None = None) -> np.ndarray:
+        """(n, 1 + probes): a hash of each vector's own cell, then of the neighbouring cells nearest to its projection."""
+        parts, costs = [], []
         with np.errstate(over="ignore"):
-            return (whole * self.mix).sum(-1)
-
-    def cells(self, unit: np.ndarray, table: int) -> np.ndarray:
-        """(n, 1 + probes): a hash of each vector's own cell, then of the nearest neighbouring cells."""
-        x = unit @ self.turn[table] / self.scale + self.shift[table]
-        own = self.decode(x)
-        away = (x - own) @ self.roots.T  # the larger, the nearer is that neighbour
-        near = np.argsort(-away, axis=1, kind="stable")[:, : self.probes]
-        return np.concatenate([self.cell(own)[:, None], self.cell(own[:, None, :] + self.roots[near])], axis=1)
+            for b in range(self.blocks):
+                x = unit @ self.turn[table][b] / self.scale + self.shift[table, b]
+                own = self.decode(x)
+                away = 2 - 2 * (x - own) @ self.roots.T  # how much further each neighbour is
+                near = np.argpartition(away, self.near, axis=1)[:, : self.near]
+                near = np.take_along_axis(near, np.argsort(np.take_along_axis(away, near, 1), axis=1, kind="stable"), 1)
+                points = np.concatenate([own[:, None], own[:, None] + self.roots[near]], axis=1)
+                parts.append((np.rint(points * 2).astype(np.int64) * self.mix[table, b]).sum(-1))
+                costs.append(np.concatenate([np.zeros((len(x), 1)), np.take_along_axis(away, near, 1)], axis=1))
+            cost = sum(c[:, self.choices[:, b]] for b, c in enumerate(costs))
+            order = np.argsort(cost, axis=1, kind="stable")[:, : 1 + (self.probes if probes is None else probes)]  # all own comes first, at no cost
+            chosen = self.choices[order]
+            return sum(np.take_along_axis(p, chosen[:, :, b], 1) for b, p in enumerate(parts)) * 31 + table
 
     def all_cells(self, unit: np.ndarray) -> np.ndarray:
         return np.stack([self.cells(unit, t) for t in range(self.tables)], axis=1)
 
-
-def meet(cells_a: np.ndarray, cells_b: np.ndarray) -> np.ndarray:
-    """For pairs of (1 + probes) cells: whether own cell of one is among the cells of the other."""
-    return (cells_a[:, :1] == cells_b).any(1) | (cells_b[:, :1] == cells_a).any(1)
+    def sketch(self, unit: np.ndarray) -> np.ndarray:
+        """(n, 2) words of 64 signs."""
+        return np.packbits(unit @ self.planes > 0, axis=1, bitorder="little").view("<u8")
 
 
 _LATTICES: dict[tuple, Lattice] = {}
 
 
-def lattice_for(dim: int, tables: int, probes: int, scale: float) -> Lattice:
-    key = (dim, tables, probes, scale)
+def lattice_for(*key) -> Lattice:
     if key not in _LATTICES:
         _LATTICES[key] = Lattice(*key)
     return _LATTICES[key]
 
 
 def units(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(1, keepdims=True)
     return rows / np.sqrt((rows**2).sum(1, keepdims=True))
 
 
-def bucket_counts(lattice: Lattice, rows: np.ndarray, table: int, cell: int, tile: np.ndarray, least: float, weight: np.ndarray):
-    """Of one bucket: for each vector the weight of the partners that are counted here, and each vector's root.
+def by_dim(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors in double) of the vectors of each length."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat, first = column.values.to_numpy(zero_copy_only=False).astype(np.float64), column.offsets.to_numpy()[:-1]
+    return [(at, flat[first[at][:, None] + np.arange(d)]) for d in np.unique(sizes) for at in [np.flatnonzero(sizes == d)]]
+
+
+def signs_apart(least: float) -> int:
+    """Signs in which two vectors of cosine ``least`` differ, but for one pair in many millions (six deviations)."""
+    p = math.acos(least) / math.pi
+    return math.ceil(SIGNS * p + 6 * math.sqrt(SIGNS * p * (1 - p)))
+
 
-    A pair is counted here if this is the first table where the two meet, and of its cells the first that both have.
+def blocks_for(n: int) -> int:
+    """Blocks of a table for ``n`` vectors of one label: the fewest with which a vector meets MATES others by chance, or fewer."""
+    return next((k for k in sorted(SHAPES) if n * MEET**k <= MATES), max(SHAPES))
+
+
+def may_match(sketches: np.ndarray, most: int) -> np.ndarray:
+    """Whether each sketch is within ``most`` signs of another one."""
+    out = np.zeros(len(sketches), bool)
+    for a in range(0, len(sketches), 512):
+        apart = np.bitwise_count(sketches[a : a + 512, None, :] ^ sketches[None, :, :]).sum(-1, dtype=np.int64)
+        apart[np.arange(len(apart)), a + np.arange(len(apart))] = most + 1
+        out[a : a + 512] = (apart <= most).any(1)
+    return out
+
+
+def cell_counts(lattice: Lattice, rows: np.ndarray, label_hash: int, cell: int, tile: np.ndarray, least: float, weight: np.ndarray):
+    """Of one cell: for each vector the weight of the partners that are counted here, and each vector's root.
+
+    A pair is counted here if this is the smallest hash in the first table in which the two share a cell.
     """
     n = len(rows)
     unit = units(rows)
@@ -106,102 +152,182 @@ def bucket_counts(lattice: Lattice, rows: np.ndarray, table: int, cell: int, til
         keep = (i < j) & ((tile[i] != tile[j]) if split else True)
         i, j = i[keep], j[keep]
         if len(i) and cells is None:
-            cells = lattice.all_cells(unit)
-        for c in range(0, len(i), 1 << 16):
-            p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-            here = meet(cells[p, table], cells[q, table])
-            for t in range(table):
-                here &= ~meet(cells[p, t], cells[q, t])
+            cells = bucket_hash(lattice.all_cells(unit), label_hash)
+        for c in range(0, len(i), 1 << 15):
+            p, q = i[c : c + (1 << 15)], j[c : c + (1 << 15)]
+            place, open_ = np.zeros(len(p), np.int64), np.ones(len(p), bool)
+            for t in range(lattice.tables):
+                one, two = cells[p[open_], t], cells[q[open_], t]
+                both = np.where((one[:, :, None] == two[:, None, :]).any(2), one, np.iinfo(np.int64).max).min(1)
+                met = both < np.iinfo(np.int64).max
+                at = np.flatnonzero(open_)[met]
+                place[at], open_[at] = both[met], False
+                if not open_.any():
+                    break
+            here = (place == cell) & ~open_
             p, q = p[here], q[here]
-            # the two may share several cells of this table: the smaller of those where one of them is at home
-            home_p, home_q = cells[p, table, 0], cells[q, table, 0]
-            both_p = (home_p[:, None] == cells[q, table]).any(1)
-            both_q = (home_q[:, None] == cells[p, table]).any(1)
-            place = np.where(both_p & both_q, np.minimum(home_p, home_q), np.where(both_p, home_p, home_q))
-            p, q = p[place == cell], q[place == cell]
             np.add.at(counts, p, weight[q])
             np.add.at(counts, q, weight[p])
             roots = union_labels(n, p, q, roots)
     return counts, roots
 
 
-def lattice_groups(vectors: DataFrame, least: float = 0.93, tables: int = 8, probes: int = 3, scale: float = 0.2) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
+def bucket_hash(cells: np.ndarray, label_hash: np.ndarray | int) -> np.ndarray:
+    """Cells of different labels apart, and the bits well mixed."""
+    with np.errstate(over="ignore"):
+        x = (cells + label_hash).view(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))).view(np.int64)
 
-    Vectors of one label and one length are linked at a cosine of ``least`` or more. Equal vectors are one node with a
-    weight. A null label, a null or empty embedding, a zero vector, one with null or non-finite components, and a null
-    vec_id link with nothing: no links, its own component. Repeated rows of a vec_id are each answered; such a
-    row counts as one vector among the copies of its embedding. An empty table gives an empty result; other columns
-    are neither read nor returned.
+
+def pieces_of(batches, key: str):
+    """The rows of sorted ``batches`` in tables that hold whole runs of ``key``."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            part = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            keys = part[key].to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last run may go on in the next batch
+            if cut:
+                yield part.slice(0, cut).combine_chunks()
+            rest = part.slice(cut).to_batches()
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def runs_of(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of more than one equal key."""
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    long = np.flatnonzero(np.diff(edge) > 1)
+    return list(zip(edge[long].tolist(), edge[long + 1].tolist()))
+
+
+def own_cells(nodes: DataFrame, shape: tuple) -> DataFrame:
+    """(bucket, n): how many vectors have each cell for their own; a task adds up first."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for at, rows in by_dim(batch.column(1)):
+                lattice, unit, labels = lattice_for(rows.shape[1], *shape), units(rows), batch.column(0).to_numpy()[at]
+                out += [bucket_hash(lattice.cells(unit, t, 0)[:, 0], labels) for t in range(lattice.tables)]
+            key, n = np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["bucket", "n"])
+
+    return nodes.select("label_hash", "e").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def file_under(nodes: DataFrame, shape: tuple) -> DataFrame:
+    """(bucket, node, s, t): each vector's number and sketch under its cells."""
+
+    def run(batches):
+        for batch in batches:
+            out = ([], [], [], [])
+            for at, rows in by_dim(batch.column(2)):
+                lattice, unit = lattice_for(rows.shape[1], *shape), units(rows)
+                number, labels, sketch = batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at], lattice.sketch(unit).view(np.int64)
+                for t in range(lattice.tables):
+                    cells = bucket_hash(lattice.cells(unit, t), labels[:, None])
+                    for x, y in zip(out, (cells.ravel(), *(np.repeat(z, cells.shape[1]) for z in (number, sketch[:, 0], sketch[:, 1])))):
+                        x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["bucket", "node", "s", "t"])
+
+    return nodes.select("node", "label_hash", "e").mapInArrow(run, "bucket long, node long, s long, t long")
+
+
+def candidates(nodes: DataFrame, shape: tuple, least: float) -> DataFrame:
+    """(bucket, node): the vectors that have another one near them, by their sketches, in each cell.
+
+    Of cells with many vectors at home all are taken, so that no task compares a large one.
     """
-    spark = vectors.sparkSession
-    plain = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
-    sound = F.expr("vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND size(e) > 0 AND forall(e, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(e, x -> x <> 0)")
-    rows = plain.withColumn("e", F.when(F.coalesce(sound, F.lit(False)), F.transform("e", lambda x: x + F.lit(0.0))))  # -0.0 as 0.0
-    nodes = written(rows.where("e IS NOT NULL").groupBy("label", "e").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("weight")), "vectors")
-
-    def file_under(batch: pa.RecordBatch) -> dict:
-        out = {c: [] for c in ("node", "weight", "e", "label", "t", "cell")}
-        held = dict(zip(batch.schema.names, (batch.column(i).to_pylist() for i in range(batch.num_columns))))
-        sizes = np.array([len(e) for e in held["e"]])
-        for dim in np.unique(sizes):
-            which = np.flatnonzero(sizes == dim)
-            raw = np.array([held["e"][i] for i in which])
-            raw = raw / np.abs(raw).max(1, keepdims=True)
-            cells = lattice_for(int(dim), tables, probes, scale).all_cells(units(raw))
-            for k, i in enumerate(which):
-                for t in range(tables):
-                    for c in dict.fromkeys(cells[k, t].tolist()):
-                        for name, v in zip(out, (held["node"][i], held["weight"][i], raw[k].astype("<f8").tobytes(), held["label"][i], t, c)):
-                            out[name].append(v)
-        return out
-
-    filed = by_batch(nodes, ["node", "weight", "e", "label"], "node long, weight long, e binary, label string, t int, cell long", file_under)
-    filed = written(filed.withColumn("key", F.xxhash64("label", F.length("e"), "t", "cell")), "cells")
-    large = filed.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    dealt = filed.join(large, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "own", "t", "cell", "node", "weight", "e"
-    )
+    most = signs_apart(least)
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = file_under(nodes, shape)
+    large = written(own_cells(nodes, shape).where(F.col("n") > TILE // 4).select("bucket"), "large-cells")
 
     def run(batches):
-        schema = [("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]
-        rest: list[pa.RecordBatch] = []
+        for part in pieces_of(batches, "bucket"):
+            keys, number, sketch = part["bucket"].to_numpy(), part["node"].to_numpy(), np.stack([part["s"].to_numpy(), part["t"].to_numpy()], 1).view(np.uint64)
+            hits = [a + np.flatnonzero(may_match(sketch[a:b], most)) for a, b in runs_of(keys)]
+            at = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(number[at])], ["bucket", "node"])
+
+    some = not large.isEmpty()
+    rest = filed.join(large, "bucket", "left_anti") if some else filed
+    near = rest.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, node long")
+    return near.unionByName(filed.join(large, "bucket", "left_semi").select("bucket", "node")) if some else near
+
+
+def verified(met: DataFrame, nodes: DataFrame, shape: tuple, least: float) -> DataFrame:
+    """(node, n, root) of the vectors that have links in a cell, summed over that cell."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = written(met.groupBy("bucket").agg(F.count("*").alias("n")), "cell-sizes")
+    tiles = sizes.where("n > 1").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    dealt = hub_join(met, tiles, "bucket", hot_keys(sizes, "bucket", met.count())).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("node", "bucket", "own", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("deal"))
+    held = tiled.join(nodes.select("node", "weight", "label_hash", "e"), "node")
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
-        def give(part: pa.Table):
-            bucket = part["bucket"].to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-            node, weight, own, t, cell = (part[c].to_numpy() for c in ("node", "weight", "own", "t", "cell"))
+    def run(batches):
+        for part in pieces_of(batches, "deal"):
+            number, weight, own, bucket, labels = (part[c].to_numpy() for c in ("node", "weight", "own", "bucket", "label_hash"))
+            vectors = part["e"].combine_chunks()
             out = ([], [], [])
-            for a, b in zip(edge, [*edge[1:], len(bucket)]):
-                if b - a > 1:
-                    raw = np.stack([np.frombuffer(x, "<f8") for x in part["e"][a:b].to_pylist()])
-                    lattice = lattice_for(raw.shape[1], tables, probes, scale)
-                    counts, roots = bucket_counts(lattice, raw, int(t[a]), int(cell[a]), own[a:b], least, weight[a:b])
-                    hit = np.flatnonzero(counts)
-                    out[0].append(node[a:b][hit])
-                    out[1].append(counts[hit])
-                    out[2].append(node[a:b][roots[hit]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], k) for x, (_, k) in zip(out, schema)], [f for f, _ in schema])
+            for a, b in runs_of(part["deal"].to_numpy()):
+                rows = vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b - a, -1)
+                counts, roots = cell_counts(lattice_for(rows.shape[1], *shape), rows, labels[a], bucket[a], own[a:b], least, weight[a:b])
+                hit = np.flatnonzero(counts)
+                for x, y in zip(out, (number[a:b][hit], counts[hit], number[a:b][roots[hit]])):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], schema=schema)
+
+    return held.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(run, "node long, n long, root long")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = pa.Table.from_batches([*rest, batch]).combine_chunks()
-            bucket = part["bucket"].to_numpy()
-            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
-            if cut:
-                yield give(part.slice(0, cut))
-            rest = part.slice(cut).to_batches()
-        if rest:
-            yield give(pa.Table.from_batches(rest).combine_chunks())
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = written(tiled.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "node long, n long, root long"), "counts")
+def lattice_groups(vectors: DataFrame, least: float = 0.93, blocks: int | None = None, scale: float = 1.6) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
+
+    Vectors of one label and one length are linked at a cosine of ``least`` or more. A vector is a vec_id with an
+    embedding and a label: rows that repeat all three are one, each answered; a vec_id with two embeddings is two
+    vectors, which are counted and linked as others are. Equal embeddings of a label are one node with a weight. A null
+    label, a null or empty embedding, a zero vector, one with null or non-finite components, and a null vec_id link
+    with nothing: no links, their own component. An empty table gives an empty result; other columns are neither
+    read nor returned.
+
+    ``blocks`` (default: from the number of vectors of the largest label) makes cells finer as the table grows, so that
+    the vectors that share a cell by chance stay a bounded number.
+    """
+    kind = "double" if vectors.schema["embedding"].dataType.elementType == DoubleType() else "float"
+    plain = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("e"), F.col("label").cast("string").alias("label"))
+    sound = F.expr("vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND size(e) > 0 AND forall(e, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(e, x -> x <> 0)")
+    e = F.transform("e", lambda x: x + F.lit(0.0).cast(kind))  # -0.0 as 0.0
+    rows = plain.withColumn("e", F.when(F.coalesce(sound, F.lit(False)), e))
+
+    def content(x: Column) -> list[Column]:
+        """128 bits of what a node is told by."""
+        return [F.xxhash64("label", x).alias("h"), F.xxhash64(F.lit("again"), x, "label").alias("g")]
+
+    keyed = rows.where("e IS NOT NULL").select("vec_id", "label", "e", *content(F.col("e")))
+    owners = keyed.select("h", "g", "vec_id").distinct().groupBy("h", "g").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    once = keyed.groupBy("h", "g").agg(F.first("label").alias("label"), F.first("e").alias("e"))
+    numbered = once.join(owners, ["h", "g"]).select(F.monotonically_increasing_id().alias("node"), "h", "g", "least", "weight", F.xxhash64("label", F.size("e")).alias("label_hash"), "e")
+    nodes = written(numbered, "vectors")
+
+    most = nodes.groupBy("label_hash").count().agg(F.max("count")).first()[0] or 0
+    k = blocks or blocks_for(most)
+    shape = (k, *SHAPES[k], scale)
+    met = written(candidates(nodes, shape, least), "met")
+    found = written(verified(met, nodes, shape, least), "counts")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "of")
-    named = nodes.join(counts, "node", "left").join(roots, F.col("node") == F.col("of"), "left")
-    answer = named.select(F.col("label").alias("l"), F.col("e").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    joined = rows.join(answer, (rows["label"] == answer["l"]) & (rows["e"] == answer["v"]), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    joined = nodes.drop("e", "label_hash").join(counts, "node", "left").join(roots, F.col("node") == F.col("of"), "left")
+    named = written(joined.select("h", "g", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "roots")
+    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    answer = hub_join(named, lowest.drop("n"), "root", hot_keys(lowest, "root", named.count())).select("h", F.col("g").alias("other"), "n_links", "component_id")
+
+    asked = rows.select("vec_id", F.col("e").isNotNull().alias("sound"), *content(F.col("e")))
+    copies = asked.where("sound").groupBy("h").agg(F.count("*").alias("n"))
+    known = hub_join(asked.where("sound"), answer, "h", hot_keys(copies, "h", asked.count())).where("g = other").select("vec_id", F.col("n_links").cast("long"), "component_id")
+    alone = asked.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
