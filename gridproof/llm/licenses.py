@@ -3,11 +3,14 @@
 Each text is a sequence of words; the hashes of all its rolling word k-grams are joined to the places of the same
 k-grams in the templates. A copy of a template shows as many hits on one diagonal (place in the text less place in
 the template); hits are added up by diagonal, neighbouring diagonals (words put in or left out) are merged, and the
-merged span is verified by how much of the template it holds and how long it is.
+merged span is verified: the words of its hits are those of the template, it holds enough of the template's different
+places, and it is not much longer than the template.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,20 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl-notice", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl-notice", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 K = 3
+#: Places of a template in one word of the set of those that were hit.
+BITS = 63
 
 
 def words_of(text: Column) -> Column:
@@ -50,13 +65,15 @@ def pair_hashes(words: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: list[tuple[str, str]], phrases: dict[str, str]) -> DataFrame:
-    """(gram, label, phrase, template, at, grams): a row for each k-gram of each template, and one for each phrase."""
+    """(gram, text, label, phrase, template, at, grams): a row for each k-gram of each template, and one for each phrase; ``text`` has its words."""
     rows = [(i, label, text, False) for i, (label, text) in enumerate(templates)] + [(len(templates) + i, label, text, True) for i, (text, label) in enumerate(sorted(phrases.items()))]
     named = spark.createDataFrame(rows, "template int, label string, text string, phrase boolean").withColumn("words", words_of(F.col("text")))
     paired = named.withColumn("pairs", pair_hashes(F.col("words")))
     triples = F.zip_with(F.slice("pairs", 1, F.size("pairs") - 1), F.slice("pairs", 2, F.size("pairs") - 1), lambda a, b: F.xxhash64(a, b))
     grams = F.when(F.size("words") >= K, triples).otherwise(F.col("pairs"))
-    return paired.select("template", "label", "phrase", F.size(grams).alias("grams"), F.when(F.size("words") >= K, F.lit(K)).otherwise(F.lit(2)).alias("k"), F.posexplode(grams).alias("at", "gram"))
+    k = F.when(F.size("words") >= K, F.lit(K)).otherwise(F.lit(2))
+    split = paired.select("template", "label", "phrase", "words", F.size(grams).alias("grams"), k.alias("k"), F.posexplode(grams).alias("at", "gram"))
+    return split.withColumn("text", F.array_join(F.slice("words", F.col("at") + 1, F.col("k")), " ")).drop("words")
 
 
 def license_spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, merge: int = 3, cover: float = 0.6, stretch: float = 1.5, short: int = 12) -> DataFrame:
@@ -66,16 +83,24 @@ def license_spans(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     spark = docs.sparkSession
     grams = template_grams(spark, TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases)
     places = F.collect_list(F.struct("template", "label", "phrase", "grams", "at"))
-    triple = grams.where(F.col("k") == K).groupBy("gram").agg(places.alias("by_triple")).withColumnRenamed("gram", "triple")
-    pair = grams.where(F.col("k") == 2).groupBy("gram").agg(places.alias("by_pair")).withColumnRenamed("gram", "pair")
+    triple = grams.where(F.col("k") == K).groupBy("gram", "text").agg(places.alias("by_triple")).withColumnsRenamed({"gram": "triple", "text": "triple_words"})
+    pair = grams.where(F.col("k") == 2).groupBy("gram", "text").agg(places.alias("by_pair")).withColumnsRenamed({"gram": "pair", "text": "pair_words"})
 
     worded = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", words_of(F.col("text")).alias("words"))
-    hashed = worded.select("row_id", "doc_id", F.size("words").cast("long").alias("n_words"), pair_hashes(F.col("words")).alias("pairs"))
+    rest = F.greatest(F.size("words"), F.lit(1))
+    hashed = worded.select("row_id", "doc_id", F.size("words").cast("long").alias("n_words"), "words", F.slice("words", 2, rest).alias("second"), F.slice("words", 3, rest).alias("third"), pair_hashes(F.col("words")).alias("pairs"))
     after = F.slice("pairs", 2, F.greatest(F.size("pairs"), F.lit(1)))
-    rolled = hashed.select("row_id", "doc_id", "n_words", F.posexplode_outer(F.zip_with("pairs", after, lambda a, b: F.struct(a.alias("pair"), F.xxhash64(a, b).alias("triple")))).alias("place", "hash"))
-    flat = rolled.select("row_id", "doc_id", "n_words", "place", F.col("hash.pair").alias("pair"), F.col("hash.triple").alias("triple"))
+    both = F.zip_with("pairs", after, lambda a, b: F.struct(a.alias("pair"), F.xxhash64(a, b).alias("triple")))
+    spoken = F.slice(F.arrays_zip(F.col("words").alias("a"), F.col("second").alias("b"), F.col("third").alias("c")), 1, F.size("pairs"))
+    rolled = hashed.select("row_id", "doc_id", "n_words", F.posexplode_outer(F.arrays_zip(both.alias("hash"), spoken.alias("said"))).alias("place", "x"))
+    flat = rolled.select("row_id", "doc_id", "n_words", "place", F.col("x.hash.pair").alias("pair"), F.col("x.hash.triple").alias("triple"), F.col("x.said.a").alias("a"), F.col("x.said.b").alias("b"), F.col("x.said.c").alias("c"))
     # both tables hold the templates' k-grams: their size is that of the list above
-    joined = flat.join(F.broadcast(triple), "triple", "left").join(F.broadcast(pair), "pair", "left")
+    met = flat.join(F.broadcast(triple), "triple", "left").join(F.broadcast(pair), "pair", "left")
+    # equal hashes are not taken for equal words
+    joined = met.withColumns({
+        "by_triple": F.when(F.concat_ws(" ", "a", "b", "c") == F.col("triple_words"), F.col("by_triple")),
+        "by_pair": F.when(F.concat_ws(" ", "a", "b") == F.col("pair_words"), F.col("by_pair")),
+    })
     first = F.coalesce(F.col("place") == 0, F.lit(True))
     found = joined.where(first | F.col("by_triple").isNotNull() | F.col("by_pair").isNotNull())
     none = F.expr("cast(array() AS array<struct<template: int, label: string, phrase: boolean, grams: int, at: int>>)")
@@ -85,12 +110,19 @@ def license_spans(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     # a phrase's places are spans as they are; a template's hits vote by diagonal
     spot = F.when(F.col("phrase"), F.col("place"))
     diagonal = F.when(~F.col("phrase"), F.col("place") - F.col("at"))
-    votes = flags.groupBy("row_id", "doc_id", "n_words", "template", "label", "phrase", "grams", spot.alias("spot"), diagonal.alias("diagonal")).agg(F.count("*").alias("n"), F.min("place").alias("low"), F.max("place").alias("high"))
+    # the template's places that were hit, as bits of a few words
+    words = range(max([len(re.split(BETWEEN, t)) for _, t in (TEMPLATES if templates is None else templates)], default=1) // BITS + 1)
+
+    def bits(w: int) -> Column:
+        return F.coalesce(F.bit_or(F.when(F.floor(F.col("at") / BITS) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % BITS))), F.lit(0).cast("long")).alias(f"hit_{w}")
+
+    votes = flags.groupBy("row_id", "doc_id", "n_words", "template", "label", "phrase", "grams", spot.alias("spot"), diagonal.alias("diagonal")).agg(F.min("place").alias("low"), F.max("place").alias("high"), *[bits(w) for w in words])
     order = Window.partitionBy("row_id", "template").orderBy("diagonal", "low")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > merge) | F.col("phrase"), F.lit(True))
     groups = votes.withColumn("group", F.sum(new.cast("int")).over(order))
-    spans = groups.groupBy("row_id", "doc_id", "n_words", "template", "label", "phrase", "grams", "group").agg(F.sum("n").alias("n"), F.min("low").alias("first_word"), F.max("high").alias("last_word"))
-    coverage = F.when(F.col("phrase"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("n") / F.col("grams")))
+    spans = groups.groupBy("row_id", "doc_id", "n_words", "template", "label", "phrase", "grams", "group").agg(F.min("low").alias("first_word"), F.max("high").alias("last_word"), *[F.bit_or(f"hit_{w}").alias(f"hit_{w}") for w in words])
+    n = sum((F.bit_count(F.col(f"hit_{w}")) for w in words), F.lit(0))
+    coverage = F.when(F.col("phrase"), F.lit(1.0)).otherwise(n / F.col("grams"))
     within = F.col("last_word") - F.col("first_word") + 1 <= F.ceil(F.col("grams") * stretch) + merge
     needed = F.when(F.col("grams") <= short, F.lit(1.0)).otherwise(F.lit(cover))
     sound = F.col("template").isNull() | F.col("phrase") | ((coverage >= needed) & within)

@@ -66,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ESCAPED = r"(2 * length({0}) - length(regexp_replace({0}, '[\\\\#<:]', '', 'g')))"
 #: Words of a text in lower case.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({0}, ''), '" + licenses.UPPER + "', '" + licenses.LOWER + r"'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
-_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}', {phrase})" for i, (label, text, phrase) in enumerate([*((label, text, False) for label, text in licenses.TEMPLATES), *((label, text, True) for text, label in licenses.PHRASES.items())]))
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text.replace(chr(39), chr(39) * 2)}', {phrase})" for i, (label, text, phrase) in enumerate([*((label, text, False) for label, text in licenses.TEMPLATES), *((label, text, True) for text, label in licenses.PHRASES.items())]))
 ORACLE_SQL: dict[str, str] = {
     "op6_licenses": f"""WITH listed(template, label, text, phrase) AS (VALUES {_TEMPLATES}),
  split AS (SELECT template, label, phrase, {_WORDS.format("text")} AS w FROM listed),
@@ -77,11 +77,11 @@ ORACLE_SQL: dict[str, str] = {
  flat AS (SELECT row_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM texts),
  rolled AS (SELECT row_id, place, word || ' ' || lead(word) OVER o AS two, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS three FROM flat WINDOW o AS (PARTITION BY row_id ORDER BY place)),
  hits AS (SELECT row_id, place, g.* FROM rolled JOIN grams g ON g.k = 3 AND g.gram = three UNION ALL SELECT row_id, place, g.* FROM rolled JOIN grams g ON g.k = 2 AND g.gram = two),
- votes AS (SELECT row_id, template, label, grams, place - pos AS diagonal, count(*) AS n, min(place) AS low, max(place) AS high FROM hits WHERE NOT phrase GROUP BY ALL),
- steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row_id, template ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS step FROM votes),
+ cells AS (SELECT DISTINCT row_id, template, place - pos AS diagonal FROM hits WHERE NOT phrase),
+ steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row_id, template ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS step FROM cells),
  grouped AS (SELECT *, sum(step) OVER (PARTITION BY row_id, template ORDER BY diagonal) AS grp FROM steps),
- spans AS (SELECT row_id, label, grams, sum(n) AS n, max(high) - min(low) + 1 AS width FROM grouped GROUP BY row_id, template, label, grams, grp),
- named AS (SELECT row_id, label, least(1.0::DOUBLE, n::DOUBLE / grams) AS coverage FROM spans WHERE least(1.0::DOUBLE, n::DOUBLE / grams) >= CASE WHEN grams <= 12 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END AND width <= ceil(grams * 1.5::DOUBLE) + 3),
+ spans AS (SELECT h.row_id, label, grams, count(DISTINCT pos) AS n, max(place) - min(place) + 1 AS width FROM hits h JOIN grouped g ON g.row_id = h.row_id AND g.template = h.template AND g.diagonal = h.place - h.pos WHERE NOT phrase GROUP BY h.row_id, h.template, label, grams, grp),
+ named AS (SELECT row_id, label, n::DOUBLE / grams AS coverage FROM spans WHERE n::DOUBLE / grams >= CASE WHEN grams <= 12 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END AND width <= ceil(grams * 1.5::DOUBLE) + 3),
  own AS (SELECT row_id, list(label) AS labels, max(coverage) AS score FROM named GROUP BY row_id),
  base AS (SELECT row_id, list(label) AS labels, count(*) AS n, min(place) AS low, max(place) AS high FROM hits WHERE phrase GROUP BY row_id)
  SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, base.low AS first_word, base.high AS last_word, coalesce(array_to_string(list_sort(list_distinct(base.labels)), ','), '') AS base_labels,
@@ -93,14 +93,22 @@ ORACLE_SQL: dict[str, str] = {
  reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a),
  n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
  SELECT vec_id, coalesce(max(n.n), 0) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM reach LEFT JOIN n ON n.a = vec_id GROUP BY vec_id""",
-    "op10_chat_windows": f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    # where a window that begins at each turn would end, by prefix sums; then the walk from window to window
+    "op10_chat_windows": f"""WITH RECURSIVE said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{ODD_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{ODD_TEXT}'),
- placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth, (length(text) + 3) // 4 + 4 AS cost FROM said),
- cut AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 256 AS bucket FROM placed),
- begun AS (SELECT *, CASE WHEN bucket <> coalesce(lag(bucket) OVER (PARTITION BY conv_id ORDER BY nth), -1) THEN 1 ELSE 0 END AS starts FROM cut),
- shown AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id) - 1 AS last, coalesce(lead(starts, 1) OVER (PARTITION BY conv_id ORDER BY nth), 0) + coalesce(lead(starts, 2) OVER (PARTITION BY conv_id ORDER BY nth), 0) AS later,
-  14 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")} AS size FROM begun)
- SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
-  length(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(size * (1 + CASE WHEN nth = 1 AND role = 'system' AND last > 0 THEN last ELSE later END)) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id""",
+ placed AS (SELECT *, row_number() OVER o AS nth, (length(text) + 3) // 4 + 4 AS cost, 14 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")} AS size,
+  first_value(role) OVER o = 'system' AS led FROM said WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+ summed AS (SELECT *, sum(cost) OVER o AS cost_to, sum(size) OVER o AS size_to, CASE WHEN led THEN first_value(cost) OVER o ELSE 0 END AS led_cost, CASE WHEN led THEN first_value(size) OVER o ELSE 0 END AS led_size,
+  lag(cost, 1) OVER o AS cost_1, lag(cost, 2) OVER o AS cost_2, lag(size, 1) OVER o AS size_1, lag(size, 2) OVER o AS size_2 FROM placed WINDOW o AS (PARTITION BY conv_id ORDER BY nth)),
+ headed AS (SELECT *, led AND nth > 1 AND (led_cost + cost <= 256 OR cost > 256) AS head FROM summed),
+ opened AS (SELECT *, cost + CASE WHEN head THEN led_cost ELSE 0 END AS base, nth - CASE WHEN led THEN 2 ELSE 1 END AS free FROM headed),
+ recalled AS (SELECT *, CASE WHEN led AND NOT head OR free < 1 OR base + cost_1 > 256 THEN 0 WHEN free < 2 OR base + cost_1 + cost_2 > 256 THEN 1 ELSE 2 END AS n FROM opened),
+ windows AS (SELECT conv_id, nth, base + CASE WHEN n > 0 THEN cost_1 ELSE 0 END + CASE WHEN n > 1 THEN cost_2 ELSE 0 END AS used, cost_to AS upto,
+  CASE WHEN head THEN led_size ELSE 0 END + CASE WHEN n > 0 THEN size_1 ELSE 0 END + CASE WHEN n > 1 THEN size_2 ELSE 0 END AS before FROM recalled),
+ next AS (SELECT w.conv_id, w.nth, any_value(w.before) AS before, min(s.nth) AS following FROM windows w LEFT JOIN summed s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.nth > w.nth AND w.used + s.cost_to - w.upto > 256 GROUP BY w.conv_id, w.nth),
+ walk AS (SELECT conv_id, nth, before, following FROM next WHERE nth = 1 UNION ALL SELECT n.conv_id, n.nth, n.before, n.following FROM walk JOIN next n ON n.conv_id IS NOT DISTINCT FROM walk.conv_id AND n.nth = walk.following),
+ shown AS (SELECT conv_id, sum(before) AS repeated FROM walk GROUP BY conv_id),
+ told AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size) AS size FROM placed GROUP BY conv_id)
+ SELECT told.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, CAST(size + repeated AS BIGINT) AS formatted_chars FROM told JOIN shown ON told.conv_id IS NOT DISTINCT FROM shown.conv_id""",
 }

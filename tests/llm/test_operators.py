@@ -309,6 +309,23 @@ def test_license_labels(spark):
     assert got[2].labels == "gpl,gpl-3.0" and got[3].labels == "" and got[4].n_words == 1
 
 
+def test_license_spans_hold_different_places_and_real_words(spark):
+    notice = licenses.TEMPLATES[6][1].split()
+    mit = next(t for label, t in licenses.TEMPLATES if label == "mit" and len(t) > 500)
+    rows = [(1, " ".join(notice[:16])), (2, "This program is " * 9 + " ".join(notice[:16])), (3, " ".join(notice[:22])), (4, "Copyright 2020 someone. " + mit.upper().replace(",", " ,\n")), (5, " ".join(mit.split()[80:]))]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "gpl-notice" not in got[1].labels and "gpl-notice" not in got[2].labels and "gpl-notice" in got[3].labels
+    assert got[4].labels == "mit" and got[4].score == 1.0 and "mit" not in got[5].labels
+    # a template whose k-grams hash like the text's, but with other words, is not found
+    grams = licenses.template_grams(spark, [("x", "one two three four")], {}).withColumn("text", F.lit("other words here"))
+    real = licenses.template_grams
+    try:
+        licenses.template_grams = lambda *_: grams
+        assert licenses.license_spans(spark.createDataFrame([(1, "one two three four")], "doc_id long, text string"), [("x", "one two three four")], {}).where("label IS NOT NULL").count() == 0
+    finally:
+        licenses.template_grams = real
+
+
 def test_classifier_held_out_accuracy(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = rule_ensemble.quality_scores(docs, labels).where("held_out").join(labels, "doc_id")
@@ -344,6 +361,11 @@ def test_plan_places_every_piece():
     assert (np.bincount(runs[:, 0], runs[:, 2], minlength=65) == histogram).all()
 
 
+def test_chat_of_nothing(spark):
+    table = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_windows.chat_digests(table).count() == 0 and chat_windows.chat_windows(table).count() == 0
+
+
 def test_chat_digests_against_plain_concatenation(spark):
     odd = queries.ODD_TEXT
     turns = [(1, 0, "system", "be <kind> \\h #1: ok"), (1, 1, "user", "q" * 900), (1, 2, "assistant", odd), (1, 3, "user", None), (1, 4, "assistant", "a" * 2000), (1, 5, None, "é\n"), (1, 5, None, "é\n"), (2, None, "assistant", ""), (None, 1, "user", "x")]
