@@ -20,7 +20,7 @@ from .common import slabs, text_column
 
 BITS = 18
 SIZE = 1 << BITS
-SLAB = 2_000_000
+SLAB = 500_000
 POINTS = 0x110000
 LETTER = regex.compile(r"\p{L}")
 _LOW: list[np.ndarray] = []

@@ -27,7 +27,7 @@ BITS = 6
 LEAST_TEXT = 10_000
 #: Models that are counted, broadcast and used at a time.
 GROUP = 24
-SLAB = 2_000_000
+SLAB = 500_000
 #: Class 0 stands between documents, 1 for space, 2-47 for the alphabet, 48-60 for other letters by a hash, then the others.
 CLASSES = {"space": 1, "letter": 2, "other_letter": 48, "digit": 61, "mark": 62, "symbol": 63}
 LETTERS = CLASSES["other_letter"] - CLASSES["letter"]
