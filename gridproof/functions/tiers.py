@@ -94,14 +94,19 @@ def border_settled_flag(flag: Column, confidence: Column) -> Column:
     return F.when(confidence <= 0.15, F.lit(False)).otherwise(F.coalesce(flag, F.lit(True)))
 
 
+def border_settled_reason(reason: Column, confidence: Column) -> Column:
+    """The reason that goes with ``border_settled_flag``: weak findings are none."""
+    return F.when(confidence <= 0.15, "no border (confidence of 0.15 or less)").otherwise(reason)
+
+
 def border_label(manual: Column, simple: Column, textured: Column, frame: Column) -> Column:
     return F.when(manual, "Manual Review").when(simple, "Simple Border").when(textured, "Textured Frame").when(frame, "Frame Structure").otherwise("No Border")
 
 
-def adapted_threshold(width: Column, height: Column, base: float = 30.0) -> Column:
+def adapted_threshold(width: Column, height: Column, base: Column | float = 30.0) -> Column:
     """The colour threshold of border checks, by resolution against full HD."""
-    scale = F.sqrt(width * height / F.lit(1920.0 * 1080.0))
-    return F.when(scale < 0.5, F.greatest(F.lit(15.0), F.lit(0.7 * base))).when(scale > 2, F.least(F.lit(50.0), F.lit(1.2 * base))).otherwise(F.lit(base))
+    scale, base = F.sqrt(width * height / F.lit(1920.0 * 1080.0)), F.lit(base) if isinstance(base, float) else base
+    return F.when(scale < 0.5, F.greatest(F.lit(15.0), base * 0.7)).when(scale > 2, F.least(F.lit(50.0), base * 1.2)).otherwise(base)
 
 
 def statistic_thresholds(mean: Column, deviation: Column, texture: Column, shorter: Column, base: float = 30.0, sensitivity: float = 1.8, perimeter: float = 0.15) -> Column:

@@ -1,15 +1,11 @@
 """Frames by contour: edge enhancement, outer contours of a mask, and scores of their shapes.
 
-Kernels over one gray picture (float array); ``frame_features`` runs them over rows of pictures in Arrow batches.
+Kernels over one gray picture (float array); ``pictures.measured`` runs them over rows of pictures.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
 from .kernels import canny, dilate, sobel
 
@@ -139,13 +135,18 @@ def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Corners of a closed line that keep it within ``tolerance``."""
 
     def between(a: int, b: int) -> list[int]:
-        line = points[a : b + 1] if b < len(points) else np.concatenate([points[a:], points[: b - len(points) + 1]])
-        along = (line[-1] - line[0]).astype(float)
-        rel = (line - line[0]).astype(float)
-        norm = np.hypot(*along)
-        away = np.abs(along[0] * rel[:, 1] - along[1] * rel[:, 0]) / norm if norm else np.hypot(*rel.T)
-        k = int(away.argmax())
-        return [] if away[k] <= tolerance else [*between(a, a + k), a + k, *between(a + k, b)]
+        ring, found, open_ = len(points), [], [(a, b)]
+        while open_:  # a stack, as a contour may have thousands of points
+            a, b = open_.pop()
+            line = points[np.arange(a, b + 1) % ring]
+            along, rel = (line[-1] - line[0]).astype(float), (line - line[0]).astype(float)
+            norm = np.hypot(*along)
+            away = np.abs(along[0] * rel[:, 1] - along[1] * rel[:, 0]) / norm if norm else np.hypot(*rel.T)
+            k = int(away.argmax())
+            if away[k] > tolerance and 0 < k < b - a:
+                found.append(a + k)
+                open_ += [(a, a + k), (a + k, b)]
+        return found
 
     at = 0
     for _ in range(3):  # two corners that lie far apart
@@ -218,25 +219,14 @@ def frame_boxes(gray: np.ndarray) -> list[dict]:
     return out
 
 
-def frame_features(pictures: DataFrame, key: str = "image") -> DataFrame:
-    """(key, frame, frame_score, quad, quad_score, boxes) for rows (key, width, height, gray: binary, row by row).
+FEATURES = "frame boolean, frame_score double, quad boolean, quad_score double, boxes array<struct<x: int, y: int, w: int, h: int>>, edge_share double"
 
-    ``quad`` is that of the largest contour. A null, cut-off or smaller picture than 16 by 16 has nulls and no boxes.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, w, h, data in zip(batch[key], batch.width, batch.height, batch.gray):
-                row = {key: k, "frame": None, "frame_score": None, "quad": None, "quad_score": None, "boxes": []}
-                if data is not None and w >= 16 and h >= 16 and len(data) == w * h:
-                    g = np.frombuffer(bytes(data), np.uint8).reshape(int(h), int(w)).astype(np.float64)
-                    found = outer_contours(enhanced_edges(g))
-                    row |= frame_contour(found, *g.shape) | {"boxes": frame_boxes(g)}
-                    if found:
-                        row |= quadrilateral(max(found, key=lambda c: area_of(c[0])[0])[0], *g.shape)
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[key, "frame", "frame_score", "quad", "quad_score", "boxes"])
-
-    schema = f"{key} {dict(pictures.dtypes)[key]}, frame boolean, frame_score double, quad boolean, quad_score double, boxes array<struct<x: int, y: int, w: int, h: int>>"
-    return pictures.select(key, "width", "height", "gray").mapInPandas(run, schema)
+def features(gray: np.ndarray) -> dict:
+    """The FEATURES of one picture; under 16 by 16 pixels nulls and no boxes. ``quad`` is that of the largest contour."""
+    if min(gray.shape) < 16:
+        return {"frame": None, "frame_score": None, "quad": None, "quad_score": None, "boxes": [], "edge_share": None}
+    edges = enhanced_edges(gray)
+    found = outer_contours(edges)
+    row = {"quad": None, "quad_score": None} | frame_contour(found, *gray.shape) | {"boxes": frame_boxes(gray), "edge_share": float(edges.mean())}
+    return row | quadrilateral(max(found, key=lambda c: area_of(c[0])[0])[0], *gray.shape) if found else row

@@ -1,16 +1,11 @@
 """Numeric picture kernels that DataFrame functions can't express: convolutions, median, Fourier bands.
 
-Each takes one gray picture (float array); ``picture_features`` runs them over rows of pictures in small batches.
-Edges are mirrored without repeating the edge pixel.
+Each takes one gray picture (float array); ``pictures.measured`` runs them over rows of pictures. Edges are mirrored without repeating the edge pixel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
 
 def convolve(gray: np.ndarray, kernel: list[list[float]]) -> np.ndarray:
@@ -98,22 +93,17 @@ def texture_frame(gray: np.ndarray, share: float = 0.15, least: float = 1.8) ->
     return {"texture_ratio": ratio, "textured": bool(ratio > least)}
 
 
-FEATURES = "laplacian_variance double, edge_density double, edge_contrast double, halo_variance double, high_freq_energy double, low_freq double, mid_freq double, high_freq double, frequency_variance double, total_energy double, noise double, texture_ratio double, textured boolean"
+FEATURES = (
+    "laplacian_variance double, edge_density double, edge_contrast double, halo_variance double, high_freq_energy double, low_freq double, mid_freq double, high_freq double, "
+    "frequency_variance double, total_energy double, noise double, texture_ratio double, textured boolean, adapted_texture_ratio double"
+)
 
 
-def picture_features(pictures: DataFrame, key: str = "image") -> DataFrame:
-    """``key`` and all kernels' features for rows (key, width, height, gray: binary, row by row); a picture under 3 by 3 is skipped by none and has nulls."""
+def rim_share(shorter: int, share: float = 0.15) -> float:
+    """The perimeter's share of the shorter side, adapted to the picture's size as ``tiers.statistic_thresholds`` does."""
+    return min(0.25, share * 1.2) if shorter < 500 else max(0.1, share * 0.8) if shorter > 2000 else share
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in FEATURES.split(", ")]
-        for batch in batches:
-            rows = []
-            for k, w, h, data in zip(batch[key], batch.width, batch.height, batch.gray):
-                row = {key: k}
-                if data is not None and w >= 3 and h >= 3 and len(data) == w * h:
-                    g = np.frombuffer(bytes(data), np.uint8).reshape(int(h), int(w)).astype(np.float64)
-                    row |= edge_features(g) | frequency_features(g) | {"noise": noise_deviation(g)} | texture_frame(g)
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[key, *names])
 
-    return pictures.select(key, "width", "height", "gray").mapInPandas(run, f"{key} {dict(pictures.dtypes)[key]}, {FEATURES}")
+def features(gray: np.ndarray) -> dict[str, float | bool]:
+    """The FEATURES of one picture of 3 by 3 pixels or more."""
+    return edge_features(gray) | frequency_features(gray) | {"noise": noise_deviation(gray)} | texture_frame(gray) | {"adapted_texture_ratio": texture_frame(gray, rim_share(min(gray.shape)))["texture_ratio"]}

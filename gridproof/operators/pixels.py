@@ -1,6 +1,7 @@
 """Picture features over a pixel table (image, x, y, gray) in DataFrame functions only.
 
-Every feature is one or two groupings by image, with partial sums before the shuffle: a picture's pixels need not meet
+This is the slow form, a row for each pixel: ``operators/pictures.py`` has the same rules in one pass over whole pictures and
+is held against it. Every feature is one or two groupings by image, with partial sums before the shuffle: a picture's pixels need not meet
 in one task. ``size`` is (width, height), or columns that hold them.
 """
 
@@ -18,6 +19,11 @@ def histogram_features(pixels: DataFrame) -> DataFrame:
     bins = F.sequence(F.lit(0), F.lit(255))
     packed = hist.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("gray", F.col("n").cast("double")))).alias("h"), F.sum("n").cast("double").alias("total"))
     full = packed.select("image", F.transform(bins, lambda b: F.coalesce(F.try_element_at("h", b), F.lit(0.0)) / F.col("total")).alias("p"))
+    return histogram_scores(full, "image")
+
+
+def histogram_scores(full: DataFrame, *kept: str) -> DataFrame:
+    """The columns ``kept`` and the features of the histogram in ``p``: shares of the 256 levels."""
     zero, p = F.lit(0.0), F.col("p")
 
     def total(a: Column) -> Column:
@@ -36,7 +42,7 @@ def histogram_features(pixels: DataFrame) -> DataFrame:
     mean = total(F.col("d")) / 255
     var = total(F.transform("d", lambda x: x * x)) / 255 - mean * mean
     return with_diff.select(
-        "image",
+        *kept,
         (F.get(p, 0) * 100).alias("black_clipping"),
         (F.get(p, 255) * 100).alias("white_clipping"),
         ((F.get(p, 0) + F.get(p, 255)) * 100).alias("total_clipping"),
@@ -229,6 +235,9 @@ def gradients(pixels: DataFrame) -> DataFrame:
 
 #: Shares of the shorter side that the border search tries, and weights of the parts of its score. Fixed values.
 WIDTH_SHARES = [0.008, 0.015, 0.025, 0.040, 0.060]
+#: The same for the region of a border, and for frames by colour. Fixed values.
+REGION_SHARES = [0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.07, 0.1]
+FRAME_SHARES = [0.01, 0.02, 0.03, 0.05]
 WEIGHTS = {"contrast": 0.40, "uniformity": 0.30, "side_consistency": 0.15, "transition": 0.10, "corner_consistency": 0.05}
 
 
@@ -265,7 +274,7 @@ def simple_border(pixels: DataFrame, width: int = 64, height: int = 64, contrast
 def border_region(pixels: DataFrame, width: int = 64, height: int = 64, contrast: float = 30.0) -> DataFrame:
     """(image, border_width, regions): where a border lies, as boxes (side, x0, y0, x1, y1) of the width that separates best; none: 0 and no boxes."""
     g, shorter = F.col("gray"), min(width, height)
-    widths = sorted({w for s in (0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.07, 0.1) if (w := int(shorter * s)) >= 2})
+    widths = sorted({w for s in REGION_SHARES if (w := int(shorter * s)) >= 2})
     aggs = [a for w in widths for a in (F.avg(F.when(stroke(width, height, w), g)).alias(f"m{w}"), F.stddev_pop(F.when(stroke(width, height, w), g)).alias(f"d{w}"), F.avg(F.when(enclosed(width, height, w), g)).alias(f"i{w}"))]
     one = pixels.groupBy("image").agg(*aggs or [F.count("*").alias("n")])
     scored = [F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("w"))]
@@ -382,7 +391,7 @@ def colour_frame(colours: DataFrame, width: int = 64, height: int = 64, contrast
     gray = F.round(r * 0.299 + g * 0.587 + b * 0.114)
     parts = {"gray": gray, **hsv(r, g, b), **lab(r, g, b)}
     flat = colours.select("image", "x", "y", *[c.alias(n) for n, c in parts.items()])
-    widths = sorted({w for s in (0.01, 0.02, 0.03, 0.05) if (w := int(min(width, height) * s)) >= 1})
+    widths = sorted({w for s in FRAME_SHARES if (w := int(min(width, height) * s)) >= 1})
     aggs = []
     for w in widths:
         inset = max(1, w // 2)

@@ -34,38 +34,77 @@ def spec_faults(specs: DataFrame) -> DataFrame:
     return specs.where("width < min_width OR height < min_height OR dpi_lo > dpi_hi OR dpi_x <= 0 OR dpi_y <= 0")
 
 
-def dpi_ok(a: DataFrame, s: DataFrame) -> Column:
+def dpi_ok(a, s) -> Column:
     exact = (F.abs(a["dpi_x"] - s["dpi_x"]) <= DPI_TOLERANCE) & (F.abs(a["dpi_y"] - s["dpi_y"]) <= DPI_TOLERANCE)
     inside = a["dpi_x"].between(s["dpi_lo"], s["dpi_hi"]) & a["dpi_y"].between(s["dpi_lo"], s["dpi_hi"])
     return F.when(s["dpi_x"].isNotNull(), exact).when(s["dpi_lo"].isNotNull(), inside).otherwise(F.lit(True))
 
 
+def size_ok(a, s) -> Column:
+    exact = (a["width"] == s["width"]) & (a["height"] == s["height"])
+    least = (a["width"] >= F.coalesce(s["min_width"], F.lit(0))) & (a["height"] >= F.coalesce(s["min_height"], F.lit(0)))
+    return F.when(s["width"].isNotNull() & s["height"].isNotNull(), exact).otherwise(least)
+
+
+def light_ok(a, s) -> Column:
+    return s["max_file_size_mb"].isNull() | (a["file_size_mb"] <= s["max_file_size_mb"])
+
+
 def mode_ok(mode: Column, wanted: Column) -> Column:
     return F.when(wanted == "CMYK", mode == "CMYK").when(wanted == "RGB", mode.isin("RGB", "RGBA")).otherwise(F.lit(True))
 
 
-def matches(a: DataFrame, s: DataFrame) -> Column:
+def matches(a, s) -> Column:
     """Whether an asset meets a specification: format, size in pixels (exact, else least), DPI, bytes and colour mode."""
-    exact = (a["width"] == s["width"]) & (a["height"] == s["height"])
-    least = (a["width"] >= F.coalesce(s["min_width"], F.lit(0))) & (a["height"] >= F.coalesce(s["min_height"], F.lit(0)))
-    size = F.when(s["width"].isNotNull() & s["height"].isNotNull(), exact).otherwise(least)
-    light = s["max_file_size_mb"].isNull() | (a["file_size_mb"] <= s["max_file_size_mb"])
-    return F.array_contains(s["formats"], a["format"]) & size & dpi_ok(a, s) & light & mode_ok(a["mode"], s["color_mode"])
+    return F.array_contains(s["formats"], a["format"]) & size_ok(a, s) & dpi_ok(a, s) & light_ok(a, s) & mode_ok(a["mode"], s["color_mode"])
+
+
+#: What a specification looks at.
+PROPERTIES = ("width", "height", "format", "mode", "dpi_x", "dpi_y", "file_size_mb")
+
+
+def _text(v) -> Column:
+    return F.lit(v) if not isinstance(v, list) else F.array(*[F.lit(x) for x in v])
+
+
+def best_spec(a: dict[str, Column], rows: list[tuple] | None = None, print_first: bool = True) -> Column:
+    """The name of the best specification of an asset with the properties ``a``, or null; no shuffle.
+
+    The catalogue is a handful of literals. The best match has the highest priority (100 for print, 10 for exact
+    pixels), the first in catalogue order among equals. Null properties match nothing that asks for them.
+    """
+    names = [f.strip().split()[0] for f in SCHEMA.split(", ")]
+    found = []
+    for row in CATALOGUE if rows is None else rows:
+        spec = dict(zip(names, row))
+        s = {k: _text(v) for k, v in spec.items()}
+        exact = spec["width"] is not None and spec["height"] is not None
+        priority = (100 if print_first and "print" in spec["spec"] else 0) + (10 if exact else 0)
+        found.append(F.when(F.coalesce(matches(a, s), F.lit(False)), F.struct(F.lit(priority).alias("p"), F.lit(-spec["spec_ord"]).alias("o"), F.lit(f"{spec['category']}_{spec['spec']}").alias("name"))))
+    return F.array_max(F.array(*found))["name"] if found else F.lit(None).cast("string")
 
 
 def spec_match(assets: DataFrame, specs: DataFrame | None = None, key: str = "doc_id", print_first: bool = True) -> DataFrame:
-    """(key, matched, spec): every asset with its best specification, or none.
+    """(key, matched, spec): every asset with its best specification, or none, row by row.
 
-    The catalogue is a dimension of a few rows and goes to every task. The best match has the highest priority (100 for
-    print, 10 for exact pixels), the first in catalogue order among equals. Null properties match nothing that asks
-    for them. Assets are told apart by ``key``; only candidates that matched are sorted, so the shuffle is theirs.
+    ``specs`` is a catalogue of SCHEMA (default: the built-in one); its rows, a few, become literals of the plan.
     """
-    spark = assets.sparkSession
-    s = (catalogue(spark) if specs is None else specs).alias("s")
-    props = assets.select(key, "width", "height", "format", "mode", "dpi_x", "dpi_y", "file_size_mb")
-    priority = F.when(F.lit(print_first) & s["spec"].contains("print"), 100).otherwise(0) + F.when(s["width"].isNotNull() & s["height"].isNotNull(), 10).otherwise(0)
-    found = props.join(F.broadcast(s), matches(props, s)).groupBy(props[key]).agg(F.max_by(F.concat_ws("_", s["category"], s["spec"]), F.struct(priority, -s["spec_ord"])).alias("spec"))
-    return assets.select(key).join(found, key, "left").select(key, F.col("spec").isNotNull().alias("matched"), "spec")
+    rows = None if specs is None else [tuple(r) for r in specs.select(*[f.strip().split()[0] for f in SCHEMA.split(", ")]).collect()]
+    spec = best_spec({c: F.col(c) for c in PROPERTIES}, rows, print_first)
+    return assets.select(key, spec.alias("spec")).select(key, F.col("spec").isNotNull().alias("matched"), "spec")
+
+
+def spec_failures(a: dict[str, Column], rows: list[tuple] | None = None) -> Column:
+    """array<struct<spec, reasons>>: for each specification what an asset lacks, in catalogue order; an empty array of reasons is a match."""
+    names = [f.strip().split()[0] for f in SCHEMA.split(", ")]
+    out = []
+    for row in CATALOGUE if rows is None else rows:
+        spec = dict(zip(names, row))
+        s = {k: _text(v) for k, v in spec.items()}
+        checks = {"format": F.array_contains(s["formats"], a["format"]), "dimensions": size_ok(a, s), "dpi": dpi_ok(a, s), "file_size": light_ok(a, s), "color_mode": mode_ok(a["mode"], s["color_mode"])}
+        lacks = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(k)) for k, ok in checks.items()]))
+        out.append(F.struct(F.lit(f"{spec['category']}_{spec['spec']}").alias("spec"), lacks.alias("reasons")))
+    return F.array(*out)
 
 
 def fallback_spec(width: Column, height: Column) -> Column:

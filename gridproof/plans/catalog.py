@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as sc
 from ..functions import tiers
-from ..operators import ocr, pixels, reports, specs, verdicts
+from ..operators import ocr, pictures, reports, scans, specs, verdicts
 from ..sources import copies
 from ..sources.tables import read_table
 from . import views
@@ -381,6 +381,15 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
 
 
+def _measured(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    return pictures.measured(views.pictures(spark, sf_dir), *parts)
+
+
+def _picture(measured: DataFrame, found: Column) -> DataFrame:
+    """image and the fields of a struct of findings, rounded."""
+    return _rounded(measured.where("m IS NOT NULL").select("image", found.alias("v")).select("image", "v.*"))
+
+
 @query(f"""WITH {_P}, h AS (SELECT image, gray, count(*) / 4096.0::DOUBLE AS p FROM pixels GROUP BY image, gray), ids AS (SELECT DISTINCT image FROM pixels),
  f AS (SELECT i.image, b.range::INT AS bin, coalesce(h.p, 0) AS p FROM ids i CROSS JOIN range(256) b LEFT JOIN h ON h.image = i.image AND h.gray = b.range),
  w AS (SELECT *, lag(p) OVER o AS before, lead(p) OVER o AS after, sum(p) OVER o AS cum, max(p) OVER (PARTITION BY image) AS top FROM f WINDOW o AS (PARTITION BY image ORDER BY bin)),
@@ -390,7 +399,7 @@ def _rounded(df: DataFrame) -> DataFrame:
  round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS entropy, round(1 / (1 + var_pop(p - before)), 6) AS smoothness, any_value(k.n) AS n_peaks,
  round(max(abs(cum - (bin + 1) / 256.0::DOUBLE)), 6) AS ks FROM w JOIN k USING (image) GROUP BY image""")
 def histogram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.histogram_features(views.pixels(spark, sf_dir)))
+    return _rounded(pictures.histogram_features(_measured(spark, sf_dir, "hist")))
 
 
 #: The four sides of a strip of w pixels, as means or deviations named after them.
@@ -414,7 +423,7 @@ _SHADE = """shade AS (SELECT image, avg(gray) FILTER (x BETWEEN 16 AND 48 AND y
  b AS (SELECT image, arg_max({{'w': w, 'n': n, 'score': score}}, (score, -w)) FILTER (n > 0 AND score > 0) AS b FROM s GROUP BY image)
  SELECT image, coalesce(b.w, 0) AS border_width, coalesce(b.n, 0) AS n_sides, round(least(1.0::DOUBLE, coalesce(b.score, 0) / 3), 6) AS confidence, coalesce(b.n >= 2 AND least(1.0::DOUBLE, b.score / 3) > 0.6, false) AS detected FROM b""")
 def obvious_border(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.obvious_border(views.pixels(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "rims"), pictures.obvious())
 
 
 @query(f"""WITH {_P}, c AS (SELECT image, stddev_pop(gray) AS d FROM pixels GROUP BY image, x // 8, y // 8), s AS (SELECT image, count(*) FILTER (d < 8) / count(*)::DOUBLE AS share FROM c GROUP BY image),
@@ -422,7 +431,7 @@ def obvious_border(spark: SparkSession, sf_dir: str) -> DataFrame:
  u AS (SELECT image, share * 0.6 + (4 - least(1.0::DOUBLE, dt / 20) - least(1.0::DOUBLE, db / 20) - least(1.0::DOUBLE, dl / 20) - least(1.0::DOUBLE, dr / 20)) / 4 * 0.4 AS score FROM s JOIN e USING (image))
  SELECT image, round(score, 6) AS score, score > 0.7 AS uniform FROM u""")
 def uniform_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.uniform_background(views.pixels(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "rims", "even"), pictures.uniform())
 
 
 @query(f"""WITH {_P}, d AS (SELECT image, x, y, abs(gray - lag(gray) OVER (PARTITION BY image, y ORDER BY x)) AS v, abs(gray - lag(gray) OVER (PARTITION BY image, x ORDER BY y)) AS h FROM pixels),
@@ -431,18 +440,18 @@ def uniform_background(spark: SparkSession, sf_dir: str) -> DataFrame:
  s AS (SELECT image, max(mean) FILTER (way = 'h') AS horizontal, max(mean) FILTER (way = 'v') AS vertical, least(1.0::DOUBLE, sum(regular) / 10) AS score FROM g GROUP BY image)
  SELECT image, round(horizontal, 6) AS horizontal, round(vertical, 6) AS vertical, round(score, 6) AS score, score > 0.3 AND (horizontal > 2 OR vertical > 2) AS blocky FROM s""")
 def block_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.block_artifacts(views.pixels(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "blocks"), pictures.blockiness())
 
 
 @query(f"WITH {_P}, {_SHADE} SELECT image, round(ratio, 6) AS ratio, round(score, 6) AS score, score > 0.3 AND ratio > 1.2 AS vignetted FROM shaded")
 def vignette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.vignette(views.pixels(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "shade"), pictures.vignetting())
 
 
 @query(f"""WITH {_P}, v AS (SELECT image, (var_pop(gray) FILTER (y < 3) + var_pop(gray) FILTER (y >= 61) + var_pop(gray) FILTER (x < 3) + var_pop(gray) FILTER (x >= 61)) / 4 AS variance FROM pixels GROUP BY image)
  SELECT image, round(variance, 6) AS variance, variance < 200 AS bordered FROM v""")
 def edge_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.edge_strips(views.pixels(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "rims"), pictures.edge_strips())
 
 
 _PARTS = f"""parts AS (SELECT image, w, any_value(all_dev) AS all_dev, avg(gray) FILTER (WHERE {_STROKE}) AS rim, stddev_pop(gray) FILTER (WHERE {_STROKE}) AS dev, avg(gray) FILTER (WHERE {_INSIDE}) AS inside, {_sides("avg", "m")},
@@ -456,7 +465,7 @@ _SPREAD = "spread AS (SELECT image, stddev_pop(gray) AS all_dev FROM pixels GROU
 @query(f"""WITH {_P}, {views.GRADIENTS_SQL}, {_SPREAD}, widths AS (SELECT 5 AS w), {_PARTS}
  SELECT image, round(uniformity, 6) AS uniformity, round(sides, 6) AS side_consistency, round(corners, 6) AS corner_consistency FROM rated""")
 def border_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.border_statistics(views.pixels(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "hist", "rims"), pictures.statistics())
 
 
 @query(f"""WITH {_P}, {views.GRADIENTS_SQL}, {_SPREAD}, widths AS (SELECT unnest([2, 3]) AS w), {_PARTS}, {_SHADE},
@@ -466,14 +475,14 @@ def border_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
  judged AS (SELECT image, coalesce(b.w, 0) AS w, coalesce(b.away, 0) AS away, coalesce(b.score, 0) AS s, bar, s.score > 0.6 AND s.ratio > 1.2 AS dark FROM best JOIN shaded s USING (image))
  SELECT image, w AS border_width, round(away, 6) AS difference, round(CASE WHEN s > bar AND dark AND s < bar * 1.5 THEN s * 0.8 ELSE s END, 6) AS score, s > bar AND NOT (dark AND s < bar * 1.5) AS detected FROM judged""")
 def simple_border(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.simple_border(views.pixels(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "hist", "rims", "shade"), pictures.simple())
 
 
 @query(f"""WITH {_P}, t AS (SELECT image, w, abs(avg(gray) FILTER (WHERE {_STROKE}) - avg(gray) FILTER (WHERE {_INSIDE})) AS away, stddev_pop(gray) FILTER (WHERE {_STROKE}) AS dev FROM pixels, (SELECT unnest([2, 3, 4, 6]) AS w) GROUP BY image, w),
  b AS (SELECT image, coalesce(arg_max(w, (away * (1 - least(1.0::DOUBLE, dev / 30)), -w)) FILTER (away > 15 AND dev < 30), 0) AS w FROM t GROUP BY image)
  SELECT image, w AS border_width, CASE WHEN w > 0 THEN 4 ELSE 0 END AS n_regions, CASE WHEN w > 0 THEN 'top:0,0,64,' || w || ' bottom:0,' || 64 - w || ',64,64 left:0,0,' || w || ',64 right:' || 64 - w || ',0,64,64' ELSE '' END AS regions FROM b""")
 def border_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pixels.border_region(views.pixels(spark, sf_dir))
+    found = _picture(_measured(spark, sf_dir, "rims"), pictures.region())
     named = F.transform("regions", lambda r: F.concat_ws(":", r["side"], F.concat_ws(",", r["x0"], r["y0"], r["x1"], r["y1"])))
     return found.select("image", "border_width", F.size("regions").alias("n_regions"), F.array_join(named, " ").alias("regions"))
 
@@ -483,7 +492,7 @@ def border_region(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT image, round(list_min(even), 6) AS least_uniformity, round(CASE WHEN list_avg(even) > 0 THEN 1 - list_stddev_pop(even) / list_avg(even) ELSE 1 END, 6) AS side_consistency,
  {_ROUND.format("((1 - least(1.0::DOUBLE, abs(mt - mb) / 50)) + (1 - least(1.0::DOUBLE, abs(ml - mr) / 50))) / 2")} AS symmetry, round(least(1.0::DOUBLE, edge / 50), 6) AS sharpness FROM e""")
 def side_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pixels.side_measures(views.pixels(spark, sf_dir))
+    found = _measured(spark, sf_dir, "rims").select("image", pictures.sides().alias("v")).select("image", "v.*")
     return _rounded(found.withColumn("symmetry", _round(F.col("symmetry"))))
 
 
@@ -492,13 +501,13 @@ def side_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
  s AS (SELECT image, (CASE WHEN var_pop(t) * var_pop(b) > 1e-12 THEN corr(t, b) ELSE 1 END + CASE WHEN var_pop(l) * var_pop(r) > 1e-12 THEN corr(l, r) ELSE 1 END) / 2 AS score FROM f GROUP BY image)
  SELECT image, round(score, 6) AS score, score > 0.7 AS symmetric FROM s""")
 def border_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.border_symmetry(views.pixels(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "sides"), pictures.symmetry())
 
 
 @query(f"""WITH {_P}, {views.GRADIENTS_SQL}, r AS (SELECT image, avg(m) FILTER (NOT (x BETWEEN 9 AND 55 AND y BETWEEN 9 AND 55)) / (avg(m) FILTER (x BETWEEN 9 AND 55 AND y BETWEEN 9 AND 55) + 1e-10) AS ratio FROM grad GROUP BY image)
  SELECT image, round(ratio, 6) AS ratio, ratio > 1.5 AS framed FROM r""")
 def gradient_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.gradient_ratio(views.pixels(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "slope"), pictures.slope_ratio())
 
 
 @query(f"""WITH {_P}, s AS (SELECT image, avg(gray) AS m, stddev_pop(gray) AS d, avg(abs(gray - 128)) / 8 AS t, image % 3 * 1000 AS side FROM pixels GROUP BY image)
@@ -506,14 +515,15 @@ def gradient_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN d < 20 THEN 21.0::DOUBLE WHEN d > 50 THEN 39.0::DOUBLE ELSE 30.0::DOUBLE END AS contrast, CASE WHEN t < 3 THEN 1.5::DOUBLE WHEN t > 10 THEN 2.16::DOUBLE ELSE 1.8::DOUBLE END AS sensitivity,
  CASE WHEN side < 500 THEN 0.18::DOUBLE WHEN side > 2000 THEN 0.12::DOUBLE ELSE 0.15::DOUBLE END AS perimeter FROM s""")
 def statistic_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = views.pixels(spark, sf_dir).groupBy("image").agg(F.avg("gray").alias("m"), F.stddev_pop("gray").alias("d"), (F.avg(F.abs(F.col("gray") - 128)) / 8).alias("t"))
-    return _rounded(one.select("image", tiers.statistic_thresholds(F.col("m"), F.col("d"), F.col("t"), F.col("image") % 3 * 1000).alias("s")).select("image", "s.*"))
+    # a stand-in for the texture: how far the levels are from the middle one
+    away = F.aggregate(F.transform("m.hist", lambda n, i: n * F.abs(i - 128)), F.lit(0).cast("long"), lambda s, x: s + x) / F.aggregate("m.hist", F.lit(0).cast("long"), lambda s, n: s + n) / 8
+    return _picture(_measured(spark, sf_dir, "hist"), tiers.statistic_thresholds(F.col("m.mean"), F.col("m.deviation"), away, F.col("image") % 3 * 1000))
 
 
 @query(f"""WITH {_P}, {views.COLOURS_SQL}, w AS (SELECT *, 5 AS w FROM colours), s AS (SELECT image, [{", ".join(f"abs(avg({c}) FILTER (WHERE {_STROKE}) - avg({c}) FILTER (WHERE {_INSIDE}))" for c in "rgb")}] AS steps FROM w GROUP BY image)
  SELECT image, round(CASE WHEN list_avg(steps) > 0 THEN 1 - least(1.0::DOUBLE, list_var_pop(steps) / pow(list_avg(steps), 2)) ELSE 0 END, 6) AS colour_consistency FROM s""")
 def colour_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.colour_consistency(views.colours(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "colour"), F.struct(pictures.colour_consistency().alias("colour_consistency")))
 
 
 @query(f"""WITH {_P}, {views.COLOURS_SQL}, c AS (SELECT image, 'r' AS channel, r AS v FROM colours UNION ALL SELECT image, 'g', g FROM colours UNION ALL SELECT image, 'b', b FROM colours), h AS (SELECT image, channel, v, count(*) AS n FROM c GROUP BY ALL),
@@ -523,7 +533,7 @@ def colour_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
  t AS (SELECT image, avg(entropy) AS entropy, sum(peaks) AS n_peaks FROM e GROUP BY image), s AS (SELECT *, CASE WHEN entropy < 5 THEN 15 ELSE 0 END + CASE WHEN n_peaks > 30 THEN 10 ELSE 0 END + CASE WHEN entropy < 4 THEN 20 ELSE 0 END AS score FROM t)
  SELECT image, round(entropy, 6) AS entropy, n_peaks, score::DOUBLE AS score, score < 20 AS passed FROM s""")
 def fallback_editing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.fallback_editing(views.colours(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "colour"), pictures.fallback_editing())
 
 
 _LINEAR = "CASE WHEN {0} / 255.0::DOUBLE > 0.04045 THEN pow(({0} / 255.0::DOUBLE + 0.055) / 1.055, 2.4::DOUBLE) ELSE {0} / 255.0::DOUBLE / 12.92 END"
@@ -542,7 +552,86 @@ _LINE = "(x BETWEEN w AND 64 - w AND y BETWEEN w AND 64 - w AND NOT (x BETWEEN w
  s AS (SELECT image, w, greatest(near, dgray) AS away, greatest(greatest(near, dgray) / 30 * (1 + 0.5::DOUBLE * (1 - least(1.0::DOUBLE, dev / 40))), least(1.5::DOUBLE, least(dh, 180 - dh) / 90), least(1.5::DOUBLE, ds / 128), least(1.5::DOUBLE, dv / 128), least(1.5::DOUBLE, dl / 100), least(1.5::DOUBLE, da / 127), least(1.5::DOUBLE, db / 127)) AS score FROM d),
  b AS (SELECT image, arg_max(away, (score, -w)) AS away, max(score) AS score FROM s GROUP BY image) SELECT image, round(away, 6) AS difference, round(least(1.0::DOUBLE, score / 2), 6) AS confidence, score > 1 AS detected FROM b""")
 def colour_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pixels.colour_frame(views.colours(spark, sf_dir)))
+    return _picture(_measured(spark, sf_dir, "colour"), pictures.colour_frame())
+
+
+_BESIDE = "coalesce(lag({0}) OVER {1}, lead({0}) OVER {1}) + coalesce(lead({0}) OVER {1}, lag({0}) OVER {1})"
+
+
+@query(f"""WITH {_P}, {views.GRADIENTS_SQL}, across AS (SELECT image, x, y, gray, {_BESIDE.format("gray", "r")} AS beside FROM pixels WINDOW r AS (PARTITION BY image, y ORDER BY x)),
+ around AS (SELECT image, beside + {_BESIDE.format("gray", "c")} - 4 * gray AS lap, 9 * gray - (beside + gray) - ({_BESIDE.format("(beside + gray)", "c")}) AS high FROM across WINDOW c AS (PARTITION BY image, x ORDER BY y)),
+ spread AS (SELECT image, stddev_pop(m) AS contrast FROM grad GROUP BY image)
+ SELECT image, round(var_pop(lap), 6) AS laplacian_variance, round(any_value(contrast), 6) AS edge_contrast, round(var_pop(high), 6) AS high_freq_energy FROM around JOIN spread USING (image) GROUP BY image""")
+def edge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _picture(_measured(spark, sf_dir, "kernels"), F.struct("m.laplacian_variance", "m.edge_contrast", "m.high_freq_energy"))
+
+
+@query(f"""WITH {_P}, wave AS (SELECT image, u.range AS u, v.range AS v, sum(gray * cos(2 * pi() * (x * u.range + y * v.range) / 8)) AS re, sum(gray * sin(2 * pi() * (x * u.range + y * v.range) / 8)) AS im
+ FROM pixels, range(8) u, range(8) v WHERE x < 8 AND y < 8 GROUP BY image, u.range, v.range),
+ power AS (SELECT image, re * re + im * im AS p, sqrt(pow(CASE WHEN u > 3 THEN u - 8 ELSE u END, 2) + pow(CASE WHEN v > 3 THEN v - 8 ELSE v END, 2)) / 4 AS r FROM wave)
+ SELECT image, {", ".join(_ROUND.format(f"sum(p) FILTER ({where}) / sum(p)") + f" AS {name}" for name, where in (("low_freq", "r <= 0.3"), ("mid_freq", "r > 0.3 AND r <= 0.7"), ("high_freq", "r > 0.7")))} FROM power GROUP BY image""")
+def frequency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = pictures.measured(views.corners(spark, sf_dir), "kernels")
+    return m.select("image", *[_round(F.col(f"m.{c}")).alias(c) for c in ("low_freq", "mid_freq", "high_freq")])
+
+
+@query(f"""WITH {_P}, p AS (SELECT * FROM pixels WHERE x < 8 AND y < 8), near AS (SELECT p.image, p.x, p.y, any_value(p.gray) AS gray, median(q.gray) AS mid FROM p, range(-1, 2) dx, range(-1, 2) dy, p q
+ WHERE q.image = p.image AND q.x = greatest(0, least(7, p.x + dx.range)) AND q.y = greatest(0, least(7, p.y + dy.range)) GROUP BY p.image, p.x, p.y)
+ SELECT image, round(stddev_pop((CAST(gray - mid AS BIGINT) % 256 + 256) % 256), 6) AS noise FROM near GROUP BY image""")
+def noise_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _picture(pictures.measured(views.corners(spark, sf_dir), "kernels"), F.struct("m.noise"))
+
+
+_PARTS_OF = " UNION ALL ".join(f"SELECT image, {i} AS part, x, y, gray FROM pixels WHERE {where}" for i, where in enumerate(("y < 9", "y >= 55", "x < 9", "x >= 55", "x BETWEEN 9 AND 54 AND y BETWEEN 9 AND 54")))
+
+
+@query(f"""WITH {_P}, parts AS ({_PARTS_OF}), flat AS (SELECT *, coalesce(lead(gray) OVER r, lag(gray) OVER r) - coalesce(lag(gray) OVER r, lead(gray) OVER r) AS slope, {_BESIDE.format("gray", "r")} + 2 * gray AS level FROM parts WINDOW r AS (PARTITION BY image, part, y ORDER BY x)),
+ grad AS (SELECT image, part, sqrt(pow({_BESIDE.format("slope", "c")} + 2 * slope, 2) + pow(coalesce(lead(level) OVER c, lag(level) OVER c) - coalesce(lag(level) OVER c, lead(level) OVER c), 2)) AS m FROM flat WINDOW c AS (PARTITION BY image, part, x ORDER BY y)),
+ rough AS (SELECT image, part, var_pop(m) AS v FROM grad GROUP BY image, part), ratio AS (SELECT image, avg(v) FILTER (part < 4) AS rim, max(v) FILTER (part = 4) AS mid FROM rough GROUP BY image)
+ SELECT image, round(CASE WHEN mid < 1e-9 THEN -1 ELSE rim / (mid + 1e-10) END, 4) AS texture_ratio, rim / (mid + 1e-10) > 1.8 AS textured FROM ratio""")
+def texture_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # over a flat middle the ratio is only the size of rounding errors, shown as -1
+    m = _measured(spark, sf_dir, "kernels")
+    return m.select("image", F.round(F.when(F.col("m.texture_ratio") > 1e6, -1.0).otherwise(F.col("m.texture_ratio")), 4).alias("texture_ratio"), F.col("m.textured").alias("textured"))
+
+
+@query()
+def canny_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge pixels and what is beside them: hysteresis along edges has no SQL; tested on small pictures."""
+    return _picture(_measured(spark, sf_dir, "kernels"), F.struct("m.edge_density", "m.halo_variance"))
+
+
+@query()
+def frame_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames and quadrilaterals by contour, and the mask they come from: contours have no SQL; tested on made pictures."""
+    return _picture(_measured(spark, sf_dir, "frames"), F.struct("m.frame", "m.frame_score", "m.quad", "m.quad_score", F.size("m.boxes").alias("n_boxes"), "m.edge_share"))
+
+
+# --- pictures to verdicts ----------------------------------------------------------------------------------------
+
+
+@query()
+def border_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every border method on every picture, its confidence, flag, reason and tier."""
+    return _rounded(scans.border_scan(views.pictures(spark, sf_dir)))
+
+
+@query()
+def editing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Editing score of every picture from its own features and model scores."""
+    return _rounded(scans.editing_scan(views.scored_pictures(spark, sf_dir)))
+
+
+@query()
+def unified_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All registered tests over one decoding of each picture, as long verdicts."""
+    return scans.unified(views.scored_pictures(spark, sf_dir), ["specifications", "borders", "watermarks", "editing", "text"])
+
+
+@query()
+def picture_routine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routine scan over pictures: where each is filed, from its own pixels."""
+    return verdicts.memberships(unified_scan(spark, sf_dir), ["image"])
 
 
 # --- reports -----------------------------------------------------------------------------------------------------

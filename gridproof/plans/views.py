@@ -5,6 +5,8 @@ The tables hold no images, so operators run on deterministic renditions of them
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,6 +179,53 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("image", "x", "y", value.alias("gray"))
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, width, height, gray, rgb): the pictures of ``pixels`` and ``colours``, a row with its bytes for each."""
+    y, x = np.mgrid[:64, :64]
+    rim, middle = np.minimum(np.minimum(x, y), np.minimum(63 - x, 63 - y)) < 5, (x >= 16) & (x <= 47) & (y >= 16) & (y <= 47)
+    fade = np.clip(230 - ((2 * x - 63) ** 2 + (2 * y - 63) ** 2) // 50, 0, 255)
+
+    def drawn(image: int, u: list[float]) -> dict:
+        v = np.array(u)[:64]
+        gray = np.floor(v[None, :] * v[:, None] * 255).astype(np.int64)
+        gray = [gray, np.where(rim, 250, gray), np.where(middle, gray, 200), fade][image % 4]
+        return {"gray": gray.astype(np.uint8).tobytes(), "rgb": np.stack([gray, (gray * 3 + x) % 256, 255 - gray], -1).astype(np.uint8).tobytes()}
+
+    def draw(images: pa.Array, us: pa.Array) -> pa.Array:
+        return pa.array([drawn(i, u) for i, u in zip(images.to_pylist(), us.to_pylist())], type=pa.struct([("gray", pa.binary()), ("rgb", pa.binary())]))
+
+    made = F.arrow_udf(draw, "struct<gray: binary, rgb: binary>").asNondeterministic()
+    return gray(spark, sf_dir).select("image", F.lit(64).alias("width"), F.lit(64).alias("height"), made("image", "u").alias("v")).select("image", "width", "height", "v.*")
+
+
+def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight columns and rows of each picture, as a picture."""
+    rows = [F.substring("gray", 64 * y + 1, 8) for y in range(8)]
+    return pictures(spark, sf_dir).select("image", F.lit(8).alias("width"), F.lit(8).alias("height"), F.concat(*rows).alias("gray"))
+
+
+def scored_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures with what comes from elsewhere: file properties, model scores, text and watermark confidences."""
+    k = F.col("image")
+    return pictures(spark, sf_dir).withColumns(
+        {
+            "filename": F.concat(F.lit("picture_"), k.cast("string"), F.lit(".png")),
+            "format": F.lit("PNG"),
+            "mode": F.lit("RGB"),
+            "dpi_x": F.lit(72.0),
+            "dpi_y": F.lit(72.0),
+            "file_size_mb": F.lit(0.1),
+            "brisque": F.when(k % 5 != 0, (k % 100).cast("double")),
+            "niqe": F.when(k % 7 != 0, (k % 20).cast("double")),
+            "clipiqa": F.when(k % 3 != 0, (k % 120) / 100),
+            "has_watermark": F.when(k % 11 != 0, k % 4 == 0),
+            "watermark_percent": (k * 29 % 201) / 2,
+            "n_texts": k % 8,
+            "text_confidence": (k * 13 % 100).cast("double"),
+        }
+    )
+
+
 PIXELS_SQL = """gray AS (SELECT vec_id AS image, list_transform(embedding, lambda e: greatest(0.0::DOUBLE, least(1.0::DOUBLE, e::DOUBLE + 0.5))) AS u FROM embeddings),
 axis AS (SELECT range::INT AS i FROM range(64)),
 pixels AS (SELECT image, x.i AS x, y.i AS y, CASE

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +25,17 @@ EXTENSIONS = {
 }
 
 
-def image_files(spark: SparkSession, folder: str, kind: str = "recursive", recursive: bool | None = None, non_empty: bool | None = None) -> DataFrame:
-    """(path, filename, extension, length), sorted by path for recursive scans; the extension in either case.
+def image_files(spark: SparkSession, folder: str, kind: str = "recursive", recursive: bool | None = None, non_empty: bool | None = None, any_case: bool = True) -> DataFrame:
+    """(path, filename, extension, length), sorted by path for recursive scans; the extension in either case, or (``any_case``
+    off) in lower or upper case throughout, as some scans list them.
 
     The border scan skips empty files, which the source does before it opens them.
     """
     deep = (kind == "recursive") if recursive is None else recursive
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(deep).lower()).load(folder)
-    named = files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"), "length")
-    kept = named.where(F.col("extension").isin(EXTENSIONS[kind]))
+    written = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    fits = F.lower(written).isin(EXTENSIONS[kind]) & (F.lit(any_case) | (written == F.lower(written)) | (written == F.upper(written)))
+    kept = files.where(fits).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.lower(written).alias("extension"), "length")
     kept = kept.where("length > 0") if (kind == "border" if non_empty is None else non_empty) else kept
     return kept.orderBy("path") if deep else kept
 
@@ -141,6 +144,34 @@ def gray_of(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     return a[:, :, 0] if channels == 1 else np.rint(a[:, :, 0] * 0.114 + a[:, :, 1] * 0.587 + a[:, :, 2] * 0.299)
 
 
+def rgb_of(data: bytes, width: int, height: int, channels: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The three colours and, where there is one, the alpha of row-major BGR(A) bytes."""
+    a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return (np.repeat(a, 3, axis=2), None) if channels == 1 else (a[:, :, 2::-1], a[:, :, 3] if channels == 4 else None)
+
+
+def pictures(images: DataFrame) -> DataFrame:
+    """(image, filename, width, height, gray, rgb, alpha) of ``decoded`` rows, decoded once for all tests: bytes row by row.
+
+    A file that can't be decoded stays as a row without bytes, so that every test reports it as an error.
+    """
+    fields = [("gray", pa.binary()), ("rgb", pa.binary()), ("alpha", pa.binary())]
+
+    def split(width: pa.Array, height: pa.Array, channels: pa.Array, data: pa.Array) -> pa.Array:
+        rows = []
+        for w, h, c, d in zip(*(x.to_pylist() for x in (width, height, channels, data))):
+            if d is None or not w or w < 1 or len(d) != w * h * c:
+                rows.append(None)
+                continue
+            rgb, alpha = rgb_of(d, w, h, c)
+            rows.append({"gray": gray_of(d, w, h, c).astype(np.uint8).tobytes(), "rgb": rgb.tobytes(), "alpha": None if alpha is None else alpha.tobytes()})
+        return pa.array(rows, type=pa.struct(fields))
+
+    made = F.arrow_udf(split, "struct<gray: binary, rgb: binary, alpha: binary>").asNondeterministic()
+    named = images.withColumns({"_bytes": made("width", "height", "channels", "data"), "filename": F.regexp_extract("path", r"([^/]+)$", 1)})
+    return named.select(F.col("path").alias("image"), "filename", "width", "height", "_bytes.*")
+
+
 def pixel_table(images: DataFrame) -> DataFrame:
     """(image, x, y, gray) of decoded images, one row a pixel, for the grouped features."""
 

@@ -47,5 +47,9 @@ def test_same_as_sql(spark, duck, name):
     assert not (a - b) and not (b - a), (list((a - b).items())[:3], list((b - a).items())[:3])
 
 
+#: Held against plain Python instead: contours and hysteresis have no SQL, and scans over pictures use them.
+WITHOUT_SQL = {"canny_features", "frame_contours", "border_scan", "editing_scan", "unified_scan", "picture_routine"}
+
+
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == WITHOUT_SQL

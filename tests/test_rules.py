@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridproof.functions import scores, tiers
-from gridproof.operators import contours, kernels, ocr, pixels, specs
+from gridproof.operators import contours, kernels, ocr, pictures, pixels, specs
 from gridproof.sources import configs, copies, images
 from gridproof.streaming import scans
 
@@ -142,8 +142,8 @@ def test_image_files(spark, tmp_path):
     assert hist["A.PNG"].entropy == pytest.approx(-(p[p > 0] * np.log2(p[p > 0])).sum()) and hist["A.PNG"].smoothness == pytest.approx(1 / (1 + np.diff(p).var()))
     assert hist["b.png"].entropy == 0 and hist["b.png"].white_clipping == 100
     rows = [(1, 64, 64, bytes(gray.astype(np.uint8).ravel())), (2, 0, 0, None)]
-    got = kernels.picture_features(spark.createDataFrame(rows, "image int, width int, height int, gray binary")).collect()
-    assert got[0].low_freq + got[0].mid_freq + got[0].high_freq == pytest.approx(1.0) and got[1].noise is None or math.isnan(got[1].noise)
+    got = [r.m for r in pictures.measured(spark.createDataFrame(rows, "image int, width int, height int, gray binary"), "kernels").orderBy("image").collect()]
+    assert got[0].low_freq + got[0].mid_freq + got[0].high_freq == pytest.approx(1.0) and got[1] is None
 
 
 def test_stream_validates_once(spark, tmp_path):
@@ -215,8 +215,8 @@ def test_frame_features(spark):
     flat = contours.bilateral(np.full((20, 20), 9.0))
     assert (flat == 9).all() and contours.local_equalised(flat).std() == 0
     rows = [(1, 48, 48, bytes(g.ravel())), (2, 48, 48, None), (3, 4, 4, bytes(16)), (4, 32, 32, bytes(1024))]
-    got = {r.image: r for r in contours.frame_features(spark.createDataFrame(rows, "image int, width int, height int, gray binary")).collect()}
-    assert len(got) == 4 and got[2].frame is None and got[3].boxes == []
+    got = {r.image: r.m for r in pictures.measured(spark.createDataFrame(rows, "image int, width int, height int, gray binary"), "frames").collect()}
+    assert len(got) == 4 and got[2] is None and got[3].boxes == []
     assert len(got[1].boxes) == 1 and got[1].boxes[0].w >= 43
     assert got[4].boxes == []
 
