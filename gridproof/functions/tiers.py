@@ -176,3 +176,86 @@ def interpretation(brisque: Column, niqe: Column, clipiqa: Column, clipping: Col
             _level(high_freq, [(0.25, "frequencies: artificial enhancement")], (0.02, "frequencies: over-smoothing")),
         )
     )
+
+
+#: By kind of detector, first match wins: words that must all be in the message, and the kind. Fixed values.
+DETECTOR_ERRORS = {
+    "watermark": [(("unidentified image",), "unsupported_format"), (("cannot identify image",), "unsupported_format"), (("cuda", "memory"), "gpu_memory"), (("dll",), "library")],
+    "model_load": [(("weights_only",), "incompatible_weights"), (("restore data location",), "corrupt_weights")],
+    "runtime": [(("dll",), "library"), (("cuda",), "no_gpu")],
+}
+
+
+def detector_error(message: Column, detector: str) -> Column:
+    """The kind of a detector's error, ``other`` for what is not listed, null for none."""
+    low, out = F.lower(message), F.lit("other")
+    for words, kind in reversed(DETECTOR_ERRORS[detector]):
+        held = F.lit(True)
+        for w in words:
+            held = held & low.contains(w)
+        out = F.when(held, kind).otherwise(out)
+    return F.when(message.isNull(), None).otherwise(out)
+
+
+#: Words of a console line and what it shows, first match wins. Fixed values.
+CONSOLE_LINES = [("Processing image", "step"), ("Analyzing", "step"), ("Score:", "result"), ("Quality:", "result"), ("Invalid:", "failure"), ("Failed:", "failure"), ("Completed", "done"), ("Finished", "done")]
+#: Log messages with one of these are not shown. Fixed values.
+BLOCKED_LOG = ["Could not find files for the given pattern", "INFO: Could not find files", "No ccache found"]
+
+
+def console_kind(line: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for word, kind in reversed(CONSOLE_LINES):
+        out = F.when(line.contains(word), kind).otherwise(out)
+    return out
+
+
+def shown_in_log(message: Column) -> Column:
+    out = F.lit(True)
+    for word in BLOCKED_LOG:
+        out = out & ~F.coalesce(message.contains(word), F.lit(False))
+    return out
+
+
+def title_case(name: Column) -> Column:
+    """``some_test`` as ``Some Test``."""
+    return F.initcap(F.translate(name, "_", " "))
+
+
+def softmax(logits: Column) -> Column:
+    """Shares of an array of logits; null for an empty one."""
+    top = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(logits) > 0, F.transform(e, lambda x: x / total))
+
+
+def argmax(values: Column) -> Column:
+    """The place of the largest value, from 0; the first among equals."""
+    return F.array_position(values, F.array_max(values)).cast("int") - 1
+
+
+def findings(brisque: Column, niqe: Column, clipiqa: Column, clipping: Column, entropy: Column, laplacian: Column, density: Column, high_freq: Column, n_models: Column, overall: Column, category: Column, confidence: Column) -> Column:
+    """``interpretation`` as array<struct<code, value>> with the figure behind each finding; the overall one is last and always there."""
+    marks = interpretation(brisque, niqe, clipiqa, clipping, entropy, laplacian, density, high_freq)
+    figures = {"brisque": brisque, "niqe": niqe, "clipiqa": clipiqa, "clipping": clipping, "entropy": entropy, "laplacian": laplacian, "edges": density, "frequencies": high_freq}
+
+    def valued(mark: Column) -> Column:
+        value = F.lit(None).cast("double")
+        for name, column in figures.items():
+            value = F.when(mark.startswith(f"{name}:"), column).otherwise(value)
+        return F.struct(mark.alias("code"), value.alias("value"))
+
+    reliability = F.when(n_models >= 2, "high reliability").when(n_models == 1, "moderate reliability").otherwise("features only")
+    last = F.struct(F.concat_ws(", ", F.concat(F.lit("overall: "), category), confidence, reliability).alias("code"), overall.cast("double").alias("value"))
+    return F.array_append(F.transform(marks, valued), last)
+
+
+def insights(brisque: Column, niqe: Column, clipiqa: Column, clipping: Column, entropy: Column, density: Column, variance: Column) -> Column:
+    """What points to editing, joined by semicolons; a general line where nothing in particular does. Unknown scores point to nothing."""
+    listed = [
+        (brisque > 50, "brisque: unnatural quality"), (niqe > 8, "niqe: degraded naturalness"), (clipiqa < 0.5, "clipiqa: low perceptual quality"), (clipping > 0.1, "clipping: overexposure or contrast"),
+        (entropy < 6, "entropy: tone mapping or grading"), (density > 0.2, "edges: sharpening"), (variance > 25, "frequencies: filtering or enhancement"),
+    ]
+    found = F.array_join(F.array_compact(F.array(*[F.when(on, text) for on, text in listed])), "; ")
+    return F.when(found == "", "general signs of editing").otherwise(found)

@@ -81,3 +81,59 @@ def drop_in(verdicts: DataFrame, key: list[str]) -> DataFrame:
     """The older single verdict: valid, or the first test that doesn't pass; an unknown result is for review."""
     first = F.min(F.when(~_is(PASS), F.struct("test_ord", "test", "status"))).alias("first")
     return verdicts.groupBy(*key).agg(first).select(*key, F.col("first").isNull().alias("is_valid"), F.coalesce("first.test", F.lit("valid")).alias("category"))
+
+
+ERROR, GATE = "error", "basic_validation"
+
+
+def gated(verdicts: DataFrame, gate: DataFrame, key: list[str]) -> DataFrame:
+    """The verdicts with basic validation (key, code) before them, as test GATE of order 0.
+
+    Where an asset fails it, or has no row there, only that verdict is left: nothing else is looked at. Assets without
+    any other verdict have the gate's alone.
+    """
+    first = gate.select(*key, F.lit(GATE).alias("test"), F.lit(0).alias("test_ord"), F.when(F.col("code") == "ok", PASS).otherwise(FAIL).alias("status"), F.lit(0.0).alias("score"))
+    both = verdicts.select(*key, "test", "test_ord", "status", "score").unionByName(first)
+    passed = F.max((F.col("test") == GATE) & _is(PASS)).over(Window.partitionBy(*key))
+    return both.withColumn("_in", passed).where((F.col("test") == GATE) | F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def settled_errors(verdicts: DataFrame, harmless: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Errors decided: a test in ``harmless`` passes, any other fails."""
+    return verdicts.withColumn("status", F.when(_is(ERROR), F.when(F.col("test").isin(*harmless), PASS).otherwise(FAIL)).otherwise(F.col("status")))
+
+
+#: How a run treats the tests of an asset. Fixed values.
+MODES = ("parallel", "parallel_advisory", "sequential")
+
+
+def by_mode(verdicts: DataFrame, gate: DataFrame, key: list[str], mode: str, advisory: str = "quality") -> DataFrame:
+    """(key, category, tests) of a whole run: validation first, errors decided, then all tests (``parallel``), all with one
+    that only advises, or up to the first that doesn't pass."""
+    rows = settled_errors(gated(verdicts, gate, key))
+    if mode == "sequential":
+        return stop_at_first(rows, key).select(*key, "category", F.coalesce("stopped_by", F.lit("")).alias("tests"))
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    return run_all(rows, key, advisory if mode == "parallel_advisory" else None).select(*key, "category", "tests")
+
+
+def step_numbers(text: str, steps: list[str]) -> list[str]:
+    """The steps named by numbers from 1 in a text such as ``3, 1,3``: each once, in order; anything else is an error."""
+    try:
+        wanted = sorted({int(x) for x in text.split(",") if x.strip()})
+    except ValueError:
+        raise ValueError(f"not a list of numbers: {text!r}") from None
+    if not wanted or wanted[0] < 1 or wanted[-1] > len(steps):
+        raise ValueError(f"steps are numbered 1 to {len(steps)}")
+    return [steps[i - 1] for i in wanted]
+
+
+def of_steps(verdicts: DataFrame, steps: list[str]) -> DataFrame:
+    """The verdicts of some steps, as a scan of only these has them."""
+    return verdicts.where(F.col("test").isin(steps))
+
+
+def looked_up(verdicts: DataFrame, tests: list[str], key: list[str]) -> DataFrame:
+    """(key, one status column for each of ``tests`` in order), null where a test has no verdict."""
+    return verdicts.groupBy(*key).agg(*[F.max(F.when(F.col("test") == t, F.col("status"))).alias(t) for t in tests])

@@ -701,3 +701,6 @@ def speed_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
  CAST(floor(count(*) FILTER (category = 'valid') * 100.0::DOUBLE / count(DISTINCT filename)) AS BIGINT) AS valid_percent FROM members""")
 def invalid_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.invalid_totals(routine_scan(spark, sf_dir))
+
+
+from . import runs as _runs  # noqa: E402, F401  registers the queries over whole runs
