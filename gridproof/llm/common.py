@@ -58,11 +58,22 @@ def by_batch(df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.
     return df.select(*columns).mapInArrow(run, schema)
 
 
+#: Large tables that a worker keeps from task to task; those of other operators go when one starts, as memory is for one.
+TABLES: list[dict] = []
+
+
+def free_tables(but: dict | None = None) -> None:
+    for table in TABLES:
+        if table is not but:
+            table.clear()
+
+
 def text_column(schema: str, work: Callable[..., dict]) -> Callable[..., Column]:
     """``work`` as a function of string columns: a struct of ``schema`` for each row, whose other columns stay in the JVM."""
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
     def answer(columns: tuple[pa.Array, ...]) -> pa.Array:
+        free_tables()
         got = work(*[c.to_pylist() for c in columns])
         return pa.StructArray.from_arrays([pa.array(got[f.name], type=f.type) for f in kind], fields=list(kind))
 

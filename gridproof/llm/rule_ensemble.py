@@ -8,15 +8,16 @@ themselves) and leaves few; what is left is compiled into one Spark column expre
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, written
+from .common import by_batch, shared_dir, written
 
 STATS = [
     "n_words", "n_lines", "word_len", "long_words", "upper_share", "digit_share", "symbol_share", "punct_share", "space_share", "accent_share",
@@ -71,21 +72,30 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 Rule = tuple[tuple[str, bool, float], ...]
 
 
-def tree_rules(model) -> list[Rule]:
-    """All paths of a forest's trees from the root to any node below it, as distinct rules."""
+def tree_rules(model: RandomForestClassificationModel) -> list[Rule]:
+    """All paths of a forest's trees from the root to any node below it, as distinct rules, from the forest as Spark saves it.
+
+    A forest of ``trees`` trees has fewer than trees * 2 ** (depth + 1) nodes.
+    """
+    spark = SparkSession.active()
+    path = f"{shared_dir(spark)}/gridproof/forest-{uuid.uuid4().hex}"
+    model.write().save(path)
+    nodes: dict[int, dict[int, tuple]] = {}
+    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split").collect():
+        nodes.setdefault(r["treeID"], {})[r["id"]] = r["leftChild"], r["rightChild"], r["split"]
     rules: dict[Rule, None] = {}
 
-    def walk(node, path: Rule) -> None:
+    def walk(tree: dict[int, tuple], at: int, path: Rule) -> None:
         if path:
             rules.setdefault(tuple(sorted(set(path))))
-        if node.subtreeDepth() > 0:
-            split = node.split()
-            name, cut = STATS[split.featureIndex()], split.threshold()
-            walk(node.leftChild(), (*path, (name, False, cut)))
-            walk(node.rightChild(), (*path, (name, True, cut)))
-
-    for tree in model.trees:
-        walk(tree._java_obj.rootNode(), ())
+        left, right, split = tree[at]
+        if left >= 0:
+            name, cut = STATS[split["featureIndex"]], split["leftCategoriesOrThreshold"][0]
+            walk(tree, left, (*path, (name, False, cut)))
+            walk(tree, right, (*path, (name, True, cut)))
+
+    for number in sorted(nodes):
+        walk(nodes[number], 0, ())
     return list(rules)
 
 
@@ -146,7 +156,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, sample: i
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
     chosen = known.where(~held_out(folds)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("low").cast("double").alias("label"))
     learn = stats.join(chosen, "doc_id")
-    model = fit(written(learn, "labelled"))
+    model = fit(written(learn.coalesce(8), "labelled"))
     out = F.coalesce(held_out(folds), F.lit(False)).alias("held_out")
     scored = stats.withColumn("score", model.score())
     return scored.select("doc_id", out, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *STATS)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_batch, slabs
+from .common import TABLES, by_batch, free_tables, slabs
 
 MARK = "▁"
 WORD = re.compile(r" +[^ ]*")
@@ -56,9 +56,11 @@ class MarkedWords(dict):
 
 
 _WORDS: dict[str, MarkedWords] = {}
+TABLES.append(_WORDS)
 
 
 def marked_words(model: str) -> MarkedWords:
+    free_tables(_WORDS)
     if model not in _WORDS:
         _WORDS[model] = MarkedWords(model)
     return _WORDS[model]

@@ -11,6 +11,8 @@ import os
 import re
 from array import array
 
+from .common import TABLES, free_tables
+
 #: White space as Unicode has it, which is what the vocabularies' patterns mean by \s. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD_SPACE = SPACE.replace("\n", "").replace(" ", "")
@@ -114,10 +116,12 @@ class ChunkTable:
 
 
 _TABLES: dict[tuple, ChunkTable] = {}
+TABLES.append(_TABLES)
 
 
 def chunk_table(path: str, drops_space: bool) -> ChunkTable:
     key = (path, drops_space)
+    free_tables(_TABLES)
     if key not in _TABLES:
         _TABLES[key] = ChunkTable(path, drops_space)
     return _TABLES[key]

@@ -332,6 +332,131 @@ def test_classifier_held_out_accuracy(spark, docs):
     assert got.where("predicted = quality").count() >= 0.95 * got.count()
 
 
+def test_rules_and_scores_by_hand(spark, docs):
+    """The compiled column against rules applied one by one; the weights against the lasso's optimality conditions."""
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [(r.doc_id, r.text, labels[r.doc_id]) for r in docs.collect() if r.doc_id in labels][:250]
+    stats = np.array([rule_ensemble.statistics(t) for _, t, _ in rows])
+    y = np.array([q for _, _, q in rows], float)
+    names = rule_ensemble.STATS
+    table = spark.createDataFrame([(float(q), *map(float, s)) for (_, _, q), s in zip(rows, stats)], "label double, " + ", ".join(f"{c} double" for c in names)).coalesce(1)
+    penalty = 0.01
+    model = rule_ensemble.fit(table, trees=6, depth=2, penalty=penalty)
+    assert model.rules and len(model.rules) <= 6 * 6
+
+    def holds(rule):
+        return np.all([(stats[:, names.index(c)] > cut) if above else (stats[:, names.index(c)] <= cut) for c, above, cut in rule], axis=0)
+
+    total = np.full(len(y), model.bias)
+    for rule, weight in model.rules:
+        total += weight * holds(rule)
+    for name, weight in model.linear:
+        total += weight * stats[:, names.index(name)]
+    score = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+    got = [r.s for r in table.select(model.score().alias("s")).collect()]
+    assert np.allclose(got, score, atol=1e-9)
+    for rule, weight in model.rules:  # at the optimum the gradient in a standardised feature is -penalty * sign(weight)
+        x = holds(rule).astype(float)
+        gradient = ((score - y) * x).mean() / x.std(ddof=1)
+        assert gradient == pytest.approx(-penalty * np.sign(weight), abs=penalty * 0.3)
+    assert rule_ensemble.quality_scores(docs.limit(5), spark.createDataFrame([], "doc_id long, quality int")).select("score").distinct().count() == 1
+
+
+def test_piece_digests_against_the_library(spark, docs, odd, empty):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    for table in (docs.limit(120), odd):
+        rows = table.select("doc_id", "text").collect()
+        want = []
+        for d, t in rows:
+            ids = lib.encode(t or "")
+            want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((lib.decode(ids) if ids else "").encode()).hexdigest()))
+        got = [tuple(r) for r in sentence_pieces.piece_digests(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_packing_pieces_against_the_library(docs, odd):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = ChunkTable(path, False).lib
+    for table in (docs.limit(150), odd):
+        want = []
+        rows = table.select("doc_id", "text").collect()
+        for d, t in rows:
+            ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+            cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+            want += [(d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        got = packing.best_fit_pack(spark_of(table).createDataFrame(rows, "doc_id long, text string"), path).collect()
+        assert sorted(repr((r.doc_id, r.piece, r.start, r.length, r.ids_crc32)) for r in got) == sorted(map(repr, want))
+        assert len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // 1024) * 1.02 + 1
+
+
+def test_packing_plan_is_bounded():
+    """The plan has a run for each pattern used and each length left: it does not grow with the number of pieces."""
+    rng = np.random.default_rng(9)
+    sizes = []
+    for scale in (1, 1000):
+        histogram = rng.integers(1, 50, 1025) * scale
+        histogram[0] = 0
+        sizes.append(len(packing.plan(histogram, 1024)))
+    assert max(sizes) <= 3 * len(packing.patterns(np.arange(1, 1025), 1024)) + 1024 * 12
+
+
+def test_log_perplexity_bands_and_verdicts_by_dictionaries(spark):
+    """Modified Kneser-Ney by dictionaries of real n-grams, bands by plain percentiles, over a small table with two languages."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    tongues = {"aa": "abcdefg", "bb": "mnopqrs"}
+    words = {t: ["".join(rng.choice(s) for _ in range(rng.randint(2, 6))) for _ in range(80)] for t, s in tongues.items()}
+    rows = [(k, " ".join(rng.choice(words[t]) for _ in range(rng.randint(60, 140))) + "!", t) for k in range(60) for t in [("aa", "bb")[k % 2]]]
+    rows += [(900, "".join(rng.choice("abcdefg ") for _ in range(500)), "aa"), (901, "mmm " * 70, "bb"), (902, None, "bb")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for tongue in tongues:
+        texts = {d: t for d, t, x in rows if x == tongue and t}
+        top = Counter(("\0\0\0" + t)[i : i + 4] for t in texts.values() for i in range(len(t)))
+        # one symbol for each character: letters, space and mark are classes of their own here
+        counts = {4: top}
+        for k in (3, 2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        cut, total, left = {}, {}, {}
+        for k in (1, 2, 3, 4):
+            of = [sum(v == i for v in counts[k].values()) for i in (1, 2, 3, 4)]
+            if min(of) == 0:
+                d = [0, 0.5, 0.75, 0.9]
+            else:
+                y = of[0] / (of[0] + 2 * of[1])
+                d = [0, *(min(max(i - (i + 1) * y * of[i] / of[i - 1], 0.05), i - 0.05) for i in (1, 2, 3))]
+            cut[k] = {g: d[min(v, 3)] for g, v in counts[k].items()}
+            total[k], left[k] = Counter(), Counter()
+            for g, v in counts[k].items():
+                total[k][g[:-1]] += v
+                left[k][g[:-1]] += cut[k][g]
+
+        def p(g):
+            if not g:
+                return 1 / 64
+            k, context = len(g), g[:-1]
+            if total[k][context] == 0:
+                return p(g[1:])
+            n = counts[k].get(g, 0)
+            return max(n - cut[k].get(g, 0), 0) / total[k][context] + left[k][context] / total[k][context] * p(g[1:])
+
+        ppl = {d: -sum(np.log(p(("\0\0\0" + t)[i : i + 4])) for i in range(len(t))) / len(t) for d, t in texts.items()}
+        for d, x in ppl.items():
+            assert got[d].log_ppl == pytest.approx(x, abs=2e-4)
+        base = {d: base_by_rule(t) for d, t in texts.items()}
+        sound = {d for d, b in base.items() if b[0] >= 50 and 100 * b[4] <= 50 * b[0]}
+        low, mid, high = np.percentile([round(ppl[d], 3) for d in sound], [25, 50, 75])
+        wide = max((high - low) / 1.349, 0.02)
+        for d in texts:
+            assert got[d].ppl_low == pytest.approx(mid - 5 * wide, abs=5e-3) and got[d].ppl_high == pytest.approx(mid + 10 * wide, abs=1e-2)
+            assert got[d].kept == (d in sound and mid - 5 * wide <= ppl[d] <= mid + 10 * wide)
+    assert not got[902].kept and not got[901].kept
+
+
 def test_sentence_pieces_are_exact(docs):
     words = sentence_pieces.MarkedWords(public_tokenizers.path("piece_bpe_32k.model"))
     texts = [*TEXTS, "", "  ", "a  b ", "d▁e", "<s> </s>", "\x00", *[r.text for r in docs.limit(100).collect()]]
