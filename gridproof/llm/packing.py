@@ -159,7 +159,9 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, drops_space: bool = False, si
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece's place; sequences are gapless from 0.
 
     A document of more than ``size`` ids (its end id counts) is cut into pieces, the first of which may be shorter. A
-    null or empty text is its end id alone. Repeated rows are packed each; a null doc_id stays null; an empty table
+    null or empty text is its end id alone. What is broadcast is the plan: at most three runs for each pattern of lengths
+    and a few for each length left, whatever the number of pieces; the ranks at which each task's pieces begin are
+    joined to the pieces (a row for each task and length, ``size`` rows a task at most). Repeated rows are packed each; a null doc_id stays null; an empty table
     gives an empty result. Other columns are neither read nor returned.
     """
     spark = docs.sparkSession

@@ -119,7 +119,9 @@ def encoded(docs: DataFrame, tokenizer: str, drops_space: bool, end_id: int) ->
             yield segment()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges may end within one doc_id, by how its texts begin: rows without an id are not all one task's
+    ranged = docs.select("doc_id", "text", F.substring("text", 1, 64).alias("begins")).repartitionByRange(parts, "doc_id", "begins")
+    source = ranged.select("doc_id", "text").sortWithinPartitions("doc_id", "text")
     return source.mapInArrow(run, SCHEMA)
 
 
