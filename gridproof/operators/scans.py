@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import scores as sc
 from ..functions import tiers
@@ -228,30 +230,69 @@ def unified(scored: DataFrame, tests: list[str] | None = None, key: str = "image
     return long.select(key, "filename", "t.test", "t.test_ord", "t.v.status", "t.v.reason", "t.v.score")
 
 
-def with_scorer(rows: DataFrame, name: str, load: Callable[[], Callable[[list], list]], *columns: str, spare: float | None = None) -> DataFrame:
-    """``rows`` with a column of scores by a model that each task loads once: ``load()`` gives a function of lists of values.
+#: Words of errors that may pass when a model is asked again. Fixed values.
+PASSING_ERRORS = ("memory", "cuda", "dll")
 
-    The model works on Arrow batches. Rows that make it raise are scored one by one, and those that still do get ``spare``.
-    """
 
-    def scored(model: Callable[[list], list], values: list[list]) -> list[float | None]:
-        try:
-            return list(model(*values))
-        except Exception:
-            out = []
-            for one in zip(*values):
-                try:
-                    out.append(list(model(*[[v] for v in one]))[0])
-                except Exception:
-                    out.append(spare)
-            return out
+def answered(models: list[Callable[[list], list]], values: list[list], attempts: int, spare: object) -> list:
+    """What the first model gives that doesn't raise, each asked again after a passing error; else row by row, ``spare`` for what none can do."""
+    for model in models:
+        for _ in range(attempts):
+            try:
+                return list(model(*values))
+            except Exception as e:
+                if not any(w in str(e).lower() for w in PASSING_ERRORS):
+                    break
+    if len(values[0]) == 1:
+        return [spare]
+    return [answered(models, [[v] for v in one], attempts, spare)[0] for one in zip(*values)]
+
+
+def with_scorer(rows: DataFrame, name: str, load: Callable[[], Callable | list[Callable]], *columns: str, spare: object = None, kind: str = "double", attempts: int = 3) -> DataFrame:
+    """``rows`` with a column ``name`` of ``kind`` by a model that each task loads once: ``load()`` gives a function of lists of values.
+
+    ``load()`` may give several functions, say one for each colour order: the next is asked where one raises. Errors of
+    memory or libraries are tried again, ``attempts`` times in all. Where a batch fails its rows are asked one by one, and
+    those that still fail get ``spare``.
+    """
+    out = to_arrow_schema(StructType.fromDDL(f"x {kind}")).field("x").type
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        model = load()
+        got = load()
+        models = got if isinstance(got, list) else [got]
         for batch in batches:
-            yield pa.array(scored(model, [c.to_pylist() for c in batch]), pa.float64())
+            yield pa.array(answered(models, [c.to_pylist() for c in batch], attempts, spare) if len(batch[0]) else [], out)
 
     def single(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from run((b,) for b in batches)
 
-    return rows.withColumn(name, F.arrow_udf(run if len(columns) > 1 else single, "double")(*columns))
+    return rows.withColumn(name, F.arrow_udf(run if len(columns) > 1 else single, kind)(*columns))
+
+
+def watermark_batch(rows: DataFrame, load: Callable[[], Callable | list[Callable]], *columns: str) -> DataFrame:
+    """``rows`` with has_watermark, watermark_percent and watermark_status by a model that gives two logits (clean, marked) for each row; null: error."""
+    scored = with_scorer(rows, "_logits", load, *columns, kind="array<double>")
+    share = tiers.softmax(F.col("_logits"))
+    found = scored.withColumns({"has_watermark": tiers.argmax(F.col("_logits")) == 1, "watermark_percent": F.get(share, 1) * 100}).drop("_logits")
+    return found.withColumn("watermark_status", tiers.watermark_tier(F.col("has_watermark"), F.col("watermark_percent")))
+
+
+TEXT = "array<struct<text: string, confidence: double, detection: double, recognition: double, w: int, h: int>>"
+
+
+def text_batch(rows: DataFrame, load: Callable[[], Callable | list[Callable]], *columns: str, key: str = "image") -> DataFrame:
+    """(key, n_texts, overall_confidence, status, unified_pass) by a recogniser that gives the texts of each picture; one that fails is an error."""
+    from . import ocr
+
+    found = with_scorer(rows, "_texts", load, *columns, kind=TEXT).select(key, F.col("_texts").isNull().alias("_failed"), F.explode_outer("_texts").alias("t")).select(key, "_failed", "t.*")
+    kept = ocr.keep_text(F.col("text"), F.col("confidence"), F.col("w"), F.col("h"))
+    failed = found.groupBy(key).agg(F.max("_failed").alias("_failed"))
+    tiers_ = ocr.text_tiers(found, kept, key).join(failed, key)
+    return tiers_.withColumn("status", F.when(F.col("_failed"), "error").otherwise(F.col("status"))).drop("_failed")
+
+
+def models_to_use(known: list[str], wanted: list[str] | None = None, excluded: list[str] | None = None, last: str = "clipiqa") -> list[str]:
+    """The models to load: those wanted that are known, in their order; else all known but the excluded, and ``last`` at the end unless excluded."""
+    if wanted:
+        return [m for m in wanted if m in known or m == last]
+    return [m for m in [*[k for k in known if k != last], last] if m not in (excluded or [])]

@@ -98,3 +98,8 @@ def progress(ops: DataFrame, group: str, order: list[str], took: str) -> DataFra
     rows = ops.select(group, *[c for c in order if c != group], F.row_number().over(up).alias("nth"), F.avg(took).over(so_far).alias("mean_so_far"), F.count("*").over(Window.partitionBy(group)).alias("n"))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
     return rows.where((F.col("nth") % step == 0) | (F.col("nth") == F.col("n"))).withColumn("left", F.col("mean_so_far") * (F.col("n") - F.col("nth")))
+
+
+def table_line(columns: list[tuple[str, int, str]], between: str = " | ") -> Column:
+    """A row as a line of a plain table: (column, width, side) of each cell, cut or filled to its width."""
+    return F.concat_ws(between, *[(F.rpad if where == "left" else F.lpad)(F.coalesce(name, F.lit("")), width, " ") for name, width, where in columns])

@@ -48,15 +48,26 @@ def spec_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.spec_match(views.assets(spark, sf_dir))
 
 
-@query(f"""WITH {views.ASSETS_SQL}, coded AS (SELECT doc_id, width, height, CASE WHEN format NOT IN ('JPEG', 'PNG', 'TIFF', 'BMP') THEN 'unsupported_format'
- WHEN file_size // 64 < 100 THEN 'file_too_small' WHEN file_size > 50 * 1024 * 1024 THEN 'file_too_large' WHEN width < 100 THEN 'width_too_small' WHEN height < 100 THEN 'height_too_small' ELSE 'ok' END AS code FROM assets)
- SELECT doc_id, code, code = 'ok' AS is_valid, width / CAST(height AS DOUBLE) AS aspect_ratio, width * height / 1e6 AS megapixels FROM coded""")
+#: Files for basic validation: missing ones, odd extensions, sizes at and around the limits. Several faults meet in one row.
+_FILES = [
+    "doc_id",
+    "doc_id % 11 <> 0 AS found",
+    "CASE doc_id % 7 WHEN 0 THEN '.JPG' WHEN 1 THEN '.webp' WHEN 2 THEN '.pdf' WHEN 3 THEN '' ELSE '.png' END AS extension",
+    "CAST(CASE doc_id % 9 WHEN 0 THEN 99 WHEN 1 THEN 100 WHEN 2 THEN 52428800 WHEN 3 THEN 52428801 ELSE n_chars * 64 + 100 END AS BIGINT) AS file_size",
+    "CAST(CASE doc_id % 10 WHEN 0 THEN 0 WHEN 1 THEN 99 WHEN 2 THEN 100 ELSE 640 END AS INT) AS width",
+    "CAST(CASE doc_id % 13 WHEN 0 THEN 0 WHEN 1 THEN 99 WHEN 2 THEN 100 ELSE 480 END AS INT) AS height",
+]
+
+
+@query(f"""WITH files AS (SELECT {views.duck(_FILES)} FROM documents), coded AS (SELECT *, CASE WHEN NOT found THEN 'file_not_found' WHEN lower(extension) NOT IN ('.jpg', '.jpeg', '.png', '.bmp', '.tif', '.tiff', '.webp') THEN 'unsupported_format'
+ WHEN file_size < 100 THEN 'file_too_small' WHEN file_size > 50 * 1024 * 1024 THEN 'file_too_large' WHEN width = 0 OR height = 0 THEN 'invalid_dimensions' WHEN width < 100 THEN 'width_too_small' WHEN height < 100 THEN 'height_too_small' ELSE 'ok' END AS code FROM files)
+ SELECT doc_id, code, code = 'ok' AS is_valid, CASE WHEN code = 'ok' THEN width / CAST(height AS DOUBLE) END AS aspect_ratio, CASE WHEN code = 'ok' THEN width * height / 1e6 END AS megapixels FROM coded""")
 def basic_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = views.assets(spark, sf_dir)
-    extension = F.concat(F.lit("."), F.lower("format"))
-    size = F.when(F.expr("file_size div 64") < 100, F.lit(0)).otherwise(F.col("file_size"))
-    code = specs.validation(F.lit(True), extension, size, F.col("width"), F.col("height"))
-    return a.select("doc_id", code.alias("code"), (code == "ok").alias("is_valid"), (F.col("width") / F.col("height")).alias("aspect_ratio"), (F.col("width") * F.col("height") / F.lit(1e6)).alias("megapixels"))
+    f = read_table(spark, sf_dir, "documents").selectExpr(*_FILES)
+    code = specs.validation(*[F.col(c) for c in ("found", "extension", "file_size", "width", "height")])
+    ok = F.col("code") == "ok"
+    coded = f.withColumn("code", code)
+    return coded.select("doc_id", "code", ok.alias("is_valid"), F.when(ok, F.col("width") / F.col("height")).alias("aspect_ratio"), F.when(ok, F.col("width") * F.col("height") / F.lit(1e6)).alias("megapixels"))
 
 
 @query(f"WITH {views.ASSETS_SQL} SELECT doc_id, CASE WHEN least(width, height) < 800 THEN 'too small' WHEN greatest(width, height) > 4000 THEN 'too large' ELSE 'ok' END AS verdict FROM assets")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sizes, tiers
 from ..operators import ocr, scans, specs, summaries, verdicts
+from ..sources import copies
 from ..sources.tables import read_table
 from . import views
 from .catalog import _ED, _HAS, _NORM, _ROUND, _WM, KEY, _round, _rounded, _totals, query
@@ -253,3 +254,25 @@ def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "documents").select("doc_id", polygon.alias("p"), F.slice(F.array(*[F.lit(i) for i in range(5)]), F.lit(1), (F.col("doc_id") % 5).cast("int")).alias("scores"))
     three = F.array(*[F.lit(t) for t in "abc"])
     return _rounded(p.select("doc_id", ocr.bounding_box(F.col("p")).alias("b"), ocr.angle(F.col("p")).alias("angle"), F.size(ocr.zipped(three, F.col("scores"), three)).cast("long").alias("n_zipped")).select("doc_id", "b.*", "angle", "n_zipped"))
+
+
+@query(f"WITH {views.SCORES_SQL} SELECT p_partkey, clipiqa BETWEEN 0 AND 1 AND (clipiqa < 0.1 OR clipiqa > 0.9) AS suspicious, CASE WHEN clipiqa BETWEEN 0 AND 1 THEN clipiqa END AS valid FROM scores")
+def raw_score_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("clipiqa")
+    return views.scores(spark, sf_dir).select("p_partkey", tiers.suspicious_unit(x).alias("suspicious"), tiers.unit_score(x).alias("valid"))
+
+
+@query("""WITH p AS (SELECT doc_id, 't' || doc_id % 40 || '.png' AS filename, CASE doc_id % 5 WHEN 0 THEN 'VALID_CLEAN' WHEN 1 THEN 'MANUAL_REVIEW' WHEN 2 THEN 'INVALID_WATERMARKED' WHEN 3 THEN NULL ELSE 'INVALID_WATERMARKED' END AS folder FROM documents),
+ r AS (SELECT *, row_number() OVER (PARTITION BY folder, filename ORDER BY doc_id) - 1 AS n FROM p)
+ SELECT doc_id, folder, CASE WHEN folder IS NULL THEN NULL WHEN n = 0 THEN folder || '/' || filename ELSE folder || '/' || split_part(filename, '.', 1) || '_' || n || '.png' END AS target FROM r""")
+def text_copy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies by the tier of found text; an error is copied nowhere, an unknown status goes with the failures."""
+    status = "CASE doc_id % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'manual' WHEN 2 THEN 'fail' WHEN 3 THEN 'error' ELSE 'odd' END AS status"
+    rows = read_table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('t', CAST(doc_id % 40 AS STRING), '.png') AS filename", status)
+    return copies.copy_plan(rows, "text", path="doc_id").select("doc_id", "folder", "target")
+
+
+@query("SELECT c_custkey, rpad(c_name, 20, ' ') || ' | ' || lpad(CAST(c_nationkey AS VARCHAR), 6, ' ') AS line FROM customer")
+def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("nation"))
+    return rows.select("c_custkey", summaries.table_line([("c_name", 20, "left"), ("nation", 6, "right")]).alias("line"))

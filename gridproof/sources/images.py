@@ -46,8 +46,8 @@ def slice_scan(files: DataFrame, start: int = 0, most: int | None = None) -> Dat
     return rest if most is None else rest.limit(most)
 
 
-def tiff_header(content: bytes) -> tuple:
-    """As ``header``, from the first directory of a TIFF file; nulls where it is cut off or has no size."""
+def tiff_tags(content: bytes) -> dict[int, float] | None:
+    """The numbers in the first directory of a TIFF file (or of the EXIF part of another); null where it is cut off."""
     order = "<" if content[:2] == b"II" else ">"
     tags: dict[int, float] = {}
     try:
@@ -62,13 +62,24 @@ def tiff_header(content: bytes) -> tuple:
                 value = above / below if below else 0
             tags[tag] = value
     except struct.error:
-        return (None,) * 6
-    if 256 not in tags or 257 not in tags:
-        return (None,) * 6
-    samples = tags.get(277, 1)
-    mode = {0: "L", 1: "L", 2: "RGBA" if samples == 4 else "RGB", 3: "P", 5: "CMYK"}.get(tags.get(262))
+        return None
+    return tags
+
+
+def tiff_resolution(content: bytes) -> tuple[float, float]:
+    """Dots an inch; 72 where they are not given."""
+    tags = tiff_tags(content) or {}
     unit = {3: 2.54}.get(tags.get(296, 2), 1.0)
-    return "TIFF", int(tags[256]), int(tags[257]), mode, (tags.get(282) or 72.0 / unit) * unit, (tags.get(283) or 72.0 / unit) * unit
+    return (tags.get(282) or 72.0 / unit) * unit, (tags.get(283) or 72.0 / unit) * unit
+
+
+def tiff_header(content: bytes) -> tuple:
+    """As ``header``, of a TIFF file; nulls where it is cut off or has no size."""
+    tags = tiff_tags(content)
+    if tags is None or 256 not in tags or 257 not in tags:
+        return (None,) * 6
+    mode = {0: "L", 1: "L", 2: "RGBA" if tags.get(277, 1) == 4 else "RGB", 3: "P", 5: "CMYK"}.get(tags.get(262))
+    return "TIFF", int(tags[256]), int(tags[257]), mode, *tiff_resolution(content)
 
 
 def header(content: bytes) -> tuple:
@@ -94,6 +105,8 @@ def header(content: bytes) -> tuple:
                 x, y = struct.unpack(">HH", content[at + 12 : at + 16])
                 k = 1.0 if content[at + 11] == 1 else 2.54
                 dpi = (x * k, y * k)
+            if kind == 0xE1 and content[at + 4 : at + 10] == b"Exif\0\0" and dpi == (72.0, 72.0):
+                dpi = tiff_resolution(content[at + 10 : at + 2 + n])
             if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
                 h, w = struct.unpack(">HH", content[at + 5 : at + 9])
                 return "JPEG", w, h, {1: "L", 3: "RGB", 4: "CMYK"}.get(content[at + 9]), *dpi

@@ -149,6 +149,30 @@ def test_scorer_is_loaded_by_tasks_and_survives_bad_rows(spark):
     assert [r.score for r in scans.with_scorer(rows, "score", load, "name", "n", spare=-1.0).collect()] == [2.0, -1.0, 1.0]
 
 
+def test_models_stand_in_for_each_other_and_are_asked_again(spark):
+    def load():
+        left = [2]
+
+        def first(names):
+            if any(n == "b" for n in names):
+                raise ValueError("odd colours")
+            if left[0]:
+                left[0] -= 1
+                raise RuntimeError("CUDA out of memory")
+            return [[0.0, 3.0]] * len(names)
+
+        return [first, lambda names: [[3.0, 0.0] if n == "b" else None for n in names]]
+
+    rows = spark.createDataFrame([("a",), ("b",)], "name string").coalesce(1)
+    got = {r.name: r for r in scans.watermark_batch(rows, load, "name").collect()}
+    assert got["b"].has_watermark is False and got["b"].watermark_status == "pass"
+    one = scans.watermark_batch(rows.where("name = 'a'"), load, "name").first()
+    assert one.has_watermark and one.watermark_percent == pytest.approx(100 / (1 + np.exp(-3.0))) and one.watermark_status == "manual"
+    texts = scans.text_batch(rows.withColumnRenamed("name", "image"), lambda: lambda names: [[{"text": "Summer sale", "confidence": 0.9, "detection": 0.9, "recognition": 0.9, "w": 30, "h": 9}] if n == "a" else None for n in names], "image")
+    assert {r.image: (r.n_texts, r.status) for r in texts.collect()} == {"a": (1, "fail"), "b": (0, "error")}
+    assert scans.models_to_use(["brisque", "niqe"], excluded=["niqe"]) == ["brisque", "clipiqa"] and scans.models_to_use(["brisque"], ["clipiqa", "odd"]) == ["clipiqa"]
+
+
 def test_canny_by_brute_force():
     """Edges of a small picture by the definition, pixel by pixel."""
     g = made(18, 15, "framed", 5).astype(float)
