@@ -26,7 +26,7 @@ BITS = 6
 #: Languages with fewer characters than this are pooled: their counts of counts are too few for discounts.
 LEAST_TEXT = 10_000
 #: Models that are counted, broadcast and used at a time.
-GROUP = 24
+GROUP = 8
 SLAB = 500_000
 #: Class 0 stands between documents, 1 for space, 2-47 for the alphabet, 48-60 for other letters by a hash, then the others.
 CLASSES = {"space": 1, "letter": 2, "other_letter": 48, "digit": 61, "mark": 62, "symbol": 63}
