@@ -204,14 +204,16 @@ def available(columns: list[str]) -> dict[str, str]:
     return {n: "full" if set(t.columns) <= set(columns) else "fallback" if t.fallback else "missing" for n, t in REGISTRY.items()}
 
 
-def unified(scored: DataFrame, tests: list[str] | None = None, key: str = "image") -> DataFrame:
+def unified(scored: DataFrame, tests: list[str] | None = None, key: str = "image", plain: tuple[str, ...] = ()) -> DataFrame:
     """(key, filename, test, test_ord, status, reason, score): a row for each picture and test, from one pass over the pictures.
 
-    A test whose columns are not there is replaced by its fallback. A picture that can't be decoded has status
+    A test whose columns are not there, or that is named in ``plain``, is replaced by its fallback. A picture that can't be decoded has status
     ``error`` in every test that looks at its pixels.
     """
     names, states = selected(tests), available(scored.columns)
-    full = {n: states[n] == "full" for n in names}
+    full = {n: states[n] == "full" and n not in plain for n in names}
+    if lost := [n for n in names if not full[n] and REGISTRY[n].fallback is None]:
+        raise ValueError(f"tests that can't run here: {', '.join(lost)}")
     parts = {p for n in names for p in (REGISTRY[n].parts if full[n] else REGISTRY[n].fallback_parts)}
     m = pictures.measured(scored, *[p for p in pictures.PARTS if p in parts]) if parts else scored
     if full.get("editing"):

@@ -12,7 +12,7 @@ from ..operators import ocr, scans, specs, summaries, verdicts
 from ..sources import copies
 from ..sources.tables import read_table
 from . import views
-from .catalog import _ED, _HAS, _NORM, _ROUND, _WM, KEY, _round, _rounded, _totals, query
+from .catalog import _ED, _HAS, _NORM, _ROUND, _WM, KEY, ORACLE_SQL, _round, _rounded, _totals, query
 
 _SIZE = ["doc_id", "CAST(doc_id * 37 % 4200 + 1 AS INT) AS w", "CAST(n_chars * 13 % 3100 + 1 AS INT) AS h", "CAST(doc_id % 5 AS INT) AS c"]
 
@@ -276,3 +276,28 @@ def text_copy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("nation"))
     return rows.select("c_custkey", summaries.table_line([("c_name", 20, "left"), ("nation", 6, "right")]).alias("line"))
+
+
+#: Tests by their fallbacks: all that have one without a model.
+_PLAIN = ("specifications", "borders", "editing")
+_UNIFIED = f"""e AS ({ORACLE_SQL["edge_strips"]}), f AS ({ORACLE_SQL["fallback_editing"]}), p AS (SELECT vec_id AS image, CASE WHEN vec_id % 11 <> 0 THEN vec_id % 4 = 0 END AS has, (vec_id * 29 % 201) / 2.0::DOUBLE AS percent, vec_id % 8 AS n, (vec_id * 13 % 100)::DOUBLE AS conf FROM embeddings),
+ plain AS (SELECT image, 'specifications' AS test, 1 AS test_ord, 'fail' AS status, 'too small' AS reason, 0.0::DOUBLE AS score FROM p
+ UNION ALL SELECT image, 'borders', 2, CASE WHEN bordered THEN 'fail' ELSE 'pass' END, CASE WHEN bordered THEN 'even strips along the edges' ELSE 'no even strips' END, variance FROM e
+ UNION ALL SELECT image, 'watermarks', 3, CASE WHEN has IS NULL THEN 'error' WHEN has AND percent > 96 THEN 'fail' WHEN has AND percent > 91 THEN 'manual' ELSE 'pass' END, CASE WHEN has IS NULL THEN 'no result' WHEN has THEN 'watermark' ELSE 'no watermark' END, percent FROM p
+ UNION ALL SELECT image, 'editing', 4, CASE WHEN passed THEN 'pass' ELSE 'fail' END, CASE WHEN passed THEN 'histograms are natural' ELSE 'few tones or many peaks' END, score FROM f
+ UNION ALL SELECT image, 'text', 5, CASE WHEN conf > 80 OR n > 5 THEN 'fail' WHEN conf > 60 OR n > 2 THEN 'manual' ELSE 'pass' END, n || ' texts', conf FROM p)"""
+
+
+@query(f"WITH {_UNIFIED} SELECT image, 'picture_' || image || '.png' AS filename, test, test_ord, status, reason, round(score, 6) AS score FROM plain")
+def unified_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tests over one decoding of each picture, where no model is at hand."""
+    return _rounded(scans.unified(views.scored_pictures(spark, sf_dir), plain=_PLAIN))
+
+
+@query(f"""WITH {_UNIFIED}, first AS (SELECT image, min(test_ord) FILTER (status = 'fail') AS o FROM plain GROUP BY image),
+ filed AS (SELECT image, CASE WHEN status = 'fail' THEN 'invalid' ELSE 'manual_review' END AS category, test FROM plain JOIN first USING (image) WHERE test <> 'specifications' AND (status = 'fail' OR status = 'manual' AND (o2 IS NULL OR test_ord < o2)))
+ SELECT * FROM filed UNION ALL SELECT image, 'valid', NULL FROM first WHERE image NOT IN (SELECT image FROM filed)""".replace("min(test_ord) FILTER (status = 'fail') AS o FROM", "min(test_ord) FILTER (status = 'fail' AND test <> 'specifications') AS o2 FROM"))
+def routine_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routine scan over pictures by the plain tests, without specifications: from bytes to where each is filed."""
+    rows = scans.unified(views.scored_pictures(spark, sf_dir), scans.selected(without=["specifications"]), plain=_PLAIN)
+    return verdicts.memberships(rows, ["image"])
