@@ -237,10 +237,10 @@ def cache_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {views.OPS_SQL}, r AS (SELECT component, ts, event_id, row_number() OVER o AS nth, avg(duration_ms) OVER (PARTITION BY component ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS m, count(*) OVER (PARTITION BY component) AS n FROM ops WINDOW o AS (PARTITION BY component ORDER BY ts, event_id))
- SELECT component, event_id, nth, round(m, 6) AS mean_so_far, n, round(m * (n - nth), 4) AS "left" FROM r WHERE nth % greatest(1, n // 10) = 0 OR nth = n""")
+ SELECT component, event_id, nth, round(m, 6) AS mean_so_far, n, round(m, 6) * (n - nth) AS "left" FROM r WHERE nth % greatest(1, n // 10) = 0 OR nth = n""")
 def progress_with_time_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = summaries.progress(views.ops(spark, sf_dir), "component", ["ts", "event_id"], "duration_ms").drop("ts")
-    return p.withColumn("mean_so_far", F.round("mean_so_far", 6)).withColumn("left", F.round("left", 4))
+    return p.withColumn("mean_so_far", F.round("mean_so_far", 6)).withColumn("left", F.col("mean_so_far") * (F.col("n") - F.col("nth")))
 
 
 _CORNERS = [("doc_id % 50", "doc_id % 30"), ("doc_id % 50 + 40", "doc_id % 30 + doc_id % 9"), ("doc_id % 50 + 38", "doc_id % 30 + 25"), ("doc_id % 50 - 2", "doc_id % 30 + 20")]
