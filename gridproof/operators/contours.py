@@ -93,27 +93,61 @@ def labelled(mask: np.ndarray, eight: bool) -> np.ndarray:
     return np.where(mask, label.reshape(mask.shape), -1)
 
 
-def outer_contours(mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(points, filled) of each component that no other encloses: its outer boundary as (x, y), and its pixels with all it encloses."""
+def boxes_of(part: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """(y0, y1, x0, x1) of each named component, the ends included."""
+    y, x = np.nonzero(np.isin(part, names))
+    which = np.searchsorted(names, part[y, x])
+    out = np.column_stack([np.full(len(names), part.shape[0]), np.zeros(len(names), int), np.full(len(names), part.shape[1]), np.zeros(len(names), int)])
+    for k, (f, v) in enumerate(((np.minimum, y), (np.maximum, y), (np.minimum, x), (np.maximum, x))):
+        f.at(out[:, k], which, v)
+    return out
+
+
+def traced(mine: np.ndarray, y: int, x: int) -> np.ndarray:
+    """The outer boundary of a component, as (x, y), from its first pixel; ``mine`` has a rim without pixels."""
+    rows, points, way, first = mine.tolist(), [(x, y)], 0, None
+    while True:
+        step = None
+        for d in range(8):
+            k = (d + way + 5) % 8
+            if rows[y + AROUND[k][0]][x + AROUND[k][1]]:
+                step = k
+                break
+        if step is None or ((x, y) == points[0] and step == first):
+            return np.array(points[:-1] or points)
+        first = step if first is None else first
+        y, x, way = y + AROUND[step][0], x + AROUND[step][1], step
+        points.append((x, y))
+
+
+def outer_contours(mask: np.ndarray, enough: float = 0.0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(points, filled) of each component that no other encloses: its outer boundary as (x, y), and its pixels with all it encloses.
+
+    Components whose box has fewer than ``enough`` pixels are left out once a contour of a larger area is known, since a
+    contour's area is within its box: the largest contour is always among those found.
+    """
     m = np.pad(mask, 1)
     part, back = labelled(m, True), labelled(~m, False)
     outside = back == 0  # the padding's corner
     beside = m & (np.roll(outside, 1, 0) | np.roll(outside, -1, 0) | np.roll(outside, 1, 1) | np.roll(outside, -1, 1))
-    found = []
-    for name in np.unique(part[beside]):
-        mine = part == name
-        y, x = divmod(int(name), m.shape[1])
-        points, way, first = [(x, y)], 0, None
-        while True:
-            step = next(((d + way + 5) % 8 for d in range(8) if mine[y + AROUND[(d + way + 5) % 8][0], x + AROUND[(d + way + 5) % 8][1]]), None)
-            if step is None or ((x, y) == points[0] and step == first):
-                break
-            first = step if first is None else first
-            y, x, way = y + AROUND[step][0], x + AROUND[step][1], step
-            points.append((x, y))
-        filled = labelled(~mine, False) != 0
-        found.append((np.array(points[:-1] or points) - 1, filled[1:-1, 1:-1]))
-    return found
+    names = np.unique(part[beside])
+    if not len(names):
+        return []
+    boxes = boxes_of(part, names)
+    area = (boxes[:, 1] - boxes[:, 0] + 1) * (boxes[:, 3] - boxes[:, 2] + 1)
+    found, largest = [], -1.0
+    for k in np.argsort(-area, kind="stable"):
+        if area[k] < enough and area[k] <= largest:
+            break
+        y0, y1, x0, x1 = boxes[k].tolist()
+        mine = np.pad(part[y0 : y1 + 1, x0 : x1 + 1] == names[k], 1)
+        y, x = divmod(int(names[k]), m.shape[1])
+        points = traced(mine, y - y0 + 1, x - x0 + 1) + np.array([x0 - 2, y0 - 2])
+        filled = np.zeros(mask.shape, bool)
+        filled[y0 - 1 : y1, x0 - 1 : x1] = (labelled(~mine, False) != 0)[1:-1, 1:-1]
+        largest = max(largest, area_of(points)[0])
+        found.append((int(names[k]), points, filled))
+    return [c[1:] for c in sorted(found, key=lambda c: c[0])]
 
 
 def area_of(points: np.ndarray) -> tuple[float, tuple[float, float]]:
@@ -211,7 +245,7 @@ def frame_boxes(gray: np.ndarray) -> list[dict]:
     """Bounding boxes of edge contours of more than a tenth of the picture that come near its perimeter."""
     h, w = gray.shape
     margin, out = min(w, h) * 0.05, []
-    for points, _ in outer_contours(canny(gray)):
+    for points, _ in outer_contours(canny(gray), 0.1 * gray.size):
         if area_of(points)[0] > h * w * 0.1:
             (x, y), (x1, y1) = points.min(0), points.max(0) + 1
             if x < margin or y < margin or x1 > w - margin or y1 > h - margin:
@@ -227,6 +261,6 @@ def features(gray: np.ndarray) -> dict:
     if min(gray.shape) < 16:
         return {"frame": None, "frame_score": None, "quad": None, "quad_score": None, "boxes": [], "edge_share": None}
     edges = enhanced_edges(gray)
-    found = outer_contours(edges)
+    found = outer_contours(edges, 0.1 * gray.size)
     row = {"quad": None, "quad_score": None} | frame_contour(found, *gray.shape) | {"boxes": frame_boxes(gray), "edge_share": float(edges.mean())}
     return row | quadrilateral(max(found, key=lambda c: area_of(c[0])[0])[0], *gray.shape) if found else row

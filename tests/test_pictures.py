@@ -197,6 +197,15 @@ def test_canny_by_brute_force():
     assert {tuple(q) for q in np.argwhere(kernels.canny(g)).tolist()} == edge
 
 
+def test_small_contours_may_be_left_out():
+    for k, seed in ((k, s) for k in KINDS for s in range(3)):
+        edges = contours.enhanced_edges(made(50, 44, k, seed).astype(float))
+        every, some = contours.outer_contours(edges), contours.outer_contours(edges, 0.1 * edges.size)
+        assert contours.frame_contour(every, *edges.shape) == contours.frame_contour(some, *edges.shape)
+        assert max((contours.area_of(p)[0] for p, _ in every), default=0) == max((contours.area_of(p)[0] for p, _ in some), default=0)
+        assert len(some) <= len(every) and all(f[p[:, 1], p[:, 0]].all() for p, f in every)
+
+
 def test_contours_of_a_drawn_frame():
     mask = np.zeros((40, 60), bool)
     mask[5:35, 8:52] = True
