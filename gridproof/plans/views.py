@@ -195,7 +195,9 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.array([drawn(i, u) for i, u in zip(images.to_pylist(), us.to_pylist())], type=pa.struct([("gray", pa.binary()), ("rgb", pa.binary())]))
 
     made = F.arrow_udf(draw, "struct<gray: binary, rgb: binary>").asNondeterministic()
-    return gray(spark, sf_dir).select("image", F.lit(64).alias("width"), F.lit(64).alias("height"), made("image", "u").alias("v")).select("image", "width", "height", "v.*")
+    # the vectors are far smaller than their pictures, and one file of them is one task: they are dealt out before they are drawn
+    dealt = gray(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image")
+    return dealt.select("image", F.lit(64).alias("width"), F.lit(64).alias("height"), made("image", "u").alias("v")).select("image", "width", "height", "v.*")
 
 
 def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
