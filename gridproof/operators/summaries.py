@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tiers
+from .running import along
 
 
 def editing_summary(scored: DataFrame, score: str = "score") -> DataFrame:
@@ -100,6 +101,16 @@ def progress(ops: DataFrame, group: str, order: list[str], took: str) -> DataFra
     return rows.where((F.col("nth") % step == 0) | (F.col("nth") == F.col("n"))).withColumn("left", F.col("mean_so_far") * (F.col("n") - F.col("nth")))
 
 
+def run_progress(ops: DataFrame, order: list[str], took: str) -> DataFrame:
+    """What ``progress`` shows, along the whole run as one group: (order, nth, n, mean_so_far, left), by distributed prefix sums."""
+    n = ops.agg(F.count("*").alias("n"))  # one row
+    up = along(ops.select(*order, took, F.col(took).isNotNull().cast("int").alias("_timed")), order, {"_took": took, "_known": "_timed"}, nth="nth")
+    rows = up.join(F.broadcast(n)).withColumn("mean_so_far", F.try_divide("_took", "_known"))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
+    shown = rows.where((F.col("nth") % step == 0) | (F.col("nth") == F.col("n")))
+    return shown.select(*order, "nth", "n", "mean_so_far", (F.col("mean_so_far") * (F.col("n") - F.col("nth"))).alias("left"))
+
+
 def table_line(columns: list[tuple[str, int, str]], between: str = " | ") -> Column:
     """A row as a line of a plain table: (column, width, side) of each cell, cut or filled to its width."""
     return F.concat_ws(between, *[(F.rpad if where == "left" else F.lpad)(F.coalesce(name, F.lit("")), width, " ") for name, width, where in columns])

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sizes, tiers
 from ..operators import ocr, scans, specs, summaries, verdicts
-from ..sources import copies
+from ..operators.running import along
+from ..sources import copies, images
 from ..sources.tables import read_table
 from . import views
 from .catalog import _ED, _HAS, _NORM, _ROUND, _WM, KEY, ORACLE_SQL, _round, _rounded, _totals, query
@@ -243,6 +244,32 @@ def progress_with_time_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("mean_so_far", F.round("mean_so_far", 6)).withColumn("left", F.col("mean_so_far") * (F.col("n") - F.col("nth")))
 
 
+@query(f"""WITH {views.OPS_SQL}, r AS (SELECT ts, event_id, row_number() OVER o AS nth, avg(duration_ms) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS m, count(*) OVER () AS n FROM ops WINDOW o AS (ORDER BY ts, event_id))
+ SELECT event_id, nth, n, round(m, 6) AS mean_so_far, round(m, 6) * (n - nth) AS "left" FROM r WHERE nth % greatest(1, n // 10) = 0 OR nth = n""")
+def progress_of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run over all events, in one order: running figures by ranges, not in one task."""
+    p = summaries.run_progress(views.ops(spark, sf_dir), ["ts", "event_id"], "duration_ms").drop("ts")
+    return p.withColumn("mean_so_far", F.round("mean_so_far", 6)).withColumn("left", F.col("mean_so_far") * (F.col("n") - F.col("nth")))
+
+
+_MICROS = "CAST(round(duration_ms * 1000) AS BIGINT)"
+
+
+@query(f"""WITH {views.OPS_SQL} SELECT event_id, component, row_number() OVER o AS nth, CAST(sum({_MICROS}) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS took_so_far, CAST(sum(CAST(is_error AS INT)) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS errors_so_far
+ FROM ops WINDOW o AS (ORDER BY ts, event_id)""")
+def running_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its number in the run and what the run has taken and failed so far."""
+    ops = views.ops(spark, sf_dir).selectExpr("ts", "event_id", "component", f"{_MICROS} AS took", "CAST(is_error AS BIGINT) AS failed")
+    return along(ops, ["ts", "event_id"], {"took_so_far": "took", "errors_so_far": "failed"}).select("event_id", "component", "nth", "took_so_far", "errors_so_far")
+
+
+@query("""WITH o AS (SELECT doc_id, concat('doc_', CAST(doc_id AS STRING)) AS path, row_number() OVER (ORDER BY concat('doc_', CAST(doc_id AS STRING)), doc_id) AS nth FROM documents) SELECT doc_id, path FROM o WHERE nth > 150 AND nth <= 550""")
+def resumed_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that begins after 150 files of the listing and takes 400."""
+    listed = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"))
+    return images.slice_scan(listed, 150, 400)
+
+
 _CORNERS = [("doc_id % 50", "doc_id % 30"), ("doc_id % 50 + 40", "doc_id % 30 + doc_id % 9"), ("doc_id % 50 + 38", "doc_id % 30 + 25"), ("doc_id % 50 - 2", "doc_id % 30 + 20")]
 
 

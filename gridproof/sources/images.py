@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import along
+
 #: Extensions by kind of scan. Fixed values.
 EXTENSIONS = {
     "master": ["jpg", "jpeg", "png", "bmp", "tif", "tiff"],
@@ -40,10 +42,10 @@ def image_files(spark: SparkSession, folder: str, kind: str = "recursive", recur
     return kept.orderBy("path") if deep else kept
 
 
-def slice_scan(files: DataFrame, start: int = 0, most: int | None = None) -> DataFrame:
-    """The files from the ``start``-th in order of path, ``most`` at most: resuming a scan."""
-    rest = files.orderBy("path").offset(start)
-    return rest if most is None else rest.limit(most)
+def slice_scan(files: DataFrame, start: int = 0, most: int | None = None, key: str = "path") -> DataFrame:
+    """The files from the ``start``-th in order of path, ``most`` at most: resuming a scan. Ranges of paths are numbered in parallel."""
+    nth = F.col("_nth")
+    return along(files, [key], nth="_nth").where((nth > start) & (nth <= start + most if most is not None else F.lit(True))).drop("_nth")
 
 
 def tiff_tags(content: bytes) -> dict[int, float] | None:
