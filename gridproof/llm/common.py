@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.tables import read_table, shared_dir, written  # noqa: F401
+
 
 #: A key with more than one in so many rows is joined by itself: there are never more such keys than this.
 HUBS = 1000
@@ -20,30 +20,6 @@ HUBS = 1000
 LEAST_HUB = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where it is unset a local session (tests) gets one; a cluster is an error,
-    since its executors would each write to a folder of their own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridproof/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def by_batch(df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.RecordBatch], dict], setup: Callable | None = None) -> DataFrame:
     """``work`` over the Arrow batches of ``columns`` only (so clashing extra columns never matter); it gives the columns of ``schema``."""
     out = to_arrow_schema(StructType.fromDDL(schema))
@@ -115,6 +91,43 @@ def slabs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+def pieces_of(batches, key: str):
+    """The rows of sorted ``batches`` in tables that hold whole runs of ``key``."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            part = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            keys = part[key].to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last run may go on in the next batch
+            if cut:
+                yield part.slice(0, cut).combine_chunks()
+            rest = part.slice(cut).to_batches()
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def runs_of(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of more than one equal key."""
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    long = np.flatnonzero(np.diff(edge) > 1)
+    return list(zip(edge[long].tolist(), edge[long + 1].tolist()))
+
+
+#: Bytes of words: digits, lower-case letters and what is not ASCII; capitals become small, all others spaces.
+_LOWERED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def spaced_out(raw: bytes, size: int) -> Iterator[list[bytes]]:
+    """The words (digits, ASCII letters in lower case, bytes beyond ASCII) of a UTF-8 text, in pieces of about ``size`` bytes."""
+    low, at = raw.translate(_LOWERED), 0
+    while at < len(low):
+        end = low.find(b" ", at + size)
+        end = len(low) if end < 0 else end
+        if words := low[at:end].split():
+            yield words
+        at = end
+
+
 def union_labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """The smallest node of each node's component, for the undirected links a-b among nodes 0..n-1 (added to ``label``)."""
     label = np.arange(n) if label is None else label

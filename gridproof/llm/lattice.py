@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import components, hot_keys, hub_join, union_labels, written
+from .common import components, hot_keys, hub_join, pieces_of, runs_of, union_labels, written
 
 SEED = 8
 #: Vectors in a cell that are compared in one piece; a larger one is cut into tiles, and each pair of tiles is dealt by itself.
@@ -181,28 +181,6 @@ def bucket_hash(cells: np.ndarray, label_hash: np.ndarray | int) -> np.ndarray:
         return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def pieces_of(batches, key: str):
-    """The rows of sorted ``batches`` in tables that hold whole runs of ``key``."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            part = pa.Table.from_batches([*rest, batch]).combine_chunks()
-            keys = part[key].to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last run may go on in the next batch
-            if cut:
-                yield part.slice(0, cut).combine_chunks()
-            rest = part.slice(cut).to_batches()
-    if rest:
-        yield pa.Table.from_batches(rest).combine_chunks()
-
-
-def runs_of(keys: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of the runs of more than one equal key."""
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    long = np.flatnonzero(np.diff(edge) > 1)
-    return list(zip(edge[long].tolist(), edge[long + 1].tolist()))
-
-
 def own_cells(nodes: DataFrame, shape: tuple) -> DataFrame:
     """(bucket, n): how many vectors have each cell for their own; a task adds up first."""
 

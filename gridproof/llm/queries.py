@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_windows, language_id, lattice, licenses, packing, quality_rules, rule_ensemble, sentence_pieces, simhash, token_codes
+from . import chat_windows, importance, language_id, lattice, licenses, packing, quality_rules, rule_ensemble, sentence_pieces, simhash, token_codes
 from .common import read_table
 
 #: A conversation that holds the template's own kind of control strings.
@@ -58,9 +58,13 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.chat_digests(rows.unionByName(odd))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_simhash, op3_language_mixture, op4_token_codes, op5_lattice, op6_licenses, op7_rule_ensemble, op8_sentence_pieces, op9_packing, op10_chat_windows)
+    for f in (op1_quality_rules, op2_simhash, op3_language_mixture, op4_token_codes, op5_lattice, op6_licenses, op7_rule_ensemble, op8_sentence_pieces, op9_packing, op10_chat_windows, op12_resampling)
 }
 #: Length of a text once it is escaped.
 _ESCAPED = r"(2 * length({0}) - length(regexp_replace({0}, '[\\\\#<:]', '', 'g')))"
