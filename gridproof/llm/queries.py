@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_windows, importance, language_id, lattice, licenses, packing, quality_rules, rule_ensemble, sentence_pieces, simhash, token_codes
+from . import chat_windows, importance, language_id, lattice, lexical_search, licenses, packing, quality_rules, rule_ensemble, sentence_pieces, simhash, token_codes
 from .common import read_table
 
 #: A conversation that holds the template's own kind of control strings.
@@ -58,20 +58,37 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.chat_digests(rows.unionByName(odd))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_simhash, op3_language_mixture, op4_token_codes, op5_lattice, op6_licenses, op7_rule_ensemble, op8_sentence_pieces, op9_packing, op10_chat_windows, op12_resampling)
+    for f in (op1_quality_rules, op2_simhash, op3_language_mixture, op4_token_codes, op5_lattice, op6_licenses, op7_rule_ensemble, op8_sentence_pieces, op9_packing, op10_chat_windows, op11_lexical_search, op12_resampling)
 }
 #: Length of a text once it is escaped.
 _ESCAPED = r"(2 * length({0}) - length(regexp_replace({0}, '[\\\\#<:]', '', 'g')))"
 #: Words of a text in lower case.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({0}, ''), '" + licenses.UPPER + "', '" + licenses.LOWER + r"'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 _TEMPLATES = ", ".join(f"({i}, '{label}', '{text.replace(chr(39), chr(39) * 2)}', {phrase})" for i, (label, text, phrase) in enumerate([*((label, text, False) for label, text in licenses.TEMPLATES), *((label, text, True) for text, label in licenses.PHRASES.items())]))
+#: Terms of a text, in lower case.
+_TERMS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '" + licenses.UPPER + "', '" + licenses.LOWER + r"'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 ORACLE_SQL: dict[str, str] = {
+    "op11_lexical_search": f"""WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_TERMS} AS w FROM documents),
+ sized AS (SELECT row_id, doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+ whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM sized),
+ flat AS (SELECT row_id, unnest(w) AS term FROM sized),
+ tf AS (SELECT row_id, term, count(*) AS tf FROM flat GROUP BY row_id, term),
+ weighed AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM tf, whole GROUP BY term),
+ asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+ scored AS (SELECT item_id, tf.row_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weighed USING (term) JOIN sized USING (row_id), whole GROUP BY item_id, tf.row_id, doc_id),
+ ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0)
+ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
     "op6_licenses": f"""WITH listed(template, label, text, phrase) AS (VALUES {_TEMPLATES}),
  split AS (SELECT template, label, phrase, {_WORDS.format("text")} AS w FROM listed),
  sized AS (SELECT *, least(len(w), 3) AS k, len(w) - least(len(w), 3) + 1 AS grams FROM split),
