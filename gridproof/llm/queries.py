@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_windows, importance, language_id, lattice, lexical_search, licenses, packing, quality_rules, rule_ensemble, sentence_pieces, simhash, token_codes
+from . import chat_windows, cover_tree, importance, language_id, lattice, lexical_search, licenses, packing, quality_rules, rule_ensemble, sentence_pieces, simhash, token_codes
 from .common import read_table
 
 #: A conversation that holds the template's own kind of control strings.
@@ -66,9 +66,13 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(read_table(spark, sf_dir, "embeddings"), k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_simhash, op3_language_mixture, op4_token_codes, op5_lattice, op6_licenses, op7_rule_ensemble, op8_sentence_pieces, op9_packing, op10_chat_windows, op11_lexical_search, op12_resampling)
+    for f in (op1_quality_rules, op2_simhash, op3_language_mixture, op4_token_codes, op5_lattice, op6_licenses, op7_rule_ensemble, op8_sentence_pieces, op9_packing, op10_chat_windows, op11_lexical_search, op12_resampling, op13_cover_tree)
 }
 #: Length of a text once it is escaped.
 _ESCAPED = r"(2 * length({0}) - length(regexp_replace({0}, '[\\\\#<:]', '', 'g')))"
@@ -108,6 +112,11 @@ ORACLE_SQL: dict[str, str] = {
  SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, base.low AS first_word, base.high AS last_word, coalesce(array_to_string(list_sort(list_distinct(base.labels)), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels, CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(own.score, 0.0::DOUBLE) END AS score
  FROM texts LEFT JOIN base USING (row_id) LEFT JOIN own USING (row_id)""",
+    "op13_cover_tree": """WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored)
+ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op5_lattice": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
  sound AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
