@@ -47,7 +47,7 @@ def feature_buckets(raw: bytes) -> tuple[list[np.ndarray], int]:
         two = list(map(crc32, spaced[1:], one))
         three = list(map(crc32, spaced[2:], two))
         codes = one[c:] + two[max(c - 1, 0) :] + three
-        found.append((np.array(codes, np.uint32) % np.uint32(BUCKETS)).astype(np.int64))
+        found.append((np.array(codes, np.uint32) % np.uint32(BUCKETS)).astype(np.int32))
     return found, n_words
 
 
@@ -81,7 +81,7 @@ class Blocks:
             self.put(np.flatnonzero(counts), counts[counts > 0])
             return
         self.docs.append((doc_id, n, n_words))
-        self.found.append(parts[0] if parts else np.zeros(0, np.int64))
+        self.found.append(parts[0] if parts else np.zeros(0, np.int32))
         self.size += n
         if self.size >= BLOCK_FEATURES or len(self.docs) >= BLOCK_DOCS:
             self.close()
@@ -89,7 +89,9 @@ class Blocks:
     def close(self) -> None:
         if self.docs:
             nd = len(self.docs)
-            keys = np.sort(np.concatenate(self.found) * nd + np.repeat(np.arange(nd), [len(x) for x in self.found]))
+            keys = np.concatenate(self.found) * np.int32(nd)  # 32 bits hold BUCKETS * BLOCK_DOCS
+            keys += np.repeat(np.arange(nd, dtype=np.int32), [len(x) for x in self.found])
+            keys.sort()
             edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
             keys, counts = keys[edge[:-1]], np.diff(edge)
             self.totals += np.bincount(keys // nd, counts, BUCKETS).astype(np.int64)
@@ -101,7 +103,7 @@ class Blocks:
         cut = np.searchsorted(keys, EDGES * nd)
         for r in np.flatnonzero(np.diff(cut)):
             a, b = cut[r], cut[r + 1]
-            steps = np.diff(keys[a:b], prepend=EDGES[r] * nd)
+            steps = np.diff(keys[a:b], prepend=keys.dtype.type(EDGES[r] * nd))
             self.rows.append((POSTINGS, int(r), self.next, nd, planes(steps), planes(counts[a:b]), None, None, None, None))
         self.rows.append((DOCS, None, self.next, nd, None, None, None, *[list(x) for x in zip(*self.docs)]))
         self.next += 1
