@@ -24,10 +24,11 @@ SEED = 8
 #: Vectors in a cell that are compared in one piece; a larger one is cut into tiles, and each pair of tiles is dealt by itself.
 TILE = 2048
 SIGNS = 128
-#: By blocks in a table: tables and neighbouring cells. Chosen for a recall of 0.99 at a cosine of exactly 0.93 (README).
-SHAPES = {1: (4, 3), 2: (6, 7), 3: (14, 15), 4: (32, 31)}
-#: Share of a table's cells in which two random vectors meet, for each block; and how many such a vector should meet.
-MEET, MATES = 0.01, 64
+#: Sketches of a cell that are compared in one piece; vectors of a cell where more are at home are all compared.
+SKETCHES = 1 << 15
+#: Blocks in a table, tables, neighbouring cells, and the lattice's scale: one shape for tables of every size. A vector is
+#: filed TABLES * (1 + PROBES) times, 32 bytes each; recall at a cosine of exactly 0.93 is 0.99 (README).
+BLOCKS, TABLES, PROBES, SCALE = 2, 6, 3, 2.0
 
 
 class Lattice:
@@ -120,18 +121,13 @@ def signs_apart(least: float) -> int:
     return math.ceil(SIGNS * p + 6 * math.sqrt(SIGNS * p * (1 - p)))
 
 
-def blocks_for(n: int) -> int:
-    """Blocks of a table for ``n`` vectors of one label: the fewest with which a vector meets MATES others by chance, or fewer."""
-    return next((k for k in sorted(SHAPES) if n * MEET**k <= MATES), max(SHAPES))
-
-
 def may_match(sketches: np.ndarray, most: int) -> np.ndarray:
     """Whether each sketch is within ``most`` signs of another one."""
-    out = np.zeros(len(sketches), bool)
-    for a in range(0, len(sketches), 512):
-        apart = np.bitwise_count(sketches[a : a + 512, None, :] ^ sketches[None, :, :]).sum(-1, dtype=np.int64)
+    out, step = np.zeros(len(sketches), bool), max(1, (1 << 20) // max(len(sketches), 1))
+    for a in range(0, len(sketches), step):
+        apart = sum(np.bitwise_count(sketches[a : a + step, None, i] ^ sketches[None, :, i]) for i in range(sketches.shape[1]))  # at most SIGNS: fits a byte
         apart[np.arange(len(apart)), a + np.arange(len(apart))] = most + 1
-        out[a : a + 512] = (apart <= most).any(1)
+        out[a : a + step] = (apart <= most).any(1)
     return out
 
 
@@ -222,7 +218,7 @@ def candidates(nodes: DataFrame, shape: tuple, least: float) -> DataFrame:
     most = signs_apart(least)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filed = file_under(nodes, shape)
-    large = written(own_cells(nodes, shape).where(F.col("n") > TILE // 4).select("bucket"), "large-cells")
+    large = written(own_cells(nodes, shape).where(F.col("n") > SKETCHES).select("bucket"), "large-cells")
 
     def run(batches):
         for part in pieces_of(batches, "bucket"):
@@ -263,7 +259,7 @@ def verified(met: DataFrame, nodes: DataFrame, shape: tuple, least: float) -> Da
     return held.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(run, "node long, n long, root long")
 
 
-def lattice_groups(vectors: DataFrame, least: float = 0.93, blocks: int | None = None, scale: float = 1.6) -> DataFrame:
+def lattice_groups(vectors: DataFrame, least: float = 0.93, blocks: int = BLOCKS, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
     Vectors of one label and one length are linked at a cosine of ``least`` or more. A vector is a vec_id with an
@@ -273,8 +269,8 @@ def lattice_groups(vectors: DataFrame, least: float = 0.93, blocks: int | None =
     with nothing: no links, their own component. An empty table gives an empty result; other columns are neither
     read nor returned.
 
-    ``blocks`` (default: from the number of vectors of the largest label) makes cells finer as the table grows, so that
-    the vectors that share a cell by chance stay a bounded number.
+    Two random vectors of a label share a cell of a table once in about 6,500 times; the sketches of those that do are
+    compared, so this part grows with the square of a label's vectors, spread over cells. More ``blocks`` make cells finer.
     """
     kind = "double" if vectors.schema["embedding"].dataType.elementType == DoubleType() else "float"
     plain = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("e"), F.col("label").cast("string").alias("label"))
@@ -292,9 +288,7 @@ def lattice_groups(vectors: DataFrame, least: float = 0.93, blocks: int | None =
     numbered = once.join(owners, ["h", "g"]).select(F.monotonically_increasing_id().alias("node"), "h", "g", "least", "weight", F.xxhash64("label", F.size("e")).alias("label_hash"), "e")
     nodes = written(numbered, "vectors")
 
-    most = nodes.groupBy("label_hash").count().agg(F.max("count")).first()[0] or 0
-    k = blocks or blocks_for(most)
-    shape = (k, *SHAPES[k], scale)
+    shape = (blocks, tables, probes, scale)
     met = written(candidates(nodes, shape, least), "met")
     found = written(verified(met, nodes, shape, least), "counts")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))

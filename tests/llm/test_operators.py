@@ -252,8 +252,8 @@ def links_by_rule(rows, least=0.93):
     return {v: (sum(n), sound[root[k]][0]) for k, (v, n) in enumerate(zip(sound, near))}
 
 
-@pytest.mark.parametrize(("tile", "blocks"), [(2048, None), (8, None), (2048, 2), (8, 3)])
-def test_lattice_groups_against_all_pairs(spark, monkeypatch, tile, blocks):
+@pytest.mark.parametrize(("tile", "shape"), [(2048, {}), (8, {}), (2048, {"blocks": 1, "tables": 4, "scale": 1.6}), (8, {"blocks": 3, "tables": 14, "probes": 7, "scale": 2.4})])
+def test_lattice_groups_against_all_pairs(spark, monkeypatch, tile, shape):
     rng = np.random.default_rng(5)
     centre = rng.standard_normal((8, 64))
     v = np.concatenate([centre[k % 8] + rng.standard_normal((1, 64)) * rng.choice([0.05, 0.15, 0.25]) for k in range(160)]).astype(np.float32)
@@ -262,8 +262,9 @@ def test_lattice_groups_against_all_pairs(spark, monkeypatch, tile, blocks):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("clash")).withColumn("h", F.lit(1))
     want = links_by_rule(rows)
     monkeypatch.setattr(lattice, "TILE", tile)
+    monkeypatch.setattr(lattice, "SKETCHES", tile // 4)
     got = {}
-    for r in lattice.lattice_groups(table, blocks=blocks).collect():
+    for r in lattice.lattice_groups(table, **shape).collect():
         got.setdefault(r.vec_id, []).append((r.n_links, r.component_id, r.kept))
     assert sum(map(len, got.values())) == len(rows)
     expected = {}
@@ -279,19 +280,26 @@ def test_lattice_groups_against_all_pairs(spark, monkeypatch, tile, blocks):
 
 
 def test_lattice_recall_at_the_threshold():
-    """Pairs of a cosine of exactly 0.93, with the production shapes: cells and sketches together."""
+    """Pairs of a cosine of exactly 0.93, with the one production shape: cells and sketches together; and what is filed of a vector."""
     rng = np.random.default_rng(7)
+    assert 32 * lattice.TABLES * (1 + lattice.PROBES) < 4 * 64 * 4  # bytes, against four times 64 single-precision numbers
     for dim in (16, 64, 384):
-        a = lattice.units(rng.standard_normal((400, dim)))
+        a = lattice.units(rng.standard_normal((2000, dim)))
         r = rng.standard_normal(a.shape)
         r = lattice.units(r - (r * a).sum(1, keepdims=True) * a)
         b = 0.93 * a + np.sqrt(1 - 0.93**2) * r
-        for blocks in (1, 2, 3):
-            grid = lattice.lattice_for(dim, blocks, *lattice.SHAPES[blocks], 1.6)
-            met = (grid.all_cells(a)[:, :, :, None] == grid.all_cells(b)[:, :, None, :]).any((1, 2, 3))
-            near = np.bitwise_count(grid.sketch(a) ^ grid.sketch(b)).sum(1) <= lattice.signs_apart(0.93)
-            print(dim, blocks, (met & near).mean())
-            assert (met & near).mean() >= 0.98
+        grid = lattice.lattice_for(dim, lattice.BLOCKS, lattice.TABLES, lattice.PROBES, lattice.SCALE)
+        met = (grid.all_cells(a)[:, :, :, None] == grid.all_cells(b)[:, :, None, :]).any((1, 2, 3))
+        near = np.bitwise_count(grid.sketch(a) ^ grid.sketch(b)).sum(1) <= lattice.signs_apart(0.93)
+        print(dim, (met & near).mean())
+        assert (met & near).mean() >= 0.98
+
+
+def test_lattice_with_vectors_of_doubles(spark):
+    e = [1.0 + 1e-12, 1.0, 0.5]
+    rows = [(1, e, 0), (2, [1.0, 1.0, 0.5], 0), (3, [1.0, -1.0, 0.5], 0), (4, [1e-300, 1e-300, 5e-301], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.lattice_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
 
 
 def test_e8_decoding_finds_the_nearest_point():
