@@ -34,6 +34,11 @@ def by_batch(df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, and ``names`` beside it: what is added later can't clash with a column of ``docs``."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[docs[c] for c in names])
+
+
 #: Large tables that a worker keeps from task to task; those of other operators go when one starts, as memory is for one.
 TABLES: list[dict] = []
 

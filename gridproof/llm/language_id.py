@@ -21,6 +21,8 @@ from .common import slabs, text_column
 BITS = 18
 SIZE = 1 << BITS
 SLAB = 500_000
+#: Languages that a model may have: every task gets 1 MB for each, and the driver holds as much again.
+LANGS = 400
 POINTS = 0x110000
 LETTER = regex.compile(r"\p{L}")
 _LOW: list[np.ndarray] = []
@@ -149,9 +151,11 @@ class Mixture:
 def learn(labelled: DataFrame) -> Mixture:
     """From (text, lang) rows with a language. To the driver come the sums: at most 2**18 counts and the letters of each language.
 
-    Each value of lang is a language of its own and takes 1 MB of the model that every task gets; registers of
-    languages list fewer than 8,000. A column of other values has to be cleaned first.
+    Each value of lang is a language of its own. More than LANGS of them are an error, found before anything is gathered or
+    sent: such a column holds more than languages and has to be cleaned first.
     """
+    if (n_langs := labelled.agg(F.count_distinct("lang")).first()[0]) > LANGS:
+        raise ValueError(f"lang has {n_langs} values; a model holds at most {LANGS} languages")
     got = count_trigrams(labelled.where("lang IS NOT NULL")).toArrow().combine_chunks()
     names, gram, n = got["lang"].to_numpy(zero_copy_only=False), got["gram"].to_numpy(), got["n"].to_numpy()
     langs, which = np.unique(names.astype(str), return_inverse=True) if len(names) else (np.zeros(0, str), np.zeros(0, int))
@@ -206,7 +210,9 @@ def language_id(docs: DataFrame, folds: int = 5) -> DataFrame:
     ``lang_pred`` is the language with the largest share of the document (on a tie the first by name), ``score`` that
     share, ``known`` the share of all learned languages together: what is left is the background's, so that gibberish
     and texts of other languages have a low ``known``. Learned from rows with a language outside the held-out fold; a null
-    doc_id is in no fold and isn't learned from. A null text, one without a letter, or a table to learn from that is
+    doc_id is in no fold and isn't learned from. A text with a letter but without a trigram ("a") says nothing: it gets the
+    first language by name, with a score of 1 / languages, a ``known`` of 0 and an empty mixture's n_langs of 1. More than LANGS
+    values of lang are an error. A null text, one without a letter, or a table to learn from that is
     empty gives ``und``, score 0 and an empty mixture. Repeated rows are each answered; other columns are neither read
     nor returned.
     """

@@ -2,9 +2,11 @@
 
 The language model is a modified Kneser-Ney model over n-grams of characters, in an alphabet of the language's own: its
 most frequent letters by Spark's counts, a few classes for its other letters, and one each for space, digit, mark and
-symbol of any script. Spark counts every n-gram of every document; each language's n-grams of one order are kept as a
-sorted array of hashes with arrays of log probabilities and back-off weights beside it. A sequence of four fits 24
-bits, so the hash has no collisions and a language holds at most 64**4 n-grams of the top order, whatever the corpus.
+symbol of any script. The order follows the alphabet, so that a sequence always fits 24 bits: four characters of 64
+classes, three of 256 or two of 4096, the longest in which a thousandth of the language's letters at most share classes.
+Spark counts every n-gram of every document; each language's n-grams of one order are kept as a sorted array of hashes
+with arrays of log probabilities and back-off weights beside it. The hash has no collisions, and a language holds at most
+2**24 n-grams of the top order, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -19,69 +21,85 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slabs, text_column, written
+from .common import packed, slabs, text_column, written
 
-ORDER = 4
-BITS = 6
+#: Bits of a character's class and the order of the model that goes with them; 24 bits in all.
+LAYOUTS = {6: 4, 8: 3, 12: 2}
+#: Share of a language's letters that may be without a class of their own.
+SHARED = 0.001
 #: Languages with fewer characters than this are pooled: their counts of counts are too few for discounts.
 LEAST_TEXT = 10_000
-#: Models that are counted, broadcast and used at a time.
-GROUP = 8
+#: N-grams of the models that are broadcast and used at a time (8 bytes each), or one model.
+GROUP = 1 << 25
+#: Counted n-grams that a task holds before it gives them out.
+HELD = 1 << 22
 SLAB = 500_000
-#: Class 0 stands between documents, 1 for space, 2-47 for the alphabet, 48-60 for other letters by a hash, then the others.
-CLASSES = {"space": 1, "letter": 2, "other_letter": 48, "digit": 61, "mark": 62, "symbol": 63}
-LETTERS = CLASSES["other_letter"] - CLASSES["letter"]
-_BASE: list[tuple[np.ndarray, np.ndarray]] = []
-_TABLES: dict[tuple[int, ...], np.ndarray] = {}
+SPACE, FIRST = 1, 2
+_BASE: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+_TABLES: dict[tuple[int, tuple[int, ...]], np.ndarray] = {}
 
 
-def base_tables() -> tuple[np.ndarray, np.ndarray]:
-    """The class of every code point without an alphabet, and its lower case."""
+def letters_of(bits: int) -> int:
+    """Letters that have a class of their own: classes 0 (between documents), space, digit, mark, symbol and those of other letters are apart."""
+    return (1 << bits) - FIRST - 3 - others_of(bits)
+
+
+def others_of(bits: int) -> int:
+    return 13 if bits < 12 else 125
+
+
+def base_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every code point: its kind (l letter, s space, d digit, m mark, o other), its lower case, and a hash of that."""
     if not _BASE:
-        table = np.full(0x110000, CLASSES["symbol"], np.uint8)
+        kinds = np.full(0x110000, ord("o"), np.uint8)
         low = np.arange(0x110000, dtype=np.int32)
         for c in range(0x110000):
             ch = chr(c)
             kind = unicodedata.category(ch)[0]
             if kind in "LM":
                 low[c] = ord(ch.lower()[0])
-                table[c] = CLASSES["other_letter"] + (int(low[c]) * 2654435761 >> 7) % (CLASSES["digit"] - CLASSES["other_letter"])
+                kinds[c] = ord("l")
             elif ch.isspace():
-                table[c] = CLASSES["space"]
+                kinds[c] = ord("s")
             elif kind == "N":
-                table[c] = CLASSES["digit"]
+                kinds[c] = ord("d")
             elif kind == "P":
-                table[c] = CLASSES["mark"]
-        _BASE.append((table, low))
+                kinds[c] = ord("m")
+        _BASE.append((kinds, low, low.astype(np.int64) * 2654435761 >> 7))
     return _BASE[0]
 
 
-def class_table(alphabet: tuple[int, ...]) -> np.ndarray:
+def class_table(bits: int, alphabet: tuple[int, ...]) -> np.ndarray:
     """The class of every code point, where the letters of ``alphabet`` have one each."""
-    if alphabet not in _TABLES:
-        base, low = base_tables()
-        own = np.zeros(0x110000, np.uint8)
-        own[list(alphabet)] = CLASSES["letter"] + np.arange(len(alphabet))
-        _TABLES[alphabet] = np.where(own[low] > 0, own[low], base)
-    return _TABLES[alphabet]
+    if (bits, alphabet) not in _TABLES:
+        kinds, low, mixed = base_tables()
+        top = 1 << bits
+        table = np.full(0x110000, top - 1, np.uint16)
+        for kind, c in (("s", SPACE), ("d", top - 3), ("m", top - 2)):
+            table[kinds == ord(kind)] = c
+        own = np.zeros(0x110000, np.uint16)
+        own[list(alphabet)] = FIRST + np.arange(len(alphabet))
+        shared = top - 3 - others_of(bits) + mixed % others_of(bits)
+        _TABLES[bits, alphabet] = np.where(kinds == ord("l"), np.where(own[low] > 0, own[low], shared), table).astype(np.uint16)
+    return _TABLES[bits, alphabet]
 
 
 def code_points(texts: list[str | None]) -> np.ndarray:
     return np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def gram_codes(texts: list[str | None], alphabet: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def gram_codes(texts: list[str | None], bits: int, alphabet: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of the n-gram that ends at each character, for all texts in a row, and how many each text has."""
     sizes = np.array([len(t or "") for t in texts], np.int64)
-    cls = class_table(alphabet)[code_points(texts)].astype(np.int32)
+    cls = class_table(bits, alphabet)[code_points(texts)].astype(np.int32)
     starts = np.cumsum(sizes) - sizes
     starts = starts[sizes > 0]
     code = cls.copy()
     before = cls
-    for k in range(1, ORDER):  # classes further back; nothing of the text before
+    for k in range(1, LAYOUTS[bits]):  # classes further back; nothing of the text before
         before = np.concatenate([np.zeros(1, np.int32), before[:-1]])[: len(cls)]
         before[starts] = 0
-        code |= before << (BITS * k)
+        code |= before << (bits * k)
     return code, sizes
 
 
@@ -124,52 +142,71 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 # --- the model ---------------------------------------------------------------------------------------------------
 
 
-def alphabets(docs: DataFrame, model_of: Column) -> dict[str, tuple[int, ...]]:
-    """The most frequent letters of each model's texts, in lower case; every text counts."""
+#: For each model its bits and its alphabet.
+Layouts = dict[str, tuple[int, tuple[int, ...]]]
+
+
+def alphabets(docs: DataFrame, model_of: Column) -> Layouts:
+    """Each model's layout and most frequent letters, in lower case; every text counts. At most 4000 letters a model come to the driver."""
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        table, low = base_tables()
-        letter = (table >= CLASSES["other_letter"]) & (table < CLASSES["digit"])
+        kinds, low, _ = base_tables()
         for batch in batches:
             for m, _, texts in by_model(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 got = np.bincount(code_points(texts), minlength=0x110000)
                 sums[m] = sums[m] + got if m in sums else got
         for m, got in sums.items():
-            got = np.bincount(low, got * letter, 0x110000).astype(np.int64)
+            got = np.bincount(low, got * (kinds == ord("l")), 0x110000).astype(np.int64)
             key = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([m] * len(key), pa.string()), pa.array(key, pa.int32()), pa.array(got[key], pa.int64())], ["model", "letter", "n"])
 
     counted = docs.select(model_of.alias("model"), F.col("text")).mapInArrow(run, "model string, letter int, n long").groupBy("model", "letter").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("nth", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("n"), "letter")))
+    by = Window.partitionBy("model")
+    falling = by.orderBy(F.desc("n"), "letter")
+    ranked = counted.select("model", "letter", F.row_number().over(falling).alias("nth"), F.sum("n").over(falling.rowsBetween(0, Window.unboundedFollowing)).alias("rest"), F.sum("n").over(by).alias("total"))
     found: dict[str, list[int]] = {}
-    for r in ranked.where(F.col("nth") <= LETTERS).orderBy("model", "nth").collect():
+    wide: dict[str, int] = {}  # the letters from here on may share classes
+    for r in ranked.where(F.col("nth") <= letters_of(max(LAYOUTS))).orderBy("model", "nth").collect():
         found.setdefault(r["model"], []).append(r["letter"])
-    return {m: tuple(x) for m, x in found.items()}
+        if r["rest"] > SHARED * r["total"]:
+            wide[r["model"]] = r["nth"]
+    bits = {m: next((b for b in sorted(LAYOUTS) if wide.get(m, 0) <= letters_of(b)), max(LAYOUTS)) for m in found}
+    return {m: (bits[m], tuple(x[: letters_of(bits[m])])) for m, x in found.items()}
 
 
-def count_grams(docs: DataFrame, model_of: Column, letters: dict[str, tuple[int, ...]]) -> DataFrame:
-    """(model, gram, n): how often each n-gram stands in all texts of each model's languages.
+#: The layout of a model whose texts have no letter.
+PLAIN = (6, ())
 
-    A task adds up its own counts for each model and gives them out once, so the shuffle carries each task's
-    distinct n-grams, not their occurrences.
+
+def count_grams(docs: DataFrame, model_of: Column, layouts: Layouts) -> DataFrame:
+    """(model, gram, n): how often each n-gram stands in all texts of each model's languages, of all models in one pass.
+
+    A task adds up its own counts for each model and gives them out, so the shuffle carries each task's distinct
+    n-grams, not their occurrences.
     """
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
+    def given(sums: dict) -> Iterator[pa.RecordBatch]:
+        for m, parts in sums.items():
+            key, n = summed(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(key), pa.string()), pa.array(key, pa.int32()), pa.array(n, pa.int64())], ["model", "gram", "n"])
+
     def run(batches):
         sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for m, _, texts in by_model(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = sums.setdefault(m, [])
-                parts.append(np.unique(gram_codes(texts, letters.get(m, ()))[0], return_counts=True))
+                parts.append(np.unique(gram_codes(texts, *layouts.get(m, PLAIN))[0], return_counts=True))
                 if len(parts) > 1 and sum(len(k) for k, _ in parts[1:]) > max(len(parts[0][0]), SLAB // 4):
                     sums[m] = [summed(parts)]
-        for m, parts in sums.items():
-            key, n = summed(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([m] * len(key), pa.string()), pa.array(key, pa.int32()), pa.array(n, pa.int64())], ["model", "gram", "n"])
+            if sum(len(k) for parts in sums.values() for k, _ in parts) > HELD:
+                yield from given(sums)
+                sums = {}
+        yield from given(sums)
 
     counted = docs.select(model_of.alias("model"), F.col("text")).mapInArrow(run, "model string, gram int, n long")
     return counted.groupBy("model", "gram").agg(F.sum("n").alias("n"))
@@ -182,17 +219,17 @@ class KneserNey:
     leaves to shorter ones. Lower orders count distinct left neighbours, as Kneser-Ney smoothing asks.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int = 5):
-        self.bits = bits
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int = 5, order: int = 4):
+        self.bits, self.order = bits, order
         by = np.argsort(keys)
         keys, counts = keys[by].astype(np.int64), counts[by].astype(np.float64)
-        levels = {ORDER: (keys, counts)}
-        for k in range(ORDER - 1, 0, -1):
+        levels = {self.order: (keys, counts)}
+        for k in range(self.order - 1, 0, -1):
             low, n = np.unique(levels[k + 1][0] & ((1 << (self.bits * k)) - 1), return_counts=True)
             levels[k] = (low, n.astype(np.float64))
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         self.backs: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(1, ORDER + 1):
+        for k in range(1, self.order + 1):
             key, n = levels[k]
             d = self.discounts(n)
             context, start, which = np.unique(key >> self.bits, return_index=True, return_inverse=True)
@@ -235,7 +272,7 @@ class KneserNey:
     def score(self, code: np.ndarray) -> np.ndarray:
         """log p at each position; each distinct n-gram is looked up once."""
         grams, at = np.unique(code, return_inverse=True)
-        return self.log_lower(ORDER, grams).astype(np.float32)[at]
+        return self.log_lower(self.order, grams).astype(np.float32)[at]
 
 
 def model_names(docs: DataFrame) -> list[str]:
@@ -245,12 +282,10 @@ def model_names(docs: DataFrame) -> list[str]:
     return [r["lang"] for r in rows]
 
 
-def fit(docs: DataFrame, model_of: Column, letters: dict[str, tuple[int, ...]]) -> dict[str, KneserNey]:
-    """Counts all documents of a group; what comes to the driver is at most GROUP + 1 tables of 64**4 counts."""
-    got = count_grams(docs, model_of, letters).toArrow().combine_chunks()
-    names = got["model"].to_numpy()
-    keys, counts = got["gram"].to_numpy(), got["n"].to_numpy()
-    return {m: KneserNey(keys[names == m], counts[names == m], BITS) for m in sorted(set(names))}
+def fit(counted: DataFrame, model: str, bits: int) -> KneserNey:
+    """A model from its counted n-grams; what comes to the driver is at most one table of 2**24 counts."""
+    got = counted.where(F.col("model") == model).select("gram", "n").toArrow().combine_chunks()
+    return KneserNey(got["gram"].to_numpy(), got["n"].to_numpy(), bits, LAYOUTS[bits])
 
 
 def model_column(own: list[str]) -> Column:
@@ -261,22 +296,11 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = ", ".join(f"{c} long" for c in BASE) + ", log_ppl double"
 
 
-def groups(docs: DataFrame) -> Iterator[tuple[DataFrame, Column]]:
-    """The documents of GROUP models at a time, and each one's model; together they are all of ``docs``."""
-    own = model_names(docs)
-    if len(own) <= GROUP:
-        yield docs, model_column(own)
-        return
-    for i in range(0, len(own), GROUP):
-        yield docs.where(F.col("lang").isin(own[i : i + GROUP])), model_column(own[i : i + GROUP])
-    yield docs.where(F.col("lang").isNull() | ~F.col("lang").isin(own)), model_column([])
-
-
-def answered(letters: dict[str, tuple[int, ...]], fitted: dict[str, KneserNey], texts: list[str | None], models: list[str]) -> dict:
+def answered(layouts: Layouts, fitted: dict[str, KneserNey], texts: list[str | None], models: list[str]) -> dict:
     """The columns of SCHEMA for some texts."""
     ppl = np.full(len(texts), np.nan)
     for m, places, part in by_model(models, texts):
-        code, sizes = gram_codes(part, letters.get(m, ()))
+        code, sizes = gram_codes(part, *layouts.get(m, PLAIN))
         if len(code):
             some = sizes > 0
             ppl[places[some]] = -np.add.reduceat(fitted[m].score(code).astype(np.float64), (np.cumsum(sizes) - sizes)[some]) / sizes[some]
@@ -284,17 +308,31 @@ def answered(letters: dict[str, tuple[int, ...]], fitted: dict[str, KneserNey],
     return {c: base[:, i] for i, c in enumerate(BASE)} | {"log_ppl": [None if not t else x for t, x in zip(texts, ppl.tolist())]}
 
 
-def judged(docs: DataFrame, model_of: Column) -> DataFrame:
-    """``docs`` with ``_model`` and ``_found``, a struct of SCHEMA, by models counted over them."""
-    letters = alphabets(docs, model_of)
-    sent = docs.sparkSession.sparkContext.broadcast((letters, fit(docs, model_of, letters)))
-    found = text_column(SCHEMA, lambda texts, models: answered(*sent.value, texts, models))
-    return docs.withColumn("_model", model_of).withColumn("_found", found(F.col("text"), F.col("_model")))
+def judged(docs: DataFrame) -> list[DataFrame]:
+    """(row, model, found), ``found`` a struct of SCHEMA: the rows of ``docs`` in as many tables as there are groups of models.
+
+    All models are counted in one pass. As many as GROUP n-grams allow are fitted, broadcast and used at a time, each
+    group over the rows of its languages; together the tables have all rows.
+    """
+    own = model_names(docs)
+    model_of = model_column(own)
+    layouts = alphabets(docs, model_of)
+    counted = written(count_grams(docs, model_of, layouts), "grams")
+    size = {r["model"]: r["n"] for r in counted.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    names = [*[f"={x}" for x in own], "others"]
+    rows = packed(docs, "text", "lang").withColumn("model", model_of)
+    parts = []
+    for a, b in slabs(np.array([size.get(m, 0) for m in names]), GROUP):
+        group = names[a:b]
+        sent = docs.sparkSession.sparkContext.broadcast(({m: layouts[m] for m in group if m in layouts}, {m: fit(counted, m, layouts.get(m, PLAIN)[0]) for m in group if m in size}))
+        found = text_column(SCHEMA, lambda texts, models, sent=sent: answered(*sent.value, texts, models))
+        parts.append(rows.where(F.col("model").isin(group)).select("row", "model", found(F.col("text"), F.col("model")).alias("found")))
+    return parts
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, model, base counts and log perplexity of each document, written in the shared folder, one group of models after another."""
-    parts = [written(judged(rows, model_of).select("doc_id", F.col("_model").alias("model"), "_found.*"), "quality") for rows, model_of in groups(docs)]
+    parts = [written(part.select("row.doc_id", "model", "found.*"), "quality") for part in judged(docs.select("doc_id", "text", "lang"))]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -335,13 +373,14 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
 
 
 def rows_in_bands(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, below: float = 5.0, above: float = 10.0) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, each judged by itself.
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, each judged by itself; no column of ``docs`` can clash.
 
-    Texts are scored once for the bands and once more for the verdict, instead of being shuffled for a join.
+    Texts are scored once for the bands and once more for the verdict, instead of being shuffled for a join. Null and empty
+    texts have no words and go (unless ``min_words`` is 0); an empty table stays one.
     """
-    parts = [judged(rows, model_of) for rows, model_of in groups(docs)]
-    fails = failed(F.col("_found.n_words"), F.col("_found.n_repeat_words"), min_words, max_repeat_percent)
-    seen = reduce(DataFrame.unionByName, [p.select(F.col("_model").alias("model"), "_found.log_ppl", fails.alias("base_failed")) for p in parts])
-    band = written(bands(seen, below, above).select(F.col("model").alias("_band"), F.col("low").alias("_low"), F.col("high").alias("_high")), "bands")
-    inside = F.coalesce(F.col("_found.log_ppl").between(F.col("_low"), F.col("_high")), F.lit(True))
-    return reduce(DataFrame.unionByName, [p.join(F.broadcast(band), F.col("_model") == F.col("_band"), "left").where(~fails & inside).select(*docs.columns) for p in parts])
+    parts = judged(docs)
+    fails = failed(F.col("found.n_words"), F.col("found.n_repeat_words"), min_words, max_repeat_percent)
+    seen = reduce(DataFrame.unionByName, [p.select("model", "found.log_ppl", fails.alias("base_failed")) for p in parts])
+    band = written(bands(seen, below, above), "bands")
+    inside = F.coalesce(F.col("found.log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
+    return reduce(DataFrame.unionByName, [p.join(F.broadcast(band), "model", "left").where(~fails & inside).select("row.*") for p in parts])

@@ -13,10 +13,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hot_keys, hub_join, slabs, text_column, union_labels, written
+from .common import components, hot_keys, hub_join, packed, slabs, text_column, union_labels, written
 
 SEED = 42
 LANES = 64
@@ -219,13 +219,26 @@ def first_of_groups(docs: DataFrame, words: int = 4, radius: int = 4, blocks: in
     """The rows of ``docs`` to keep, with all their columns: of each component one row.
 
     That is the row with the smallest doc_id (any other before null), among several with it the one with the smallest
-    fingerprint, then the smallest text. Rows are told apart by doc_id and fingerprint, not by doc_id alone. The
-    texts are shuffled once.
+    fingerprint, then the smallest text (null first). Rows are told apart by doc_id and fingerprint, not by doc_id alone. The
+    texts are shuffled once; rows of a (doc_id, fingerprint) that many have stay where they are, and each task gives one
+    of them. Null and empty texts have fingerprint zero, an empty table stays one, and no column of ``docs`` can clash.
     """
     prints = written(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
     owner, _ = groups_of(prints, radius, blocks)
-    keep = owner.where("first").select(F.coalesce("least", F.lit(0)).alias("_keep_id"), F.col("least").isNull().alias("_keep_null"), F.col("fp").alias("_keep_fp"))
-    marked = docs.withColumns({"_own_id": F.coalesce("doc_id", F.lit(0)), "_own_null": F.col("doc_id").isNull(), "_own_fp": fingerprint(F.col("text"), words)})
-    found = marked.join(keep, (F.col("_own_id") == F.col("_keep_id")) & (F.col("_own_null") == F.col("_keep_null")) & (F.col("_own_fp") == F.col("_keep_fp")), "left_semi")
-    order = Window.partitionBy("_own_id", "_own_null", "_own_fp").orderBy("text")
-    return found.withColumn("_own_nth", F.row_number().over(order)).where("_own_nth = 1").select(*docs.columns)
+
+    def key(doc_id: str, fp: str) -> list[Column]:
+        return [F.xxhash64(doc_id, F.col(doc_id).isNull(), fp).alias("key"), F.coalesce(doc_id, F.lit(0)), F.col(doc_id).isNull(), F.col(fp)]
+
+    keep = owner.where("first").select(*[c.alias(n) for c, n in zip(key("least", "fp"), ("key", "keep_id", "keep_null", "keep_fp"))])
+    marked = packed(docs, "doc_id", "text").withColumn("fp", fingerprint(F.col("text"), words)).select("row", "text", *[c.alias(n) for c, n in zip(key("doc_id", "fp"), ("key", "own_id", "own_null", "own_fp"))])
+    hot = hot_keys(prints.select(key("doc_id", "fp")[0]).groupBy("key").agg(F.count("*").alias("n")), "key", prints.count())
+    same = (F.col("own_id") == F.col("keep_id")) & (F.col("own_null") == F.col("keep_null")) & (F.col("own_fp") == F.col("keep_fp"))
+
+    def one(found: DataFrame) -> DataFrame:
+        first = F.min_by("row", F.struct(F.col("text").isNotNull(), F.coalesce("text", F.lit(""))))
+        return found.where(same).groupBy("key", "own_id", "own_null", "own_fp").agg(first.alias("row")).select("row.*")
+
+    rest = one(marked.where(~F.col("key").isin(hot)).join(keep, "key") if hot else marked.join(keep, "key"))
+    if not hot:
+        return rest
+    return rest.unionByName(one(marked.where(F.col("key").isin(hot)).join(F.broadcast(keep.where(F.col("key").isin(hot))), "key")))
