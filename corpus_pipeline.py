@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridproof.llm import language_id, packing, quality_rules, simhash
-from gridproof.llm.common import read_table, written
+from gridproof.llm.common import packed, read_table, written
 
 #: Learned languages must have this share of a document together, or it is of no language.
 LEAST_KNOWN = 0.5
@@ -20,11 +20,13 @@ LEAST_WORDS = 5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that have no letters, no text, or, from LEAST_GRAMS trigrams on, that learned languages explain by less than LEAST_KNOWN.
 
-    ``lang`` is the predicted language from here on. Every row is judged by its own text; nothing is shuffled.
+    ``lang`` is the predicted language from here on. Every row is judged by its own text; nothing is shuffled, repeated rows
+    are judged each, an empty table stays one, and no column of ``documents`` can clash.
     """
-    found = docs.withColumn("_found", language_id.mixture_of(F.col("text"), language_id.fitted(docs)))
-    told = (F.col("_found.known") >= LEAST_KNOWN) | (F.col("_found.n_grams") < LEAST_GRAMS)
-    return found.where((F.col("_found.lang_pred") != "und") & told).withColumn("lang", F.col("_found.lang_pred")).select(*docs.columns)
+    found = packed(docs, "text").select("row", language_id.mixture_of(F.col("text"), language_id.fitted(docs)).alias("found"))
+    told = (F.col("found.known") >= LEAST_KNOWN) | (F.col("found.n_grams") < LEAST_GRAMS)
+    kept = found.where((F.col("found.lang_pred") != "und") & told)
+    return kept.select(*[F.col("found.lang_pred" if c == "lang" else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
