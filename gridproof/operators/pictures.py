@@ -7,6 +7,8 @@ every rule over them is a column expression. Nothing is shuffled, and the rows c
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,15 +39,32 @@ PARTS = {
 
 
 class Sums:
-    """Sums of a picture's rectangles; whole numbers stay exact."""
+    """Sums of a picture's rectangles, from one table of running sums: four numbers a rectangle. Whole numbers stay exact."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, squares: bool = True):
         self.values = values
+        self.tables = [self.summed(values)] + ([self.summed(values.astype(np.int64 if values.dtype.kind in "iu" else np.float64) ** 2)] if squares else [])
+
+    @staticmethod
+    def summed(values: np.ndarray) -> np.ndarray:
+        out = np.zeros((values.shape[0] + 1, values.shape[1] + 1), np.int64 if values.dtype.kind in "iu" else np.float64)
+        np.cumsum(values, axis=0, dtype=out.dtype, out=out[1:, 1:])
+        np.cumsum(out[1:, 1:], axis=1, out=out[1:, 1:])
+        return out
 
     def box(self, y0: int, y1: int, x0: int, x1: int) -> tuple:
         """(number, sum, sum of squares) of rows y0 to y1 and columns x0 to x1, the ends not included."""
-        part = self.values[max(y0, 0) : max(y1, 0), max(x0, 0) : max(x1, 0)]
-        return part.size, part.sum(), (part * part).sum()
+        h, w = self.values.shape
+        y0, y1, x0, x1 = (min(max(v, 0), most) for v, most in ((y0, h), (y1, h), (x0, w), (x1, w)))
+        y1, x1 = max(y0, y1), max(x0, x1)
+        return (y1 - y0) * (x1 - x0), *[(t[y1, x1] - t[y0, x1] - t[y1, x0] + t[y0, x0]).item() for t in self.tables]
+
+    def cells(self, grid: int) -> np.ndarray:
+        """The deviation of each cell of a grid, what is left over at the right and below not included."""
+        ch, cw = self.values.shape[0] // grid, self.values.shape[1] // grid
+        s, q = (np.diff(np.diff(t[: ch * grid + 1 : ch, : cw * grid + 1 : cw], axis=0), axis=1).astype(np.float64) for t in self.tables)
+        n = ch * cw
+        return np.sqrt(np.maximum(n * q - s * s, 0)) / n
 
 
 def less(a: tuple, b: tuple) -> tuple:
@@ -58,7 +77,7 @@ def mean(part: tuple) -> float | None:
 
 def deviation(part: tuple) -> float | None:
     n, s, q = part
-    return float(np.sqrt(max(n * q - s * s, 0)) / n) if n else None
+    return math.sqrt(max(n * q - s * s, 0)) / n if n else None
 
 
 def middle(w: int, width: int, height: int) -> tuple[int, int, int, int]:
@@ -97,11 +116,8 @@ def rims(gray: Sums, slope: Sums, width: int, height: int) -> dict:
     }
 
 
-def even_share(g: np.ndarray, grid: int = 8) -> float | None:
-    ch, cw = g.shape[0] // grid, g.shape[1] // grid
-    if not ch or not cw:
-        return None
-    return float((g[: ch * grid, : cw * grid].reshape(grid, ch, grid, cw).std(axis=(1, 3)) < 8).mean())
+def even_share(gray: Sums, grid: int = 8) -> float | None:
+    return float((gray.cells(grid) < 8).mean()) if min(gray.values.shape) >= grid else None
 
 
 def block_lines(g: np.ndarray, block: int = 8) -> list[float]:
@@ -166,14 +182,14 @@ def colour(rgb: np.ndarray) -> dict:
 def measures(g: np.ndarray, rgb: np.ndarray | None, parts: tuple[str, ...]) -> dict:
     """The measures of one gray picture (whole numbers) and, if there are any, its colours."""
     (h, w), gray, out = g.shape, Sums(g), {}
-    slope = Sums(np.hypot(*kernels.sobel(g))) if {"rims", "slope"} & set(parts) else None
+    slope = Sums(kernels.slopes(g), squares=False) if {"rims", "slope"} & set(parts) else None
     if "hist" in parts:
         whole = gray.box(0, h, 0, w)
-        out |= {"hist": np.bincount(g.ravel(), minlength=256).tolist(), "mean": mean(whole), "deviation": deviation(whole), "texture": float(kernels.convolve(g, [[0, 1, 0], [1, -4, 1], [0, 1, 0]]).mean())}
+        out |= {"hist": np.bincount(g.ravel(), minlength=256).tolist(), "mean": mean(whole), "deviation": deviation(whole), "texture": float(kernels.laplacian(g).mean())}
     if "rims" in parts:
         out |= rims(gray, slope, w, h)
     if "even" in parts:
-        out["even_share"] = even_share(g)
+        out["even_share"] = even_share(gray)
     if "blocks" in parts:
         out |= {"lines_h": block_lines(g), "lines_v": block_lines(g.T)}
     if "shade" in parts:
@@ -184,7 +200,7 @@ def measures(g: np.ndarray, rgb: np.ndarray | None, parts: tuple[str, ...]) -> d
         inner = slope.box(*middle(int(min(w, h) * 0.15), w, h))
         out |= {"slope_rim": mean(less(slope.box(0, h, 0, w), inner)), "slope_mid": mean(inner)}
     if "kernels" in parts:
-        out |= kernels.features(g.astype(np.float64))
+        out |= kernels.features(g)
     if "frames" in parts:
         out |= contours.features(g.astype(np.float64))
     if "colour" in parts and rgb is not None:
@@ -206,7 +222,7 @@ def measured(pictures: DataFrame, *parts: str) -> DataFrame:
         if w is None or h is None or gray is None or w < 3 or h < 3 or len(gray) != w * h:
             return None
         tints = np.frombuffer(rgb, np.uint8).reshape(h, w, 3) if rgb is not None and len(rgb) == 3 * w * h else None
-        return measures(np.frombuffer(gray, np.uint8).reshape(h, w).astype(np.int64), tints, parts)
+        return measures(np.frombuffer(gray, np.uint8).reshape(h, w).astype(np.int32), tints, parts)
 
     def answers(*columns: pa.Array) -> pa.Array:
         rows = [one(*r) for r in zip(*[c.to_pylist() for c in columns])]

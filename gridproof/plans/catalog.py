@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as sc
 from ..functions import tiers
-from ..operators import ocr, pictures, reports, scans, specs, verdicts
+from ..operators import ocr, pictures, reports, resample, scans, specs, verdicts
 from ..sources import copies
 from ..sources.tables import read_table
 from . import views
@@ -398,7 +398,7 @@ def _measured(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
 
 def _picture(measured: DataFrame, found: Column) -> DataFrame:
     """image and the fields of a struct of findings, rounded."""
-    return _rounded(measured.where("m IS NOT NULL").select("image", found.alias("v")).select("image", "v.*"))
+    return _rounded(measured.select("image", found.alias("v")).select("image", "v.*"))
 
 
 @query(f"""WITH {_P}, h AS (SELECT image, gray, count(*) / 4096.0::DOUBLE AS p FROM pixels GROUP BY image, gray), ids AS (SELECT DISTINCT image FROM pixels),
@@ -577,20 +577,65 @@ def edge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _picture(_measured(spark, sf_dir, "kernels"), F.struct("m.laplacian_variance", "m.edge_contrast", "m.high_freq_energy"))
 
 
-@query(f"""WITH {_P}, wave AS (SELECT image, u.range AS u, v.range AS v, sum(gray * cos(2 * pi() * (x * u.range + y * v.range) / 8)) AS re, sum(gray * sin(2 * pi() * (x * u.range + y * v.range) / 8)) AS im
- FROM pixels, range(8) u, range(8) v WHERE x < 8 AND y < 8 GROUP BY image, u.range, v.range),
- power AS (SELECT image, re * re + im * im AS p, sqrt(pow(CASE WHEN u > 3 THEN u - 8 ELSE u END, 2) + pow(CASE WHEN v > 3 THEN v - 8 ELSE v END, 2)) / 4 AS r FROM wave)
- SELECT image, {", ".join(_ROUND.format(f"sum(p) FILTER ({where}) / sum(p)") + f" AS {name}" for name, where in (("low_freq", "r <= 0.3"), ("mid_freq", "r > 0.3 AND r <= 0.7"), ("high_freq", "r > 0.7")))} FROM power GROUP BY image""")
+#: A picture's spectrum by rows, then by columns: lists of cosines and sines against lists of values.
+_WAVES = """waves AS (SELECT k.range AS k, [cos(2 * pi() * ((k.range * x) % 64) / 64) for x in range(64)] AS c, [sin(2 * pi() * ((k.range * x) % 64) / 64) for x in range(64)] AS s FROM range(64) k),
+ lines AS (SELECT image, y, list(gray::DOUBLE ORDER BY x) AS g FROM pixels GROUP BY image, y),
+ across AS (SELECT image, k AS u, list(list_inner_product(g, c) ORDER BY y) AS re, list(list_inner_product(g, s) ORDER BY y) AS im FROM lines, waves GROUP BY image, k),
+ wave AS (SELECT image, u, k AS v, list_inner_product(re, c) - list_inner_product(im, s) AS re, list_inner_product(re, s) + list_inner_product(im, c) AS im FROM across, waves),
+ power AS (SELECT image, re * re + im * im AS p, ln(sqrt(re * re + im * im) + 1) AS l, sqrt(pow(least(u, 64 - u), 2) + pow(least(v, 64 - v), 2)) / 32 AS r FROM wave)"""
+
+
+@query(f"""WITH {_P}, {_WAVES}
+ SELECT image, {", ".join(_ROUND.format(f"sum(p) FILTER ({where}) / sum(p)") + f" AS {name}" for name, where in (("low_freq", "r <= 0.3"), ("mid_freq", "r > 0.3 AND r <= 0.7"), ("high_freq", "r > 0.7")))},
+ round(var_pop(l), 6) AS frequency_variance, round(sum(p) / 1e6, 3) AS total_millions FROM power GROUP BY image""")
 def frequency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = pictures.measured(views.corners(spark, sf_dir), "kernels")
-    return m.select("image", *[_round(F.col(f"m.{c}")).alias(c) for c in ("low_freq", "mid_freq", "high_freq")])
+    m = _measured(spark, sf_dir, "kernels")
+    return m.select("image", *[_round(F.col(f"m.{c}")).alias(c) for c in ("low_freq", "mid_freq", "high_freq")], F.round("m.frequency_variance", 6).alias("frequency_variance"), F.round(F.col("m.total_energy") / 1e6, 3).alias("total_millions"))
 
 
-@query(f"""WITH {_P}, p AS (SELECT * FROM pixels WHERE x < 8 AND y < 8), near AS (SELECT p.image, p.x, p.y, any_value(p.gray) AS gray, median(q.gray) AS mid FROM p, range(-1, 2) dx, range(-1, 2) dy, p q
- WHERE q.image = p.image AND q.x = greatest(0, least(7, p.x + dx.range)) AND q.y = greatest(0, least(7, p.y + dy.range)) GROUP BY p.image, p.x, p.y)
- SELECT image, round(stddev_pop((CAST(gray - mid AS BIGINT) % 256 + 256) % 256), 6) AS noise FROM near GROUP BY image""")
+@query(f"""WITH {_P}, beside AS (SELECT image, x, y, gray, [coalesce(lag(gray) OVER r, gray), gray, coalesce(lead(gray) OVER r, gray)] AS near FROM pixels WINDOW r AS (PARTITION BY image, y ORDER BY x)),
+ around AS (SELECT image, gray, list_sort(list_concat(coalesce(lag(near) OVER c, near), near, coalesce(lead(near) OVER c, near)))[5] AS mid FROM beside WINDOW c AS (PARTITION BY image, x ORDER BY y))
+ SELECT image, round(stddev_pop((gray - mid + 256) % 256), 6) AS noise FROM around GROUP BY image""")
 def noise_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _picture(pictures.measured(views.corners(spark, sf_dir), "kernels"), F.struct("m.noise"))
+    return _picture(_measured(spark, sf_dir, "kernels"), F.struct("m.noise"))
+
+
+#: Sizes that the pictures are brought to, and each one's way: areas as they shrink, cubic as they grow.
+_RESIZED = {"small": 40, "large": 100}
+
+
+def _taps(n: int) -> str:
+    """SQL of (i, x, k): how much each of 64 places counts for each of ``n``."""
+    if n < 64:
+        return f"SELECT i.range AS i, x.range AS x, (least((i.range + 1) * 64.0::DOUBLE / {n}, x.range + 1) - greatest(i.range * 64.0::DOUBLE / {n}, x.range)) / (64.0::DOUBLE / {n}) AS k FROM range({n}) i, range(64) x WHERE least((i.range + 1) * 64.0::DOUBLE / {n}, x.range + 1) > greatest(i.range * 64.0::DOUBLE / {n}, x.range)"
+    return f"""SELECT i, greatest(0, least(63, f + d - 1)) AS x, sum(CASE WHEN d IN (1, 2) THEN (1.25::DOUBLE * t - 2.25::DOUBLE) * t * t + 1 ELSE ((-0.75::DOUBLE * t + 3.75::DOUBLE) * t - 6) * t + 3 END) AS k
+ FROM (SELECT i, f, d.range AS d, abs(o - f - d.range + 1) AS t FROM (SELECT i.range AS i, (i.range + 0.5::DOUBLE) * 64 / {n} - 0.5::DOUBLE AS o, CAST(floor((i.range + 0.5::DOUBLE) * 64 / {n} - 0.5::DOUBLE) AS BIGINT) AS f FROM range({n}) i), range(4) d) GROUP BY i, greatest(0, least(63, f + d - 1))"""
+
+
+def _resized_sql(name: str, n: int) -> str:
+    return f"""{name}_taps AS ({_taps(n)}), {name}_rows AS (SELECT image, i AS y, p.x, sum(k * gray) AS v FROM pixels p JOIN {name}_taps t ON t.x = p.y GROUP BY image, i, p.x),
+ {name}_cells AS (SELECT image, i AS x, p.y, greatest(0, least(255, floor(sum(k * v) + 0.5::DOUBLE + 1e-9::DOUBLE))) AS v FROM {name}_rows p JOIN {name}_taps t ON t.x = p.x GROUP BY image, i, p.y),
+ {name} AS (SELECT image, CAST(sum(v) AS BIGINT) AS {name}_sum, CAST(sum(v * (x + 1)) AS BIGINT) AS {name}_by_x, CAST(sum(v * (y + 1)) AS BIGINT) AS {name}_by_y FROM {name}_cells GROUP BY image)"""
+
+
+@query(f"WITH {_P}, {', '.join(_resized_sql(name, n) for name, n in _RESIZED.items())} SELECT * FROM {' JOIN '.join(_RESIZED).replace('JOIN large', 'JOIN large USING (image)')}")
+def resampled_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every picture made smaller and larger: sums of its pixels, and of these by column and by row."""
+    made = None
+    for name, n in _RESIZED.items():
+        small = resample.resampled(views.pictures(spark, sf_dir).drop("rgb"), F.struct(F.lit(n).alias("width"), F.lit(n).alias("height")))
+        sums = small.select("image", _byte_sums(F.col("gray"), n).alias("v")).select("image", *[F.col(f"v.{c}").alias(f"{name}_{c}") for c in ("sum", "by_x", "by_y")])
+        made = sums if made is None else made.join(sums, "image")
+    return made
+
+
+def _byte_sums(gray: Column, n: int) -> Column:
+    values = F.transform(F.sequence(F.lit(1), F.octet_length(gray)), lambda i: F.conv(F.hex(F.substring(gray, i, 1)), 16, 10).cast("long"))
+
+    def added(weight) -> Column:
+        return F.aggregate(F.transform(values, lambda v, i: v * weight(i)), F.lit(0).cast("long"), lambda a, b: a + b)
+
+    return F.struct(added(lambda i: F.lit(1)).alias("sum"), added(lambda i: i % n + 1).alias("by_x"), added(lambda i: F.floor(i / n) + 1).alias("by_y"))
 
 
 _PARTS_OF = " UNION ALL ".join(f"SELECT image, {i} AS part, x, y, gray FROM pixels WHERE {where}" for i, where in enumerate(("y < 9", "y >= 55", "x < 9", "x >= 55", "x BETWEEN 9 AND 54 AND y BETWEEN 9 AND 54")))
@@ -598,12 +643,10 @@ _PARTS_OF = " UNION ALL ".join(f"SELECT image, {i} AS part, x, y, gray FROM pixe
 
 @query(f"""WITH {_P}, parts AS ({_PARTS_OF}), flat AS (SELECT *, coalesce(lead(gray) OVER r, lag(gray) OVER r) - coalesce(lag(gray) OVER r, lead(gray) OVER r) AS slope, {_BESIDE.format("gray", "r")} + 2 * gray AS level FROM parts WINDOW r AS (PARTITION BY image, part, y ORDER BY x)),
  grad AS (SELECT image, part, sqrt(pow({_BESIDE.format("slope", "c")} + 2 * slope, 2) + pow(coalesce(lead(level) OVER c, lag(level) OVER c) - coalesce(lag(level) OVER c, lead(level) OVER c), 2)) AS m FROM flat WINDOW c AS (PARTITION BY image, part, x ORDER BY y)),
- rough AS (SELECT image, part, var_pop(m) AS v FROM grad GROUP BY image, part), ratio AS (SELECT image, avg(v) FILTER (part < 4) AS rim, max(v) FILTER (part = 4) AS mid FROM rough GROUP BY image)
- SELECT image, round(CASE WHEN mid < 1e-9 THEN -1 ELSE rim / (mid + 1e-10) END, 4) AS texture_ratio, rim / (mid + 1e-10) > 1.8 AS textured FROM ratio""")
+ rough AS (SELECT image, part, CASE WHEN var_pop(m) < 1e-9 THEN 0 ELSE var_pop(m) END AS v FROM grad GROUP BY image, part), ratio AS (SELECT image, avg(v) FILTER (part < 4) AS rim, max(v) FILTER (part = 4) AS mid FROM rough GROUP BY image)
+ SELECT image, round(least(1e6, rim / (mid + 1e-10)), 4) AS texture_ratio, rim / (mid + 1e-10) > 1.8 AS textured FROM ratio""")
 def texture_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # over a flat middle the ratio is only the size of rounding errors, shown as -1
-    m = _measured(spark, sf_dir, "kernels")
-    return m.select("image", F.round(F.when(F.col("m.texture_ratio") > 1e6, -1.0).otherwise(F.col("m.texture_ratio")), 4).alias("texture_ratio"), F.col("m.textured").alias("textured"))
+    return _picture(_measured(spark, sf_dir, "kernels"), F.struct(F.round("m.texture_ratio", 4).alias("texture_ratio"), F.col("m.textured").alias("textured")))
 
 
 @query()

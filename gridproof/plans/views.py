@@ -200,12 +200,6 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("image", F.lit(64).alias("width"), F.lit(64).alias("height"), made("image", "u").alias("v")).select("image", "width", "height", "v.*")
 
 
-def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight columns and rows of each picture, as a picture."""
-    rows = [F.substring("gray", 64 * y + 1, 8) for y in range(8)]
-    return pictures(spark, sf_dir).select("image", F.lit(8).alias("width"), F.lit(8).alias("height"), F.concat(*rows).alias("gray"))
-
-
 def scored_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures with what comes from elsewhere: file properties, model scores, text and watermark confidences."""
     k = F.col("image")
