@@ -18,8 +18,8 @@ from .common import TABLES, by_batch, free_tables, slabs
 
 MARK = "▁"
 WORD = re.compile(r" +[^ ]*")
-#: Distinct words kept at a time (about 300 bytes each); beyond it the table starts anew.
-KEPT = 400_000
+#: Distinct words in a generation (about 300 bytes each); there are two, and the older one is dropped.
+KEPT = 300_000
 
 
 class MarkedWords(dict):
@@ -33,6 +33,7 @@ class MarkedWords(dict):
         if any(crossing.search(self.lib.id_to_piece(i)) for i in range(self.lib.get_piece_size()) if not self.lib.is_control(i)):
             raise ValueError("pieces of this model cross white-space markers")
         self.lone = [self.lib.piece_to_id(MARK)]
+        self.old: dict[str, tuple[int, str, str]] = {}
 
     def fill(self, words: list[str]) -> None:
         """The library puts a marker before what it gets, so a word goes in without its first."""
@@ -44,9 +45,12 @@ class MarkedWords(dict):
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by commas, decoded text) of each text; null is empty."""
         cut = [WORD.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        if len(self) > KEPT:
+        if len(self) > KEPT:  # the words of the generation before last go
+            self.old = dict(self)
             self.clear()
-        if new := [w for w in {w for ws in cut for w in ws} if w not in self]:
+        new = {w for ws in cut for w in ws if w not in self}
+        self.update((w, self.old[w]) for w in new & self.old.keys())
+        if new := list(new - self.old.keys()):
             self.fill(new)
         out = []
         for words in cut:

@@ -612,3 +612,15 @@ def test_lattice_sql_with_links(spark, tmp_path):
     want = {r[0]: r[1:] for r in con.sql(queries.ORACLE_SQL["op5_lattice"]).fetchall()}
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op5_lattice(spark, str(tmp_path)).collect()} == want
     assert sum(x[0] for x in want.values()) > 100
+
+
+def test_marked_words_turn_over_in_generations(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "KEPT", 3)
+    table = sentence_pieces.MarkedWords(public_tokenizers.path("piece_bpe_32k.model"))
+    made = []
+    fill = table.fill
+    monkeypatch.setattr(table, "fill", lambda words: (made.extend(words), fill(words)))
+    texts = ["one two three four", "one five", "six seven one", None, "two one", "eight nine ten one", "one six"]
+    got = [table.encode([t])[0] for t in texts]
+    assert [[int(x) for x in ids.split(",")] if n else [] for n, ids, _ in got] == [table.lib.encode(t or "") for t in texts]
+    assert made.count(" one") == 1 and made.count(" two") <= 2 and len(table) + len(table.old) <= 16
