@@ -31,9 +31,10 @@ def keep_text(text: Column, confidence: Column, w: Column, h: Column, least: flo
     return (confidence >= least) & F.length(text).between(1, 500) & (w * h >= area) & text.rlike(r"\S") & ~is_noise(text)
 
 
-def confidence_metrics(found: DataFrame, kept: Column | None = None, key: str = "image") -> DataFrame:
+def confidence_metrics(found: DataFrame, kept: Column | None = None, key: str = "image", *more: Column) -> DataFrame:
     """For each image, over the findings that are ``kept`` (default: all): count, means in percent, counts by level,
     text length, and the mean confidence weighted by length and confidence, in percent. An image without any has zeros.
+    ``more`` are other aggregates of the same grouping.
     """
     use = F.lit(True) if kept is None else F.coalesce(kept, F.lit(False))
     c, n = F.when(use, F.col("confidence")), F.when(use, F.length("text"))
@@ -52,6 +53,7 @@ def confidence_metrics(found: DataFrame, kept: Column | None = None, key: str =
         F.count_if(c < 0.5).alias("n_low"),
         F.coalesce(F.sum(n), F.lit(0)).alias("text_length"),
         F.coalesce(weighted, F.lit(0.0)).alias("overall_confidence"),
+        *more,
     )
 
 

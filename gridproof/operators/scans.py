@@ -11,13 +11,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import scores as sc
 from ..functions import tiers
+from ..sources.tables import written
 from . import pictures, specs
 
 BORDER_PARTS = ("hist", "rims", "even", "blocks", "shade", "kernels", "frames")
@@ -250,25 +252,81 @@ def answered(models: list[Callable[[list], list]], values: list[list], attempts:
     return [answered(models, [[v] for v in one], attempts, spare)[0] for one in zip(*values)]
 
 
-def with_scorer(rows: DataFrame, name: str, load: Callable[[], Callable | list[Callable]], *columns: str, spare: object = None, kind: str = "double", attempts: int = 3) -> DataFrame:
+#: Pixels that a model is given at a time, where its rows say how large they are.
+MOST_PIXELS = 1 << 24
+
+
+def by_weight(weights: list, most: int) -> list[list[int]]:
+    """The rows in batches of ``most`` weight at most, or one row, like sizes together; a null weight is none."""
+    order = sorted(range(len(weights)), key=lambda i: (weights[i] or 0, i))
+    out: list[list[int]] = []
+    total = 0
+    for i in order:
+        w = weights[i] or 0
+        if not out or total + w > most:
+            out.append([])
+            total = 0
+        out[-1].append(i)
+        total += w
+    return out
+
+
+def asked_in_batches(models: list[Callable[[list], list]], values: list[list], weights: list | None, most: int, attempts: int, spare: object) -> list:
+    """``answered`` in batches by weight, the answers in the order of the rows."""
+    if not values[0]:
+        return []
+    out: list = [None] * len(values[0])
+    for rows in by_weight(weights, most) if weights is not None else [list(range(len(values[0])))]:
+        for i, got in zip(rows, answered(models, [[v[i] for i in rows] for v in values], attempts, spare)):
+            out[i] = got
+    return out
+
+
+def with_scorer(rows: DataFrame, name: str, load: Callable[[], Callable | list[Callable]], *columns: str, spare: object = None, kind: str = "double", attempts: int = 3, weight: Column | None = None, most: int = MOST_PIXELS) -> DataFrame:
     """``rows`` with a column ``name`` of ``kind`` by a model that each task loads once: ``load()`` gives a function of lists of values.
 
     ``load()`` may give several functions, say one for each colour order: the next is asked where one raises. Errors of
     memory or libraries are tried again, ``attempts`` times in all. Where a batch fails its rows are asked one by one, and
-    those that still fail get ``spare``.
+    those that still fail get ``spare``. With ``weight`` (say, width times height) a model gets rows of like size
+    together, of ``most`` weight in all. The column is not deterministic to the planner, so a filter on what is derived
+    from it does not ask again; plans that branch after it do, for which there is ``scored_once``.
     """
     out = to_arrow_schema(StructType.fromDDL(f"x {kind}")).field("x").type
+    heavy = weight is not None
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         got = load()
         models = got if isinstance(got, list) else [got]
         for batch in batches:
-            yield pa.array(answered(models, [c.to_pylist() for c in batch], attempts, spare) if len(batch[0]) else [], out)
+            values = [c.to_pylist() for c in batch]
+            yield pa.array(asked_in_batches(models, values[: len(columns)], values[-1] if heavy else None, most, attempts, spare), out)
 
     def single(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from run((b,) for b in batches)
 
-    return rows.withColumn(name, F.arrow_udf(run if len(columns) > 1 else single, kind)(*columns))
+    given = [*columns, weight] if heavy else columns
+    return rows.withColumn(name, F.arrow_udf(run if len(given) > 1 else single, kind).asNondeterministic()(*given))
+
+
+def scored_once(rows: DataFrame, name: str, load: Callable[[], Callable | list[Callable]], *columns: str, key: str = "image", profile: ResourceProfile | None = None, spare: object = None, kind: str = "double", attempts: int = 3, weight: Column | None = None, most: int = MOST_PIXELS) -> DataFrame:
+    """(key, name): a model's answers as a written table, which may be joined and filtered at will without asking again.
+
+    ``profile`` asks the cluster for executors fit for the model (memory, GPUs) in this stage alone. Other parameters are
+    those of ``with_scorer``. Lost executors cost the answers of their open tasks only.
+    """
+    out = to_arrow_schema(StructType.fromDDL(f"x {kind}")).field("x").type
+    schema = StructType([StructField("key", rows.schema[key].dataType), StructField(name, StructType.fromDDL(f"x {kind}")["x"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = load()
+        models = got if isinstance(got, list) else [got]
+        for batch in batches:
+            values = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
+            found = asked_in_batches(models, values[: len(columns)], values[-1] if weight is not None else None, most, attempts, spare)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, out)], ["key", name])
+
+    given = [F.col(c).alias(f"v{i}") for i, c in enumerate(columns)] + ([weight.alias("weight")] if weight is not None else [])
+    return written(rows.select(F.col(key).alias("key"), *given).mapInArrow(run, schema, profile=profile), "answers").withColumnRenamed("key", key)
 
 
 def watermark_batch(rows: DataFrame, load: Callable[[], Callable | list[Callable]], *columns: str) -> DataFrame:
@@ -288,9 +346,9 @@ def text_batch(rows: DataFrame, load: Callable[[], Callable | list[Callable]], *
 
     found = with_scorer(rows, "_texts", load, *columns, kind=TEXT).select(key, F.col("_texts").isNull().alias("_failed"), F.explode_outer("_texts").alias("t")).select(key, "_failed", "t.*")
     kept = ocr.keep_text(F.col("text"), F.col("confidence"), F.col("w"), F.col("h"))
-    failed = found.groupBy(key).agg(F.max("_failed").alias("_failed"))
-    tiers_ = ocr.text_tiers(found, kept, key).join(failed, key)
-    return tiers_.withColumn("status", F.when(F.col("_failed"), "error").otherwise(F.col("status"))).drop("_failed")
+    m = ocr.confidence_metrics(found, kept, key, F.max("_failed").alias("_failed"))  # one grouping: the model is asked once
+    tier = tiers.text_tier(F.col("overall_confidence"), F.col("n_texts"))
+    return m.select(key, "n_texts", "overall_confidence", F.when(F.col("_failed"), "error").otherwise(tier).alias("status"), tiers.text_pass(F.col("overall_confidence"), F.col("n_texts")).alias("unified_pass"))
 
 
 def models_to_use(known: list[str], wanted: list[str] | None = None, excluded: list[str] | None = None, last: str = "clipiqa") -> list[str]:
