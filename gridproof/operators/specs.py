@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,12 +86,74 @@ def best_spec(a: dict[str, Column], rows: list[tuple] | None = None, print_first
     return F.array_max(F.array(*found))["name"] if found else F.lit(None).cast("string")
 
 
+#: A catalogue of up to so many specifications becomes literals of the plan; a larger one is joined.
+LITERALS = 64
+#: Bins of a range grow by this factor, so that a range of any width is in a bounded number of bins.
+STEP = 1.25
+#: The least and the largest value that bins tell apart; what lies beyond shares the last bin on its side.
+LOWEST, HIGHEST = 1e-3, 1e9
+
+
+def bin_of(x: Column) -> Column:
+    return F.floor(F.log(F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), x.cast("double")))) / math.log(STEP)).cast("int")
+
+
+def bins_between(low: Column, high: Column) -> Column:
+    """All bins from that of ``low`` to that of ``high``; none where the range is empty."""
+    return F.when(low <= high, F.sequence(bin_of(low), bin_of(high))).otherwise(F.array().cast("array<int>"))
+
+
+def catalogue_match(assets: DataFrame, specs: DataFrame, key: str = "doc_id", print_first: bool = True) -> DataFrame:
+    """As ``spec_match``, for a catalogue of any size: an interval join instead of literals or a nested loop.
+
+    Format is an equal key; a specification of exact pixels has two more. One with a resolution, exact or a range, is
+    filed under the bins of that range, any other under the bins of its least width, and an asset looks into the bin of
+    its own. Assets are joined by what a specification looks at, once for all that are alike in it, and their
+    answers go back to them. Specifications that repeat are as good as one; a null property matches nothing that asks for it.
+    """
+    alike = F.struct(*[F.col(c) for c in PROPERTIES])
+    looks = assets.select(alike.alias("a")).distinct().select("a", F.xxhash64("a").alias("look"))
+    asked = looks.select("look", "a", F.array_compact(F.array(
+        F.when(F.col("a.width").isNotNull() & F.col("a.height").isNotNull(), F.struct(F.lit("exact").alias("way"), F.col("a.width").cast("long").alias("x"), F.col("a.height").cast("long").alias("y"))),
+        F.when(F.col("a.dpi_x").isNotNull(), F.struct(F.lit("dpi").alias("way"), bin_of(F.col("a.dpi_x")).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))),
+        F.when(F.col("a.width").isNotNull(), F.struct(F.lit("width").alias("way"), bin_of(F.col("a.width")).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))),
+    )).alias("keys")).select("look", "a", F.col("a.format").alias("format"), F.inline("keys"))
+
+    exact = F.col("width").isNotNull() & F.col("height").isNotNull()
+    low, high = F.coalesce(F.col("dpi_x") - DPI_TOLERANCE, "dpi_lo"), F.coalesce(F.col("dpi_x") + DPI_TOLERANCE, "dpi_hi")
+    by_dpi, by_width = bins_between(low, high), bins_between(F.coalesce(F.col("min_width"), F.lit(0)).cast("double"), F.lit(HIGHEST))
+
+    def place(way: str, x: Column, y: Column) -> Column:
+        return F.named_struct(F.lit("way"), F.lit(way), F.lit("x"), x.cast("long"), F.lit("y"), y.cast("long"))
+
+    def filed(way: str, bins: Column) -> Column:
+        return F.transform(bins, lambda b: place(way, b, F.lit(0)))
+
+    places = F.when(exact, F.array(place("exact", F.col("width"), F.col("height")))).when(low.isNotNull() & high.isNotNull(), filed("dpi", by_dpi)).otherwise(filed("width", by_width))
+    names = [f.strip().split()[0] for f in SCHEMA.split(", ")]
+    listed = specs.select(*names).select(F.struct(*names).alias("s"), F.explode(F.array_distinct("formats")).alias("format"), places.alias("places")).select("s", "format", F.inline("places"))
+
+    a, s = ({c: F.col(f"{side}.{c}") for c in of} for side, of in (("a", PROPERTIES), ("s", names)))
+    priority = F.when(F.lit(print_first) & F.contains(s["spec"], F.lit("print")), 100).otherwise(0) + F.when(s["width"].isNotNull() & s["height"].isNotNull(), 10).otherwise(0)
+    met = asked.join(listed, ["format", "way", "x", "y"]).where(matches(a, s))
+    best = met.groupBy("look", "a").agg(F.max_by(F.concat_ws("_", s["category"], s["spec"]), F.struct(priority, -s["spec_ord"])).alias("spec")).select("look", F.col("a").alias("own"), "spec")
+    rows = assets.select(key, alike.alias("a")).withColumn("look", F.xxhash64("a"))
+    # equal hashes are not taken for equal properties
+    found = rows.join(best, (rows["look"] == best["look"]) & rows["a"].eqNullSafe(best["own"]), "left")
+    return found.select(key, F.col("spec").isNotNull().alias("matched"), "spec")
+
+
 def spec_match(assets: DataFrame, specs: DataFrame | None = None, key: str = "doc_id", print_first: bool = True) -> DataFrame:
-    """(key, matched, spec): every asset with its best specification, or none, row by row.
+    """(key, matched, spec): every asset with its best specification, or none.
 
-    ``specs`` is a catalogue of SCHEMA (default: the built-in one); its rows, a few, become literals of the plan.
+    ``specs`` is a catalogue of SCHEMA (default: the built-in one). Up to LITERALS rows become literals of the plan, so
+    that nothing is shuffled; a larger one is joined (``catalogue_match``).
     """
-    rows = None if specs is None else [tuple(r) for r in specs.select(*[f.strip().split()[0] for f in SCHEMA.split(", ")]).collect()]
+    rows = None
+    if specs is not None:
+        rows = [tuple(r) for r in specs.select(*[f.strip().split()[0] for f in SCHEMA.split(", ")]).limit(LITERALS + 1).collect()]
+        if len(rows) > LITERALS:
+            return catalogue_match(assets, specs, key, print_first)
     spec = best_spec({c: F.col(c) for c in PROPERTIES}, rows, print_first)
     return assets.select(key, spec.alias("spec")).select(key, F.col("spec").isNotNull().alias("matched"), "spec")
 

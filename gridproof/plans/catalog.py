@@ -48,6 +48,38 @@ def spec_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.spec_match(views.assets(spark, sf_dir))
 
 
+#: A large catalogue, a specification for each part: exact pixels, resolutions or least sizes, made from its key and size.
+_CAT = [
+    "CAST(p_partkey AS INT) AS spec_ord",
+    "p_brand AS category",
+    "concat(CASE WHEN p_partkey % 7 = 0 THEN 'print_' ELSE 'web_' END, CAST(p_partkey AS STRING)) AS spec",
+    "CASE WHEN p_partkey % 5 < 2 THEN CAST(CASE p_partkey % 4 WHEN 0 THEN 1920 WHEN 1 THEN 800 WHEN 2 THEN 2480 ELSE 640 END + p_size % 3 AS INT) END AS width",
+    "CASE WHEN p_partkey % 5 < 2 THEN CAST(CASE p_partkey % 4 WHEN 0 THEN 705 WHEN 1 THEN 600 WHEN 2 THEN 3508 ELSE 480 END AS INT) END AS height",
+    "CASE WHEN p_partkey % 5 >= 2 THEN CAST(500 + p_size * 60 AS INT) END AS min_width",
+    "CASE WHEN p_partkey % 5 = 3 THEN CAST(300 + p_size * 50 AS INT) END AS min_height",
+    "CASE WHEN p_partkey % 10 = 0 THEN CAST(72 + p_partkey % 9 * 30 AS DOUBLE) END AS dpi_x",
+    "CASE WHEN p_partkey % 10 = 0 THEN CAST(72 + p_partkey % 9 * 30 AS DOUBLE) END AS dpi_y",
+    "CASE WHEN p_partkey % 5 IN (2, 3) OR p_size <= 45 THEN CAST(p_size * 6 AS DOUBLE) END AS dpi_lo",
+    "CASE WHEN p_partkey % 5 IN (2, 3) OR p_size <= 45 THEN CAST(p_size * 6 + p_partkey % 40 AS DOUBLE) END AS dpi_hi",
+    "CASE p_partkey % 3 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'PNG,TIFF' ELSE 'PDF,BMP,JPEG' END AS listed",
+    "CASE p_partkey % 6 WHEN 0 THEN 'CMYK' WHEN 1 THEN 'RGB' END AS color_mode",
+    "CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) / 10 END AS max_file_size_mb",
+]
+
+
+@query(f"""WITH {views.ASSETS_SQL}, specs AS (SELECT *, string_split(listed, ',') AS formats FROM (SELECT {views.duck(_CAT)} FROM part)),
+ met AS (SELECT doc_id, concat(category, '_', spec) AS spec, CASE WHEN spec LIKE '%print%' THEN 100 ELSE 0 END + CASE WHEN s.width IS NOT NULL AND s.height IS NOT NULL THEN 10 ELSE 0 END AS priority, spec_ord
+  FROM assets a, specs s WHERE list_contains(s.formats, a.format) AND CASE WHEN s.width IS NOT NULL AND s.height IS NOT NULL THEN a.width = s.width AND a.height = s.height ELSE a.width >= coalesce(s.min_width, 0) AND a.height >= coalesce(s.min_height, 0) END
+  AND CASE WHEN s.dpi_x IS NOT NULL THEN abs(a.dpi_x - s.dpi_x) <= 5 AND abs(a.dpi_y - s.dpi_y) <= 5 WHEN s.dpi_lo IS NOT NULL THEN a.dpi_x BETWEEN s.dpi_lo AND s.dpi_hi AND a.dpi_y BETWEEN s.dpi_lo AND s.dpi_hi ELSE TRUE END
+  AND (s.max_file_size_mb IS NULL OR a.file_size_mb <= s.max_file_size_mb) AND CASE s.color_mode WHEN 'CMYK' THEN a.mode = 'CMYK' WHEN 'RGB' THEN a.mode IN ('RGB', 'RGBA') ELSE TRUE END),
+ best AS (SELECT doc_id, arg_max(spec, (priority, -spec_ord)) AS spec FROM met GROUP BY doc_id)
+ SELECT doc_id, best.spec IS NOT NULL AS matched, best.spec FROM documents LEFT JOIN best USING (doc_id)""")
+def catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every asset against a specification for each part, by an interval join."""
+    made = read_table(spark, sf_dir, "part").selectExpr(*_CAT).withColumn("formats", F.split("listed", ","))
+    return specs.spec_match(views.assets(spark, sf_dir), made)
+
+
 #: Files for basic validation: missing ones, odd extensions, sizes at and around the limits. Several faults meet in one row.
 _FILES = [
     "doc_id",

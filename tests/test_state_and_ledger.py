@@ -150,7 +150,8 @@ def test_a_stopped_run_goes_on_from_its_ledger(spark, tmp_path):
     assert last["n0"].value == "plain:n0" and last["n0"].n_tries == 1
     assert last["n1"].value == "smaller:n1" and last["n2"].value == "other_model:n2"
     assert last["n3"].value is None and last["n3"].error == "odd" and last["n3"].n_tries == 5  # every strategy once
-    assert last["n4"].n_tries == 3
+    assert last["n4"].n_tries == 1 and last["n4"].fallback.status == "fail" and last["n4"].fallback.reason == "Image file corrupted or unreadable: no such file"
+    assert last["n3"].fallback.status == "pass" and last["n3"].fallback.reason == "Processing error: odd" and last["n0"].fallback is None
     with pytest.raises(Exception, match="stopped"):
         ledger.run_with_ledger(rows, "name", strategies(seen[1], "other_model"), "plain", str(tmp_path / "broken"), rounds=6).collect()
     for p in glob.glob(f"{seen[1]}/*-other_model"):
