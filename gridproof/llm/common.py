@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,9 +45,12 @@ TABLES: list[dict] = []
 
 
 def free_tables(but: dict | None = None) -> None:
-    for table in TABLES:
-        if table is not but:
-            table.clear()
+    held = [table for table in TABLES if table is not but and table]
+    for table in held:
+        table.clear()
+    if held:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def text_column(schema: str, work: Callable[..., dict]) -> Callable[..., Column]:

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slabs, text_column
+from .common import free_tables, slabs, text_column
 
 BITS = 18
 SIZE = 1 << BITS
@@ -64,6 +64,7 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all texts of ``docs``; letters count as well, as -1 less their code point. A task gives its own sums once."""
 
     def run(batches):
+        free_tables()
         sums: dict[tuple[str, int], np.ndarray] = {}
 
         def add(key, got):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, slabs, text_column, written
+from .common import free_tables, packed, slabs, text_column, written
 
 #: Bits of a character's class and the order of the model that goes with them; 24 bits in all.
 LAYOUTS = {6: 4, 8: 3, 12: 2}
@@ -150,6 +150,7 @@ def alphabets(docs: DataFrame, model_of: Column) -> Layouts:
     """Each model's layout and most frequent letters, in lower case; every text counts. At most 4000 letters a model come to the driver."""
 
     def run(batches):
+        free_tables()
         sums: dict[str, np.ndarray] = {}
         kinds, low, _ = base_tables()
         for batch in batches:
@@ -196,6 +197,7 @@ def count_grams(docs: DataFrame, model_of: Column, layouts: Layouts) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([m] * len(key), pa.string()), pa.array(key, pa.int32()), pa.array(n, pa.int64())], ["model", "gram", "n"])
 
     def run(batches):
+        free_tables()
         sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for m, _, texts in by_model(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

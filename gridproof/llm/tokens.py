@@ -25,7 +25,7 @@ BARE = re.compile(r"[^ \t\n\r]+")
 #: Marks that end a chunk and never stand in one token with a letter or digit before them.
 MARKS = ".,;:!?"
 #: Distinct chunks in a generation (about 230 bytes each); there are two, and the older one is dropped.
-KEPT = 450_000
+KEPT = 400_000
 
 
 def byte_letters() -> dict[int, str]:
