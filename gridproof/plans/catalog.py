@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as sc
 from ..functions import tiers
-from ..operators import ocr, pictures, reports, resample, scans, specs, verdicts
+from ..operators import components, ocr, pictures, reports, resample, scans, specs, verdicts
 from ..sources import copies
 from ..sources.tables import read_table
 from . import views
@@ -693,6 +693,27 @@ def frame_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _picture(_measured(spark, sf_dir, "frames"), F.struct("m.frame", "m.frame_score", "m.quad", "m.quad_score", F.size("m.boxes").alias("n_boxes"), "m.edge_share"))
 
 
+#: Runs of bright pixels, links between touching ones, and the smallest run that each reaches.
+_BRIGHT_PARTS = """steps AS (SELECT image, x, y, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS grp FROM pixels WHERE gray >= 128),
+ runs AS (SELECT image, y, min(x) AS x0, max(x) AS x1, y * 64 + min(x) AS id FROM steps GROUP BY image, y, grp),
+ near AS (SELECT a.image, a.id AS a, b.id AS b FROM runs a JOIN runs b ON b.image = a.image AND b.y = a.y + 1 AND b.x0 <= a.x1 + 1 AND b.x1 >= a.x0 - 1),
+ links AS (SELECT image, a, b FROM near UNION ALL SELECT image, b, a FROM near),
+ reach AS (SELECT image, id, id AS r FROM runs UNION SELECT reach.image, links.b, reach.r FROM reach JOIN links ON links.image = reach.image AND links.a = reach.id WHERE reach.r < links.b),
+ rooted AS (SELECT image, id, min(r) AS root FROM reach GROUP BY image, id),
+ parts AS (SELECT image, root, CAST(sum(x1 - x0 + 1) AS BIGINT) AS n_pixels, min(x0) AS x, min(y) AS y, max(x1) - min(x0) + 1 AS width, max(y) - min(y) + 1 AS height FROM runs JOIN rooted USING (image, id) GROUP BY image, root)"""
+
+
+@query(f"WITH RECURSIVE {_P}, {_BRIGHT_PARTS} SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY root) AS INT) AS part, n_pixels, x, y, width, height FROM parts")
+def bright_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connected bright parts of every picture, cut into four tiles, with their areas and boxes."""
+    whole = views.pictures(spark, sf_dir)
+    rows = [[F.substring("gray", 64 * y + 1 + x, n) for y in range(top, top + high)] for x, n, top, high in ((0, 40, 0, 20), (40, 24, 0, 20), (0, 40, 20, 44), (40, 24, 20, 44))]
+    places = [(0, 40, 0, 20), (40, 24, 0, 20), (0, 40, 20, 44), (40, 24, 20, 44)]
+    tiles = F.array(*[F.struct(F.lit(x).alias("left"), F.lit(top).alias("top"), F.lit(n).alias("width"), F.lit(high).alias("height"), F.concat(*r).alias("gray")) for (x, n, top, high), r in zip(places, rows)])
+    cut = whole.select("image", F.inline(tiles))
+    return components.mask_components(components.mask_runs(cut, lambda g: g >= 128))
+
+
 # --- pictures to verdicts ----------------------------------------------------------------------------------------
 
 
