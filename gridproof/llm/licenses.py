@@ -64,6 +64,12 @@ def pair_hashes(words: Column) -> Column:
     return F.transform(F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b")), lambda x: F.xxhash64(x["a"], x["b"]))
 
 
+def skip_hashes(words: Column) -> Column:
+    """The hash of the words at i and i + 2, for each i."""
+    n = F.greatest(F.size(words) - 2, F.lit(0))
+    return F.transform(F.arrays_zip(F.slice(words, 1, n).alias("a"), F.slice(words, 3, n).alias("b")), lambda x: F.xxhash64(x["a"], x["b"]))
+
+
 def template_grams(spark: SparkSession, templates: list[tuple[str, str]], phrases: dict[str, str]) -> DataFrame:
     """(gram, text, label, phrase, template, at, grams): a row for each k-gram of each template, and one for each phrase; ``text`` has its words."""
     rows = [(i, label, text, False) for i, (label, text) in enumerate(templates)] + [(len(templates) + i, label, text, True) for i, (text, label) in enumerate(sorted(phrases.items()))]
@@ -79,32 +85,40 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str]], phrase
 def license_spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, merge: int = 3, cover: float = 0.6, stretch: float = 1.5, short: int = 12) -> DataFrame:
     """A row for each document and verified span, and one with nulls for a document's words: row_id, doc_id, n_words,
     template, label, phrase, first_word, last_word, coverage. Spans of phrases are single places with coverage 1.
-    A template of ``short`` k-grams or fewer must be there whole: notices that differ in a version are told apart."""
+    A template of ``short`` k-grams or fewer must be there whole, so that notices that differ in a version are told apart;
+    but its k-grams may each skip one word of the text, so that a word put in doesn't hide it."""
     spark = docs.sparkSession
     grams = template_grams(spark, TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases)
     places = F.collect_list(F.struct("template", "label", "phrase", "grams", "at"))
     triple = grams.where(F.col("k") == K).groupBy("gram", "text").agg(places.alias("by_triple")).withColumnsRenamed({"gram": "triple", "text": "triple_words"})
+    may_skip = grams.where((F.col("k") == K) & ~F.col("phrase") & (F.col("grams") <= short)).groupBy("gram", "text").agg(places.alias("places"))
+    late, early = (may_skip.withColumnsRenamed({"gram": side, "text": f"{side}_words", "places": f"by_{side}"}) for side in ("late", "early"))
     pair = grams.where(F.col("k") == 2).groupBy("gram", "text").agg(places.alias("by_pair")).withColumnsRenamed({"gram": "pair", "text": "pair_words"})
 
     worded = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", words_of(F.col("text")).alias("words"))
     rest = F.greatest(F.size("words"), F.lit(1))
-    hashed = worded.select("row_id", "doc_id", F.size("words").cast("long").alias("n_words"), "words", F.slice("words", 2, rest).alias("second"), F.slice("words", 3, rest).alias("third"), pair_hashes(F.col("words")).alias("pairs"))
+    hashed = worded.select("row_id", "doc_id", F.size("words").cast("long").alias("n_words"), "words", F.slice("words", 2, rest).alias("second"), F.slice("words", 3, rest).alias("third"), F.slice("words", 4, rest).alias("fourth"), pair_hashes(F.col("words")).alias("pairs"), skip_hashes(F.col("words")).alias("skips"))
     after = F.slice("pairs", 2, F.greatest(F.size("pairs"), F.lit(1)))
     both = F.zip_with("pairs", after, lambda a, b: F.struct(a.alias("pair"), F.xxhash64(a, b).alias("triple")))
-    spoken = F.slice(F.arrays_zip(F.col("words").alias("a"), F.col("second").alias("b"), F.col("third").alias("c")), 1, F.size("pairs"))
-    rolled = hashed.select("row_id", "doc_id", "n_words", F.posexplode_outer(F.arrays_zip(both.alias("hash"), spoken.alias("said"))).alias("place", "x"))
-    flat = rolled.select("row_id", "doc_id", "n_words", "place", F.col("x.hash.pair").alias("pair"), F.col("x.hash.triple").alias("triple"), F.col("x.said.a").alias("a"), F.col("x.said.b").alias("b"), F.col("x.said.c").alias("c"))
+    # of four words the first, second and fourth, and the first, third and fourth
+    skips_after, pairs_after = F.slice("skips", 2, F.greatest(F.size("skips"), F.lit(1))), F.slice("pairs", 3, F.greatest(F.size("pairs"), F.lit(1)))
+    skipping = F.zip_with(F.zip_with("pairs", skips_after, lambda a, b: F.xxhash64(a, b)), F.zip_with("skips", pairs_after, lambda a, b: F.xxhash64(a, b)), lambda a, b: F.struct(a.alias("late"), b.alias("early")))
+    spoken = F.slice(F.arrays_zip(F.col("words").alias("a"), F.col("second").alias("b"), F.col("third").alias("c"), F.col("fourth").alias("d")), 1, F.size("pairs"))
+    rolled = hashed.select("row_id", "doc_id", "n_words", F.posexplode_outer(F.arrays_zip(both.alias("hash"), skipping.alias("skip"), spoken.alias("said"))).alias("place", "x"))
+    flat = rolled.select("row_id", "doc_id", "n_words", "place", F.col("x.hash.pair").alias("pair"), F.col("x.hash.triple").alias("triple"), F.col("x.skip.late").alias("late"), F.col("x.skip.early").alias("early"), *[F.col(f"x.said.{c}").alias(c) for c in "abcd"])
     # both tables hold the templates' k-grams: their size is that of the list above
-    met = flat.join(F.broadcast(triple), "triple", "left").join(F.broadcast(pair), "pair", "left")
+    met = flat.join(F.broadcast(triple), "triple", "left").join(F.broadcast(pair), "pair", "left").join(F.broadcast(late), "late", "left").join(F.broadcast(early), "early", "left")
     # equal hashes are not taken for equal words
     joined = met.withColumns({
         "by_triple": F.when(F.concat_ws(" ", "a", "b", "c") == F.col("triple_words"), F.col("by_triple")),
         "by_pair": F.when(F.concat_ws(" ", "a", "b") == F.col("pair_words"), F.col("by_pair")),
+        "by_late": F.when(F.concat_ws(" ", "a", "b", "d") == F.col("late_words"), F.col("by_late")),
+        "by_early": F.when(F.concat_ws(" ", "a", "c", "d") == F.col("early_words"), F.col("by_early")),
     })
     first = F.coalesce(F.col("place") == 0, F.lit(True))
-    found = joined.where(first | F.col("by_triple").isNotNull() | F.col("by_pair").isNotNull())
+    found = joined.where(first | F.coalesce("by_triple", "by_pair", "by_late", "by_early").isNotNull())
     none = F.expr("cast(array() AS array<struct<template: int, label: string, phrase: boolean, grams: int, at: int>>)")
-    here = F.concat(F.coalesce("by_triple", none), F.coalesce("by_pair", none), F.when(first, F.array(F.lit(None).cast("struct<template: int, label: string, phrase: boolean, grams: int, at: int>"))).otherwise(none))
+    here = F.concat(*[F.coalesce(f"by_{way}", none) for way in ("triple", "pair", "late", "early")], F.when(first, F.array(F.lit(None).cast("struct<template: int, label: string, phrase: boolean, grams: int, at: int>"))).otherwise(none))
     hits = found.select("row_id", "doc_id", "n_words", F.col("place").cast("long").alias("place"), F.explode(here).alias("hit"))
     flags = hits.select("row_id", "doc_id", "n_words", "place", F.col("hit.template").alias("template"), F.col("hit.label").alias("label"), F.col("hit.phrase").alias("phrase"), F.col("hit.grams").alias("grams"), F.col("hit.at").alias("at"))
     # a phrase's places are spans as they are; a template's hits vote by diagonal

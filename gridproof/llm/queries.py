@@ -100,8 +100,9 @@ ORACLE_SQL: dict[str, str] = {
  grams AS (SELECT template, label, phrase, grams, k, pos, array_to_string(w[pos + 1 : pos + k], ' ') AS gram FROM parts),
  texts AS (SELECT row_number() OVER () AS row_id, doc_id, {_WORDS.format("text")} AS w FROM documents),
  flat AS (SELECT row_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM texts),
- rolled AS (SELECT row_id, place, word || ' ' || lead(word) OVER o AS two, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS three FROM flat WINDOW o AS (PARTITION BY row_id ORDER BY place)),
- hits AS (SELECT row_id, place, g.* FROM rolled JOIN grams g ON g.k = 3 AND g.gram = three UNION ALL SELECT row_id, place, g.* FROM rolled JOIN grams g ON g.k = 2 AND g.gram = two),
+ rolled AS (SELECT row_id, place, word || ' ' || lead(word) OVER o AS two, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS three, word || ' ' || lead(word) OVER o || ' ' || lead(word, 3) OVER o AS late, word || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o AS early FROM flat WINDOW o AS (PARTITION BY row_id ORDER BY place)),
+ hits AS (SELECT row_id, place, g.* FROM rolled JOIN grams g ON g.k = 3 AND g.gram = three UNION ALL SELECT row_id, place, g.* FROM rolled JOIN grams g ON g.k = 2 AND g.gram = two
+  UNION ALL SELECT row_id, place, g.* FROM rolled JOIN grams g ON g.k = 3 AND NOT g.phrase AND g.grams <= 12 AND g.gram = late UNION ALL SELECT row_id, place, g.* FROM rolled JOIN grams g ON g.k = 3 AND NOT g.phrase AND g.grams <= 12 AND g.gram = early),
  cells AS (SELECT DISTINCT row_id, template, place - pos AS diagonal FROM hits WHERE NOT phrase),
  steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row_id, template ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS step FROM cells),
  grouped AS (SELECT *, sum(step) OVER (PARTITION BY row_id, template ORDER BY diagonal) AS grp FROM steps),

@@ -624,3 +624,13 @@ def test_marked_words_turn_over_in_generations(monkeypatch):
     got = [table.encode([t])[0] for t in texts]
     assert [[int(x) for x in ids.split(",")] if n else [] for n, ids, _ in got] == [table.lib.encode(t or "") for t in texts]
     assert made.count(" one") == 1 and made.count(" two") <= 2 and len(table) + len(table.old) <= 16
+
+
+def test_a_word_put_in_does_not_hide_a_notice(spark):
+    texts = ["Released under the X MIT License", "Licensed under the new Apache License, Version 2.0", "Released under the X Y MIT License", "Licensed under the Apache License, Version 1.1", "released under license the mit", "Released X under the MIT license", "all X rights reserved", "Released under the X MIT Y License"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.base_labels) for r in licenses.license_scan(rows).collect()}
+    plain = spark.createDataFrame([(0, "Released under the MIT License"), (1, "Licensed under the Apache License, Version 2.0")], "doc_id long, text string")
+    whole = {r.doc_id: r.labels for r in licenses.license_scan(plain).collect()}
+    assert all(whole.values()) and got[0][0] == got[5][0] == whole[0] and got[1][0] == whole[1]
+    assert all(got[k][0] == "" for k in (2, 3, 4, 6)) and all(b == "" for _, b in got.values())
