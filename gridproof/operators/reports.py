@@ -44,6 +44,14 @@ def performance_summary(ops: DataFrame) -> DataFrame:
     )
 
 
+def performance_report(ops: DataFrame, hit: str = "hit") -> DataFrame:
+    """``performance_summary`` with, for each kind of operation and for all together (null), lookups answered from a cache: n_lookups, hits, hit_rate in percent (0 without lookups)."""
+    looked = F.col(hit).isNotNull()
+    rate = [F.count_if(looked).alias("n_lookups"), F.count_if(F.col(hit)).alias("hits"), F.coalesce(F.try_divide(F.count_if(F.col(hit)) * F.lit(100.0), F.count_if(looked)), F.lit(0.0)).alias("hit_rate")]
+    took = [F.count("*").alias("n"), F.avg("duration_ms").alias("mean_ms"), F.max("duration_ms").alias("peak_ms"), F.try_divide(F.count("*") * F.lit(1000.0), F.sum("duration_ms")).alias("per_second")]
+    return ops.groupingSets([["event_type"], []], "event_type").agg(*took, *rate)
+
+
 def error_summary(ops: DataFrame) -> DataFrame:
     """One row: errors in all, components with errors, and the component with most of them (smallest on a tie)."""
     by = ops.where("is_error").groupBy("component").agg(F.count("*").alias("n"))

@@ -32,6 +32,17 @@ def known_category(category: Column) -> Column:
     return F.when(category.isin(CATEGORIES), category).otherwise("invalid")
 
 
+def listed(results: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """(by, order, rank): every row's place in the list of its group, from 1, in ``order``.
+
+    The lists are rows, not arrays, and one group may be nearly all of the table: rows are numbered along ranges of
+    (by, order), and a group's first number is taken off. A null group is a list of its own.
+    """
+    up = along(results.select(by, *order), [by, *order], nth="_nth")
+    first = up.groupBy(by).agg(F.min("_nth").alias("_first")).withColumnRenamed(by, "_by")
+    return up.join(first, F.col(by).eqNullSafe(F.col("_by"))).select(by, *order, (F.col("_nth") - F.col("_first") + 1).alias("rank"))
+
+
 def report_lines(results: DataFrame, filename: str = "filename", category: str = "category", reason: str = "reason") -> DataFrame:
     """(section, nth, filename, line) of a run's report: for each asset its line or, where it failed, a line for each failed check.
 

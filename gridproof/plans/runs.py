@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sizes, tiers
-from ..operators import ocr, scans, specs, summaries, verdicts
+from ..operators import ocr, reports, scans, specs, summaries, verdicts
 from ..operators.running import along
 from ..sources import copies, images
 from ..sources.tables import read_table
@@ -200,6 +200,34 @@ def files_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(summaries.known_category(F.col("category")).alias("category")).agg(F.count("*").alias("n"), F.min("filename").alias("first"), F.max("filename").alias("last"))
 
 
+_FILED = "CASE WHEN l.toxic = 1 THEN 'manual_review' WHEN l.quality = 0 THEN 'invalid' WHEN l.quality = 1 THEN 'valid' ELSE d.source END"
+
+
+@query(f"""WITH r AS (SELECT d.doc_id, d.lang, {_FILED} AS found FROM documents d LEFT JOIN labels l USING (doc_id)), c AS (SELECT doc_id, lang, CASE WHEN found IN ('valid', 'manual_review') THEN found ELSE 'invalid' END AS category FROM r)
+ SELECT category, lang, doc_id, row_number() OVER (PARTITION BY category ORDER BY lang, doc_id) AS rank FROM c""")
+def file_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of files of each category, in order of language and number; an unknown category is invalid."""
+    docs, labels = read_table(spark, sf_dir, "documents").alias("d"), read_table(spark, sf_dir, "labels").alias("l")
+    joined = docs.join(labels, F.col("d.doc_id") == F.col("l.doc_id"), "left").select("d.doc_id", "d.lang", F.expr(_FILED).alias("found"))
+    return summaries.listed(joined.withColumn("category", summaries.known_category(F.col("found"))), "category", ["lang", "doc_id"])
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_HAS} AS has FROM documents) SELECT CASE has WHEN true THEN 'marked' WHEN false THEN 'clean' END AS found, doc_id, row_number() OVER (PARTITION BY has ORDER BY doc_id) AS rank FROM p""")
+def detection_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of each class of the detection report: marked, clean and (null) errors."""
+    p = read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_HAS} AS has")
+    return summaries.listed(p.withColumn("found", F.when(F.col("has"), "marked").when(~F.col("has"), "clean")), "found", ["doc_id"])
+
+
+@query(f"""WITH {views.OPS_SQL}, h AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN value_of >= 20 END AS hit FROM (SELECT *, duration_ms AS value_of FROM ops))
+ SELECT event_type, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms, round(max(duration_ms), 6) AS peak_ms, round(count(*) * 1000.0::DOUBLE / sum(duration_ms), 6) AS per_second, count(hit) AS n_lookups, count(*) FILTER (hit) AS hits,
+ round(coalesce(count(*) FILTER (hit) * 100.0::DOUBLE / nullif(count(hit), 0), 0), 6) AS hit_rate FROM h GROUP BY GROUPING SETS ((event_type), ())""")
+def performance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations and cache hits by kind of operation and in all, in one pass."""
+    ops = views.ops(spark, sf_dir).withColumn("hit", F.when(F.col("event_type").isin("click", "view"), F.col("duration_ms") >= 20))
+    return _rounded(reports.performance_report(ops))
+
+
 @query(f"SELECT doc_id, {_ED} AS score FROM documents ORDER BY score DESC NULLS LAST, doc_id")
 def editing_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.by_score(read_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_ED} AS score"), "score", "doc_id")
