@@ -26,7 +26,7 @@ BUCKETS = 10_000
 #: Ranges of buckets that are dealt out, each with the same number of buckets.
 RANGES = 64
 #: A block of documents ends at so many documents or features; postings of so many blocks meet in one piece of a range.
-BLOCK_DOCS, BLOCK_FEATURES, SLICE = 1024, 2_000_000, 256
+BLOCK_DOCS, BLOCK_FEATURES, SLICE = 1024, 1_000_000, 256
 #: A text is taken apart in pieces of so many bytes.
 PIECE = 1 << 20
 EDGES = np.array([-(-BUCKETS * r // RANGES) for r in range(RANGES + 1)], np.int64)
@@ -52,12 +52,16 @@ def feature_buckets(raw: bytes) -> tuple[list[np.ndarray], int]:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Numbers under 2**32 with all low bytes first: the high ones are mostly zeros, which the shuffle's compression takes away."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Numbers under 2**32: how many bytes the largest needs, then all low bytes, all second ones and so on."""
+    k = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([k]) + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :k].T.tobytes()
 
 
 def numbers(planed: bytes) -> np.ndarray:
-    return np.frombuffer(planed, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    k = planed[0]
+    out = np.zeros(((len(planed) - 1) // k, 4), np.uint8)
+    out[:, :k] = np.frombuffer(planed, np.uint8, offset=1).reshape(k, -1).T
+    return out.view("<u4").ravel().astype(np.int64)
 
 
 class Blocks:
