@@ -105,5 +105,4 @@ def for_text(pictures: DataFrame) -> DataFrame:
 def for_hard_pictures(pictures: DataFrame) -> DataFrame:
     """Pictures that a recogniser failed on, as they are tried again: the longer side 2000 at most, then the shorter one 32 at least."""
     one = resampled(pictures, sizes.longest_within(F.col("width"), F.col("height"), 2000))
-    short = F.least("width", "height")
-    return resampled(one, F.when(short < 32, sizes.scaled(F.col("width"), F.col("height"), F.lit(32.0) / short)).otherwise(sizes.size(F.col("width"), F.col("height"))))
+    return resampled(one, sizes.shortest_from(F.col("width"), F.col("height"), 32))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridproof.functions import sizes
 from gridproof.operators import kernels, pictures, resample
 
 
@@ -85,6 +86,17 @@ def test_colours_and_hard_pictures(spark):
     assert small.gray is None and small.rgb is None
 
 
+def test_sides_without_pixels_have_no_size(spark):
+    sized = spark.createDataFrame([(4200, 1), (1, 4200), (0, 5), (3000, 0), (4200, 40)], "width int, height int")
+    w, h = F.col("width"), F.col("height")
+    rules = {"text": sizes.for_text(w, h), "hard": sizes.for_hard_pictures(w, h), "clip": sizes.for_clip(w, h), "input": sizes.text_input(w, h, F.lit(3))}
+    got = {(r.width, r.height): r for r in sized.select("*", *[c.alias(n) for n, c in rules.items()]).collect()}
+    assert tuple(got[4200, 1].text) == (2000, 0) and tuple(got[4200, 1].hard) == tuple(got[1, 4200].hard) == (None, None) == tuple(got[0, 5].hard)
+    assert tuple(got[4200, 40].hard) == (3368, 32) and tuple(got[4200, 1].clip) == (2048, 0) and not got[3000, 0].input.ok
+    bytes_ = spark.createDataFrame([(4200, 1, bytes(4200))], "width int, height int, gray binary")
+    assert resample.for_hard_pictures(bytes_).first().gray is None
+
+
 def test_running_sums_give_the_same_boxes():
     rng = np.random.default_rng(4)
     for values in (rng.integers(0, 256, (37, 53), dtype=np.int32), rng.random((20, 31))):
