@@ -63,6 +63,9 @@ def matches(a, s) -> Column:
 
 #: What a specification looks at.
 PROPERTIES = ("width", "height", "format", "mode", "dpi_x", "dpi_y", "file_size_mb")
+#: The same but for the bytes, and what a specification asks for but for formats and bytes.
+LOOKS = PROPERTIES[:-1]
+ASKED = ("width", "height", "min_width", "min_height", "dpi_x", "dpi_y", "dpi_lo", "dpi_hi", "color_mode")
 
 
 def _text(v) -> Column:
@@ -108,11 +111,16 @@ def catalogue_match(assets: DataFrame, specs: DataFrame, key: str = "doc_id", pr
 
     Format is an equal key; a specification of exact pixels has two more. One with a resolution, exact or a range, is
     filed under the bins of that range, any other under the bins of its least width, and an asset looks into the bin of
-    its own. Assets are joined by what a specification looks at, once for all that are alike in it, and their
-    answers go back to them. Specifications that repeat are as good as one; a null property matches nothing that asks for it.
+    its own. A null property matches nothing that asks for it.
+
+    What grows with the tables is not joined. Assets ask by what they look like but for their bytes, once for all that
+    are alike; of specifications that ask for the same, only the best for each limit of bytes is filed. The answer of
+    such a look is a flight of steps, as many as there are different limits at most: its best specification, then the
+    best of those that take more bytes, and so on.
+    An asset's own specification is the first step that takes its bytes.
     """
-    alike = F.struct(*[F.col(c) for c in PROPERTIES])
-    looks = assets.select(alike.alias("a")).distinct().select("a", F.xxhash64("a").alias("look"))
+    look = F.struct(*[F.col(c) for c in LOOKS])
+    looks = assets.select(look.alias("a")).distinct().select("a", F.xxhash64("a").alias("look"))
     asked = looks.select("look", "a", F.array_compact(F.array(
         F.when(F.col("a.width").isNotNull() & F.col("a.height").isNotNull(), F.struct(F.lit("exact").alias("way"), F.col("a.width").cast("long").alias("x"), F.col("a.height").cast("long").alias("y"))),
         F.when(F.col("a.dpi_x").isNotNull(), F.struct(F.lit("dpi").alias("way"), bin_of(F.col("a.dpi_x")).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))),
@@ -130,17 +138,23 @@ def catalogue_match(assets: DataFrame, specs: DataFrame, key: str = "doc_id", pr
         return F.transform(bins, lambda b: place(way, b, F.lit(0)))
 
     places = F.when(exact, F.array(place("exact", F.col("width"), F.col("height")))).when(low.isNotNull() & high.isNotNull(), filed("dpi", by_dpi)).otherwise(filed("width", by_width))
-    names = [f.strip().split()[0] for f in SCHEMA.split(", ")]
-    listed = specs.select(*names).select(F.struct(*names).alias("s"), F.explode(F.array_distinct("formats")).alias("format"), places.alias("places")).select("s", "format", F.inline("places"))
-
-    a, s = ({c: F.col(f"{side}.{c}") for c in of} for side, of in (("a", PROPERTIES), ("s", names)))
-    priority = F.when(F.lit(print_first) & F.contains(s["spec"], F.lit("print")), 100).otherwise(0) + F.when(s["width"].isNotNull() & s["height"].isNotNull(), 10).otherwise(0)
-    met = asked.join(listed, ["format", "way", "x", "y"]).where(matches(a, s))
-    best = met.groupBy("look", "a").agg(F.max_by(F.concat_ws("_", s["category"], s["spec"]), F.struct(priority, -s["spec_ord"])).alias("spec")).select("look", F.col("a").alias("own"), "spec")
-    rows = assets.select(key, alike.alias("a")).withColumn("look", F.xxhash64("a"))
+    # no limit of bytes comes after every other
+    limit = F.struct(F.col("max_file_size_mb").isNull().alias("none"), F.col("max_file_size_mb").alias("mb"))
+    priority = F.when(F.lit(print_first) & F.contains(F.col("spec"), F.lit("print")), 100).otherwise(0) + F.when(exact, 10).otherwise(0)
+    rated = specs.select(*ASKED, limit.alias("limit"), F.explode(F.array_distinct("formats")).alias("format"), F.struct(priority.alias("p"), (-F.col("spec_ord")).alias("o"), F.concat_ws("_", "category", "spec").alias("spec")).alias("rank"))
+    listed = rated.groupBy(*ASKED, "format", "limit").agg(F.max("rank").alias("rank")).select(F.struct(*ASKED).alias("s"), "format", "limit", "rank", places.alias("places")).select("s", "format", "limit", "rank", F.inline("places"))
+
+    a, s = ({c: F.col(f"{side}.{c}") for c in of} for side, of in (("a", LOOKS), ("s", ASKED)))
+    met = asked.join(listed, ["format", "way", "x", "y"]).where(size_ok(a, s) & dpi_ok(a, s) & mode_ok(a["mode"], s["color_mode"]))
+    best = met.groupBy("look", "a", "limit").agg(F.max("rank").alias("rank"))
+    before = Window.partitionBy("look", "a").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    useful = best.withColumn("most", F.max("limit").over(before)).where(F.col("most").isNull() | (F.col("limit") > F.col("most")))
+    steps = useful.groupBy("look", "a").agg(F.array_sort(F.collect_list(F.struct("limit", "rank"))).alias("steps")).select("look", F.col("a").alias("own"), "steps")
+    rows = assets.select(key, look.alias("a"), F.col("file_size_mb").alias("_mb")).withColumn("look", F.xxhash64("a"))
     # equal hashes are not taken for equal properties
-    found = rows.join(best, (rows["look"] == best["look"]) & rows["a"].eqNullSafe(best["own"]), "left")
-    return found.select(key, F.col("spec").isNotNull().alias("matched"), "spec")
+    found = rows.join(steps, (rows["look"] == steps["look"]) & rows["a"].eqNullSafe(steps["own"]), "left")
+    first = F.filter("steps", lambda t: t["limit"]["none"] | (F.col("_mb") <= t["limit"]["mb"]))
+    return found.select(key, F.get(first, 0)["rank"]["spec"].alias("spec")).select(key, F.col("spec").isNotNull().alias("matched"), "spec")
 
 
 def spec_match(assets: DataFrame, specs: DataFrame | None = None, key: str = "doc_id", print_first: bool = True) -> DataFrame:

@@ -57,3 +57,28 @@ def test_interval_join_as_every_pair(spark):
     assert sorted(tuple(r) for r in specs.catalogue_match(table, few).collect()) == literal
     assert specs.catalogue_match(table.limit(0), listed).collect() == []
     assert {r.matched for r in specs.catalogue_match(table, listed.limit(0)).collect()} == {False}
+
+
+def joined_rows(plan):
+    """Rows that the joins of a plan that has run gave, at most."""
+    name, inner = plan.nodeName(), []
+    if name.startswith("AdaptiveSparkPlan"):
+        inner = [plan.executedPlan()]
+    elif name.endswith("QueryStage"):
+        inner = [plan.plan()]
+    children = plan.children()
+    inner += [children.apply(i) for i in range(children.size())]
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name and plan.metrics().contains("numOutputRows") else 0
+    return max([own, *map(joined_rows, inner)])
+
+
+def test_alike_rows_do_not_meet_one_by_one(spark):
+    """3,000 assets of other bytes and 3,000 specifications that take them: as many rows as assets, not nine million."""
+    ask = "'c' AS category, CAST(NULL AS INT) AS width, CAST(NULL AS INT) AS height, 100 AS min_width, 100 AS min_height, CAST(NULL AS DOUBLE) AS dpi_x, CAST(NULL AS DOUBLE) AS dpi_y, 70D AS dpi_lo, 80D AS dpi_hi, array('PNG') AS formats, CAST(NULL AS STRING) AS color_mode"
+    listed = spark.range(3000).selectExpr("CAST(id AS INT) AS spec_ord", "concat('s', id) AS spec", *ask.split(", "), "IF(id = 2999, NULL, (id * 7 % 2999) / 100D) AS max_file_size_mb").select(*COLUMNS)
+    table = spark.range(3000).selectExpr("id AS doc_id", "640 AS width", "480 AS height", "'PNG' AS format", "'RGB' AS mode", "72D AS dpi_x", "72D AS dpi_y", "id / 90D AS file_size_mb")
+    found = specs.spec_match(table, listed)
+    got = {r.doc_id: r.spec for r in found.collect()}
+    limits = [(i * 7 % 2999) / 100 for i in range(2999)] + [float("inf")]
+    assert got == {i: f"c_s{next(k for k, most in enumerate(limits) if i / 90 <= most)}" for i in range(3000)}
+    assert joined_rows(found._jdf.queryExecution().executedPlan()) <= 10_000
