@@ -5,6 +5,8 @@ The tables hold no images, so operators run on deterministic renditions of them
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -179,31 +181,41 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("image", "x", "y", value.alias("gray"))
 
 
-def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image, width, height, gray, rgb): the pictures of ``pixels`` and ``colours``, a row with its bytes for each."""
+#: Pictures that are drawn at a time.
+DRAWN = 256
+
+
+def drawn(batches: Iterator[pa.RecordBatch], colour: bool) -> Iterator[pa.RecordBatch]:
+    """Pictures of ``gray``'s vectors, DRAWN of them a batch at most: a batch of vectors would be two hundred times as large."""
     y, x = np.mgrid[:64, :64]
     rim, middle = np.minimum(np.minimum(x, y), np.minimum(63 - x, 63 - y)) < 5, (x >= 16) & (x <= 47) & (y >= 16) & (y <= 47)
     fade = np.clip(230 - ((2 * x - 63) ** 2 + (2 * y - 63) ** 2) // 50, 0, 255)
+    schema = pa.schema([("image", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("gray", pa.binary()), *([("rgb", pa.binary())] if colour else [])])
 
-    def drawn(image: int, u: list[float]) -> dict:
+    def one(image: int, u: list[float]) -> dict:
         v = np.array(u)[:64]
         gray = np.floor(v[None, :] * v[:, None] * 255).astype(np.int64)
         gray = [gray, np.where(rim, 250, gray), np.where(middle, gray, 200), fade][image % 4]
-        return {"gray": gray.astype(np.uint8).tobytes(), "rgb": np.stack([gray, (gray * 3 + x) % 256, 255 - gray], -1).astype(np.uint8).tobytes()}
+        made = {"image": image, "width": 64, "height": 64, "gray": gray.astype(np.uint8).tobytes()}
+        return made | {"rgb": np.stack([gray, (gray * 3 + x) % 256, 255 - gray], -1).astype(np.uint8).tobytes()} if colour else made
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, DRAWN):
+            few = batch.slice(at, DRAWN)
+            yield pa.RecordBatch.from_pylist([one(i, u) for i, u in zip(few["image"].to_pylist(), few["u"].to_pylist())], schema)
 
-    def draw(images: pa.Array, us: pa.Array) -> pa.Array:
-        return pa.array([drawn(i, u) for i, u in zip(images.to_pylist(), us.to_pylist())], type=pa.struct([("gray", pa.binary()), ("rgb", pa.binary())]))
 
-    made = F.arrow_udf(draw, "struct<gray: binary, rgb: binary>").asNondeterministic()
+def pictures(spark: SparkSession, sf_dir: str, colour: bool = True) -> DataFrame:
+    """(image, width, height, gray, and with ``colour`` rgb): the pictures of ``pixels`` and ``colours``, a row with its bytes for each."""
     # the vectors are far smaller than their pictures, and one file of them is one task: they are dealt out before they are drawn
     dealt = gray(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image")
-    return dealt.select("image", F.lit(64).alias("width"), F.lit(64).alias("height"), made("image", "u").alias("v")).select("image", "width", "height", "v.*")
+    return dealt.mapInArrow(lambda batches: drawn(batches, colour), "image long, width int, height int, gray binary" + (", rgb binary" if colour else ""))
 
 
-def scored_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_pictures(spark: SparkSession, sf_dir: str, colour: bool = True) -> DataFrame:
     """Pictures with what comes from elsewhere: file properties, model scores, text and watermark confidences."""
     k = F.col("image")
-    return pictures(spark, sf_dir).withColumns(
+    return pictures(spark, sf_dir, colour).withColumns(
         {
             "filename": F.concat(F.lit("picture_"), k.cast("string"), F.lit(".png")),
             "format": F.lit("PNG"),
