@@ -34,7 +34,10 @@ PARTS = {
     "slope": "slope_rim double, slope_mid double",
     "kernels": kernels.FEATURES,
     "frames": contours.FEATURES,
-    "colour": f"channels array<array<long>>, tones array<{_TONE}>, steps array<double>",
+    "colour": f"entropy double, n_peaks long, tones array<{_TONE}>, steps array<double>",
+    # what the plain tests need of the parts above, at a fraction of their cost
+    "edge": f"edge {_RIM}",
+    "levels": "entropy double, n_peaks long",
 }
 
 
@@ -112,10 +115,21 @@ def rims(gray: Sums, slope: Sums, width: int, height: int) -> dict:
         "region": [of(w) for w in sorted({int(shorter * s) for s in REGION_SHARES}) if w >= 2],
         "five": of(5),
         "strip": of(int(shorter * 0.05)),
-        "edge": of(max(1, min(20, shorter // 20))),
+        "edge": of(edge_width(shorter)),
     }
 
 
+def edge_width(shorter: int) -> int:
+    return max(1, min(20, shorter // 20))
+
+
+def edge_rim(gray: Sums, width: int, height: int) -> dict:
+    """The four sides of the border that the plain test looks at, without what the others need of one."""
+    w = edge_width(min(width, height))
+    sides = [gray.box(0, w, 0, width), gray.box(height - w, height, 0, width), gray.box(0, height, 0, w), gray.box(0, height, width - w, width)]
+    return {"w": w, "m": [mean(s) for s in sides], "d": [deviation(s) for s in sides]}
+
+
 def even_share(gray: Sums, grid: int = 8) -> float | None:
     return float((gray.cells(grid) < 8).mean()) if min(gray.values.shape) >= grid else None
 
@@ -159,6 +173,13 @@ def tones_of(rgb: np.ndarray) -> list[np.ndarray]:
     return [half_up(r * 0.299 + g * 0.587 + b * 0.114), hue, np.where(top == 0, 0, half_up(span * 255 / np.where(top == 0, 1, top))), top, half_up(light * 255 / 100), half_up((f["X"] - f["Y"]) * 500 + 128), half_up((f["Y"] - f["Z"]) * 200 + 128)]
 
 
+def levels(rgb: np.ndarray) -> dict:
+    """The mean entropy of the three channels' histograms, and how many levels are more frequent than both beside them."""
+    n = np.stack([np.bincount(rgb[:, :, k].ravel(), minlength=256) for k in range(3)])
+    share = n / (rgb.shape[0] * rgb.shape[1])
+    return {"entropy": float(-(share * np.log2(share + 1e-10)).sum(1).sum() / 3), "n_peaks": int(((n[:, 1:-1] > n[:, :-2]) & (n[:, 1:-1] > n[:, 2:])).sum())}
+
+
 def colour(rgb: np.ndarray) -> dict:
     (h, w), shorter = rgb.shape[:2], min(rgb.shape[:2])
     parts = [Sums(t) for t in tones_of(rgb)]
@@ -176,7 +197,7 @@ def colour(rgb: np.ndarray) -> dict:
         tones.append({"w": border, "dev": deviation(drawn[0]), "line": mean(line), "out": [mean(d) for d in drawn], "mid": [mean(s.box(*middle(border + inset, w, h))) for s in parts]})
     flat = [Sums(rgb[:, :, k].astype(np.int64)) for k in range(3)]
     steps = [(mean(outside(s, 5)), mean(s.box(*middle(5, w, h)))) for s in flat]
-    return {"channels": [np.bincount(rgb[:, :, k].ravel(), minlength=256).tolist() for k in range(3)], "tones": tones, "steps": [None if None in s else abs(s[0] - s[1]) for s in steps]}
+    return levels(rgb) | {"tones": tones, "steps": [None if None in s else abs(s[0] - s[1]) for s in steps]}
 
 
 def measures(g: np.ndarray, rgb: np.ndarray | None, parts: tuple[str, ...]) -> dict:
@@ -203,8 +224,10 @@ def measures(g: np.ndarray, rgb: np.ndarray | None, parts: tuple[str, ...]) -> d
         out |= kernels.features(g)
     if "frames" in parts:
         out |= contours.features(g.astype(np.float64))
-    if "colour" in parts and rgb is not None:
-        out |= colour(rgb)
+    if "edge" in parts and "rims" not in parts:
+        out["edge"] = edge_rim(gray, w, h)
+    if rgb is not None and {"colour", "levels"} & set(parts):
+        out |= colour(rgb) if "colour" in parts else levels(rgb)
     return out
 
 
@@ -214,9 +237,10 @@ def measured(pictures: DataFrame, *parts: str) -> DataFrame:
     ``m`` is a struct of the named PARTS. It is null for a picture whose bytes are null, do not fit its size, or that
     has a side under 3 pixels. Other columns stay as they are and do not leave the JVM.
     """
-    schema = StructType.fromDDL(", ".join(PARTS[p] for p in parts))
+    named = {f.name: f for p in parts for f in StructType.fromDDL(PARTS[p])}  # parts may share measures
+    schema = StructType(list(named.values()))
     fields = list(to_arrow_schema(schema))
-    coloured = "colour" in parts
+    coloured = bool({"colour", "levels"} & set(parts))
 
     def one(w: int | None, h: int | None, gray: bytes | None, rgb: bytes | None) -> dict | None:
         if w is None or h is None or gray is None or w < 3 or h < 3 or len(gray) != w * h:
@@ -225,7 +249,8 @@ def measured(pictures: DataFrame, *parts: str) -> DataFrame:
         return measures(np.frombuffer(gray, np.uint8).reshape(h, w).astype(np.int32), tints, parts)
 
     def answers(*columns: pa.Array) -> pa.Array:
-        rows = [one(*r) for r in zip(*[c.to_pylist() for c in columns])]
+        # a picture at a time: bytes of a whole batch would be there twice
+        rows = [one(*[v.as_py() for v in r]) for r in zip(*columns)]
         return pa.array(rows, type=pa.struct(fields))
 
     def plain(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
@@ -255,8 +280,13 @@ def side(r: Column, what: str) -> dict[str, Column]:
 
 def histogram_features(measured: DataFrame, key: str = "image") -> DataFrame:
     """As ``pixels.histogram_features``; parts: hist."""
-    total = F.aggregate(m("hist"), F.lit(0).cast("long"), lambda s, n: s + n)
-    return histogram_scores(measured.where("m IS NOT NULL").select(F.col(key), F.transform(m("hist"), lambda n: n / total).alias("p")), key)
+    return histogram_scores(measured.where("m IS NOT NULL").select(F.col(key), shares().alias("p")), key)
+
+
+def shares() -> Column:
+    """The histogram as shares of the picture's pixels; parts: hist."""
+    total = F.col("width").cast("long") * F.col("height")  # a sum of the histogram would be taken again for each level
+    return F.transform(m("hist"), lambda n: n / total)
 
 
 def best(rated: Column, none: Column) -> Column:
@@ -373,7 +403,7 @@ def blockiness() -> Column:
 
 
 def edge_strips() -> Column:
-    """struct<variance, bordered> (``pixels.edge_strips``); parts: rims."""
+    """struct<variance, bordered> (``pixels.edge_strips``); parts: edge, or rims."""
     variance = mean_of([d * d for d in side(m("edge"), "d").values()])
     return F.struct(variance.alias("variance"), (variance < 200).alias("bordered"))
 
@@ -418,17 +448,8 @@ def colour_consistency() -> Column:
 
 
 def fallback_editing() -> Column:
-    """struct<entropy, n_peaks, score, passed> (``pixels.fallback_editing``); parts: colour."""
-
-    def entropy(h: Column) -> Column:
-        total = F.aggregate(h, F.lit(0).cast("long"), lambda s, n: s + n)
-        return -F.aggregate(h, F.lit(0.0), lambda s, n: s + n / total * F.log2(n / total + 1e-10))
-
-    def peaks(h: Column) -> Column:
-        return F.size(F.filter(F.sequence(F.lit(1), F.lit(254)), lambda i: (F.get(h, i) > F.get(h, i - 1)) & (F.get(h, i) > F.get(h, i + 1))))
-
-    value = F.aggregate(F.transform(m("channels"), entropy), F.lit(0.0), lambda s, x: s + x) / 3
-    n = F.aggregate(F.transform(m("channels"), peaks), F.lit(0).cast("long"), lambda s, x: s + x)
+    """struct<entropy, n_peaks, score, passed> (``pixels.fallback_editing``); parts: levels, or colour."""
+    value, n = m("entropy"), m("n_peaks")
     score = fallback_editing_score(value, n)
     return F.struct(value.alias("entropy"), n.alias("n_peaks"), score.cast("double").alias("score"), (score < 20).alias("passed"))
 

@@ -32,13 +32,13 @@ def histogram_scores(full: DataFrame, *kept: str) -> DataFrame:
     diff = F.transform(F.sequence(F.lit(1), F.lit(255)), lambda i: F.get(p, i) - F.get(p, i - 1))
     entropy = -total(F.transform(p, lambda x: F.when(x > 0, x * F.log2(x)).otherwise(zero)))
     steps = F.col("steps")  # equal neighbours once, so that a flat top is one peak
-    peaks = F.size(F.filter(F.sequence(F.lit(0), F.lit(255)), lambda i: (F.get(steps, i) > F.get(steps, i - 1)) & (F.get(steps, i) > F.get(steps, i + 1)) & (F.get(steps, i) >= F.array_max(p) * 0.1)))
+    peaks = F.size(F.filter(F.sequence(F.lit(0), F.lit(255)), lambda i: (F.get(steps, i) > F.get(steps, i - 1)) & (F.get(steps, i) > F.get(steps, i + 1)) & (F.get(steps, i) >= F.col("top") * 0.1)))
     ks = F.aggregate(
         F.sequence(F.lit(0), F.lit(255)),
         F.struct(zero.alias("c"), zero.alias("m")),
         lambda s, i: F.struct((s["c"] + F.get(p, i)).alias("c"), F.greatest(s["m"], F.abs(s["c"] + F.get(p, i) - (i + 1) / F.lit(256.0))).alias("m")),
     )["m"]
-    with_diff = full.withColumn("d", diff).withColumn("steps", F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, i - 1))))
+    with_diff = full.withColumns({"d": diff, "top": F.array_max(p)}).withColumn("steps", F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, i - 1))))
     mean = total(F.col("d")) / 255
     var = total(F.transform("d", lambda x: x * x)) / 255 - mean * mean
     return with_diff.select(

@@ -84,11 +84,10 @@ def editing_features(measured: DataFrame) -> DataFrame:
 
     Model scores are the columns brisque, niqe and clipiqa; nulls and values that are none count as no model.
     """
-    total = F.aggregate("m.hist", F.lit(0).cast("long"), lambda s, n: s + n)
     kept = measured.columns
     from .pixels import histogram_scores
 
-    hist = histogram_scores(measured.withColumn("p", F.transform("m.hist", lambda n: n / total)), *kept)
+    hist = histogram_scores(measured.withColumn("p", pictures.shares()), *kept)
     f = hist.withColumns({"_b": sc.brisque_norm(F.col("brisque")), "_q": sc.niqe_norm(F.col("niqe")), "_c": sc.clipiqa_norm(F.col("clipiqa"))})
     norms = [F.col(c) for c in ("_b", "_q", "_c")]
     f = f.withColumns(
@@ -186,9 +185,9 @@ def _unknown() -> Column:
 #: The tests in their fixed order.
 REGISTRY: dict[str, Test] = {
     "specifications": Test(_specification, columns=specs.PROPERTIES, fallback=_plain_size),
-    "borders": Test(_borders, BORDER_PARTS, fallback=_plain_borders, fallback_parts=("rims",)),
+    "borders": Test(_borders, BORDER_PARTS, fallback=_plain_borders, fallback_parts=("edge",)),
     "watermarks": Test(_watermarks, columns=("has_watermark", "watermark_percent"), fallback=_unknown),
-    "editing": Test(_editing, EDITING_PARTS, ("brisque", "niqe", "clipiqa"), _plain_editing, ("colour",)),
+    "editing": Test(_editing, EDITING_PARTS, ("brisque", "niqe", "clipiqa"), _plain_editing, ("levels",)),
     "text": Test(_text, columns=("text_confidence", "n_texts"), fallback=_unknown),
 }
 

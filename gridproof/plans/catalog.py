@@ -425,7 +425,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
-    return pictures.measured(views.pictures(spark, sf_dir), *parts)
+    return pictures.measured(views.pictures(spark, sf_dir, bool({"colour", "levels"} & set(parts))), *parts)
 
 
 def _picture(measured: DataFrame, found: Column) -> DataFrame:
@@ -494,7 +494,7 @@ def vignette(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_P}, v AS (SELECT image, (var_pop(gray) FILTER (y < 3) + var_pop(gray) FILTER (y >= 61) + var_pop(gray) FILTER (x < 3) + var_pop(gray) FILTER (x >= 61)) / 4 AS variance FROM pixels GROUP BY image)
  SELECT image, round(variance, 6) AS variance, variance < 200 AS bordered FROM v""")
 def edge_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _picture(_measured(spark, sf_dir, "rims"), pictures.edge_strips())
+    return _picture(_measured(spark, sf_dir, "edge"), pictures.edge_strips())
 
 
 _PARTS = f"""parts AS (SELECT image, w, any_value(all_dev) AS all_dev, avg(gray) FILTER (WHERE {_STROKE}) AS rim, stddev_pop(gray) FILTER (WHERE {_STROKE}) AS dev, avg(gray) FILTER (WHERE {_INSIDE}) AS inside, {_sides("avg", "m")},
@@ -576,7 +576,7 @@ def colour_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
  t AS (SELECT image, avg(entropy) AS entropy, sum(peaks) AS n_peaks FROM e GROUP BY image), s AS (SELECT *, CASE WHEN entropy < 5 THEN 15 ELSE 0 END + CASE WHEN n_peaks > 30 THEN 10 ELSE 0 END + CASE WHEN entropy < 4 THEN 20 ELSE 0 END AS score FROM t)
  SELECT image, round(entropy, 6) AS entropy, n_peaks, score::DOUBLE AS score, score < 20 AS passed FROM s""")
 def fallback_editing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _picture(_measured(spark, sf_dir, "colour"), pictures.fallback_editing())
+    return _picture(_measured(spark, sf_dir, "levels"), pictures.fallback_editing())
 
 
 _LINEAR = "CASE WHEN {0} / 255.0::DOUBLE > 0.04045 THEN pow(({0} / 255.0::DOUBLE + 0.055) / 1.055, 2.4::DOUBLE) ELSE {0} / 255.0::DOUBLE / 12.92 END"
@@ -706,7 +706,7 @@ _BRIGHT_PARTS = """steps AS (SELECT image, x, y, x - row_number() OVER (PARTITIO
 @query(f"WITH RECURSIVE {_P}, {_BRIGHT_PARTS} SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY root) AS INT) AS part, n_pixels, x, y, width, height FROM parts")
 def bright_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The connected bright parts of every picture, cut into four tiles, with their areas and boxes."""
-    whole = views.pictures(spark, sf_dir)
+    whole = views.pictures(spark, sf_dir, colour=False)
     rows = [[F.substring("gray", 64 * y + 1 + x, n) for y in range(top, top + high)] for x, n, top, high in ((0, 40, 0, 20), (40, 24, 0, 20), (0, 40, 20, 44), (40, 24, 20, 44))]
     places = [(0, 40, 0, 20), (40, 24, 0, 20), (0, 40, 20, 44), (40, 24, 20, 44)]
     tiles = F.array(*[F.struct(F.lit(x).alias("left"), F.lit(top).alias("top"), F.lit(n).alias("width"), F.lit(high).alias("height"), F.concat(*r).alias("gray")) for (x, n, top, high), r in zip(places, rows)])
@@ -720,19 +720,19 @@ def bright_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def border_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every border method on every picture, its confidence, flag, reason and tier."""
-    return _rounded(scans.border_scan(views.pictures(spark, sf_dir)))
+    return _rounded(scans.border_scan(views.pictures(spark, sf_dir, colour=False)))
 
 
 @query()
 def editing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Editing score of every picture from its own features and model scores."""
-    return _rounded(scans.editing_scan(views.scored_pictures(spark, sf_dir)))
+    return _rounded(scans.editing_scan(views.scored_pictures(spark, sf_dir, colour=False)))
 
 
 @query()
 def unified_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All registered tests over one decoding of each picture, as long verdicts."""
-    return scans.unified(views.scored_pictures(spark, sf_dir), ["specifications", "borders", "watermarks", "editing", "text"])
+    return scans.unified(views.scored_pictures(spark, sf_dir, colour=False), ["specifications", "borders", "watermarks", "editing", "text"])
 
 
 @query()
