@@ -220,10 +220,11 @@ def measures(g: np.ndarray, rgb: np.ndarray | None, parts: tuple[str, ...]) -> d
     if "slope" in parts:
         inner = slope.box(*middle(int(min(w, h) * 0.15), w, h))
         out |= {"slope_rim": mean(less(slope.box(0, h, 0, w), inner)), "slope_mid": mean(inner)}
+    edges = kernels.canny(g) if {"kernels", "frames"} & set(parts) else None
     if "kernels" in parts:
-        out |= kernels.features(g)
+        out |= kernels.features(g, edges)
     if "frames" in parts:
-        out |= contours.features(g.astype(np.float64))
+        out |= contours.features(g.astype(np.float64), edges)
     if "edge" in parts and "rims" not in parts:
         out["edge"] = edge_rim(gray, w, h)
     if rgb is not None and {"colour", "levels"} & set(parts):
