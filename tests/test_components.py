@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridproof.operators import components
 
@@ -55,6 +56,26 @@ def test_parts_as_a_flood_fill(spark, cuts, corners):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("corners", [True, False])
+def test_tiles_as_a_flood_fill(spark, corners):
+    """Parts within tiles, and links at their edges only: no node for each run, and none for what stays within its tile."""
+    rows, want, cuts = [], [], ([0, 1, 63, 64, 130, 150], [0, 17, 18, 40])
+    for i, m in enumerate(masks()):
+        g = (m * 255).astype(np.uint8)
+        for x0, x1 in zip(cuts[0], cuts[0][1:]):
+            rows += [(i, x0, y0, x1 - x0, y1 - y0, g[y0:y1, x0:x1].tobytes(), "x") for y0, y1 in zip(cuts[1], cuts[1][1:])]
+        want += [(i, *p) for p in flood(m, corners)]
+    rows += [(90, 0, 0, 3, 3, None, "x"), (91, 0, 0, 3, 3, b"short", "x"), (92, 0, 0, None, 3, b"", "x"), (None, 0, 0, 2, 2, b"\xff\0\0\xff", "x")]
+    want += [(None, 1, 2, 0, 0, 2, 2)] if corners else [(None, 1, 1, 0, 0, 1, 1), (None, 2, 1, 1, 1, 1, 1)]
+    table = spark.createDataFrame(rows, TILES)
+    got = [tuple(r) for r in components.tile_components(table, lambda g: g >= 128, corners=corners).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    whole = spark.createDataFrame([(0, 150, 40, (masks()[0] * 255).astype(np.uint8).tobytes())], "image int, width int, height int, gray binary")
+    parts = components.tile_parts(whole, lambda g: g >= 128, corners=corners).withColumn("id", F.monotonically_increasing_id())
+    assert parts.count() == len(flood(masks()[0], corners)) < components.mask_runs(whole, lambda g: g >= 128).count()
+    assert components.run_links(parts.select("id", "image", F.inline("rim")), corners=corners).where("a <> b").count() == 0
+
+
 def test_frames_among_parts(spark):
     m = np.zeros((60, 100), bool)
     m[5:55, 10:90] = True
