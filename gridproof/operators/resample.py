@@ -73,7 +73,7 @@ def resampled(pictures: DataFrame, to: Column, crop: Column | None = None) -> Da
         return dict(zip(("gray", "rgb"), out))
 
     def answer(*columns: pa.Array) -> pa.Array:
-        return pa.array([one(*r) for r in zip(*[c.to_pylist() for c in columns])], type=kind)
+        return pa.array([one(*[v.as_py() for v in r]) for r in zip(*columns)], type=kind)
 
     def plain(w: pa.Array, h: pa.Array, t: pa.Array, c: pa.Array, a: pa.Array) -> pa.Array:
         return answer(w, h, t, c, a)
@@ -88,6 +88,23 @@ def resampled(pictures: DataFrame, to: Column, crop: Column | None = None) -> Da
     return packed.select(*[F.col(f"rest.`{c}`").alias(c) for c in there], F.col("to.width").alias("width"), F.col("to.height").alias("height"), F.col("v.gray").alias("gray"), *([F.col("v.rgb").alias("rgb")] if coloured else []))
 
 
+def sums(width: str, gray: str) -> Column:
+    """struct<sum, by_x, by_y> of a picture's bytes: their sum, and this with each one times its column or row, from 1. Null where there is none."""
+    fields = [(c, pa.int64()) for c in ("sum", "by_x", "by_y")]
+
+    def one(w: int | None, plane: bytes | None) -> dict | None:
+        if not w or plane is None or len(plane) % w:
+            return None
+        g = np.frombuffer(plane, np.uint8).reshape(-1, w)
+        rows, columns = g.sum(1, dtype=np.int64), g.sum(0, dtype=np.int64)
+        return {"sum": int(rows.sum()), "by_x": int(columns @ np.arange(1, w + 1)), "by_y": int(rows @ np.arange(1, len(g) + 1))}
+
+    def added(widths: pa.Array, planes: pa.Array) -> pa.Array:
+        return pa.array([one(w.as_py(), p.as_py()) for w, p in zip(widths, planes)], type=pa.struct(fields))
+
+    return F.arrow_udf(added, "struct<sum: long, by_x: long, by_y: long>").asNondeterministic()(width, gray)
+
+
 def for_text(pictures: DataFrame) -> DataFrame:
     """Pictures as a text recogniser gets them (``sizes.text_input``): about the middle, in its range of sizes.
 

@@ -653,21 +653,10 @@ def _resized_sql(name: str, n: int) -> str:
 @query(f"WITH {_P}, {', '.join(_resized_sql(name, n) for name, n in _RESIZED.items())} SELECT * FROM {' JOIN '.join(_RESIZED).replace('JOIN large', 'JOIN large USING (image)')}")
 def resampled_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every picture made smaller and larger: sums of its pixels, and of these by column and by row."""
-    made = None
-    for name, n in _RESIZED.items():
-        small = resample.resampled(views.pictures(spark, sf_dir).drop("rgb"), F.struct(F.lit(n).alias("width"), F.lit(n).alias("height")))
-        sums = small.select("image", _byte_sums(F.col("gray"), n).alias("v")).select("image", *[F.col(f"v.{c}").alias(f"{name}_{c}") for c in ("sum", "by_x", "by_y")])
-        made = sums if made is None else made.join(sums, "image")
-    return made
-
-
-def _byte_sums(gray: Column, n: int) -> Column:
-    values = F.transform(F.sequence(F.lit(1), F.octet_length(gray)), lambda i: F.conv(F.hex(F.substring(gray, i, 1)), 16, 10).cast("long"))
-
-    def added(weight) -> Column:
-        return F.aggregate(F.transform(values, lambda v, i: v * weight(i)), F.lit(0).cast("long"), lambda a, b: a + b)
-
-    return F.struct(added(lambda i: F.lit(1)).alias("sum"), added(lambda i: i % n + 1).alias("by_x"), added(lambda i: F.floor(i / n) + 1).alias("by_y"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(n).alias("n")) for name, n in _RESIZED.items()]))
+    whole = views.pictures(spark, sf_dir, colour=False).select("*", wanted.alias("to")).select("image", "width", "height", "gray", "to.*")
+    made = resample.resampled(whole, F.struct(F.col("n").alias("width"), F.col("n").alias("height"))).withColumn("v", resample.sums("width", "gray"))
+    return made.groupBy("image").agg(*[F.max(F.when(F.col("name") == name, F.col(f"v.{c}"))).alias(f"{name}_{c}") for name in _RESIZED for c in ("sum", "by_x", "by_y")])
 
 
 _PARTS_OF = " UNION ALL ".join(f"SELECT image, {i} AS part, x, y, gray FROM pixels WHERE {where}" for i, where in enumerate(("y < 9", "y >= 55", "x < 9", "x >= 55", "x BETWEEN 9 AND 54 AND y BETWEEN 9 AND 54")))
@@ -711,7 +700,7 @@ def bright_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = [(0, 40, 0, 20), (40, 24, 0, 20), (0, 40, 20, 44), (40, 24, 20, 44)]
     tiles = F.array(*[F.struct(F.lit(x).alias("left"), F.lit(top).alias("top"), F.lit(n).alias("width"), F.lit(high).alias("height"), F.concat(*r).alias("gray")) for (x, n, top, high), r in zip(places, rows)])
     cut = whole.select("image", F.inline(tiles))
-    return components.mask_components(components.mask_runs(cut, lambda g: g >= 128))
+    return components.tile_components(cut, lambda g: g >= 128)
 
 
 # --- pictures to verdicts ----------------------------------------------------------------------------------------

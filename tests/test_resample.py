@@ -97,6 +97,16 @@ def test_sides_without_pixels_have_no_size(spark):
     assert resample.for_hard_pictures(bytes_).first().gray is None
 
 
+def test_sums_of_bytes(spark):
+    p = plane(7, 5, 2)
+    t = spark.createDataFrame([(1, 7, p.tobytes()), (2, 7, None), (3, 7, b"12345678"), (4, None, b"1")], "image int, width int, gray binary")
+    found = t.select("image", resample.sums("width", "gray").alias("v"))
+    got = {r.image: r.v for r in found.collect()}
+    g = p.astype(int)
+    assert tuple(got[1]) == (g.sum(), (g * np.arange(1, 8)).sum(), (g * np.arange(1, 6)[:, None]).sum()) and got[2] is got[3] is got[4] is None
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_running_sums_give_the_same_boxes():
     rng = np.random.default_rng(4)
     for values in (rng.integers(0, 256, (37, 53), dtype=np.int32), rng.random((20, 31))):
